@@ -31,3 +31,32 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvine.llm.bpe import token_digests
 
     return token_digests(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op1_lz_fingerprint")
+def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.fingerprint import followed
+
+    return followed(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_exact_dedup",
+    """
+    WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size
+               FROM documents GROUP BY 1)
+    SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.t) AS text_sha256
+    FROM documents d JOIN g ON coalesce(d.text, '') = g.t
+    """,
+)
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.exact import mark_copies
+
+    return mark_copies(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.langid import identify_held_out
+
+    return identify_held_out(read_table(spark, sf_dir, "documents"))
