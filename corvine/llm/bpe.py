@@ -14,6 +14,8 @@ is read once in each Python worker.
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,13 @@ from corvine.llm.textkit import sha256_hex, small_batches
 
 #: Fixed value: the split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers; the table is emptied when it is full. Longer pieces than
-#: MEMO_CHARS are not remembered, so that memory has a bound.
-MEMO_PIECES = 300_000
+#: Pieces that a worker remembers in each of two generations: a full table becomes the old one, from
+#: which pieces that recur are taken over. Longer pieces than MEMO_CHARS are not remembered, so that
+#: memory has a bound.
+MEMO_PIECES = 500_000
 MEMO_CHARS = 48
 NO_PAIR = 1 << 62
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -92,6 +96,7 @@ class Bpe:
         own = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, own)) + ")") if own else None
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -124,10 +129,10 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _missing(self, piece: str) -> bytes:
-        out = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        out = self.older.get(piece) or array("I", self.merge(piece.encode())).tobytes()
         if len(piece) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
+                self.older, self.memo = self.memo, {}
             self.memo[piece] = out
         return out
 
