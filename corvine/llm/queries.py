@@ -60,3 +60,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvine.llm.langid import identify_held_out
 
     return identify_held_out(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.toxicity import score_held_out
+
+    return score_held_out(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
