@@ -67,3 +67,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvine.llm.toxicity import score_held_out
 
     return score_held_out(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op9_difference_cover",
+    r"""
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+               FROM documents),
+    s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
+    w AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS t FROM s),
+    m AS (SELECT t, min(doc_id) AS least FROM w GROUP BY t),
+    hit AS (SELECT w.doc_id, w.i FROM w JOIN m ON w.t = m.t AND m.least < w.doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM hit),
+    g AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed,
+           sha256(array_to_string(CASE WHEN g.n IS NULL THEN ws
+                  ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda j: NOT list_contains(js, j)), lambda j: ws[j]) END, ' '))
+           AS kept_sha256
+    FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+    """,
+)
+def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.coveranchors import remove_passages
+
+    return remove_passages(read_table(spark, sf_dir, "documents"))
