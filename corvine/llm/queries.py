@@ -91,3 +91,31 @@ def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvine.llm.coveranchors import remove_passages
 
     return remove_passages(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op7_bottom_k",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+    sh AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 5
+             THEN list_transform(range(1, len(ws) - 3), lambda i: hash(array_to_string(ws[i:i + 4], ' ')))
+             WHEN len(ws) > 0 THEN [hash(array_to_string(ws, ' '))] ELSE [] END)) AS s FROM d),
+    c AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM sh WHERE len(s) > 0 GROUP BY s),
+    e AS (SELECT id, n, unnest(s) AS v FROM c),
+    o AS (SELECT a.id AS x, b.id AS y, a.n AS nx, b.n AS ny, count(*) AS i FROM e a JOIN e b ON a.v = b.v AND a.id < b.id
+          WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+    l AS (SELECT x, y FROM o WHERE 100 * i >= 85 * (nx + ny - i)),
+    u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r AS (SELECT id AS node, id AS reach FROM c UNION SELECT r.node, u.y FROM r JOIN u ON r.reach = u.x),
+    m AS (SELECT node, min(reach) AS component FROM r GROUP BY node)
+    SELECT sh.doc_id, CAST(len(sh.s) AS BIGINT) AS n_shingles, coalesce(m.component, sh.doc_id) AS component_id,
+           sh.doc_id = coalesce(m.component, sh.doc_id) AS kept
+    FROM sh LEFT JOIN c ON sh.s = c.s LEFT JOIN m ON c.id = m.node
+    """,
+)
+def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.bottomk import group_near_copies
+
+    return group_near_copies(read_table(spark, sf_dir, "documents"))
