@@ -119,3 +119,29 @@ def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvine.llm.bottomk import group_near_copies
 
     return group_near_copies(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_run_index",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    s AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM d WHERE len(x) >= 200),
+    w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS t FROM s),
+    m AS (SELECT t, min({'a': doc_id, 'b': i}) AS least FROM w GROUP BY t HAVING count(*) > 1),
+    hit AS (SELECT w.doc_id, w.i FROM w JOIN m ON w.t = m.t WHERE {'a': w.doc_id, 'b': w.i} > m.least),
+    e AS (SELECT doc_id, i, i + 100 AS j, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hit),
+    k AS (SELECT *, sum(CASE WHEN reach IS NULL OR i > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM e),
+    r AS (SELECT doc_id, g, min(i) AS a, max(j) AS b FROM k GROUP BY doc_id, g),
+    q AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS nxt, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS n FROM r),
+    p AS (SELECT q.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+                 string_agg(CASE WHEN n = 1 THEN substr(x, 1, 2 * a) ELSE '' END || substr(x, 2 * b + 1, 2 * (coalesce(nxt, len(x) // 2) - b)), '' ORDER BY a) AS kept
+          FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY q.doc_id)
+    SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+    FROM d LEFT JOIN p ON d.doc_id = p.doc_id
+    """,
+)
+def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.runindex import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"))

@@ -146,6 +146,25 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane:
     return mix((total[ends] - total[starts]) * POWERS.down[lane][starts])
 
 
+def rolling_hashes(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """range_hashes of every range of one width."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    POWERS.need(len(values) + 1)
+    total = np.zeros(len(values) + 1, U64)
+    np.multiply(values, POWERS.up[lane][: len(values)], out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
+    h = total[width:] - total[:n]
+    h *= POWERS.down[lane][:n]
+    h ^= h >> U64(30)
+    h *= U64(0xBF58476D1CE4E5B9)
+    h ^= h >> U64(27)
+    h *= U64(0x94D049BB133111EB)
+    h ^= h >> U64(31)
+    return h
+
+
 def spans(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of true bytes inside documents: starts, ends, and runs before each document."""
     n = len(member)
