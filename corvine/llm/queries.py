@@ -145,3 +145,54 @@ def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvine.llm.runindex import remove_repeats
 
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+MIX_WEIGHTS = {"domain": {"d0": 1, "d1": 4, "d2": 3, "d3": 2}, "lang": {"en": 5, "de": 3, "fr": 3, "es": 2}}
+MIX_SHARE = 0.7
+
+_LEVEL = """
+    n{k} AS (SELECT {cols}, sum(capacity) AS capacity, {weight} AS weight FROM lf GROUP BY {cols}),
+    b{k} AS (SELECT n{k}.*, {budget} AS budget FROM n{k} {join}),
+    r{k} AS (SELECT *, (budget - coalesce(sum(capacity) OVER (PARTITION BY {parent} ORDER BY capacity / weight, {level}
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (PARTITION BY {parent}
+                ORDER BY capacity / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM b{k}),
+    s{k} AS (SELECT {cols}, CAST(CASE WHEN capacity / weight <= rate THEN capacity ELSE floor(weight *
+                max(CASE WHEN capacity / weight > rate THEN rate END) OVER (PARTITION BY {parent})) END AS BIGINT) AS budget FROM r{k}),"""
+
+
+def _mixing_sql(weights: dict, share: float, epochs: int = 4, seed: int = 17) -> str:
+    tree = ["domain", "lang", "source"]
+    case = lambda c: "CAST(CASE " + " ".join(f"WHEN {c} = '{k}' THEN {v}" for k, v in weights[c].items()) + " ELSE 1 END AS DOUBLE)" if c in weights else "CAST(1 AS DOUBLE)"
+    levels = ""
+    for k, c in enumerate(tree):
+        levels += _LEVEL.format(
+            k=k,
+            level=c,
+            cols=", ".join(tree[: k + 1]),
+            parent=", ".join(tree[:k]) or "1",
+            weight=case(c),
+            budget="(SELECT CAST(floor(sum(n_tokens) * CAST(%s AS DOUBLE)) AS BIGINT) FROM d)" % share if not k else f"s{k - 1}.budget",
+            join="" if not k else f"JOIN s{k - 1} USING ({', '.join(tree[:k])})",
+        )
+    return rf"""
+    WITH d AS (SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '(\d+)', 1) = '' THEN 'none'
+                 ELSE 'd' || (CAST(right(regexp_extract(source, '(\d+)', 1), 1) AS INT) % 4) END AS domain,
+               coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+               CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+    lf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {epochs} AS DOUBLE) AS capacity
+           FROM d GROUP BY ALL),{levels}
+    p AS (SELECT lf.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs,
+                 CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM lf JOIN s2 USING (domain, lang, source)),
+    o AS (SELECT d.*, p.epochs, p.rest, sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source
+            ORDER BY md5('{seed}:' || p.epochs || ':' || d.doc_id), d.doc_id ROWS UNBOUNDED PRECEDING) AS reach
+          FROM d JOIN p USING (domain, lang, source))
+    SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN reach <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM o
+    """
+
+
+@query("op8_mixing", _mixing_sql(MIX_WEIGHTS, MIX_SHARE))
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.mixing import domain_of, plan_copies
+
+    docs = read_table(spark, sf_dir, "documents").withColumn("domain", domain_of())
+    return plan_copies(docs, MIX_WEIGHTS, MIX_SHARE)
