@@ -196,3 +196,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents").withColumn("domain", domain_of())
     return plan_copies(docs, MIX_WEIGHTS, MIX_SHARE)
+
+
+@query("op2_quality_cotraining")
+def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.cotrain import score_held_out
+
+    return score_held_out(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
