@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.textkit import flat, pack, unpack
+from corvine.llm.textkit import flat, mix, pack, unpack
 
 BLOCK_BYTES = 1 << 20
 #: Bytes of text for each bucket of keys, and buckets at least.
@@ -30,11 +30,11 @@ U64 = np.uint64
 class Blocks:
     """The documents with their block number, and the sizes that follow from the amount of text."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> None:
+    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> None:
         content = F.coalesce(F.col(text), F.lit(""))
         size = docs.select(F.sum(F.octet_length(content)).alias("b")).first()["b"] or 0
         self.count = max(1, size // BLOCK_BYTES)
-        self.buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
+        self.buckets = max(LEAST_BUCKETS, size // bucket_bytes)
         self.rows = docs.select(
             F.pmod(F.xxhash64(key), F.lit(self.count)).alias("block"),
             F.col(key).cast("bigint").alias("doc_id"),
@@ -114,7 +114,7 @@ def told(more: pa.Table, *kinds) -> tuple[np.ndarray, ...]:
     """The unpacked columns of all answers for a block."""
     out = []
     for i, kind in enumerate(kinds):
-        parts = [unpack(v.as_py(), kind) for v in more.column(f"a{i}")]
+        parts = [unpack(v.as_py(), kind) for v in more.column(f"a{i}") if v.is_valid]
         out.append(np.concatenate(parts) if parts else np.zeros(0, kind))
     return tuple(out)
 
@@ -144,6 +144,29 @@ def repeated_keys(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "block bigint, a0 binary")
 
 
+def one_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two lanes of a hash in one number, for comparisons inside a block."""
+    return mix(a ^ (b.astype(U64) << U64(17)))
+
+
+def smaller_elsewhere(sent: DataFrame) -> DataFrame:
+    """Of rows (bucket, block, keys, more0: second lane, more1: ids): for every block, the hashes for which
+    another block has a smaller id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, a, b, ids = gather(table, keys=U64, more0=np.uint32, more1=np.int64)
+        order = np.lexsort((b, a))
+        a, b, ids, block = a[order], b[order], ids[order], block[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        group = np.cumsum(new) - 1
+        least = np.minimum.reduceat(ids, np.flatnonzero(new)) if len(a) else ids
+        later = ids > least[group]
+        return answer(block[later], a[later], b[later])
+
+    return sent.groupBy("bucket").applyInArrow(run, "block bigint, a0 binary, a1 binary")
+
+
 def cover(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     """True where [s, s + length) of some start lies, over size places."""
     edge = np.zeros(size + 1, np.int32)

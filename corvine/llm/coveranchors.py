@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvine.llm.blocks import Block, Blocks, answer, cover, deal, gather, is_in, repeated_keys, told
-from corvine.llm.textkit import BYTE_VALUE, mix, range_hashes, sha256_hex, words
+from corvine.llm.blocks import Block, Blocks, cover, deal, is_in, one_code, repeated_keys, smaller_elsewhere, told
+from corvine.llm.textkit import BYTE_VALUE, range_hashes, sha256_hex, words
 
 LENGTH = 13
 PERIOD = 7
@@ -69,11 +69,6 @@ def local_repeats(keys: np.ndarray) -> np.ndarray:
     return n[where] > 1
 
 
-def one_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Both lanes in one number, for comparisons inside a block."""
-    return mix(a ^ (b.astype(U64) << U64(17)))
-
-
 def least_doc(hashes: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For windows in document order: the first index of each different one, and for every window the
     document index of its first."""
@@ -101,17 +96,6 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ids = block.ids[p.doc[start[first]]]
         return deal(block.number, hashes[0][first], buckets, hashes[1][first], ids)
 
-    def compare(table: pa.Table) -> pa.Table:
-        block, a, b, ids = gather(table, keys=U64, more0=np.uint32, more1=np.int64)
-        order = np.lexsort((b, a))
-        a, b, ids, block = a[order], b[order], ids[order], block[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        group = np.cumsum(new) - 1
-        least = np.minimum.reduceat(ids, np.flatnonzero(new)) if len(a) else ids
-        later = ids > least[group]
-        return answer(block[later], a[later], b[later])
-
     def finish(block: Block, more: pa.Table) -> pa.Table:
         a, b = told(more, U64, np.uint32)
         p = Passages(block, length)
@@ -137,5 +121,6 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     flagged = repeated_keys(blocks.map(send_anchors, "bucket bigint, block bigint, keys binary"))
     sent = blocks.map_with(flagged, extend, "bucket bigint, block bigint, keys binary, more0 binary, more1 binary")
-    earlier = sent.groupBy("bucket").applyInArrow(compare, "block bigint, a0 binary, a1 binary")
-    return blocks.map_with(earlier, finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return blocks.map_with(
+        smaller_elsewhere(sent), finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+    )

@@ -104,17 +104,17 @@ def chunks(off: np.ndarray, limit: int = CHUNK_BYTES):
 
 
 class Powers:
-    """Tables of base**i and base**-i mod 2**64 that grow with the longest chunk seen."""
+    """Tables of base**i and base**-i mod 2**64, for either lane, that grow with the longest chunk seen."""
 
     def __init__(self) -> None:
-        self.size, self.up, self.down = 0, [], []
+        self.up: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+        self.down: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
-    def need(self, n: int) -> None:
-        if n <= self.size:
+    def need(self, n: int, lane: int = 0) -> None:
+        if n <= len(self.up[lane]):
             return
-        n = max(1 << 16, 1 << (n - 1).bit_length())
-        self.up, self.down = ([self._table(b, n) for b in bs] for bs in (BASES, INVERSES))
-        self.size = n
+        n = -(-n // (1 << 17)) << 17
+        self.up[lane], self.down[lane] = self._table(BASES[lane], n), self._table(INVERSES[lane], n)
 
     @staticmethod
     def _table(base: int, n: int) -> np.ndarray:
@@ -140,7 +140,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """Position-independent hash of values[s:e] for each range, from one prefix sum."""
-    POWERS.need(len(values) + 1)
+    POWERS.need(len(values) + 1, lane)
     total = np.zeros(len(values) + 1, U64)
     np.cumsum(values * POWERS.up[lane][: len(values)], out=total[1:])
     return mix((total[ends] - total[starts]) * POWERS.down[lane][starts])
@@ -151,7 +151,7 @@ def rolling_hashes(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
-    POWERS.need(len(values) + 1)
+    POWERS.need(len(values) + 1, lane)
     total = np.zeros(len(values) + 1, U64)
     np.multiply(values, POWERS.up[lane][: len(values)], out=total[1:])
     np.cumsum(total[1:], out=total[1:])
