@@ -8,13 +8,13 @@ are one class, represented by its smallest doc_id. A sketch keeps the SKETCH sma
    below 1e-9. So in any common order of the values, the prefixes of both sketches that leave out
    least_overlap - 1 values share one. The order is by the number of sketches that hold a value, rare
    first, so that a passage which many documents share gives no list unless it is most of a document.
-2. Stars. In every list the smallest id is paired with each other member: linear in the list's length.
-3. Estimation filters pairs by the union sketch, and exact Jaccard on full sets confirms them.
-4. The rest. In lists whose members are still in different components, all pairs across components are
-   estimated inside the list's task and those that pass are confirmed like the others. No link is lost
-   to a cap; pairs inside a component are never made, as they cannot change it.
-
-Sets travel once for each pair of (set, block that needs it), never once for each pair of documents.
+2. Gathering. A list is named by its smallest id; lists with one name, as a family of copies makes them,
+   are united, so a set travels once for each name and not once for each list. A union of more than
+   GROUP sets is dealt as pairs of parts, each a task of bounded size; no pair of its sets is left out.
+3. In a task, overlaps of the sketches filter pairs by what their union sketch can hold, exact Jaccard on
+   full sets confirms, and a union-find skips pairs that are already connected. At most one link for
+   each merge leaves the task, never all pairs.
+4. Components of these links, by alternating stars.
 
 Cases: text that is NULL or has no word has an empty set, is its own component and is kept. With fewer
 than WORDS words the whole sequence is one shingle. Rows that repeat a doc_id belong to that id. A NULL
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.blocks import LEAST_BUCKETS, Blocks, answer, deal, gather, told
+from corvine.llm.blocks import LEAST_BUCKETS, Block, Blocks, answer, deal, gather, told
 from corvine.llm.components import components
 from corvine.llm.textkit import BYTE_VALUE, FOLD, chunks, flat, mix, range_hashes, scratch_dir, small_batches, words
 
@@ -40,8 +40,8 @@ SKETCH = 64
 LEAST_SHARED = 32
 #: Classes in a block of sketches.
 BLOCK_CLASSES = 4096
-#: Standard errors below the threshold at which the estimation filter still lets a pair pass.
-SLACK = 4.5
+#: Sets of one task; a larger group is dealt as pairs of parts.
+GROUP = 2048
 U64 = np.uint64
 
 
@@ -80,25 +80,6 @@ def least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.maximum(np.where(n > SKETCH, near, small), 1)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Values that two sorted arrays of distinct values share."""
-    c = np.concatenate((a, b))
-    c.sort()
-    return int((c[1:] == c[:-1]).sum())
-
-
-def passes_estimate(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, num: int, den: int) -> bool:
-    """Whether two sketches leave the likeness asked for possible."""
-    if den * min(n_a, n_b) < num * max(n_a, n_b):
-        return False
-    union = np.union1d(a, b)[:SKETCH]
-    shared = overlap(a[a <= union[-1]], b[b <= union[-1]])
-    if n_a <= SKETCH and n_b <= SKETCH and len(a) + len(b) - overlap(a, b) <= SKETCH:
-        return den * shared >= num * len(union)
-    t = num / den
-    return shared / len(union) >= t - SLACK * (t * (1 - t) / len(union)) ** 0.5
-
-
 def _save(df: DataFrame, folder: str, name: str) -> DataFrame:
     df.write.parquet(f"{folder}/{name}")
     return df.sparkSession.read.parquet(f"{folder}/{name}")
@@ -176,127 +157,135 @@ def prefixes(classes: DataFrame, count: int, buckets: int, num: int, den: int) -
     )
 
 
-def confirm(rows: DataFrame, count: int, pairs: DataFrame, load, test) -> DataFrame:
-    """Pairs (member, hub) that pass a test on what both ends hold.
-
-    rows: a table of blocks (column block = hash of id mod count). load(table, ids) gives a dict id ->
-    bytes; test(table, members, hubs, payloads) a list of booleans. The hub's bytes go once to each block
-    that has a member for it."""
-    home = lambda c: F.pmod(F.xxhash64(c), F.lit(count))
-    asks = pairs.select(home("hub").alias("block"), "hub", home("member").alias("dest")).distinct()
-
-    def send(table: pa.Table, asked: pa.Table) -> pa.Table:
-        hubs = asked.column("hub").to_pylist()
-        held = load(table, set(hubs)) if hubs else {}
-        lines = [(d, h, held[h]) for h, d in zip(hubs, asked.column("dest").to_pylist(), strict=True) if h in held]
-        columns = list(zip(*lines, strict=True)) or [[], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "hub", "payload"])
-
-    def check(table: pa.Table, lines: pa.Table) -> pa.Table:
-        member, hub, payload = (lines.column(c).to_pylist() for c in ("member", "hub", "payload"))
-        held = {h: p for h, p in zip(hub, payload, strict=True) if p is not None}
-        want = [(m, h) for m, h, p in zip(member, hub, payload, strict=True) if p is None and h in held]
-        good = [x for x, ok in zip(want, test(table, want, held), strict=True) if ok] if want else []
-        columns = list(zip(*good, strict=True)) or [[], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["member", "hub"])
-
-    sent = rows.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(send, "block bigint, hub bigint, payload binary")
-    lines = pairs.select(home("member").alias("block"), "member", "hub", F.lit(None).cast("binary").alias("payload"))
-    both = lines.unionByName(sent.withColumn("member", F.lit(None).cast("bigint")))
-    return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(check, "member bigint, hub bigint")
-
-
-def estimated(classes: DataFrame, count: int, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that the union-sketch estimate lets pass."""
-    rows = classes.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block"), "id", "n_shingles", "sketch")
-
-    def load(table: pa.Table, wanted: set) -> dict:
-        columns = (table.column(c).to_pylist() for c in ("id", "n_shingles", "sketch"))
-        return {i: n.to_bytes(8, "little") + s for i, n, s in zip(*columns, strict=True) if i in wanted}
-
-    def test(table: pa.Table, want: list, held: dict) -> list[bool]:
-        mine = load(table, {m for m, _ in want})
-        read = lambda p: (np.frombuffer(p, U64, offset=8), int.from_bytes(p[:8], "little"))
-        return [m in mine and passes_estimate(*read(mine[m]), *read(held[h]), num, den) for m, h in want]
-
-    return confirm(rows, count, pairs, load, test)
-
-
-def verified(blocks: Blocks, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs whose full sets are as alike as asked."""
-
-    def sets(table: pa.Table, wanted: set) -> dict:
-        ids = table.column("doc_id").to_pylist()
-        pick = list({i: k for k, i in enumerate(ids) if i in wanted}.items())
-        codes, bounds = shingle_sets(*flat(table.column("text").take(pa.array([k for _, k in pick], pa.int64()))), width)
-        return {i: codes[bounds[j] : bounds[j + 1]] for j, (i, _) in enumerate(pick)}
-
-    def load(table: pa.Table, wanted: set) -> dict:
-        return {i: s.tobytes() for i, s in sets(table, wanted).items()}
-
-    def test(table: pa.Table, want: list, held: dict) -> list[bool]:
-        mine = sets(table, {m for m, _ in want})
-        theirs = {h: np.frombuffer(p, U64) for h, p in held.items()}
-        out = []
-        for m, h in want:
-            a, b = mine.get(m), theirs[h]
-            if a is None or den * min(len(a), len(b)) < num * max(len(a), len(b)):
-                out.append(False)
-                continue
-            shared = overlap(a, b)
-            out.append(den * shared >= num * (len(a) + len(b) - shared))
-        return out
-
-    return confirm(blocks.rows, blocks.count, pairs, load, test)
-
-
-def across(lists: DataFrame, classes: DataFrame, groups: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """Pairs of ids in different components that share a list and pass the estimate."""
-    entries = lists.join(groups, lists.id == groups.node, "left").select(
-        "value", "id", F.coalesce("component", "id").alias("component")
+def gathered(blocks: Blocks, asked: DataFrame, width: int) -> DataFrame:
+    """asked: (name, id). Rows (name, part, side, id, set) with the full set, 48 bits a shingle."""
+    sizes = asked.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    parts = F.ceil(F.col("m") / GROUP).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int")
+    # parts i <= j meet in task (i, j); a set of part p goes to the tasks (p, j) and (i, p)
+    tasks = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda q: F.struct(F.least(q, F.col("own")).alias("i"), F.greatest(q, F.col("own")).alias("j")),
     )
-    open_lists = entries.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = entries.join(open_lists.select("value"), "value", "left_semi")
-    rest = rest.join(classes.select("id", "n_shingles", "sketch"), "id").select(
-        F.pmod(F.xxhash64("value"), F.lit(buckets)).alias("bucket"), "value", "id", "component", "n_shingles", "sketch"
+    wanted = (
+        asked.join(sizes, "name")
+        .withColumn("parts", parts)
+        .withColumn("own", own)
+        .select(
+            F.pmod(F.xxhash64("id"), F.lit(blocks.count)).alias("block"), "name", "id", "own", F.explode(tasks).alias("to")
+        )
+        .select("block", "name", "id", "own", "to.i", "to.j")
     )
 
-    def pairs(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("value", "ascending"), ("n_shingles", "ascending"), ("id", "ascending")])
-        value, ids, comp, size = (np.asarray(table.column(c)) for c in ("value", "id", "component", "n_shingles"))
-        data, off = flat(table.column("sketch"))
-        codes, off = data.view(U64), off // 8
-        found: set[tuple[int, int]] = set()
-        cut = np.flatnonzero(np.diff(value)) + 1
-        for a, b in zip([0, *cut], [*cut, len(value)], strict=True):
-            _list_pairs(ids[a:b], comp[a:b], size[a:b], codes[off[a] : off[b]], off[a : b + 1] - off[a], num, den, found)
-        columns = list(zip(*sorted(found), strict=True)) or [[], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["member", "hub"])
-
-    return rest.groupBy("bucket").applyInArrow(pairs, "member bigint, hub bigint").distinct()
-
-
-def _list_pairs(ids, comp, size, codes, off, num: int, den: int, found: set, step: int = 512, width: int = 1024) -> None:
-    """Pairs of one list, sorted by set size. Sketches are folded into `width` columns, where the product
-    of two rows is at least their overlap; pairs that this bound does not rule out are estimated."""
-    n = len(ids)
-    t = num / den
-    fold = np.zeros((n, width), np.float32)
-    np.add.at(fold, (np.repeat(np.arange(n), np.diff(off)), (codes % U64(width)).astype(np.int64)), 1)
+    def load(block: Block, lines: pa.Table) -> pa.Table:
+        ids = np.asarray(lines.column("id"))
+        need, where = np.unique(ids, return_inverse=True)
+        at = np.searchsorted(block.ids, need)
+        texts = [block.data[block.off[k] : block.off[k + 1]] for k in at]
+        off = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+        held: list[bytes] = []
+        for a, b in chunks(off):
+            codes, bounds = shingle_sets(np.concatenate(texts[a:b]), off[a : b + 1] - off[a], width)
+            raw = (codes >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+            held += [raw[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        sets = pa.array([held[k] for k in where], pa.binary())
+        return lines.select(["name", "i", "j", "own", "id"]).append_column("set", sets)
+
+    return blocks.map_with(wanted, load, "name bigint, i int, j int, own int, id bigint, set binary")
+
+
+def linked(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of alike sets, enough to connect what is connected inside each task's sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("name", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
+        name, i, j, own, ids = (np.asarray(table.column(c)) for c in ("name", "i", "j", "own", "id"))
+        data, off = flat(table.column("set"))
+        wide = np.zeros((len(data) // 6, 8), np.uint8)
+        wide[:, :6] = data.reshape(-1, 6)
+        codes, off = wide.reshape(-1).view(U64), off // 6
+        new = (np.diff(name) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+        cut = np.flatnonzero(new) + 1
+        found = []
+        for a, b in zip([0, *cut], [*cut, len(name)], strict=True):
+            # a task of two parts has nothing to do inside one of them
+            side = own[a:b] if i[a] != j[a] else None
+            for x, y in alike(codes[off[a] : off[b]], off[a : b + 1] - off[a], num, den, side):
+                found.append((ids[a + x], ids[a + y]))
+        columns = list(zip(*found, strict=True)) or [[], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    keyed = sets.withColumn("bucket", F.pmod(F.xxhash64("name", "i", "j"), F.lit(buckets)))
+    return keyed.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
+
+
+def alike(codes: np.ndarray, off: np.ndarray, num: int, den: int, side: np.ndarray | None = None, step: int = 256) -> list:
+    """Pairs of sets as alike as asked, sorted sets given one after the other; pairs that earlier ones
+    connect are left out, and so are pairs on one side."""
+    n, size = len(off) - 1, np.diff(off)
+    order = np.argsort(size, kind="stable")
+    parent = np.arange(n)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     kept = np.minimum(size, SKETCH)
+    owner = np.repeat(np.arange(n), kept)
+    head = codes[np.arange(len(owner)) + np.repeat(off[:-1] - (np.cumsum(kept) - kept), kept)]
+    known, column, often = np.unique(head, return_inverse=True, return_counts=True)
+    use = often[column] > 1  # values of one set only overlap with nothing
+    column = (np.cumsum(often > 1) - 1)[column[use]]
+    owner, columns = owner[use], int((often > 1).sum())
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    by = np.argsort(place[owner], kind="stable")
+    owner_at, column = place[owner][by], column[by]
+    first = np.searchsorted(owner_at, np.arange(n + 1))
+    size_at, kept_at = size[order], kept[order]
+    label = np.arange(n)  # component of each set in size order, refreshed row by row where it matters
+    out = []
     for a in range(0, n, step):
-        hi = np.searchsorted(size * num, size[min(a + step, n) - 1] * den, "right")
-        product = fold[a : a + step] @ fold[a:hi].T
-        # a shared part of the union sketch is at most the overlap; the union sketch is at least as long
-        # as the longer sketch
-        floor = (t - SLACK * (t * (1 - t) / SKETCH) ** 0.5) * np.maximum(kept[a : a + step, None], kept[None, a:hi])
-        hit = (product >= floor) & (comp[a : a + step, None] != comp[None, a:hi])
-        for i, j in zip(*np.nonzero(hit), strict=True):
-            x, y = a + i, a + j
-            if x < y and (ids[x], ids[y]) not in found and (ids[y], ids[x]) not in found:
-                if passes_estimate(codes[off[x] : off[x + 1]], size[x], codes[off[y] : off[y + 1]], size[y], num, den):
-                    found.add((int(max(ids[x], ids[y])), int(min(ids[x], ids[y]))))
+        b = min(a + step, n)
+        stop = int(np.searchsorted(size_at * num, size_at[b - 1] * den, "right"))
+        product = np.zeros((b - a, stop - a), np.float32)
+        for c in range(0, columns, 4096):
+            left, right = np.zeros((b - a, 4096), np.float32), np.zeros((stop - a, 4096), np.float32)
+            lo, hi = first[a], first[stop]
+            inside = (column[lo:hi] >= c) & (column[lo:hi] < c + 4096)
+            rows, cols = owner_at[lo:hi][inside] - a, column[lo:hi][inside] - c
+            right[rows, cols] = 1
+            left[:] = right[: b - a]
+            product += left @ right.T
+        need = np.maximum(1, np.maximum(kept_at[a:b, None], kept_at[None, a:stop]) * (LEAST_SHARED / SKETCH))
+        passes = product >= need
+        for i in range(a, b):
+            js = np.flatnonzero(passes[i - a, i + 1 - a :]) + i + 1
+            js = js[size_at[js] * num <= size_at[i] * den]
+            if side is not None:
+                js = js[side[order[js]] != side[order[i]]]
+            mine = root(order[i])
+            js = js[label[js] != label[i]]
+            if not len(js):
+                continue
+            at = order[js]
+            total = size[at]
+            begin = np.cumsum(total) - total
+            pool = codes[np.arange(total.sum()) + np.repeat(off[at] - begin, total)]
+            own = codes[off[order[i]] : off[order[i] + 1]]
+            hit = own[np.minimum(np.searchsorted(own, pool), len(own) - 1)] == pool
+            shared = np.add.reduceat(hit.astype(np.int64), begin)
+            link = den * shared >= num * (len(own) + total - shared)
+            for x in at[link]:
+                r = root(x)
+                if r != mine:
+                    out.append((int(order[i]), int(x)))
+                    parent[r] = mine
+                    gone, kept_label = label[place[x]], label[i]
+                    label[label == gone] = kept_label
+    return out
 
 
 def group_near_copies(docs: DataFrame, num: int = 85, den: int = 100, width: int = WORDS) -> DataFrame:
@@ -315,15 +304,10 @@ def group_near_copies(docs: DataFrame, num: int = 85, den: int = 100, width: int
     count = max(1, total // BLOCK_CLASSES)
     buckets = max(LEAST_BUCKETS, total * SKETCH // 500_000)
     lists = _save(prefixes(classes, count, buckets, num, den), folder, "lists")
-    hubs = lists.groupBy("value").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    stars = lists.join(hubs, "value").where("id <> hub").select(F.col("id").alias("member"), "hub").distinct()
-    blocks = Blocks(docs.where("doc_id IS NOT NULL"))
-    links = _save(verified(blocks, estimated(classes, count, stars, num, den), width, num, den), folder, "stars")
-    groups = components(links, "member", "hub")
-    rest = across(lists, classes, groups, buckets, num, den)
-    more = _save(verified(blocks, rest, width, num, den), folder, "across")
-    if not more.isEmpty():
-        groups = components(links.union(more), "member", "hub")
+    names = lists.groupBy("value").agg(F.min("id").alias("name"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    asked = _save(lists.join(names.drop("m"), "value").select("name", "id").distinct(), folder, "asked")
+    sets = gathered(Blocks(docs.where("doc_id IS NOT NULL")), asked, width)
+    groups = components(_save(linked(sets, buckets, num, den), folder, "links"))
     ids = classes.select("digest", "n_shingles", "id").join(groups, F.col("id") == F.col("node"), "left")
     ids = ids.select("digest", "n_shingles", F.coalesce("component", "id").alias("component"))
     return with_class(known.select("doc_id", "n_shingles", "digest"), ids).select(
