@@ -164,25 +164,25 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
-def tokenise(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Key, ids (array of int) and decoded text of every row."""
-    small_batches(docs.sparkSession)
+def tokenise(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
+    """Key, ids (array of int) and decoded text of every row, with its text if wanted."""
+    small_batches(docs.sparkSession, 128)
 
     def run(batches):
         bpe = load(vocabulary)
         for batch in batches:
             codes = [bpe.encode(_text(v)) for v in batch.column(1)]
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in codes], pa.list_(pa.int32())),
-                    pa.array([bpe.decode(c) for c in codes], pa.string()),
-                ],
-                ["doc_id", "ids", "decoded"],
-            )
+            ids = np.frombuffer(b"".join(codes), "<i4")
+            ends = np.cumsum([0, *(len(c) // 4 for c in codes)], dtype=np.int32)
+            out = [
+                batch.column(0),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
+                pa.array([bpe.decode(c) for c in codes], pa.string()),
+            ]
+            yield pa.record_batch([*out, *batch.columns[1 : 1 + keep_text]], ["doc_id", "ids", "decoded", "text"][: 3 + keep_text])
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id bigint, ids array<int>, decoded string"
+        run, "doc_id bigint, ids array<int>, decoded string" + ", text string" * keep_text
     )
 
 

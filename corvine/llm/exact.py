@@ -58,7 +58,10 @@ def mark_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat a kept doc_id and
-    text, all stay."""
-    kept = mark_copies(docs, text, key).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(key) == F.col("__kept_id"), "left_semi")
+    """The rows of docs that stay, with all their columns. Rows that repeat both a kept doc_id and its
+    text all stay."""
+    kept = mark_copies(docs, text, key).where("kept").select(
+        F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")
+    )
+    same = (F.col(key) == F.col("__kept_id")) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("__kept_digest"))
+    return docs.join(kept, same, "left_semi")
