@@ -23,6 +23,20 @@ def load_rules(root: str) -> list[Rule]:
         return []
 
 
+def stored_rules(spark: SparkSession, root: str) -> list[Rule]:
+    """load_rules for any store; Spark's own readers pass over names that start with a dot."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{RULES_FILE}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    stream = store.open(path)
+    try:
+        return parse_rules(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def walk(root: str, rules: list[Rule] | None = None) -> list[str]:
     """Files of a local tree, ignored directories pruned before they are listed. The root must exist; links
     are followed, each real directory once; a directory that cannot be read fails the walk."""
@@ -58,9 +72,7 @@ def read_tree(spark: SparkSession, root: str, rules: list[Rule] | None = None) -
     """Supported files of a tree in any store that Spark reads: path, ext, content. Only names are tested
     before the contents of the remaining files are read."""
     root = root.rstrip("/")
-    if rules is None:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", RULES_FILE).load(root).select("content").head(1)
-        rules = parse_rules(bytes(found[0]["content"]).decode("utf-8", "replace")) if found else []
+    rules = stored_rules(spark, root) if rules is None else rules
     glob = "*.{" + ",".join(sorted(REGISTRY)) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     plain = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
