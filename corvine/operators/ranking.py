@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import scoring as S
 from corvine.functions import text as X
-from corvine.schema import KEY
+from corvine.schema import KEY, Request
 
 PER_FILE = 3
 
@@ -60,11 +60,12 @@ def bm25_scores(blocks: DataFrame, query: str) -> DataFrame:
     return scored.select(*keep, score.alias("score")).where((F.col("score") > 0) & ~F.isnan("score"))
 
 
-def outermost(ranked: DataFrame, score: str = "score") -> DataFrame:
+def outermost(ranked: DataFrame, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """Of blocks of one file that contain each other, the outermost; of equal ranges, the best. A row stays if
-    it ends after every earlier one, in order of start, then of descending end."""
+    it ends after every earlier one, in order of start, then of descending end. by: columns, as a query's
+    number, within which rows meet."""
     earlier = (
-        Window.partitionBy("file_path")
+        Window.partitionBy(*by, "file_path")
         .orderBy(F.asc("start_line"), F.desc("end_line"), F.desc(score), F.asc("kind"), F.asc("name"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -86,9 +87,9 @@ def innermost(ranked: DataFrame, score: str = "score") -> DataFrame:
     )
 
 
-def cap_per_file(ranked: DataFrame, most: int = PER_FILE, score: str = "score") -> DataFrame:
-    by = Window.partitionBy("file_path").orderBy(*total_order(score))
-    return ranked.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= most).drop("__n")
+def cap_per_file(ranked: DataFrame, most: int = PER_FILE, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    order = Window.partitionBy(*by, "file_path").orderBy(*total_order(score))
+    return ranked.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
 
 
 def top(ranked: DataFrame, limit: int, score: str = "score") -> DataFrame:
@@ -107,6 +108,42 @@ def bm25_search(blocks: DataFrame, query: str, languages: list[str] | None, limi
     return diversify(bm25_scores(keep_languages(blocks, languages), query), limit, overlap)
 
 
+def bm25_many(blocks: DataFrame, requests: list[Request]) -> DataFrame:
+    """bm25_search for many requests in one plan: their rows, with the number of the request as `request`.
+
+    The requests are a given set, which is broadcast; every block meets every request whose filters it passes,
+    statistics are one row a request, and the ranking of each is cut by a window whose limit Spark applies
+    before the shuffle."""
+    spark = blocks.sparkSession
+    terms = [X.query_terms(r.query) for r in requests]
+    most = max(map(len, terms), default=0)
+    rows = [(i, r.query, t, r.languages, r.path, r.limit) for i, (r, t) in enumerate(zip(requests, terms, strict=True)) if t]
+    schema = "request int, q string, terms array<string>, langs array<string>, part string, most int"
+    asked = F.broadcast(spark.createDataFrame(rows, schema))
+    blocks = with_tokens(blocks)
+    keep = [c for c in blocks.columns if c not in ("tokens", "length")]
+    fits = (F.col("langs").isNull() | F.array_contains("langs", F.col("language"))) & (
+        F.col("part").isNull() | F.contains("file_path", F.col("part"))
+    )
+    met = blocks.crossJoin(asked).where(fits)
+    term = lambda i: F.get("terms", F.lit(i))
+    dfs = [F.count_if(S.holds(F.col("content"), F.col("name"), term(i))).alias(f"df{i}") for i in range(most)]
+    stats = met.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *dfs)
+    total = F.lit(0.0)
+    for i in range(most):
+        tf = S.term_frequency(F.col("tokens"), term(i)).cast("double")
+        part = S.bm25_term(tf, S.idf(F.col("n"), F.col(f"df{i}")), F.col("length"), F.col("average"))
+        total = total + F.when(term(i).isNotNull(), part).otherwise(0.0)
+    score = total * S.name_boost(F.col("name"), F.col("kind"), F.col("q")) * S.kind_boost(F.col("kind"))
+    scored = met.join(F.broadcast(stats), "request").select("request", "most", *keep, score.alias("score"))
+    scored = scored.where((F.col("score") > 0) & ~F.isnan("score"))
+    best = cap_per_file(outermost(scored, by=("request",)), by=("request",))
+    order = Window.partitionBy("request").orderBy(*total_order())
+    best = best.withColumn("ordinal", F.row_number().over(order).cast("bigint"))
+    limit = max((r.limit for r in requests), default=0)
+    return best.where(F.col("ordinal") <= limit).where("ordinal <= most").drop("most")
+
+
 def vector_scores(blocks: DataFrame, vectors: DataFrame, wanted: list[float]) -> DataFrame:
     """Keys of the blocks that have a vector, with its dot product. The request's vector is a literal."""
     q = F.array(*[F.lit(float(x)) for x in wanted])

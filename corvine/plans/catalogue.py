@@ -216,6 +216,23 @@ _KIND_SQL = "CASE kind WHEN 'Class' THEN 2.0 WHEN 'Method' THEN 1.3 WHEN 'Field'
 _CONV_SORT = "file_path, start_line, end_line, kind, name"
 
 
+_MANY = [("the thing", "true", 10), ("que la", "language IN ('es', 'fr')", 5), ("the", "contains(file_path, 'src1')", 20)]
+
+
+@query(
+    "bm25_many",
+    " UNION ALL ".join(
+        f"SELECT {i} AS request, doc_id, score FROM ({_doc_top(q, where, limit)})" for i, (q, where, limit) in enumerate(_MANY)
+    ).replace("SELECT 0 AS", "SELECT CAST(0 AS BIGINT) AS"),
+)
+def bm25_many(spark, sf_dir):
+    from corvine.plans.engine import Engine
+    from corvine.schema import Request
+
+    asked = [Request("the thing"), Request("que la", lang="es, fr", limit=5), Request("the", path="src1", limit=20)]
+    return ranked(Engine(document_blocks(spark, sf_dir)).search_many(asked), "request", "doc_id", "score")
+
+
 @query("name_boost", f"WITH {CONV} SELECT file_path, start_line, end_line, name, CAST({_name_boost_sql('user_1')} AS DOUBLE) AS a, CAST({_name_boost_sql('assistant')} AS DOUBLE) AS b FROM conv")
 def name_boost(spark, sf_dir):
     rows = conversation_blocks(spark, sf_dir)

@@ -40,6 +40,10 @@ class Engine:
         near = R.vector_top(R.vector_scores(blocks, self.vectors, wanted), request.limit * VECTOR_FETCH)
         return R.diversify(R.fuse(best, near, blocks), request.limit, overlap)
 
+    def search_many(self, requests: list[Request]) -> DataFrame:
+        """Keyword searches for a set of requests in one plan, with their number and ordinals."""
+        return R.bm25_many(self.blocks, requests)
+
     def results(self, request: Request) -> DataFrame:
         """search() with ordinal and snippet; the number of rows is at most the limit."""
         found = self.search(request)

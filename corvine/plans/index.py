@@ -36,6 +36,22 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def register_blocks_function(spark: SparkSession, name: str = "code_blocks") -> None:
+    """SELECT * FROM code_blocks(path, content): the blocks of one file, as a table function for SQL. A file
+    that does not parse gives no row."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType=BLOCK)
+    class CodeBlocks:
+        def eval(self, path: str, content: bytes):
+            from corvine.sources.parsers import parse_file
+
+            for row in parse_file(path, None if content is None else bytes(content))[0]:
+                yield tuple(row[f.name] for f in BLOCK.fields)
+
+    spark.udtf.register(name, CodeBlocks)
+
+
 def blocks_of(parsed: DataFrame) -> DataFrame:
     return parsed.where("error IS NULL").select(F.explode("blocks").alias("b")).select("b.*")
 

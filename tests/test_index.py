@@ -121,3 +121,13 @@ def test_embedders(tmp_path):
     assert mean_pool(hidden, np.array([[1, 1, 0]])).tolist() == [[2.0, 3.0]]
     with pytest.raises(FileNotFoundError):
         OnnxEmbedder(str(tmp_path))
+
+
+def test_table_function(spark):
+    from corvine.plans.index import register_blocks_function
+
+    register_blocks_function(spark)
+    rows = spark.createDataFrame([("/a.java", b"class A { int f() { return 1; } }"), ("/b.xml", b"<a>"), ("/c.txt", None)], "path string, content binary")
+    rows.createOrReplaceTempView("some_files")
+    got = spark.sql("SELECT f.path, b.kind, b.name FROM some_files f, LATERAL code_blocks(f.path, f.content) b").collect()
+    assert sorted(tuple(r) for r in got) == [("/a.java", "Class", "A"), ("/a.java", "Method", "f")]

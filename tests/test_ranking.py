@@ -145,3 +145,13 @@ def test_empty_tables(spark, blocks):
     assert Engine(none).search(Request("user")).count() == 0
     assert R.vector_scores(none, spark.createDataFrame([], VECTOR), [1.0]).select(*KEY).count() == 0
     assert none.select(F.count("*")).first()[0] == 0
+
+
+def test_many_requests_equal_single_ones(blocks):
+    asked = [Request("user"), Request("find id", limit=1), Request("  "), Request("user", lang="java"), Request("user", path="p/b")]
+    many = Engine(blocks).search_many(asked).collect()
+    for i, r in enumerate(asked):
+        want = [(x["name"], x["start_line"], round(x["score"], 9)) for x in Engine(blocks).search(r).collect()]
+        got = sorted((x for x in many if x["request"] == i), key=lambda x: x["ordinal"])
+        assert [(x["name"], x["start_line"], round(x["score"], 9)) for x in got] == want
+    assert Engine(blocks).search_many([]).count() == 0
