@@ -147,8 +147,8 @@ def bm25_many(blocks: DataFrame, requests: list[Request]) -> DataFrame:
 def vector_scores(blocks: DataFrame, vectors: DataFrame, wanted: list[float]) -> DataFrame:
     """Keys of the blocks that have a vector, with its dot product. The request's vector is a literal."""
     q = F.array(*[F.lit(float(x)) for x in wanted])
-    keys = blocks.select(*KEY).distinct()
-    return keys.join(vectors.select(*KEY, "embedding"), KEY).select(*KEY, S.dot(F.col("embedding"), q).alias("cosine"))
+    known = vectors.select(*KEY, "embedding").join(blocks.select(*KEY), KEY, "left_semi")
+    return known.select(*KEY, S.dot(F.col("embedding"), q).alias("cosine"))
 
 
 def vector_top(scores: DataFrame, limit: int) -> DataFrame:
@@ -171,5 +171,5 @@ def fuse(bm25: DataFrame, vectors: DataFrame, blocks: DataFrame, alpha: float =
     )
     first = Window.partitionBy(*KEY).orderBy("kind", "name")
     # candidates are few (a multiple of the limit), so they are what is broadcast
-    found = blocks.join(F.broadcast(both), KEY).withColumn("__n", F.row_number().over(first))
+    found = blocks.drop("tokens").join(F.broadcast(both), KEY).withColumn("__n", F.row_number().over(first))
     return found.where("__n = 1").drop("__n")

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.functions.text import embedding_text
+from corvine.functions.text import document_text, embedding_text, tokens
 from corvine.plans.embedders import Embedder, embed_texts
-from corvine.schema import BLOCK, VECTOR
+from corvine.schema import BLOCK, INDEXED, VECTOR
 
 BUCKETS = 32
 _FILE_STATE = "path string, error string, n_blocks int"
@@ -97,7 +97,7 @@ class Index:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def blocks(self) -> DataFrame:
-        return self._read("blocks", BLOCK)
+        return self._read("blocks", INDEXED)
 
     def vectors(self) -> DataFrame:
         return self._read("vectors", VECTOR)
@@ -134,7 +134,8 @@ class Index:
         good = parsed.where("error IS NULL")
         blocks = blocks_of(good)
         state = parsed.select("path", "error", F.when(F.col("error").isNull(), F.size("blocks")).cast("int").alias("n_blocks"))
-        tables = {"blocks": (blocks, BLOCK, "file_path"), "files": (state, _FILE_STATE, "path")}
+        stored = blocks.withColumn("tokens", tokens(document_text()))
+        tables = {"blocks": (stored, INDEXED, "file_path"), "files": (state, _FILE_STATE, "path")}
         if self.embedder is not None:
             tables["vectors"] = (embed_blocks(blocks, self.embedder), VECTOR, "file_path")
         for name, (new, schema, key) in tables.items():

@@ -39,6 +39,8 @@ BLOCK = T.StructType(
         T.StructField("dependencies", T.ArrayType(_S, False), False),
     ]
 )
+#: Blocks as an index keeps them: tokens are made once, not for every search.
+INDEXED = T.StructType([*BLOCK.fields, T.StructField("tokens", T.ArrayType(_S, False), True)])
 VECTOR = T.StructType([*BLOCK.fields[:3], T.StructField("embedding", T.ArrayType(T.FloatType(), False), False)])
 FILE = T.StructType([T.StructField("path", _S, False), T.StructField("ext", _S, True), T.StructField("content", T.BinaryType(), True)])
 CHANGE = T.StructType(

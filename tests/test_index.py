@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from corvine.plans.engine import Engine
 from corvine.plans.embedders import HashingEmbedder, OnnxEmbedder, mean_pool, unit
 from corvine.plans.index import Index, counts, parse_files
 from corvine.schema import Request
@@ -65,7 +66,9 @@ def test_updates_equal_a_fresh_build(spark, tree, tmp_path):
     assert index.blocks().count() == 5
     assert index.vectors().count() == 3  # a vector a key; a class on one line shares its key with its method
     top = index.engine().search(Request("find", limit=3)).collect()
-    assert {r["name"] for r in top} >= {"find"}
+    assert {r["name"] for r in top} >= {"find"} and "tokens" not in top[0].asDict()
+    plain = Engine(index.blocks().drop("tokens")).search(Request("find")).collect()
+    assert Engine(index.blocks()).search(Request("find")).collect() == plain
     a, b, xml = (f"{os.path.realpath(tree)}/{n}" for n in ("src/A.java", "src/b.js", "keep.xml"))
     changes = [(a, "upsert", b"class A { void other() { } void more() { } }"), (b, "remove", None), (xml, "upsert", b"<broken>")]
     index.apply(spark.createDataFrame(changes, "path string, op string, content binary"))
