@@ -10,6 +10,7 @@ reuses.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -77,6 +78,35 @@ def _ids(column) -> np.ndarray:
     return np.asarray(column.fill_null(LEAST_ID)).astype(np.int64)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """The upper 48 bits of keys that only find candidates: a chance agreement of two keys costs a
+    comparison, no result, and stays rare up to some 10**13 keys."""
+    return (keys >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    wide = np.zeros((len(b) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return wide.reshape(-1).view(U64)
+
+
+def coarse(keys: np.ndarray) -> np.ndarray:
+    """Keys as they are after packing."""
+    return (keys >> U64(16)) << U64(16)
+
+
+def deal_keys(number: int, keys: np.ndarray, buckets: int) -> pa.Table:
+    """Rows (bucket, block, keys) of the different coarse keys of a block."""
+    keys = np.unique(coarse(keys))
+    to = ((keys >> U64(16)) % U64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cut = np.flatnonzero(np.diff(to[order])) + 1
+    first = np.concatenate(([0], cut)) if len(keys) else np.zeros(0, np.int64)
+    packed = [pack_keys(part) for part in np.split(keys[order], cut)] if len(keys) else []
+    columns = [pa.array(to[order][first], pa.int64()), pa.array(np.full(len(first), number), pa.int64())]
+    return pa.table([*columns, pa.array(packed, pa.binary())], ["bucket", "block", "keys"])
+
+
 def deal(number: int, keys: np.ndarray, buckets: int, *more: np.ndarray) -> pa.Table:
     """Rows (bucket, block, keys, ...) with the keys and their companions packed by bucket, in the
     order given."""
@@ -128,20 +158,34 @@ def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def repeated_keys(sent: DataFrame) -> DataFrame:
-    """Of rows (bucket, block, keys): for every block, its keys that another block has too."""
+    """Of rows (bucket, block, keys) by deal_keys: for every block, its keys that another block has too."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, keys = gather(table, keys=U64)
-        order = np.argsort(keys, kind="stable")
+        parts = [unpack_keys(v.as_py()) for v in table.column("keys")]
+        keys = np.concatenate(parts) if parts else np.zeros(0, U64)
+        block = np.repeat(np.asarray(table.column("block")), [len(p) for p in parts])
+        order = np.argsort(keys)
         k = keys[order]
         same = k[1:] == k[:-1]
         twice = np.zeros(len(k), bool)
         twice[1:] |= same
         twice[:-1] |= same
         hit = order[twice]
-        return answer(block[hit], keys[hit])
+        hit = hit[np.argsort(block[hit], kind="stable")]
+        cut = np.flatnonzero(np.diff(block[hit])) + 1
+        first = np.concatenate(([0], cut)) if len(hit) else np.zeros(0, np.int64)
+        packed = [pack_keys(p) for p in np.split(keys[hit], cut)] if len(hit) else []
+        return pa.table([pa.array(block[hit][first], pa.int64()), pa.array(packed, pa.binary())], ["block", "keys"])
+
+    return sent.groupBy("bucket").applyInArrow(run, "block bigint, keys binary")
+
 
-    return sent.groupBy("bucket").applyInArrow(run, "block bigint, a0 binary")
+def repeats(block_keys: np.ndarray, more: pa.Table) -> np.ndarray:
+    """Keys of a block that occur again, in it or by the answers of repeated_keys."""
+    keys = coarse(block_keys)
+    known = np.concatenate([np.zeros(0, U64), *(unpack_keys(v.as_py()) for v in more.column("keys") if v.is_valid)])
+    _, where, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return (n[where] > 1) | is_in(keys, np.sort(known)) if len(keys) else np.zeros(0, bool)
 
 
 def one_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,6 +211,41 @@ def smaller_elsewhere(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "block bigint, a0 binary, a1 binary")
 
 
+def digests(block: Block, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of at least `least` bytes, and both lanes of a digest of each one's text."""
+    pick = np.flatnonzero(np.diff(block.off) >= least)
+    raw = b"".join(hashlib.blake2b(block.data[block.off[i] : block.off[i + 1]], digest_size=16).digest() for i in pick)
+    lanes = np.frombuffer(raw, U64).reshape(-1, 2)
+    return pick, lanes[:, 0].copy(), (lanes[:, 1] >> U64(32)).astype(np.uint32)
+
+
+def whole_copies(blocks: Blocks, least: int) -> DataFrame:
+    """Answers to every block on texts that a document with a smaller doc_id elsewhere also has: columns
+    copy0 and copy1. For use with copied()."""
+    buckets = blocks.buckets
+
+    def send(block: Block) -> pa.Table:
+        pick, a, b = digests(block, least)
+        _, first = np.unique(one_code(a, b), return_index=True)
+        return deal(block.number, a[first], buckets, b[first], block.ids[pick[first]])
+
+    found = smaller_elsewhere(blocks.map(send, "bucket bigint, block bigint, keys binary, more0 binary, more1 binary"))
+    return found.withColumnsRenamed({"a0": "copy0", "a1": "copy1"})
+
+
+def copied(block: Block, least: int, more: pa.Table) -> np.ndarray:
+    """Documents of at least `least` bytes whose whole text one with a smaller doc_id also has, here or by
+    the answers of whole_copies."""
+    pick, a, b = digests(block, least)
+    code = one_code(a, b)
+    _, first, where = np.unique(code, return_index=True, return_inverse=True)
+    out = np.zeros(len(block.ids), bool)
+    here = block.ids[pick[first[where]]] < block.ids[pick] if len(pick) else np.zeros(0, bool)
+    known = told(more.select(["copy0", "copy1"]).rename_columns(["a0", "a1"]), U64, np.uint32)
+    out[pick] = here | is_in(code, np.sort(one_code(*known)))
+    return out
+
+
 def cover(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     """True where [s, s + length) of some start lies, over size places."""
     edge = np.zeros(size + 1, np.int32)

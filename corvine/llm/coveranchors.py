@@ -5,6 +5,9 @@ places i and j there is a shift below 7 that brings both onto the cover. So two
 share, at the same shift, an anchor of LENGTH - 6 words that starts at a cover place in both texts, and
 only anchors at cover places are hashed and compared, three in seven.
 
+Documents whose whole text is that of a document with a smaller doc_id lose all their words (if they have a
+window) and send nothing; they are found first, by 96-bit digests.
+
 1. every block sends its anchors to buckets and learns which of them another block has;
 2. around anchors that repeat, the block extends to whole windows, and sends their hashes (96 bits)
    with the smallest doc_id it has for each; the bucket answers where another block has a smaller one;
@@ -23,7 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvine.llm.blocks import Block, Blocks, cover, deal, is_in, one_code, repeated_keys, smaller_elsewhere, told
+from corvine.llm.blocks import (
+    Block,
+    Blocks,
+    copied,
+    cover,
+    deal,
+    deal_keys,
+    is_in,
+    one_code,
+    repeated_keys,
+    repeats,
+    smaller_elsewhere,
+    told,
+    whole_copies,
+)
 from corvine.llm.textkit import BYTE_VALUE, range_hashes, sha256_hex, words
 
 LENGTH = 13
@@ -64,11 +81,6 @@ class Passages:
         return a, (b >> U64(32)).astype(np.uint32)
 
 
-def local_repeats(keys: np.ndarray) -> np.ndarray:
-    _, where, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return n[where] > 1
-
-
 def least_doc(hashes: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For windows in document order: the first index of each different one, and for every window the
     document index of its first."""
@@ -79,17 +91,21 @@ def least_doc(hashes: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> tuple[n
 def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     blocks = Blocks(docs)
-    buckets = blocks.buckets
-
-    def send_anchors(block: Block) -> pa.Table:
-        return deal(block.number, np.unique(Passages(block, length).anchors()[1]), buckets)
+    buckets, least = blocks.buckets, 2 * length - 1  # bytes of a document with a window
 
-    def extend(block: Block, more: pa.Table) -> pa.Table:
-        (known,) = told(more, U64)
+    def own_anchors(block: Block, more: pa.Table) -> tuple[Passages, np.ndarray, np.ndarray]:
+        """Anchors of the documents that are no copies."""
         p = Passages(block, length)
         at, key = p.anchors()
-        at = at[is_in(key, np.sort(known)) | local_repeats(key)]
-        start = p.around(at)
+        stay = ~copied(block, least, more)[p.doc[at]]
+        return p, at[stay], key[stay]
+
+    def send_anchors(block: Block, more: pa.Table) -> pa.Table:
+        return deal_keys(block.number, own_anchors(block, more)[2], buckets)
+
+    def extend(block: Block, more: pa.Table) -> pa.Table:
+        p, at, key = own_anchors(block, more)
+        start = p.around(at[repeats(key, more)])
         hashes = p.windows(start)
         first, _ = least_doc(hashes, p.doc[start])
         first.sort()  # document order, for packing
@@ -102,10 +118,11 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         start = np.flatnonzero(p.left >= length)
         hashes = p.windows(start)
         doc = p.doc[start]
-        _, least = least_doc(hashes, doc)
-        again = block.ids[least] < block.ids[doc]
+        _, origin = least_doc(hashes, doc)
+        again = block.ids[origin] < block.ids[doc]
         again |= is_in(one_code(*hashes), np.sort(one_code(a, b)))
-        gone = cover(start[again], length, len(p.place))
+        long = np.diff(p.first) >= length
+        gone = cover(start[again], length, len(p.place)) | (copied(block, least, more) & long)[p.doc]
         removed = np.add.reduceat(np.append(gone, False), p.first[:-1]) * (np.diff(p.first) > 0)
         digests, keep = [], ~gone
         raw, off, first = block.data, block.off.tolist(), p.first.tolist()
@@ -119,8 +136,9 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
-    flagged = repeated_keys(blocks.map(send_anchors, "bucket bigint, block bigint, keys binary"))
-    sent = blocks.map_with(flagged, extend, "bucket bigint, block bigint, keys binary, more0 binary, more1 binary")
-    return blocks.map_with(
-        smaller_elsewhere(sent), finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    )
+    copies = whole_copies(blocks, least)
+    flagged = repeated_keys(blocks.map_with(copies, send_anchors, "bucket bigint, block bigint, keys binary"))
+    both = flagged.unionByName(copies, allowMissingColumns=True)
+    sent = blocks.map_with(both, extend, "bucket bigint, block bigint, keys binary, more0 binary, more1 binary")
+    both = smaller_elsewhere(sent).unionByName(copies, allowMissingColumns=True)
+    return blocks.map_with(both, finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

@@ -24,14 +24,11 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from corvine.llm.blocks import Block, Blocks, answer, deal, is_in, one_code, repeated_keys, smaller_elsewhere, told
+from corvine.llm.blocks import Block, Blocks, answer, copied, deal_keys, repeated_keys, repeats, told, whole_copies
 from corvine.llm.textkit import BYTE_VALUE, chunks, pack, range_hashes, rolling_hashes, sha256_hex, spans, unpack
 
 LENGTH = 100
@@ -228,51 +225,22 @@ def earlier_places(data: np.ndarray, off: np.ndarray, ids: np.ndarray, at: np.nd
     return out
 
 
-def digests(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents of at least `length` bytes, and both lanes of a digest of each one's text."""
-    pick = np.flatnonzero(np.diff(block.off) >= length)
-    raw = b"".join(
-        hashlib.blake2b(block.data[block.off[i] : block.off[i + 1]], digest_size=16).digest() for i in pick
-    )
-    lanes = np.frombuffer(raw, U64).reshape(-1, 2)
-    return pick, lanes[:, 0].copy(), (lanes[:, 1] >> U64(32)).astype(np.uint32)
-
-
-def copied(block: Block, length: int, more: pa.Table, column: int = 0) -> np.ndarray:
-    """Documents whose text is also that of one with a smaller doc_id, here or by the answers."""
-    pick, a, b = digests(block, length)
-    code = one_code(a, b)
-    _, first, where = np.unique(code, return_index=True, return_inverse=True)
-    out = np.zeros(len(block.ids), bool)
-    here = block.ids[pick[first[where]]] < block.ids[pick] if len(pick) else np.zeros(0, bool)
-    known = told(more.select([f"a{column}", f"a{column + 1}"]).rename_columns(["a0", "a1"]), U64, np.uint32)
-    out[pick] = here | is_in(code, np.sort(one_code(*known)))
-    return out
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     blocks = Blocks(docs, bucket_bytes=BUCKET_BYTES)
     buckets = blocks.buckets
 
-    def send_digests(block: Block) -> pa.Table:
-        pick, a, b = digests(block, length)
-        _, first = np.unique(one_code(a, b), return_index=True)
-        return deal(block.number, a[first], buckets, b[first], block.ids[pick[first]])
-
     def own_records(block: Block, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         choice, first, last = records(block.data, block.off, length)
         stay = ~gone[block.owners(first)]
         return choice[stay], first[stay], last[stay]
 
     def send_choices(block: Block, more: pa.Table) -> pa.Table:
-        return deal(block.number, np.unique(own_records(block, copied(block, length, more))[0]), buckets)
+        return deal_keys(block.number, own_records(block, copied(block, length, more))[0], buckets)
 
     def send_records(block: Block, more: pa.Table) -> pa.Table:
-        (known,) = told(more, U64)
-        choice, first, last = own_records(block, copied(block, length, more, 1))
-        _, where, n = np.unique(choice, return_inverse=True, return_counts=True)
-        use = (n[where] > 1) | is_in(choice, np.sort(known)) if len(choice) else np.zeros(0, bool)
+        choice, first, last = own_records(block, copied(block, length, more))
+        use = repeats(choice, more)
         rest = np.flatnonzero(~use)
         use[rest[repeats_inside(block.data, choice[rest], first[rest], last[rest], length)]] = True
         choice, first, last = choice[use], first[use], last[use]
@@ -312,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             fits = begin + n[ok] - 1 + length <= block.off[1:][(lo + extra)[ok]]
             np.add.at(edge, begin[fits], 1)
             np.add.at(edge, (begin + n[ok] - 1 + length)[fits], -1)
-        gone = (np.cumsum(edge[:-1]) > 0) | np.repeat(copied(block, length, more, 3), np.diff(block.off))
+        gone = (np.cumsum(edge[:-1]) > 0) | np.repeat(copied(block, length, more), np.diff(block.off))
         _, _, runs = spans(gone, block.off)
         total = np.concatenate(([0], np.cumsum(gone)))[block.off]
         keep, off = ~gone, block.off.tolist()
@@ -325,17 +293,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
-    def with_copies(answers: DataFrame, at: int) -> DataFrame:
-        """Answers with those on copies in the columns from a{at} on."""
-        moved = copies.select("block", F.col("a0").alias(f"a{at}"), F.col("a1").alias(f"a{at + 1}"))
-        return answers.unionByName(moved, allowMissingColumns=True)
-
-    copies = smaller_elsewhere(blocks.map(send_digests, "bucket bigint, block bigint, keys binary, more0 binary, more1 binary"))
+    copies = whole_copies(blocks, length)
     flagged = repeated_keys(blocks.map_with(copies, send_choices, "bucket bigint, block bigint, keys binary"))
-    sent = blocks.map_with(
-        with_copies(flagged, 1), send_records, "bucket bigint, block bigint, ids binary, at binary, size binary, text binary"
-    )
+    both = flagged.unionByName(copies, allowMissingColumns=True)
+    sent = blocks.map_with(both, send_records, "bucket bigint, block bigint, ids binary, at binary, size binary, text binary")
     judged = sent.groupBy("bucket").applyInArrow(judge, "block bigint, a0 binary, a1 binary, a2 binary")
+    both = judged.unionByName(copies, allowMissingColumns=True)
     return blocks.map_with(
-        with_copies(judged, 3), finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+        both, finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
