@@ -5,7 +5,7 @@ are one class, represented by its smallest doc_id. A sketch keeps the SKETCH sma
 
 1. Inverted lists. Two sets as alike as asked share at least `least_overlap` retained values: for sets
    that are kept whole this is certain, else it fails for a pair at the threshold with a probability
-   below 1e-9. So in any common order of the values, the prefixes of both sketches that leave out
+   below LOSS. So in any common order of the values, the prefixes of both sketches that leave out
    least_overlap - 1 values share one. The order is by the number of sketches that hold a value, rare
    first, so that a passage which many documents share gives no list unless it is most of a document.
 2. Gathering. A list is named by its smallest id; lists with one name, as a family of copies makes them,
@@ -23,6 +23,7 @@ doc_id is linked with nothing. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -36,8 +37,8 @@ from corvine.llm.textkit import BYTE_VALUE, FOLD, chunks, flat, mix, range_hashe
 
 WORDS = 5
 SKETCH = 64
-#: Values that the sketches of two alike sets share at least, where the sets are not kept whole.
-LEAST_SHARED = 32
+#: Probability with which a pair exactly at the threshold may share fewer values than least_shared.
+LOSS = 1e-10
 #: Classes in a block of sketches.
 BLOCK_CLASSES = 4096
 #: Sets of one task; a larger group is dealt as pairs of parts.
@@ -71,13 +72,26 @@ def set_digests(codes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in np.stack(sums, 1)]
 
 
+def least_shared(num: int, den: int) -> int:
+    """Values that the sketches of two alike sets share at least, where the sets are not kept whole: the
+    lower LOSS quantile of the binomial distribution, which lies below that of drawing without return."""
+    t, total = num / den, 0.0
+    for m in range(SKETCH + 1):
+        total += math.comb(SKETCH, m) * t**m * (1 - t) ** (SKETCH - m)
+        if total > LOSS:
+            return max(m, 1)
+    return SKETCH
+
+
 def least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Retained values that a sketch of n (at most SKETCH, or more: not whole) shares with an alike one."""
-    whole = -(-num * n // den)  # the larger set is in n's place at least once: |A & B| >= t * max
-    room = SKETCH - ((den - num) * n // num + 1)  # partner kept in part, union below n / t
+    """Retained values that the sketch of a set of n shares with that of an alike set."""
+    whole = -(-num * n // den)  # both kept whole: |A & B| >= t * max(|A|, |B|)
+    room = SKETCH - ((den - num) * n // num + 1)  # partner kept in part: the union is below n / t
+    shared = least_shared(num, den)
     small = np.where(n * den >= num * SKETCH, np.minimum(whole, room), whole)
-    near = np.minimum(LEAST_SHARED, np.maximum(room, 1)) if num < 50 else LEAST_SHARED
-    return np.maximum(np.where(n > SKETCH, near, small), 1)
+    # a larger set may meet one that is kept whole, too
+    large = np.where(n * num <= SKETCH * den, np.minimum(shared, room), shared)
+    return np.maximum(np.where(n > SKETCH, large, small), 1)
 
 
 def _save(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -245,6 +259,7 @@ def alike(codes: np.ndarray, off: np.ndarray, num: int, den: int, side: np.ndarr
     owner_at, column = place[owner][by], column[by]
     first = np.searchsorted(owner_at, np.arange(n + 1))
     size_at, kept_at = size[order], kept[order]
+    floor = least_shared(num, den) / SKETCH
     label = np.arange(n)  # component of each set in size order, refreshed row by row where it matters
     out = []
     for a in range(0, n, step):
@@ -259,7 +274,7 @@ def alike(codes: np.ndarray, off: np.ndarray, num: int, den: int, side: np.ndarr
             right[rows, cols] = 1
             left[:] = right[: b - a]
             product += left @ right.T
-        need = np.maximum(1, np.maximum(kept_at[a:b, None], kept_at[None, a:stop]) * (LEAST_SHARED / SKETCH))
+        need = np.maximum(1, np.maximum(kept_at[a:b, None], kept_at[None, a:stop]) * floor)
         passes = product >= need
         for i in range(a, b):
             js = np.flatnonzero(passes[i - a, i + 1 - a :]) + i + 1

@@ -169,7 +169,7 @@ def components_of(nodes, links):
     return {n: root(n) for n in nodes}
 
 
-@pytest.mark.parametrize("num", [85, 80])
+@pytest.mark.parametrize("num", [85, 80, 40])
 def test_near_copies(documents, rows, num):
     from corvine.llm.bottomk import group_near_copies
 
@@ -195,6 +195,25 @@ def test_near_copies(documents, rows, num):
     assert got == sorted(want, key=repr)
 
 
+def test_least_overlap_holds_for_random_pairs():
+    """Sketches of alike sets, of all sizes around the sketch's, share what the prefixes count on."""
+    from corvine.llm.bottomk import SKETCH, least_overlap
+
+    rng = np.random.default_rng(6)
+    for num in (85, 80, 40):
+        for _ in range(400):
+            n = int(rng.integers(1, 200))
+            both = rng.choice(2**40, 2 * n + 2, replace=False)
+            a = both[:n]
+            grow, drop = int(rng.integers(0, n // 4 + 1)), int(rng.integers(0, n // 4 + 1))
+            b = np.concatenate([a[: n - drop], both[n : n + grow]])
+            shared = len(np.intersect1d(a, b))
+            if not len(b) or 100 * shared < num * (len(a) + len(b) - shared):
+                continue
+            kept = len(np.intersect1d(np.sort(a)[:SKETCH], np.sort(b)[:SKETCH]))
+            assert kept >= max(least_overlap(np.array([len(a), len(b)]), num, 100))
+
+
 def test_near_copies_in_parts(documents, monkeypatch):
     """A group above the size of one task is dealt as pairs of parts and gives the same."""
     from corvine.llm import bottomk
