@@ -205,12 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", held_out:
 
 
 def score(docs: DataFrame, model: CoTrained | float) -> DataFrame:
-    """doc_id, score, text_score, page_score and good (score >= 0.5) of every row; one pass, no shuffle."""
+    """doc_id, score, text_score, page_score and kept (score >= 0.5) of every row; one pass, no shuffle."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *meta_columns(), "text")
     if isinstance(model, float | int):
         c = F.lit(float(model))
-        return rows.select("doc_id", c.alias("score"), c.alias("text_score"), c.alias("page_score"), F.lit(bool(model >= 0.5)).alias("good"))
+        return rows.select("doc_id", c.alias("score"), c.alias("text_score"), c.alias("page_score"), F.lit(bool(model >= 0.5)).alias("kept"))
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # a few thousand weights
 
@@ -226,14 +226,14 @@ def score(docs: DataFrame, model: CoTrained | float) -> DataFrame:
             both, text, page = np.concatenate(out, 1)
             yield pa.record_batch(
                 [batch.column(0), *(pa.array(v, pa.float64()) for v in (both, text, page)), pa.array(both >= 0.5)],
-                ["doc_id", "score", "text_score", "page_score", "good"],
+                ["doc_id", "score", "text_score", "page_score", "kept"],
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, score double, text_score double, page_score double, good boolean")
+    return rows.mapInArrow(run, "doc_id bigint, score double, text_score double, page_score double, kept boolean")
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out (crc32(doc_id) mod 5 is 0: no label of it was used) and the scores."""
     return score(docs, train(docs, labels)).select(
-        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "text_score", "page_score", "good"
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "text_score", "page_score", "kept"
     )

@@ -149,7 +149,7 @@ def test_quality(tables):
     docs, labels = tables
     found = cotrain.score_held_out(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     assert auc(found["score"], found["quality"]) > 0.9
-    assert (found.loc[found["quality"] == 1, "good"]).mean() > 0.9
+    assert (found.loc[found["quality"] == 1, "kept"]).mean() > 0.9
     assert found["text_score"].between(0, 1).all() and found["page_score"].between(0, 1).all()
 
 
