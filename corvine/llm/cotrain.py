@@ -35,11 +35,13 @@ CONFIDENT = 0.97
 HANDED = 300
 TEXT_DIMS = 2048
 META_DIMS = 512
-U64 = np.uint64
+#: Trigrams at which a text counts half.
+SHORT = 60
 
 
 def trigram_vectors(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows of unit length, one a document."""
+    """One row a document: trigrams in a unit vector and, in column 0, a constant, both scaled down for short
+    texts, so that a few words are little evidence for either class."""
     n = len(off) - 1
     out = np.zeros((n, TEXT_DIMS), np.float32)
     if len(data) >= 3:
@@ -51,7 +53,10 @@ def trigram_vectors(data: np.ndarray, off: np.ndarray) -> np.ndarray:
             if b > a:
                 out[i] = np.bincount(code[a:b], minlength=TEXT_DIMS)
     np.sqrt(out, out=out)
-    out /= np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
+    pieces = np.maximum(np.diff(off) - 2, 0)[:, None]
+    scale = (pieces / (pieces + SHORT)).astype(np.float32)
+    out *= scale / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
+    out[:, :1] = scale
     return out
 
 
@@ -76,17 +81,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 120) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the mean logistic loss; classes weigh alike."""
+def fit_logistic(
+    x: np.ndarray, y: np.ndarray, l2: float, steps: int = 150, start: tuple[np.ndarray, float] | None = None, constant: bool = True
+) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent on the mean logistic loss; classes weigh alike. constant: fit one."""
+    y = y.astype(np.float32)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)).astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+    w, b = start or (np.zeros(x.shape[1], np.float32), 0.0)
     vw, vb = w.copy(), b
     rate = 4.0 / (max(1.0, float((x * x).sum(1).max())) + 1.0 + 4 * l2)
     for t in range(steps):
-        g = weight * (_sigmoid(x @ vw + vb) - y)
-        nw, nb = vw - rate * (x.T @ g / len(y) + l2 * vw), vb - rate * float(g.mean())
+        g = weight * (_sigmoid(x @ vw + np.float32(vb)) - y)
+        nw, nb = vw - np.float32(rate) * (g @ x / np.float32(len(y)) + np.float32(l2) * vw), vb - rate * float(g.mean()) * constant
         m = t / (t + 3)
-        vw, vb = nw + m * (nw - w), nb + m * (nb - b)
+        vw, vb = nw + np.float32(m) * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
     return w.astype(np.float32), float(b)
 
@@ -131,7 +139,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool: lis
     for turn in range(ROUNDS + 1):
         for v in (0, 1):
             x = np.concatenate([views[v][~held], pool[v][extra[v][0]]])
-            models[v] = fit_logistic(x, np.concatenate([y[~held], extra[v][1]]), l2[v])
+            models[v] = fit_logistic(x, np.concatenate([y[~held], extra[v][1]]), l2[v], 60 if turn else 150, models[v], v == 1)
             raw = views[v][held] @ models[v][0] + models[v][1]
             curves[v] = fit_curve(raw[:, None], y[held])
         if turn == ROUNDS:
