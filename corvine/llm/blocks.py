@@ -60,11 +60,18 @@ class Blocks:
 
 
 class Block:
-    """Documents of one block in order of doc_id: ids, flat bytes, offsets."""
+    """Documents of one block in order of doc_id, then of a digest of the text: ids, flat bytes, offsets. The
+    order is the same in every pass, so a row's number can name it."""
 
     def __init__(self, table: pa.Table) -> None:
         self.number = table.column("block")[0].as_py() if table.num_rows else 0
-        table = table.take(pa.array(np.argsort(_ids(table.column("doc_id")), kind="stable")))
+        ids = _ids(table.column("doc_id"))
+        order = np.argsort(ids, kind="stable")
+        same = np.flatnonzero(np.diff(ids[order]) == 0)
+        if len(same):
+            tie = {int(k): hashlib.blake2b(table.column("text")[int(k)].as_py().encode()).digest() for s in same for k in order[s : s + 2]}
+            order = np.array(sorted(order.tolist(), key=lambda k: (ids[k], tie.get(k, b""))))
+        table = table.take(pa.array(order))
         self.column = table.column("doc_id").combine_chunks()
         self.ids = _ids(self.column)
         self.data, self.off = flat(table.column("text"))

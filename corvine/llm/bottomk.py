@@ -17,7 +17,8 @@ are one class, represented by its smallest doc_id. A sketch keeps the SKETCH sma
 4. Components of these links, by alternating stars.
 
 Cases: text that is NULL or has no word has an empty set, is its own component and is kept. With fewer
-than WORDS words the whole sequence is one shingle. Rows that repeat a doc_id belong to that id. A NULL
+than WORDS words the whole sequence is one shingle. Rows that repeat a doc_id are one document: what is
+linked with one of its texts is linked with it, and all its rows have one component. A NULL
 doc_id is linked with nothing. Extra columns are ignored.
 """
 
@@ -193,17 +194,24 @@ def gathered(blocks: Blocks, asked: DataFrame, width: int) -> DataFrame:
 
     def load(block: Block, lines: pa.Table) -> pa.Table:
         ids = np.asarray(lines.column("id"))
-        need, where = np.unique(ids, return_inverse=True)
-        at = np.searchsorted(block.ids, need)
-        texts = [block.data[block.off[k] : block.off[k + 1]] for k in at]
-        off = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+        need = np.unique(ids)
+        low, high = np.searchsorted(block.ids, need), np.searchsorted(block.ids, need, "right")
+        rows = np.concatenate([np.zeros(0, np.int64), *map(np.arange, low, high)]).astype(np.int64)
+        off = np.concatenate(([0], np.cumsum(np.diff(block.off)[rows]))).astype(np.int64)
         held: list[bytes] = []
         for a, b in chunks(off):
-            codes, bounds = shingle_sets(np.concatenate(texts[a:b]), off[a : b + 1] - off[a], width)
+            data = np.concatenate([block.data[block.off[k] : block.off[k + 1]] for k in rows[a:b]])
+            codes, bounds = shingle_sets(data, off[a : b + 1] - off[a], width)
             raw = (codes >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
             held += [raw[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-        sets = pa.array([held[k] for k in where], pa.binary())
-        return lines.select(["name", "i", "j", "own", "id"]).append_column("set", sets)
+        # one set for each id, more where rows repeat it with other texts
+        sets: dict[int, list[bytes]] = {}
+        for k, one in zip(rows, held, strict=True):
+            if one and one not in sets.setdefault(int(block.ids[k]), []):
+                sets[int(block.ids[k])].append(one)
+        take = [i for i, x in enumerate(ids.tolist()) for _ in sets.get(x, ())]
+        column = pa.array([one for x in ids.tolist() for one in sets.get(x, ())], pa.binary())
+        return lines.select(["name", "i", "j", "own", "id"]).take(pa.array(take, pa.int64())).append_column("set", column)
 
     return blocks.map_with(wanted, load, "name bigint, i int, j int, own int, id bigint, set binary")
 
@@ -322,7 +330,12 @@ def group_near_copies(docs: DataFrame, num: int = 85, den: int = 100, width: int
     names = lists.groupBy("value").agg(F.min("id").alias("name"), F.count(F.lit(1)).alias("m")).where("m > 1")
     asked = _save(lists.join(names.drop("m"), "value").select("name", "id").distinct(), folder, "asked")
     sets = gathered(Blocks(docs.where("doc_id IS NOT NULL")), asked, width)
-    groups = components(_save(linked(sets, buckets, num, den), folder, "links"))
+    links = _save(linked(sets, buckets, num, den), folder, "links")
+    # rows that repeat a doc_id with other texts tie their classes together
+    again = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
+    same = real.select("doc_id", "digest", "n_shingles").join(again, "doc_id", "left_semi")
+    same = same.join(classes.select("digest", "n_shingles", "id"), ["digest", "n_shingles"])
+    groups = components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
     ids = classes.select("digest", "n_shingles", "id").join(groups, F.col("id") == F.col("node"), "left")
     ids = ids.select("digest", "n_shingles", F.coalesce("component", "id").alias("component"))
     return with_class(known.select("doc_id", "n_shingles", "digest"), ids).select(

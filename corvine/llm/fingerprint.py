@@ -12,7 +12,7 @@ contiguous ranges of ids, and the first row of every range is sent to the range
 
 Cases: NULL and empty texts have no phrase and the empty signature; two empty signatures have
 likeness 1, an empty and another one 0. Equal texts have equal fingerprints. A single document is
-its own successor. Rows that repeat a doc_id are kept, in a fixed order of their texts. A NULL
+its own successor. Rows that repeat a doc_id are kept, in order of the CRC-32 of their texts. A NULL
 doc_id sorts first. Extra columns are ignored.
 """
 
@@ -180,6 +180,8 @@ def followed(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = with_followers(docs, ranges)
 
+    rows = rows.select("doc_id", "text", "piece", "ahead", F.crc32("text").alias("tie"))
+
     def squeeze(batches):
         import zstandard
 
@@ -187,12 +189,12 @@ def followed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             packed = [press.compress((v or "").encode("utf-8", "surrogatepass")) for v in batch.column(1).to_pylist()]
             yield pa.record_batch(
-                [batch.column(0), pa.array(packed, pa.binary()), batch.column(2), batch.column(3)],
-                ["doc_id", "packed", "piece", "ahead"],
+                [batch.column(0), pa.array(packed, pa.binary()), *batch.columns[2:]],
+                ["doc_id", "packed", "piece", "ahead", "tie"],
             )
 
-    rows = rows.mapInArrow(squeeze, "doc_id bigint, packed binary, piece int, ahead int")
-    dealt = rows.repartition(ranges, "piece").sortWithinPartitions("piece", "ahead", "doc_id", "packed")
+    rows = rows.mapInArrow(squeeze, "doc_id bigint, packed binary, piece int, ahead int, tie bigint")
+    dealt = rows.repartition(ranges, "piece").sortWithinPartitions("piece", "ahead", "doc_id", "tie", "packed").drop("tie")
 
     def run(batches):
         import zstandard

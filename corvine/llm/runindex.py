@@ -253,10 +253,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             base = np.cumsum(size) - size
             text = block.data[np.arange(size.sum()) + np.repeat(first[part] - base, size)]
             at = first[part] - block.off[doc[part]]
-            rows.append((int(to[part[0]]), block.number, pack(block.ids[doc[part]]), pack(at), pack(size), pack(text)))
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        names = ["bucket", "block", "ids", "at", "size", "text"]
+            row = doc[part].astype(np.int32)
+            rows.append((int(to[part[0]]), block.number, *map(pack, (block.ids[row], row, at, size, text))))
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+        names = ["bucket", "block", "ids", "row", "at", "size", "text"]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def judge(table: pa.Table) -> pa.Table:
@@ -268,18 +269,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         start, end, _ = spans(flags, off)
         owner = np.searchsorted(off, start, "right") - 1
         block = np.repeat(np.asarray(table.column("block")), [len(x) for x in ids_of])[owner]
-        return answer(block, ids[owner], at[owner] + start - off[owner], end - start)
+        return answer(block, np.concatenate(column("row", np.int32))[owner], at[owner] + start - off[owner], end - start)
 
     def finish(block: Block, more: pa.Table) -> pa.Table:
-        ids, at, n = told(more, np.int64, np.int64, np.int64)
+        row, at, n = told(more, np.int32, np.int64, np.int64)
         edge = np.zeros(len(block.data) + 1, np.int32)
-        lo, hi = np.searchsorted(block.ids, ids, "left"), np.searchsorted(block.ids, ids, "right")
-        for extra in range(int((hi - lo).max(initial=0))):  # once, unless rows repeat a doc_id
-            ok = lo + extra < hi
-            begin = block.off[(lo + extra)[ok]] + at[ok]
-            fits = begin + n[ok] - 1 + length <= block.off[1:][(lo + extra)[ok]]
-            np.add.at(edge, begin[fits], 1)
-            np.add.at(edge, (begin + n[ok] - 1 + length)[fits], -1)
+        begin = block.off[row] + at
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + n - 1 + length, -1)
         gone = (np.cumsum(edge[:-1]) > 0) | np.repeat(copied(block, length, more), np.diff(block.off))
         _, _, runs = spans(gone, block.off)
         total = np.concatenate(([0], np.cumsum(gone)))[block.off]
@@ -296,7 +293,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = whole_copies(blocks, length)
     flagged = repeated_keys(blocks.map_with(copies, send_choices, "bucket bigint, block bigint, keys binary"))
     both = flagged.unionByName(copies, allowMissingColumns=True)
-    sent = blocks.map_with(both, send_records, "bucket bigint, block bigint, ids binary, at binary, size binary, text binary")
+    sent = blocks.map_with(both, send_records, "bucket bigint, block bigint, ids binary, row binary, at binary, size binary, text binary")
     judged = sent.groupBy("bucket").applyInArrow(judge, "block bigint, a0 binary, a1 binary, a2 binary")
     both = judged.unionByName(copies, allowMissingColumns=True)
     return blocks.map_with(

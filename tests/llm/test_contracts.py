@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -45,9 +46,11 @@ def corpus(seed=1, n=60):
     return out
 
 
-@pytest.fixture(params=["corpus", "odd", "empty"])
+@pytest.fixture(params=["corpus", "odd", "empty", "repeated ids"])
 def rows(request, odd):
-    return {"corpus": corpus(), "odd": odd, "empty": []}[request.param]
+    """The last has ids that repeat with the same and with other texts."""
+    twice = [(i // 3, *rest) for i, *rest in corpus(5, 40)] + [(i // 6, *rest) for i, *rest in corpus(5, 12)]
+    return {"corpus": corpus(), "odd": odd, "empty": [], "repeated ids": twice}[request.param]
 
 
 def texts(rows):
@@ -124,7 +127,7 @@ def test_fingerprint(documents, rows):
                 start = end
         return known | ({text[start:]} if start < len(text) else set())
 
-    docs = sorted(texts(rows), key=lambda x: (x[0] is not None, x[0] or 0))
+    docs = sorted(texts(rows), key=lambda x: (x[0] is not None, x[0] or 0, zlib.crc32(x[1].encode())))
     want = []
     for k, (i, text) in enumerate(docs):
         after = docs[(k + 1) % len(docs)][1]
