@@ -104,8 +104,23 @@ def diversify(ranked: DataFrame, limit: int, overlap: str = "outer") -> DataFram
     return top(cap_per_file(ranked), limit)
 
 
+def _mark() -> Column:
+    """Tells blocks apart that share key, kind and name."""
+    return F.xxhash64("content", "signature", "parent").alias("__mark")
+
+
 def bm25_search(blocks: DataFrame, query: str, languages: list[str] | None, limit: int, overlap: str = "outer") -> DataFrame:
-    return diversify(bm25_scores(keep_languages(blocks, languages), query), limit, overlap)
+    """Ranking moves keys and scores alone through its shuffles; the whole rows are read again for those that
+    remain, at most `limit`, which are what is broadcast."""
+    blocks = keep_languages(blocks, languages)
+    own = [*KEY, "kind", "name"]
+    narrow = bm25_scores(blocks, query).select(*own, _mark(), "score")
+    best = diversify(narrow, limit, overlap)
+    whole = blocks.drop("tokens").withColumn("__mark", _mark()).join(F.broadcast(best), [*own, "__mark"])
+    # overlap removal leaves one block a key; what is still alike here is equal, too
+    first = Window.partitionBy(*KEY).orderBy("kind", "name")
+    found = whole.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return top(found.select(*[c for c in blocks.columns if c != "tokens"], "score"), limit)
 
 
 def bm25_many(blocks: DataFrame, requests: list[Request]) -> DataFrame:
