@@ -140,34 +140,32 @@ def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     )
 
 
-def with_followers(docs: DataFrame, ranges: int) -> DataFrame:
-    """doc_id, text (compressed), piece, ahead: rows of contiguous id ranges, sorted, each range
-    followed by the first row of the next one (ahead = 1); the last range by the first of all.
-
-    The range bounds come from quantiles of the ids; there are at most `ranges` of them, and the
-    lookup of first rows has as many rows, which bounds what is broadcast.
-    """
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"))
+LEAST_ID = -(2**63)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.fill_null(LEAST_ID)).astype(np.int64)
+
+
+def id_ranges(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of contiguous id ranges from quantiles; the first id of each range that has rows, in order; and
+    the range before it (before the first: the last). At most `ranges` rows reach the driver."""
+    ids = docs.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("id"))
     probs = [i / ranges for i in range(1, ranges)]
-    bounds = sorted({int(b) for b in ids.approxQuantile("id", probs, 1 / (4 * ranges)) if b is not None}) if ranges > 1 else []
-    at = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    edges = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    piece = F.size(F.filter(edges, lambda b: b <= at))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), piece.alias("piece"))
-    firsts = rows.groupBy("piece").agg(F.min(at).alias("first")).collect()
-    firsts = sorted((r["piece"], r["first"]) for r in firsts)  # one row a range
-    if not firsts:
-        return rows.withColumn("ahead", F.lit(0))
-    before = {firsts[i][1]: firsts[i - 1][0] for i in range(len(firsts))}
-    home = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])
-    sent = F.when(
-        F.element_at(home, at).isNotNull(),
-        F.array(
-            F.struct(F.col("piece"), F.lit(0).alias("ahead")),
-            F.struct(F.element_at(home, at).alias("piece"), F.lit(1).alias("ahead")),
-        ),
-    ).otherwise(F.array(F.struct(F.col("piece"), F.lit(0).alias("ahead"))))
-    return rows.select("doc_id", "text", F.explode(sent).alias("to")).select("doc_id", "text", "to.piece", "to.ahead")
+    found = ids.approxQuantile("id", probs, 1 / (4 * ranges)) if probs else []
+    bounds = np.array(sorted({int(b) for b in found if b is not None}), np.int64)
+
+    def least(batches):
+        for batch in batches:
+            at = np.sort(_ids(batch.column(0)))
+            piece = np.searchsorted(bounds, at, "right")
+            first = np.flatnonzero(np.diff(piece, prepend=-1))
+            yield pa.record_batch([pa.array(piece[first].astype(np.int32)), pa.array(at[first])], ["piece", "id"])
+
+    rows = ids.mapInArrow(least, "piece int, id bigint").groupBy("piece").agg(F.min("id").alias("id")).collect()
+    rows.sort(key=lambda r: r["piece"])
+    pieces = np.array([r["piece"] for r in rows], np.int32)
+    return bounds, np.array([r["id"] for r in rows], np.int64), np.roll(pieces, 1)
 
 
 def followed(docs: DataFrame) -> DataFrame:
@@ -175,24 +173,34 @@ def followed(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark, 256)
     ranges = max(1, text_partitions(spark) * 2)
-    # texts cross the shuffle compressed by zstd in the worker, at about half of what the
-    # shuffle's own codec needs
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = with_followers(docs, ranges)
-
-    rows = rows.select("doc_id", "text", "piece", "ahead", F.crc32("text").alias("tie"))
+    bounds, firsts, before = id_ranges(docs, ranges)
 
     def squeeze(batches):
+        """Texts compressed, at about half of what the shuffle's own codec needs, with their range; the first
+        row of each range also goes to the range before it (ahead = 1)."""
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             packed = [press.compress((v or "").encode("utf-8", "surrogatepass")) for v in batch.column(1).to_pylist()]
+            at = _ids(batch.column(0))
+            piece = np.searchsorted(bounds, at, "right").astype(np.int32)
+            k = np.minimum(np.searchsorted(firsts, at), len(firsts) - 1)
+            lead = np.flatnonzero(firsts[k] == at)
+            take = pa.array(np.concatenate([np.arange(len(at)), lead]))
             yield pa.record_batch(
-                [batch.column(0), pa.array(packed, pa.binary()), *batch.columns[2:]],
+                [
+                    batch.column(0).take(take),
+                    pa.array(packed, pa.binary()).take(take),
+                    pa.array(np.concatenate([piece, before[k[lead]]])),
+                    pa.array(np.repeat(np.array([0, 1], np.int32), [len(at), len(lead)])),
+                    batch.column(2).take(take),
+                ],
                 ["doc_id", "packed", "piece", "ahead", "tie"],
             )
 
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.crc32("text"))
     rows = rows.mapInArrow(squeeze, "doc_id bigint, packed binary, piece int, ahead int, tie bigint")
     dealt = rows.repartition(ranges, "piece").sortWithinPartitions("piece", "ahead", "doc_id", "tie", "packed").drop("tie")
 
