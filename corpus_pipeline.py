@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import bottomk, bpe, exact, langid, mixing, queries
-from corvine.llm.textkit import scratch_dir
+from corvine.llm.textkit import remove, scratch_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Tokens after mixing, as a share of those before it, and whole epochs of a leaf at most.
@@ -86,9 +86,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+        if 0 < k < len(STAGES) - 1:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from corvine.llm.blocks import LEAST_BUCKETS, Block, Blocks, answer, deal, gather, told
 from corvine.llm.components import components
-from corvine.llm.textkit import BYTE_VALUE, FOLD, chunks, flat, mix, range_hashes, scratch_dir, small_batches, words
+from corvine.llm.textkit import BYTE_VALUE, FOLD, chunks, flat, mix, range_hashes, remove, scratch_dir, small_batches, words
 
 WORDS = 5
 SKETCH = 64
@@ -331,6 +331,8 @@ def group_near_copies(docs: DataFrame, num: int = 85, den: int = 100, width: int
     asked = _save(lists.join(names.drop("m"), "value").select("name", "id").distinct(), folder, "asked")
     sets = gathered(Blocks(docs.where("doc_id IS NOT NULL")), asked, width)
     links = _save(linked(sets, buckets, num, den), folder, "links")
+    for done in ("lists", "asked"):  # what the links were made from is not read again
+        remove(spark, f"{folder}/{done}")
     # rows that repeat a doc_id with other texts tie their classes together
     again = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
     same = real.select("doc_id", "digest", "n_shingles").join(again, "doc_id", "left_semi")

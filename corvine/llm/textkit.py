@@ -57,6 +57,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialise(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cut lineage through a checkpoint in the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
