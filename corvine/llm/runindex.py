@@ -222,6 +222,13 @@ def earlier_places(data: np.ndarray, off: np.ndarray, ids: np.ndarray, at: np.nd
         p, q = at[here] + place - begin[strings], at[there] + earliest - begin[other]
         hit = (ids[there] < ids[here]) | ((ids[there] == ids[here]) & (q < p))
         out[off[here[hit]] + (place - begin[strings])[hit]] = True
+    # an equal record at the same place of the same document, from a repeated row, has the flags of the first
+    twin = np.flatnonzero(~new & ~again)
+    for a, b in chunks(np.concatenate(([0], np.cumsum(size[seen[twin]])))):
+        to, source = seen[twin[a:b]], first[twin[a:b]]
+        n = size[to]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(off[to], n) + within] = out[np.repeat(off[source], n) + within]
     return out
 
 

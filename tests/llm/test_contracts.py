@@ -383,3 +383,37 @@ def test_components(spark):
     nodes = {x for a, b in links if a != b for x in (a, b)}
     assert got == components_of(nodes, links)
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_byte_repeats_of_a_document_that_is_there_twice(documents):
+    """Both rows lose the passage, up to its borders with their own text, to an earlier holder."""
+    from corvine.llm.runindex import remove_repeats
+
+    rng = random.Random(11)
+    prose = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = prose(400)
+    inside = prose(300) + passage + prose(300)
+    rows = [(1, passage, None, None), (5, inside, None, None), (5, inside, None, None), (7, passage[:120] + prose(200), None, None)]
+    got = collect(remove_repeats(documents(rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(earlier_bytes(rows), key=repr)
+    assert [r[2] for r in got][:3] == [0, 400, 400]
+
+
+def test_earlier_places_of_repeated_rows():
+    from corvine.llm.runindex import earlier_places
+
+    rng = random.Random(4)
+    for trial in range(200):
+        length = rng.choice([2, 3, 5, 8])
+        docs = [(k, bytes(rng.choice(b"ab" if trial % 2 else b"abcd") for _ in range(rng.randint(length, 40)))) for k in range(rng.randint(1, 4))]
+        docs = sorted(docs + [rng.choice(docs) for _ in range(3)])
+        off = np.concatenate(([0], np.cumsum([len(b) for _, b in docs])))
+        ids = np.array([k for k, _ in docs])
+        flags = earlier_places(np.frombuffer(b"".join(b for _, b in docs), np.uint8), off, ids, np.zeros(len(docs), np.int64), length)
+        first = {}
+        for k, b in docs:
+            for s in range(len(b) - length + 1):
+                first.setdefault(b[s : s + length], (k, s))
+                first[b[s : s + length]] = min(first[b[s : s + length]], (k, s))
+        for (k, b), at in zip(docs, off[:-1], strict=True):
+            assert [first[b[s : s + length]] < (k, s) for s in range(len(b) - length + 1)] == flags[at : at + len(b) - length + 1].tolist()
