@@ -195,3 +195,17 @@ def test_flat_reads_nulls_and_slices():
     assert data.tobytes() == b"cd" and off.tolist() == [0, 0, 0, 2, 2]
     data, off = flat(pa.array([], pa.string()))
     assert len(data) == 0 and off.tolist() == [0]
+
+
+def test_only_near_copies_count_once():
+    """Texts that share a few common bigrams all stay; copies with small changes go."""
+    rng = np.random.default_rng(12)
+    texts = [rng.integers(1, 60, 300).astype(np.uint64) for _ in range(200)]
+    copies = []
+    for x in texts[::10]:
+        y = x.copy()
+        y[rng.integers(0, 300, 15)] = 99
+        copies += [x, y]
+    kept = toxicity.different([*texts, *copies])
+    assert len(kept) == 200 and all(a is b for a, b in zip(kept, texts, strict=True))
+    assert len(toxicity.different([np.zeros(0, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)])) == 2
