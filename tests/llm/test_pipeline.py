@@ -1,6 +1,7 @@
 """The pipeline against its operators' contracts, stage by stage, and the queries against DuckDB."""
 
 import hashlib
+import random
 
 import pytest
 from oracle import compare
@@ -86,3 +87,17 @@ def test_empty_documents(spark, documents):
         docs = stage(spark, docs, "")
         assert docs.count() == 0
         docs = spark.createDataFrame([], docs.schema)
+
+
+def test_language_stage_corrects_and_keeps(spark, documents):
+    rng = random.Random(3)
+    prose = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60))
+    rows = [(i, prose("aeiomnrst" if i % 2 else "uyjkwxzqv"), "en" if i % 2 else "fi", "src1") for i in range(1200)]
+    wrong = [(2001, prose("aeiomnrst"), "fi", "src1"), (2002, prose("uyjkwxzqv"), "en", "src1"), (2003, prose("aeiomnrst"), None, "src1")]
+    found = {r["doc_id"]: r["lang"] for r in P.identify_language(spark, documents([*rows, *wrong]), "").collect()}
+    assert [found[k] for k in (2001, 2002, 2003)] == ["en", "fi", "en"]
+    assert all(found[i] == lang for i, _, lang, _ in rows)
+    bare = [(i, t, None, s) for i, t, _, s in rows[:20]] + [(50, "12 34", None, None), (51, None, None, None), (52, "", None, None)]
+    kept = P.identify_language(spark, documents(bare), "")
+    assert kept.columns == P.COLUMNS
+    assert sorted((r["doc_id"], r["lang"]) for r in kept.collect()) == [(i, None) for i in range(20)]
