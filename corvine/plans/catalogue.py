@@ -475,13 +475,26 @@ def latest_per_key(spark, sf_dir):
     return latest(changes(spark, sf_dir)).select("path", "op", "event_id")
 
 
+def before_and_after(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log up to the time at which about half of the paths have their newest change, and what follows. The
+    time is one row, which is broadcast."""
+    newest = log.groupBy("path").agg(F.max("ts").alias("ts"))
+    dated = log.crossJoin(F.broadcast(newest.agg(F.percentile_approx("ts", 0.5).alias("at"))))
+    later = F.coalesce(F.col("ts") > F.col("at"), F.lit(False))
+    return dated.where(~later).drop("at"), dated.where(later).drop("at")
+
+
+def apply_changes(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the old state that no change touches, and the rows that the changes put."""
+    touched = new.select(F.col("path").alias("touched"))
+    return old.join(touched, F.col("path").eqNullSafe(F.col("touched")), "left_anti"), new.where("op = 'upsert'")
+
+
 @query("upsert_apply", f"WITH {_LATEST} SELECT CAST(user_id AS VARCHAR) AS path, event_id, value FROM l WHERE event_type <> 'error'")
 def upsert_apply(spark, sf_dir):
-    log = changes(spark, sf_dir)
-    old = latest(log.where("event_id % 2 = 0")).where("op = 'upsert'")
-    new = latest(log)
-    kept = old.join(new.select("path"), "path", "left_anti")
-    return kept.unionByName(new.where("op = 'upsert'")).select("path", "event_id", "value")
+    before, after = before_and_after(changes(spark, sf_dir))
+    kept, put = apply_changes(latest(before).where("op = 'upsert'"), latest(after))
+    return kept.unionByName(put).select("path", "event_id", "value")
 
 
 @query("remove_apply", f"WITH {_LATEST} SELECT DISTINCT CAST(user_id AS VARCHAR) AS path FROM events WHERE user_id NOT IN (SELECT user_id FROM l WHERE event_type = 'error')")

@@ -29,3 +29,11 @@ def test_plan_reads_only_what_it_needs(spark, data):
     path = catalogue.bm25_path(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(source,src1)" in path
     assert "Python" not in path
+
+
+def test_upsert_keeps_and_puts(spark, data):
+    before, after = catalogue.before_and_after(catalogue.changes(spark, data))
+    assert before.agg({"ts": "max"}).first()[0] < after.agg({"ts": "min"}).first()[0]
+    kept, put = catalogue.apply_changes(catalogue.latest(before).where("op = 'upsert'"), catalogue.latest(after))
+    kept, put = ({r["path"] for r in x.collect()} for x in (kept, put))
+    assert kept and put and not kept & put
