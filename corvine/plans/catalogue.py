@@ -261,6 +261,16 @@ def overlap_outermost(spark, sf_dir):
     return ranked(R.outermost(_conv_scored(spark, sf_dir)), "file_path", "start_line", "end_line", "kind", "name")
 
 
+def not_contained(rows: DataFrame) -> DataFrame:
+    """Blocks that no other block of their file contains, by an anti join; of equal ranges under different names
+    none stays. The work grows with the square of a file's blocks, which R.outermost avoids."""
+    own = ["file_path", "start_line", "end_line", "name"]
+    a, b = rows.alias("a"), rows.select(*own).alias("b")
+    mine, other = (F.struct(*[F.col(f"{t}.{c}") for c in own[1:]]) for t in "ab")
+    holds = (F.col("b.start_line") <= F.col("a.start_line")) & (F.col("b.end_line") >= F.col("a.end_line"))
+    return a.join(b, (F.col("a.file_path") == F.col("b.file_path")) & holds & (mine != other), "left_anti")
+
+
 @query(
     "overlap_antijoin",
     f"""WITH {CONV}, {_CONV_SCORE} SELECT file_path, start_line, end_line, name FROM scored a WHERE name <> 'whole' AND NOT EXISTS (
@@ -268,8 +278,8 @@ def overlap_outermost(spark, sf_dir):
       AND b.start_line <= a.start_line AND b.end_line >= a.end_line)""",
 )
 def overlap_antijoin(spark, sf_dir):
-    rows = _conv_scored(spark, sf_dir).where("name <> 'whole'")
-    return ranked(R.outermost(rows), "file_path", "start_line", "end_line", "name")
+    rows = conversation_blocks(spark, sf_dir).where("name <> 'whole'")
+    return ranked(not_contained(rows), "file_path", "start_line", "end_line", "name")
 
 
 @query(

@@ -37,3 +37,14 @@ def test_upsert_keeps_and_puts(spark, data):
     kept, put = catalogue.apply_changes(catalogue.latest(before).where("op = 'upsert'"), catalogue.latest(after))
     kept, put = ({r["path"] for r in x.collect()} for x in (kept, put))
     assert kept and put and not kept & put
+
+
+def test_antijoin_drops_what_spanning_blocks_contain(spark, data):
+    own = ["file_path", "start_line", "end_line", "name"]
+    blocks = catalogue.conversation_blocks(spark, data)
+    rows = lambda df: sorted(map(tuple, df.select(*own).collect()))
+    kept = rows(catalogue.not_contained(blocks))
+    assert kept == rows(catalogue.overlap_outermost(spark, data))
+    assert 0 < len(kept) < blocks.count() and {r[3] for r in kept} == {"whole"}
+    plan = catalogue.overlap_antijoin(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Window" not in plan
