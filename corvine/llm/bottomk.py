@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from corvine.llm.blocks import LEAST_BUCKETS, Block, Blocks, answer, deal, gather, told
 from corvine.llm.components import components
-from corvine.llm.textkit import BYTE_VALUE, FOLD, chunks, flat, mix, range_hashes, remove, scratch_dir, small_batches, words
+from corvine.llm.textkit import BYTE_VALUE, FOLD, batches_of, chunks, flat, mix, range_hashes, remove, scratch_dir, words
 
 WORDS = 5
 SKETCH = 64
@@ -102,10 +102,9 @@ def _save(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, digest of the set and its sketch; one pass, no shuffle."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in batches_of(batches, 1):
             data, off = flat(batch.column(1))
             sizes, digests, kept = [], [], []
             for a, b in chunks(off):

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.textkit import sha256_hex, small_batches
+from corvine.llm.textkit import batches_of, sha256_hex
 
 #: Fixed value: the split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -166,11 +166,10 @@ def load(path: str) -> Bpe:
 
 def tokenise(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
     """Key, ids (array of int) and decoded text of every row, with its text if wanted."""
-    small_batches(docs.sparkSession, 128)
 
     def run(batches):
         bpe = load(vocabulary)
-        for batch in batches:
+        for batch in batches_of(batches, 1, 128):
             codes = [bpe.encode(_text(v)) for v in batch.column(1)]
             ids = np.frombuffer(b"".join(codes), "<i4")
             ends = np.cumsum([0, *(len(c) // 4 for c in codes)], dtype=np.int32)
@@ -193,11 +192,10 @@ def _text(v: pa.Scalar) -> str:
 
 def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """What the contract asks of every document, without moving ids or texts out of the worker."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         bpe = load(vocabulary)
-        for batch in batches:
+        for batch in batches_of(batches, 1):
             n, ids, back = [], [], []
             for v in batch.column(1):
                 code = bpe.encode(_text(v))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.textkit import chunks, crc_mod, flat, small_batches
+from corvine.llm.textkit import batches_of, chunks, crc_mod, flat
 
 LABELLED = 3000
 UNLABELLED = 3000
@@ -157,7 +157,7 @@ def _features(rows: DataFrame) -> DataFrame:
     """Sparse trigram vectors of a bounded sample, as packed indexes and values."""
 
     def run(batches):
-        for batch in batches:
+        for batch in batches_of(batches, -1):
             data, off = flat(batch.column(batch.num_columns - 1))
             index, value = [], []
             for a, b in chunks(off):
@@ -184,7 +184,6 @@ def _dense(rows: list) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", held_out: int | None = 0) -> CoTrained | float:
     """The model, or a constant where a label value is missing. Broadcast: the two samples' ids."""
-    small_batches(docs.sparkSession)
     marks = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
     if held_out is not None:
         marks = marks.where(crc_mod("doc_id", 5) != held_out)
@@ -219,12 +218,11 @@ def score(docs: DataFrame, model: CoTrained | float) -> DataFrame:
     if isinstance(model, float | int):
         c = F.lit(float(model))
         return rows.select("doc_id", c.alias("score"), c.alias("text_score"), c.alias("page_score"), F.lit(bool(model >= 0.5)).alias("kept"))
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # a few thousand weights
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in batches_of(batches, 4):
             data, off = flat(batch.column(4))
             meta = meta_vectors(np.stack([np.asarray(batch.column(k)) for k in (1, 2, 3)], 1))
             out = [np.zeros((3, 0))]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.textkit import POWERS, mix, sha256_hex, small_batches, text_partitions
+from corvine.llm.textkit import POWERS, batches_of, mix, sha256_hex, text_partitions
 
 #: Parts of a signature; a power of two.
 BINS = 128
@@ -128,10 +128,9 @@ def to_text(sig: np.ndarray) -> str:
 
 def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Key and fingerprint of every row; no shuffle."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in batches_of(batches, 1):
             out = [to_text(one_signature(v or "")) for v in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], ["doc_id", "fingerprint"])
 
@@ -171,7 +170,6 @@ def id_ranges(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray, np.
 def followed(docs: DataFrame) -> DataFrame:
     """The contract's row for every document: its fingerprint, its edited text's and likenesses."""
     spark = docs.sparkSession
-    small_batches(spark, 256)
     ranges = max(1, text_partitions(spark) * 2)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     bounds, firsts, before = id_ranges(docs, ranges)
@@ -182,7 +180,7 @@ def followed(docs: DataFrame) -> DataFrame:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in batches_of(batches, 1):
             packed = [press.compress((v or "").encode("utf-8", "surrogatepass")) for v in batch.column(1).to_pylist()]
             at = _ids(batch.column(0))
             piece = np.searchsorted(bounds, at, "right").astype(np.int32)
@@ -209,7 +207,7 @@ def followed(docs: DataFrame) -> DataFrame:
 
         unpress = zstandard.ZstdDecompressor()
         last = waiting = None  # (piece, doc_id, text) before; a finished row but for near_next, and its signature
-        for batch in batches:
+        for batch in batches_of(batches, 1, 256, 1 << 20):
             done = []
             for doc_id, packed, piece, ahead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = str(unpress.decompress(packed), "utf-8", "surrogatepass") if packed else ""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.textkit import chunks, crc_mod, flat, small_batches
+from corvine.llm.textkit import batches_of, chunks, crc_mod, flat
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -208,7 +208,6 @@ def identify(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """All columns of docs with lang_pred and score; one pass, no shuffle. A column of docs that has
     one of these two names is replaced."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(scorer)  # a few hundred kB whatever the input
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     base = docs.select(*[F.col(f"`{c}`") for c in keep])
@@ -218,7 +217,7 @@ def identify(docs: DataFrame, scorer: Scorer) -> DataFrame:
     def run(batches):
         net = shared.value
         names = np.array([*net.labels, UNKNOWN], object)
-        for batch in batches:
+        for batch in batches_of(batches, at):
             pred, score = net.texts(*flat(batch.column(at)))
             pred = np.where(names[pred] == UNKNOWN, -1, pred)
             yield pa.record_batch(

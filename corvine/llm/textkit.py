@@ -40,10 +40,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
-    """Hold Arrow batches small enough that long documents do not pile up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def batches_of(batches, column: int, rows: int = 512, size: int = 16 << 20):
+    """Slices of Arrow batches with at most `rows` rows and, but for a single longer one, `size` bytes in a text
+    column, so that what a worker makes of a batch stays small whatever the session's batch settings are."""
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        _, off = flat(batch.columns[column])
+        a = 0
+        while a < n:
+            b = min(max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1), a + rows, n)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def scratch_dir(spark: SparkSession) -> str:

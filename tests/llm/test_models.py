@@ -105,6 +105,86 @@ def test_toxicity(tables):
     assert ((found["score"] >= 0.5) == (found["predicted"] == 1)).all()
 
 
+def test_toxicity_held_out_quality(spark):
+    """On the larger table, whose labels are enough to learn from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.score_held_out(docs, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").toPandas()
+    assert auc(found["score"], found["toxic"]) > 0.951
+    assert found.loc[found["toxic"] == 1, "predicted"].mean() > 0.8
+    assert found.loc[found["toxic"] == 0, "predicted"].mean() < 0.01
+    assert (found["toxic_log"] < 0).all() and (found["plain_log"] < 0).all()
+
+
+def slow_logs(texts, discount, text):
+    """Log-probabilities of both classes for each word of a text, by the formulas, over dictionaries."""
+    cut = toxicity.SHARED_DISCOUNT
+    bigrams = lambda t: set(zip(t, t[1:], strict=False))
+    n = [{w: sum(w in t for t in c) for w in {w for t in c for w in t}} for c in texts]
+    m = [{p: sum(p in bigrams(t) for t in c) for p in {p for t in c for p in bigrams(t)}} for c in texts]
+    vocabulary = {w for c in n for w in c}
+    pairs = {p for c in m for p in c}
+    before = {w: sum(p[1] == w for p in pairs) for w in vocabulary}
+    floor = cut * sum(b > 0 for b in before.values()) / len(pairs) / (len(vocabulary) + 1)
+    shared = {w: max(b - cut, 0) / len(pairs) + floor for w, b in before.items()}
+
+    def interpolated(count, key, group, cut, lower):
+        held = {k: x for k, x in count.items() if group(k) == group(key)}
+        total = sum(held.values())
+        if not total:
+            return lower
+        return max(count.get(key, 0) - cut, 0) / total + sum(min(x, cut) for x in held.values()) / total * lower
+
+    add = lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in {**a, **b}}
+    whole = lambda _: 0
+    left = lambda p: p[0]
+    out = []
+    for c in (0, 1):
+        d = discount * sum(n[c].values()) / min(sum(x.values()) for x in n)
+        dm = discount * sum(m[c].values()) / min(sum(x.values()) for x in m)
+        logs = []
+        for k, w in enumerate(text):
+            if w in vocabulary:
+                base = interpolated(add(*n), w, whole, cut, shared[w])
+                ratio = interpolated(n[c], w, whole, d, base) / base
+                low = shared[w]
+            else:
+                ratio, low = interpolated(n[c], None, whole, d, 1.0), floor
+            p = low * ratio
+            if k:
+                pair = (text[k - 1], w)
+                p = interpolated(m[c], pair, left, dm, interpolated(add(*m), pair, left, cut, low) * ratio)
+            logs.append(np.log(p))
+        out.append(logs)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("discount", [0.5, 2.0, 9.0])
+def test_kneser_ney_against_dictionaries(discount):
+    rng = np.random.default_rng(3)
+    draw = lambda words, k: [list(rng.choice(words, rng.integers(1, 30))) for _ in range(k)]
+    plain, bad = list("abcdefgh"), list("abcdexyz")
+    texts = [[*draw(plain, 30), ["a", "b"]], [*draw(bad, 12), ["q"]]]
+    code = {w: toxicity.mix(np.array([ord(w)], np.uint64))[0] for w in "abcdefghxyzqw"}
+    hashed = lambda t: np.array([code[w] for w in t], np.uint64)
+    model = toxicity.KneserNey.learn(toxicity.Counts.of([[hashed(t) for t in c] for c in texts]), discount)
+    asked = [*draw(list("abcdefghxyzqw"), 20), [], ["w"]]
+    first = np.concatenate(([0], np.cumsum([len(t) for t in asked])))
+    mean, peak = model.evidence(np.concatenate([hashed(t) for t in asked]), first)
+    for i, t in enumerate(asked):
+        logs = slow_logs(texts, discount, t) if t else np.zeros((2, 0))
+        want = (logs.mean(1), (logs[1] - logs[0]).max()) if t else (np.zeros(2), 0)
+        assert np.allclose(mean[:, i], want[0], atol=1e-4) and abs(peak[i] - want[1]) < 1e-4
+
+
+def test_toxicity_sample_is_bounded(spark, documents, monkeypatch):
+    """Sizes decide which texts are read, whole ones only, and rows that repeat a doc_id count together."""
+    assert toxicity.within([(1, 0, 0.1, 60), (2, 0, 0.2, 50), (3, 0, 0.3, 40), (4, 1, 0.0, 101)], 100) == [(1, 0), (3, 0)]
+    rows, labels = toxic_corpus(100)
+    monkeypatch.setattr(toxicity, "BYTES_PER_CLASS", 2000)
+    sample, counts = toxicity.labelled_sample(documents([*rows, *rows[:5]]), spark.createDataFrame(labels, LABELS), "toxic")
+    assert counts == {0: 75, 1: 25} and 0 < len(sample) < 100
+
+
 def toxic_corpus(n=600):
     rng = np.random.default_rng(7)
     plain = ["the", "of", "river", "stone", "walks", "green", "over", "under", "house", "sea"]
@@ -195,17 +275,3 @@ def test_flat_reads_nulls_and_slices():
     assert data.tobytes() == b"cd" and off.tolist() == [0, 0, 0, 2, 2]
     data, off = flat(pa.array([], pa.string()))
     assert len(data) == 0 and off.tolist() == [0]
-
-
-def test_only_near_copies_count_once():
-    """Texts that share a few common bigrams all stay; copies with small changes go."""
-    rng = np.random.default_rng(12)
-    texts = [rng.integers(1, 60, 300).astype(np.uint64) for _ in range(200)]
-    copies = []
-    for x in texts[::10]:
-        y = x.copy()
-        y[rng.integers(0, 300, 15)] = 99
-        copies += [x, y]
-    kept = toxicity.different([*texts, *copies])
-    assert len(kept) == 200 and all(a is b for a, b in zip(kept, texts, strict=True))
-    assert len(toxicity.different([np.zeros(0, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)])) == 2
