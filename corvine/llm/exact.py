@@ -10,13 +10,14 @@ of different texts never merge:
 3. global: the salt winners of a text, at most one for each salt, meet by (digest, text); this too
    has a partial aggregate before its shuffle.
 
-The result returns to the documents without their texts, by (digest, second hash, salt): the rows of
-a hot text stay spread over the salts.
+The result returns to the documents without their texts, by (digest, second hash, salt): 320 bits; the rows of
+a hot text stay spread over the salts. The salt is a hash of doc_id and, where that is NULL, of the other given
+columns, so that rows without an id are spread, too.
 
-Cases: NULL text counts as empty. Of equal texts the largest doc_id stays; rows that repeat both
-doc_id and text count in the group's size and are each reported as kept where their id is. NULL ids
-lose against any other; a group of only NULL ids has keep_id NULL and keeps nothing. An empty table
-gives an empty result. Extra columns are ignored.
+Cases: NULL text counts as empty. Of equal texts the largest doc_id stays; a NULL doc_id is smaller than any
+other, so it stays where no row of the group has one. mark_copies reports rows that repeat both doc_id and
+text as kept alike; drop_copies keeps one of them. An empty table gives an empty result. Extra columns are
+ignored, and drop_copies returns them.
 """
 
 from __future__ import annotations
@@ -31,14 +32,12 @@ LEAST_SALTS = 64
 def mark_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
     salts = max(LEAST_SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    others = [c for c, kind in docs.dtypes if c not in (text, key) and kind in ("string", "bigint", "int")]
     content = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), content.alias("text")).select(
-        "doc_id",
-        "text",
-        F.sha2("text", 256).alias("digest"),
-        F.xxhash64("text").alias("second"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
-    )
+    salt = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in others]))
+    rows = docs.select(
+        F.col(key).alias("doc_id"), content.alias("text"), F.pmod(salt, F.lit(salts)).cast("int").alias("salt")
+    ).select("doc_id", "text", "salt", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("second"))
     salted = rows.groupBy("digest", "second", "salt", "text").agg(
         F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n")
     )
@@ -52,16 +51,20 @@ def mark_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         "doc_id",
         "keep_id",
         "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that repeat both a kept doc_id and its
-    text all stay."""
-    kept = mark_copies(docs, text, key).where("kept").select(
-        F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")
-    )
-    same = (F.col(key) == F.col("__kept_id")) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("__kept_digest"))
-    return docs.join(kept, same, "left_semi")
+    """One row for each different text, with all columns of docs: that of the largest doc_id, and where rows
+    repeat both, the one with the greatest other columns. Only such rows meet again in an aggregate."""
+    kept = mark_copies(docs, text, key).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__n"))
+    kept = kept.withColumnsRenamed({"doc_id": "__kept_id", "text_sha256": "__kept_digest"})
+    content = F.coalesce(F.col(text), F.lit(""))
+    same = F.col(key).eqNullSafe(F.col("__kept_id")) & (F.sha2(content, 256) == F.col("__kept_digest"))
+    single = docs.join(kept.where("__n = 1"), same, "left_semi")
+    repeated = docs.join(kept.where("__n > 1"), same, "left_semi")
+    best = F.max(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__best")
+    one = repeated.groupBy(F.col(key).alias("__key"), content.alias("__content")).agg(best).select("__best.*")
+    return single.unionByName(one)

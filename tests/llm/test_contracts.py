@@ -69,13 +69,22 @@ def test_exact(documents, rows):
         groups[t].append(i)
     best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
     want = sorted(
-        ((i, best[t], len(groups[t]), i is not None and i == best[t], sha(t)) for i, t in texts(rows)), key=repr
+        ((i, best[t], len(groups[t]), i == best[t], sha(t)) for i, t in texts(rows)), key=repr
     )
     docs = documents(rows)
     assert collect(mark_copies(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
     kept = drop_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, _, k, _ in want if k)
+    assert collect(kept.na.fill("", ["text"]), "doc_id", "text") == sorted(((best[t], t) for t in groups), key=repr)
+
+
+def test_exact_keeps_one_row_of_each_text(documents):
+    """Also where no row has an id, and where rows repeat as a whole."""
+    from corvine.llm.exact import drop_copies
+
+    rows = [(None, "a", "en", "x"), (None, "a", "fr", "x"), (None, "b", None, None), (1, "c", "en", None), (1, "c", "en", None), (2, "c", None, "y"), (2, "c", None, "z")]
+    kept = collect(drop_copies(documents(rows)), "doc_id", "text", "lang", "source")
+    assert kept == sorted([(None, "a", "fr", "x"), (None, "b", None, None), (2, "c", None, "z")], key=repr)
 
 
 def test_bpe(documents, rows):
