@@ -1,11 +1,11 @@
 """Blocks of documents, and the exchange of keys between blocks.
 
 Operators that look for repeated content cut the corpus into blocks of about BLOCK_BYTES by a hash of
-the doc_id and handle a block as flat numpy arrays. A block sends each different 64-bit key once to
-the bucket of that key, packed with the others for that bucket; the bucket compares the keys of all
-blocks and answers every block. A key that a third of all documents hold thus reaches its bucket once
-for each block, not for each document. The text crosses one shuffle, which every pass over the blocks
-reuses.
+doc_id and text, so that rows which share an id (or have none) are spread, and handle a block as flat numpy
+arrays. A block sends each different 64-bit key once to the bucket of that key, packed with the others for
+that bucket; the bucket compares the keys of all blocks and answers every block. A key that a third of all
+documents hold thus reaches its bucket once for each block, not for each document. The text crosses one
+shuffle, which every pass over the blocks reuses.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.textkit import flat, mix, pack, unpack
+from corvine.llm.textkit import flat, pack, unpack
 
 BLOCK_BYTES = 1 << 20
 #: Bytes of text for each bucket of keys, and buckets at least.
@@ -31,13 +31,15 @@ U64 = np.uint64
 class Blocks:
     """The documents with their block number, and the sizes that follow from the amount of text."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> None:
+    def __init__(
+        self, docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, block_bytes: int | None = None
+    ) -> None:
         content = F.coalesce(F.col(text), F.lit(""))
         size = docs.select(F.sum(F.octet_length(content)).alias("b")).first()["b"] or 0
-        self.count = max(1, size // BLOCK_BYTES)
+        self.count = max(1, size // (block_bytes or BLOCK_BYTES))
         self.buckets = max(LEAST_BUCKETS, size // bucket_bytes)
         self.rows = docs.select(
-            F.pmod(F.xxhash64(key), F.lit(self.count)).alias("block"),
+            F.pmod(F.xxhash64(key, content), F.lit(self.count)).alias("block"),
             F.col(key).cast("bigint").alias("doc_id"),
             content.alias("text"),
         )
@@ -60,22 +62,33 @@ class Blocks:
 
 
 class Block:
-    """Documents of one block in order of doc_id, then of a digest of the text: ids, flat bytes, offsets. The
-    order is the same in every pass, so a row's number can name it."""
+    """Documents of one block in order of doc_id, then of a digest of the text: ids, flat bytes, offsets. Rows
+    equal in both are one document. The order is the same in every pass, so a document's number can name it."""
 
     def __init__(self, table: pa.Table) -> None:
         self.number = table.column("block")[0].as_py() if table.num_rows else 0
         ids = _ids(table.column("doc_id"))
         order = np.argsort(ids, kind="stable")
-        same = np.flatnonzero(np.diff(ids[order]) == 0)
-        if len(same):
-            tie = {int(k): hashlib.blake2b(table.column("text")[int(k)].as_py().encode()).digest() for s in same for k in order[s : s + 2]}
+        alike = np.flatnonzero(np.diff(ids[order]) == 0)
+        fresh = np.ones(len(order), bool)
+        if len(alike):
+            text = table.column("text")
+            tie = {int(k): hashlib.blake2b(text[int(k)].as_py().encode()).digest() for s in alike for k in order[s : s + 2]}
             order = np.array(sorted(order.tolist(), key=lambda k: (ids[k], tie.get(k, b""))))
-        table = table.take(pa.array(order))
-        self.column = table.column("doc_id").combine_chunks()
-        self.ids = _ids(self.column)
+            for s in alike.tolist():
+                a, b = (int(k) for k in order[s : s + 2])
+                fresh[s + 1] = tie[a] != tie[b]
+        self.column = table.column("doc_id").take(pa.array(order)).combine_chunks()
+        self.spot = np.cumsum(fresh) - 1
+        table = table.take(pa.array(order[fresh]))
+        self.ids = _ids(table.column("doc_id"))
         self.data, self.off = flat(table.column("text"))
 
+    def result(self, columns: dict[str, pa.Array]) -> pa.Table:
+        """A row for each row of the block from one for each document, the doc_id first."""
+        table = pa.table(columns).take(pa.array(self.spot))
+        return table.add_column(0, "doc_id", self.column)
+
     def owners(self, starts: np.ndarray) -> np.ndarray:
         """Index of the document that holds each byte position."""
         return np.searchsorted(self.off, starts, "right") - 1
@@ -102,16 +115,22 @@ def coarse(keys: np.ndarray) -> np.ndarray:
     return (keys >> U64(16)) << U64(16)
 
 
-def deal_keys(number: int, keys: np.ndarray, buckets: int) -> pa.Table:
-    """Rows (bucket, block, keys) of the different coarse keys of a block."""
-    keys = np.unique(coarse(keys))
+def deal_keys(number: int, keys: np.ndarray, buckets: int, count: bool = False) -> pa.Table:
+    """Rows (bucket, block, keys) of the different coarse keys of a block; with count, also how often the
+    block has each (many)."""
+    keys, many = np.unique(coarse(keys), return_counts=True)
     to = ((keys >> U64(16)) % U64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     cut = np.flatnonzero(np.diff(to[order])) + 1
     first = np.concatenate(([0], cut)) if len(keys) else np.zeros(0, np.int64)
     packed = [pack_keys(part) for part in np.split(keys[order], cut)] if len(keys) else []
-    columns = [pa.array(to[order][first], pa.int64()), pa.array(np.full(len(first), number), pa.int64())]
-    return pa.table([*columns, pa.array(packed, pa.binary())], ["bucket", "block", "keys"])
+    columns = [pa.array(to[order][first], pa.int64()), pa.array(np.full(len(first), number), pa.int64()), pa.array(packed, pa.binary())]
+    names = ["bucket", "block", "keys"]
+    if count:
+        many = np.minimum(many, 65535).astype(np.uint16)[order]
+        columns.append(pa.array([pack(part) for part in np.split(many, cut)] if len(keys) else [], pa.binary()))
+        names.append("many")
+    return pa.table(columns, names)
 
 
 def deal(number: int, keys: np.ndarray, buckets: int, *more: np.ndarray) -> pa.Table:
@@ -164,40 +183,68 @@ def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def repeated_keys(sent: DataFrame) -> DataFrame:
-    """Of rows (bucket, block, keys) by deal_keys: for every block, its keys that another block has too."""
+def repeated_keys(sent: DataFrame, heavy: int | None = None) -> DataFrame:
+    """Of rows (bucket, block, keys) by deal_keys: for every block, its keys that another block has too. With
+    rows that count, also those of them (heavy) which the blocks have more than `heavy` times together."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack_keys(v.as_py()) for v in table.column("keys")]
         keys = np.concatenate(parts) if parts else np.zeros(0, U64)
         block = np.repeat(np.asarray(table.column("block")), [len(p) for p in parts])
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")
         k = keys[order]
-        same = k[1:] == k[:-1]
-        twice = np.zeros(len(k), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        hit = order[twice]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(k)))
+        hit = order[np.repeat(size > 1, size)]
+        often = np.zeros(len(k), bool)
+        if heavy is not None and len(k):
+            many = np.concatenate([unpack(v.as_py(), np.uint16) for v in table.column("many")]).astype(np.int64)
+            often[order] = np.repeat(np.add.reduceat(many[order], first) > heavy, size)
         hit = hit[np.argsort(block[hit], kind="stable")]
         cut = np.flatnonzero(np.diff(block[hit])) + 1
-        first = np.concatenate(([0], cut)) if len(hit) else np.zeros(0, np.int64)
-        packed = [pack_keys(p) for p in np.split(keys[hit], cut)] if len(hit) else []
-        return pa.table([pa.array(block[hit][first], pa.int64()), pa.array(packed, pa.binary())], ["block", "keys"])
+        begin = np.concatenate(([0], cut)) if len(hit) else np.zeros(0, np.int64)
+        pieces = np.split(hit, cut) if len(hit) else []
+        columns = {"block": pa.array(block[hit][begin], pa.int64()), "keys": pa.array([pack_keys(keys[p]) for p in pieces], pa.binary())}
+        if heavy is not None:
+            columns["heavy"] = pa.array([pack_keys(keys[p[often[p]]]) for p in pieces], pa.binary())
+        return pa.table(columns)
+
+    return sent.groupBy("bucket").applyInArrow(run, "block bigint, keys binary" + ", heavy binary" * (heavy is not None))
 
-    return sent.groupBy("bucket").applyInArrow(run, "block bigint, keys binary")
+
+def keys_told(more: pa.Table, column: str = "keys") -> np.ndarray:
+    """The packed keys of all answers for a block, in order."""
+    return np.sort(np.concatenate([np.zeros(0, U64), *(unpack_keys(v.as_py()) for v in more.column(column) if v.is_valid)]))
 
 
 def repeats(block_keys: np.ndarray, more: pa.Table) -> np.ndarray:
     """Keys of a block that occur again, in it or by the answers of repeated_keys."""
     keys = coarse(block_keys)
-    known = np.concatenate([np.zeros(0, U64), *(unpack_keys(v.as_py()) for v in more.column("keys") if v.is_valid)])
+    if not len(keys):
+        return np.zeros(0, bool)
     _, where, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return (n[where] > 1) | is_in(keys, np.sort(known)) if len(keys) else np.zeros(0, bool)
+    return (n[where] > 1) | is_in(keys, keys_told(more))
+
+
+def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of values with two lanes: the index of the first of each different one, and the group of every one."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    where = np.empty(len(a), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return order[new], where
 
 
-def one_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Two lanes of a hash in one number, for comparisons inside a block."""
-    return mix(a ^ (b.astype(U64) << U64(17)))
+def both_in(a: np.ndarray, b: np.ndarray, known_a: np.ndarray, known_b: np.ndarray) -> np.ndarray:
+    """Whether each value with two lanes is among the known ones."""
+    n = len(known_a)
+    first, where = groups(np.concatenate((known_a, a)), np.concatenate((known_b, b)))
+    known = np.zeros(len(first), bool)
+    known[where[:n]] = True
+    return known[where[n:]]
 
 
 def smaller_elsewhere(sent: DataFrame) -> DataFrame:
@@ -233,7 +280,8 @@ def whole_copies(blocks: Blocks, least: int) -> DataFrame:
 
     def send(block: Block) -> pa.Table:
         pick, a, b = digests(block, least)
-        _, first = np.unique(one_code(a, b), return_index=True)
+        first, _ = groups(a, b)
+        first.sort()
         return deal(block.number, a[first], buckets, b[first], block.ids[pick[first]])
 
     found = smaller_elsewhere(blocks.map(send, "bucket bigint, block bigint, keys binary, more0 binary, more1 binary"))
@@ -244,12 +292,10 @@ def copied(block: Block, least: int, more: pa.Table) -> np.ndarray:
     """Documents of at least `least` bytes whose whole text one with a smaller doc_id also has, here or by
     the answers of whole_copies."""
     pick, a, b = digests(block, least)
-    code = one_code(a, b)
-    _, first, where = np.unique(code, return_index=True, return_inverse=True)
+    first, where = groups(a, b)
     out = np.zeros(len(block.ids), bool)
-    here = block.ids[pick[first[where]]] < block.ids[pick] if len(pick) else np.zeros(0, bool)
     known = told(more.select(["copy0", "copy1"]).rename_columns(["a0", "a1"]), U64, np.uint32)
-    out[pick] = here | is_in(code, np.sort(one_code(*known)))
+    out[pick] = (block.ids[pick[first[where]]] < block.ids[pick]) | both_in(a, b, *known)
     return out
 
 

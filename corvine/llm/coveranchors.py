@@ -9,9 +9,11 @@ Documents whose whole text is that of a document with a smaller doc_id lose all
 window) and send nothing; they are found first, by 96-bit digests.
 
 1. every block sends its anchors to buckets and learns which of them another block has;
-2. around anchors that repeat, the block extends to whole windows, and sends their hashes (96 bits)
-   with the smallest doc_id it has for each; the bucket answers where another block has a smaller one;
-3. the block marks the words of windows that also start in a document with a smaller doc_id.
+2. around anchors that repeat, in the block or elsewhere, the block extends to whole windows, and sends their
+   hashes (96 bits) with the smallest doc_id it has for each; the bucket answers where another block has a
+   smaller one;
+3. the block extends the same anchors again and marks the words of windows that also start in a document
+   with a smaller doc_id, by the answers or in the block. A window around no such anchor is never looked at.
 
 Cases: NULL and empty texts have no words; with fewer than LENGTH words nothing is removed. Windows are
 judged on the input. Rows that repeat a doc_id do not count as earlier than each other. A NULL doc_id
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame
 from corvine.llm.blocks import (
     Block,
     Blocks,
+    both_in,
     copied,
     cover,
     deal,
     deal_keys,
-    is_in,
-    one_code,
+    groups,
     repeated_keys,
     repeats,
     smaller_elsewhere,
@@ -81,16 +83,9 @@ class Passages:
         return a, (b >> U64(32)).astype(np.uint32)
 
 
-def least_doc(hashes: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For windows in document order: the first index of each different one, and for every window the
-    document index of its first."""
-    _, first, where = np.unique(one_code(*hashes), return_index=True, return_inverse=True)
-    return first, doc[first][where]
-
-
-def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_passages(docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    blocks = Blocks(docs)
+    blocks = Blocks(docs, block_bytes=block_bytes)
     buckets, least = blocks.buckets, 2 * length - 1  # bytes of a document with a window
 
     def own_anchors(block: Block, more: pa.Table) -> tuple[Passages, np.ndarray, np.ndarray]:
@@ -103,24 +98,23 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def send_anchors(block: Block, more: pa.Table) -> pa.Table:
         return deal_keys(block.number, own_anchors(block, more)[2], buckets)
 
-    def extend(block: Block, more: pa.Table) -> pa.Table:
+    def repeated_windows(block: Block, more: pa.Table):
+        """Starts, both lanes and documents of the windows around anchors that repeat."""
         p, at, key = own_anchors(block, more)
         start = p.around(at[repeats(key, more)])
-        hashes = p.windows(start)
-        first, _ = least_doc(hashes, p.doc[start])
+        return p, start, *p.windows(start), p.doc[start]
+
+    def extend(block: Block, more: pa.Table) -> pa.Table:
+        _, _, a, b, doc = repeated_windows(block, more)
+        first, _ = groups(a, b)
         first.sort()  # document order, for packing
-        ids = block.ids[p.doc[start[first]]]
-        return deal(block.number, hashes[0][first], buckets, hashes[1][first], ids)
+        return deal(block.number, a[first], buckets, b[first], block.ids[doc[first]])
 
     def finish(block: Block, more: pa.Table) -> pa.Table:
-        a, b = told(more, U64, np.uint32)
-        p = Passages(block, length)
-        start = np.flatnonzero(p.left >= length)
-        hashes = p.windows(start)
-        doc = p.doc[start]
-        _, origin = least_doc(hashes, doc)
-        again = block.ids[origin] < block.ids[doc]
-        again |= is_in(one_code(*hashes), np.sort(one_code(a, b)))
+        p, start, a, b, doc = repeated_windows(block, more)
+        first, where = groups(a, b)
+        again = block.ids[doc[first[where]]] < block.ids[doc]
+        again |= both_in(a, b, *told(more, U64, np.uint32))
         long = np.diff(p.first) >= length
         gone = cover(start[again], length, len(p.place)) | (copied(block, least, more) & long)[p.doc]
         removed = np.add.reduceat(np.append(gone, False), p.first[:-1]) * (np.diff(p.first) > 0)
@@ -131,14 +125,17 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if removed[i]:
                 piece = compress(piece, keep[first[i] : first[i + 1]].tolist())
             digests.append(sha256_hex(b" ".join(piece)))
-        return pa.table(
-            [block.column, pa.array(np.diff(p.first)), pa.array(removed.astype(np.int64)), pa.array(digests, pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        return block.result(
+            {
+                "n_words": pa.array(np.diff(p.first)),
+                "n_removed": pa.array(removed.astype(np.int64)),
+                "kept_sha256": pa.array(digests, pa.string()),
+            }
         )
 
     copies = whole_copies(blocks, least)
     flagged = repeated_keys(blocks.map_with(copies, send_anchors, "bucket bigint, block bigint, keys binary"))
     both = flagged.unionByName(copies, allowMissingColumns=True)
     sent = blocks.map_with(both, extend, "bucket bigint, block bigint, keys binary, more0 binary, more1 binary")
-    both = smaller_elsewhere(sent).unionByName(copies, allowMissingColumns=True)
+    both = smaller_elsewhere(sent).unionByName(both, allowMissingColumns=True)
     return blocks.map_with(both, finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

@@ -7,6 +7,7 @@ memory of a task depends on the longest single document, not on the batch.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import zlib
 
@@ -16,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
 #: Bytes of text that one numpy pass handles, unless a single document is longer.
 CHUNK_BYTES = 1 << 20
 
@@ -214,3 +219,10 @@ def pack(a: np.ndarray) -> bytes:
 
 def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype)
+
+
+def release() -> None:
+    """Give memory that a group of rows has used back to the system, as a worker lives on for many groups."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)

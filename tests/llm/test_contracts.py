@@ -315,13 +315,70 @@ def test_run_index_on_repetitive_strings():
                 seen.add(b[s : s + length])
         assert (flags == want).all()
         index = RunIndex(data, off, length)
-        # samples at the ends of runs are suffix positions: LF brings each to the position before it
-        ends = np.append(index.starts[1:], len(data) + len(docs)) - 1
-        rows = {int(r): int(p) for r, p in zip(ends, index.samples, strict=True)}
-        for r, p in rows.items():
-            q = int(index.step(np.array([r]))[0])
-            if q in rows and p and p - 1 not in index.ends:
-                assert rows[q] == p - 1
+        # LF on the runs goes through every string from its separator to its start
+        text, rows = data.tobytes(), np.arange(len(docs))
+        order = sorted((text[p : off[k + 1]], k, p) for k in range(len(docs)) for p in range(off[k], off[k + 1] + 1))
+        for done in range(1, max(len(b) for _, b in docs) + 1):
+            rows = index.step(rows)
+            for k, (_, b) in enumerate(docs):
+                if done <= len(b):
+                    assert order[rows[k]][1:] == (k, off[k + 1] - done)
+                else:
+                    rows[k] = k
+        # the chains hold every string that occurs twice, once each
+        places = [(b[s : s + length]) for _, b in docs for s in range(len(b) - length + 1)]
+        assert int((index.steps + 1).sum()) == sum(v > 1 for v in Counter(places).values())
+
+
+def test_run_index_is_as_small_as_its_runs():
+    """A passage costs one chain whether two strings hold it or 300, and runs instead of suffixes."""
+    from corvine.llm.runindex import RunIndex
+
+    rng = np.random.default_rng(2)
+    passage = rng.integers(97, 123, 130).astype(np.uint8)
+    for many in (2, 300):
+        strings = [np.concatenate((rng.integers(97, 123, 10).astype(np.uint8), passage, rng.integers(97, 123, 10).astype(np.uint8))) for _ in range(many)]
+        index = RunIndex(np.concatenate(strings), np.arange(many + 1) * 150, 100)
+        assert (index.rows == many).sum() == 1 and int(index.steps[index.rows == many][0]) >= 29
+    assert len(index.starts) < 300 * 30 < 300 * 150
+
+
+@pytest.mark.parametrize("block_bytes, heavy", [(3000, 4096), (3000, 2), (1 << 20, 2)])
+def test_byte_repeats_in_many_blocks(documents, rows, monkeypatch, block_bytes, heavy):
+    """Many small blocks, and choices that are cut into strings."""
+    from corvine.llm import runindex
+
+    monkeypatch.setattr(runindex, "HEAVY", heavy)
+    monkeypatch.setattr(runindex, "PART_BYTES", 2000)
+    got = collect(runindex.remove_repeats(documents(rows), block_bytes=block_bytes), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(earlier_bytes(rows), key=repr)
+
+
+def test_passages_in_many_blocks(documents, rows):
+    from corvine.llm.coveranchors import remove_passages
+
+    got = collect(remove_passages(documents(rows), block_bytes=3000), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(earlier_words(rows), key=repr)
+
+
+def test_one_passage_in_a_third_of_many_documents(documents):
+    """Its borders make heavy choices; every document but the first loses it whole."""
+    from corvine.llm.coveranchors import remove_passages
+    from corvine.llm.runindex import remove_repeats
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    passage = " ".join(word() for _ in range(40))
+    many = []
+    for i in range(10_000):
+        own = [word() for _ in range(30)]
+        text = " ".join(own[:15]) + (" " + passage + " " if i % 3 == 0 else " ") + " ".join(own[15:])
+        many.append((i, text, "en", "src1"))
+    hit = [r["n_removed"] for r in remove_repeats(documents(many), block_bytes=50_000).orderBy("doc_id").collect()]
+    size = len(passage) + 2
+    assert hit[0] == 0 and all(size <= hit[i] <= size + 12 if i % 3 == 0 else hit[i] == 0 for i in range(1, 10_000))
+    got = collect(remove_passages(documents(many), block_bytes=50_000), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(earlier_words(many), key=repr)
 
 
 def fill(children, budget):
