@@ -33,6 +33,8 @@ ignored. A single text is handled as a whole by one worker.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,8 +62,6 @@ LENGTH = 100
 PIECE = 48
 #: Strings of one record at most; longer stretches become several records.
 STRETCH = 53
-#: Bytes of text for each bucket, which gets about as many bytes of records.
-BUCKET_BYTES = 2 << 20
 #: Bytes of records that one index holds, unless one choice has more.
 PART_BYTES = 1 << 18
 #: Records of one choice, equal ones of a block counted once, from which the choice is cut into strings.
@@ -121,7 +121,8 @@ def repeats_inside(data: np.ndarray, choice: np.ndarray, first: np.ndarray, last
 class RunIndex:
     """Run-length BWT over many strings, each ended by its own separator; separators sort first, in order.
 
-    starts, lf: first row of each run of equal symbols, and the row to which LF takes it. heads, rows, steps,
+    starts, lf: first row of each run of equal symbols, and the row to which LF takes it. entry: of each string,
+    the row where its stream begins. heads, rows, steps,
     samples: of each chain of intervals its first row, the number of rows, the LF steps that keep them
     together and the earliest place of its suffixes."""
 
@@ -141,6 +142,9 @@ class RunIndex:
         self.lf = np.empty(len(by), np.int32)
         self.lf[by] = np.cumsum(run_size[by]) - run_size[by]
         self.size, self.ends, self.length = size, ends, length
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        self.entry = place[np.maximum(ends - length, 0)]  # of each string, the row of its last `length` bytes
         # intervals of several rows
         begin = np.flatnonzero(~same)
         tall = np.diff(np.append(begin, n))
@@ -178,14 +182,14 @@ class RunIndex:
         live = np.argsort(-self.size, kind="stable")
         if not len(self.heads):
             return
-        rows = live.copy()  # the separator of string k is in row k
+        rows = self.entry[live].astype(np.int64)
         chain = np.full(len(live), -1)
         done_in = np.zeros(len(live), np.int64)
-        for done in range(1, int(self.size.max(initial=0)) + 1):
+        for done in range(self.length, int(self.size.max(initial=0)) + 1):
             n = np.searchsorted(-self.size[live], -done, "right")
-            live, chain, done_in, rows = live[:n], chain[:n], done_in[:n], self.step(rows[:n])
-            if done < self.length:
-                continue
+            live, chain, done_in, rows = live[:n], chain[:n], done_in[:n], rows[:n]
+            if done > self.length:
+                rows = self.step(rows)
             done_in += 1
             free = np.flatnonzero((chain < 0) | (done_in > self.steps[chain]))
             at = np.searchsorted(self.heads, rows[free], "right") - 1
@@ -313,44 +317,59 @@ def combine(values: np.ndarray, lanes: tuple[np.ndarray, np.ndarray], ids: np.nd
     return kept, again, origin
 
 
-SENT = "bucket bigint, block bigint, choice binary, ids binary, row binary, at binary, size binary, text binary, done binary, twin binary"
+SENT = "bucket bigint, block bigint, records binary, done binary, twin binary"
 JUDGED = "block bigint, a0 binary, a1 binary, a2 binary, twin binary"
 
 
+#: Columns of packed records before their text.
+RECORD = [("choice", np.uint32), ("ids", np.int64), ("row", np.int32), ("at", np.int32), ("size", np.int32)]
+
+
 def ship(number: int, to: np.ndarray, home: int, choice, ids, row, at, first, size, data, done, twin) -> pa.Table:
     """Rows (SENT) with the records data[first:first + size], packed by bucket; and one in the bucket `home` with
     what the block knows itself: done, rows (document, place, strings) whose strings all repeat earlier ones,
     and twin, rows (document, place, strings, document that has the same strings at the same place)."""
     order = np.argsort(to, kind="stable")
     rows = []
-    for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
-        n = size[part].astype(np.int64)
-        base = np.cumsum(n) - n
-        text = data[np.arange(n.sum()) + np.repeat(first[part] - base, n)]
-        small = (choice[part] >> U64(32)).astype(np.uint32)
-        rows.append((int(to[part[0]]), number, *map(pack, (small, ids[part], row[part].astype(np.int32), at[part], n, text)), None, None))
+    columns = [np.ascontiguousarray(c[order], k) for c, (_, k) in zip((choice >> U64(32), ids, row, at, size), RECORD, strict=True)]
+    n, first, to = size[order].astype(np.int64), first[order], to[order]
+    cut = np.flatnonzero(np.diff(to)) + 1
+    for a, b in zip([0, *cut], [*cut, len(order)], strict=True) if len(order) else ():
+        base = np.cumsum(n[a:b]) - n[a:b]
+        text = data[np.arange(n[a:b].sum()) + np.repeat(first[a:b] - base, n[a:b])]
+        raw = b"".join([np.int64(b - a).tobytes(), *(c[a:b].tobytes() for c in columns), text.tobytes()])
+        rows.append((int(to[a]), number, zlib.compress(raw, 1), None, None))
     if len(done) or len(twin):
-        none = [pack(x) for x in (np.zeros(0, np.uint32), _NONE, np.zeros(0, np.int32), _NONE, _NONE, np.zeros(0, np.uint8))]
-        rows.append((home, number, *none, pack(done.astype(np.int64)), pack(twin.astype(np.int64))))
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
+        rows.append((home, number, None, pack(done.astype(np.int64)), pack(twin.astype(np.int64))))
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
     names = [c.split()[0] for c in SENT.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [[]] * 10
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    out = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
 
 def opened(table: pa.Table) -> tuple[np.ndarray, ...]:
     """block, choice, ids, row, at, size and offsets of the records of SENT rows, and their text."""
-    kinds = {"choice": np.uint32, "ids": np.int64, "row": np.int32, "at": np.int64, "size": np.int64, "text": np.uint8}
-    parts = {c: [unpack(v.as_py(), k) for v in table.column(c)] for c, k in kinds.items()}
-    block = np.repeat(np.asarray(table.column("block")), [len(x) for x in parts["ids"]])
-    out = {c: np.concatenate(p) if p else np.zeros(0, kinds[c]) for c, p in parts.items()}
-    off = np.concatenate(([0], np.cumsum(out["size"])))
-    return block, out["choice"], out["ids"], out["row"], out["at"], out["size"], off, out["text"]
+    parts, blocks = [[] for _ in range(6)], []
+    for number, packed in zip(table.column("block").to_pylist(), table.column("records"), strict=True):
+        if not packed.is_valid:
+            continue
+        raw = zlib.decompress(packed.as_buffer())
+        n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
+        for part, (_, kind) in zip(parts, RECORD, strict=False):
+            part.append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        parts[5].append(np.frombuffer(raw, np.uint8, -1, at))
+        blocks.append((number, n))
+    kinds = [*(k for _, k in RECORD), np.uint8]
+    choice, ids, row, at, size, text = (np.concatenate([np.zeros(0, k), *p]) for p, k in zip(parts, kinds, strict=True))
+    block = np.repeat(np.array([b for b, _ in blocks], np.int64), [n for _, n in blocks])
+    off = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    return block, choice, ids, row, at.astype(np.int64), size.astype(np.int64), off, text
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    blocks = Blocks(docs, bucket_bytes=BUCKET_BYTES, block_bytes=block_bytes)
+    blocks = Blocks(docs, block_bytes=block_bytes)
     buckets, heavy_from, part_bytes = blocks.buckets, HEAVY, PART_BYTES
 
     def own_records(block: Block, more: pa.Table) -> tuple:
