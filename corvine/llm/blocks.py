@@ -32,14 +32,15 @@ class Blocks:
     """The documents with their block number, and the sizes that follow from the amount of text."""
 
     def __init__(
-        self, docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, block_bytes: int | None = None
+        self, docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, block_bytes: int | None = None, by_text: bool = True
     ) -> None:
+        """by_text: deal by doc_id and text, not by doc_id alone."""
         content = F.coalesce(F.col(text), F.lit(""))
         size = docs.select(F.sum(F.octet_length(content)).alias("b")).first()["b"] or 0
         self.count = max(1, size // (block_bytes or BLOCK_BYTES))
         self.buckets = max(LEAST_BUCKETS, size // bucket_bytes)
         self.rows = docs.select(
-            F.pmod(F.xxhash64(key, content), F.lit(self.count)).alias("block"),
+            F.pmod(F.xxhash64(F.col(key).cast("bigint"), *[content] * by_text), F.lit(self.count)).alias("block"),
             F.col(key).cast("bigint").alias("doc_id"),
             content.alias("text"),
         )

@@ -9,11 +9,15 @@ are one class, represented by its smallest doc_id. A sketch keeps the SKETCH sma
    least_overlap - 1 values share one. The order is by the number of sketches that hold a value, rare
    first, so that a passage which many documents share gives no list unless it is most of a document.
 2. Gathering. A list is named by its smallest id; lists with one name, as a family of copies makes them,
-   are united, so a set travels once for each name and not once for each list. A union of more than
-   GROUP sets is dealt as pairs of parts, each a task of bounded size; no pair of its sets is left out.
+   are united, so a set travels once for each name and not once for each list. A union of more than GROUP
+   sets or PART_SHINGLES shingles is dealt as parts, each a task of bounded size, and a few of its sets (LEADERS,
+   its smallest id among them) go to every part.
 3. In a task, overlaps of the sketches filter pairs by what their union sketch can hold, exact Jaccard on
    full sets confirms, and a union-find skips pairs that are already connected. At most one link for
-   each merge leaves the task, never all pairs.
+   each merge leaves the task, never all pairs. What a part connects with the smallest id is connected in the
+   whole group; only the rest, sets that it does not connect, is compared with the sets of all other parts. A
+   family of copies has little rest or none, so its work grows with its size; sets that share most of
+   their values and are yet not alike are compared with all, as no link may be lost.
 4. Components of these links, by alternating stars.
 
 Cases: text that is NULL or has no word has an empty set, is its own component and is kept. With fewer
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from corvine.llm.blocks import LEAST_BUCKETS, Block, Blocks, answer, deal, gather, told
 from corvine.llm.components import components
-from corvine.llm.textkit import BYTE_VALUE, FOLD, batches_of, chunks, flat, mix, range_hashes, remove, scratch_dir, words
+from corvine.llm.textkit import BYTE_VALUE, FOLD, batches_of, chunks, flat, mix, range_hashes, release, remove, scratch_dir, words
 
 WORDS = 5
 SKETCH = 64
@@ -42,8 +46,13 @@ SKETCH = 64
 LOSS = 1e-10
 #: Classes in a block of sketches.
 BLOCK_CLASSES = 4096
-#: Sets of one task; a larger group is dealt as pairs of parts.
-GROUP = 2048
+#: Sets and shingles of one part; a larger group is dealt as several. Leaders of a group, about.
+GROUP = 1024
+PART_SHINGLES = 1 << 20
+LEADERS = 16
+#: Shingles that one comparison of a set with others takes at once, and those of a bucket of small groups.
+POOL = 1 << 20
+BUCKET_SHINGLES = 1 << 20
 U64 = np.uint64
 
 
@@ -171,26 +180,49 @@ def prefixes(classes: DataFrame, count: int, buckets: int, num: int, den: int) -
     )
 
 
-def gathered(blocks: Blocks, asked: DataFrame, width: int) -> DataFrame:
-    """asked: (name, id). Rows (name, part, side, id, set) with the full set, 48 bits a shingle."""
-    sizes = asked.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    parts = F.ceil(F.col("m") / GROUP).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int")
-    # parts i <= j meet in task (i, j); a set of part p goes to the tasks (p, j) and (i, p)
-    tasks = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda q: F.struct(F.least(q, F.col("own")).alias("i"), F.greatest(q, F.col("own")).alias("j")),
-    )
-    wanted = (
-        asked.join(sizes, "name")
-        .withColumn("parts", parts)
-        .withColumn("own", own)
-        .select(
-            F.pmod(F.xxhash64("id"), F.lit(blocks.count)).alias("block"), "name", "id", "own", F.explode(tasks).alias("to")
-        )
-        .select("block", "name", "id", "own", "to.i", "to.j")
+def _parts(sets, shingles):
+    return F.greatest(F.ceil(sets / GROUP), F.ceil(shingles / PART_SHINGLES), F.lit(1)).cast("int")
+
+
+def _part(parts, salt: str):
+    return F.pmod(F.xxhash64("id", F.lit(salt)), parts).cast("int")
+
+
+def first_tasks(asked: DataFrame) -> DataFrame:
+    """asked: (name, id, n). Rows (name, i, j, side, id, n): each set in its part of its group (side 0), leaders in all
+    others, too (side 1). j is -1 in a group of one part."""
+    sizes = asked.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")).where("m > 1")
+    known = asked.join(sizes.select("name", "m", _parts(F.col("m"), F.col("t")).alias("parts")), "name")
+    known = known.withColumn("own", _part(F.col("parts"), "part"))
+    every = F.ceil(F.col("m") / LEADERS)
+    leads = (F.col("id") == F.col("name")) | (F.pmod(F.xxhash64("id", F.lit("leader")), every) == 0)
+    goes = F.when(leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
+    return known.select("name", "id", "n", "own", "parts", F.explode(goes).alias("i")).select(
+        "name",
+        "i",
+        F.when(F.col("parts") > 1, F.col("i")).otherwise(-1).alias("j"),
+        F.when(F.col("i") == F.col("own"), 0).otherwise(1).alias("side"),
+        "id",
+        "n",
     )
 
+
+def second_tasks(asked: DataFrame, rest: DataFrame) -> DataFrame:
+    """rest: (name, id) of sets that their part did not connect. Rows as by first_tasks: side 0 a part of the rest,
+    side 1 a part of all sets of the group."""
+    left = asked.join(rest, ["name", "id"], "left_semi")
+    few = left.groupBy("name").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("few"))
+    sizes = asked.groupBy("name").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts")).join(few, "name")
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = left.join(sizes, "name").withColumn("i", _part(F.col("few"), "rest")).select("name", "i", span("parts").alias("j"), F.lit(0).alias("side"), "id", "n")
+    theirs = asked.join(sizes, "name").withColumn("j", _part(F.col("parts"), "part")).select("name", span("few").alias("i"), "j", F.lit(1).alias("side"), "id", "n")
+    return mine.unionByName(theirs)
+
+
+def gathered(blocks: Blocks, tasks: DataFrame, width: int) -> DataFrame:
+    """tasks: (name, i, j, side, id). The same rows with the full set, 48 bits a shingle."""
+    wanted = tasks.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks.count)))
+
     def load(block: Block, lines: pa.Table) -> pa.Table:
         ids = np.asarray(lines.column("id"))
         need = np.unique(ids)
@@ -210,42 +242,44 @@ def gathered(blocks: Blocks, asked: DataFrame, width: int) -> DataFrame:
                 sets[int(block.ids[k])].append(one)
         take = [i for i, x in enumerate(ids.tolist()) for _ in sets.get(x, ())]
         column = pa.array([one for x in ids.tolist() for one in sets.get(x, ())], pa.binary())
-        return lines.select(["name", "i", "j", "own", "id"]).take(pa.array(take, pa.int64())).append_column("set", column)
+        return lines.select(["name", "i", "j", "side", "id"]).take(pa.array(take, pa.int64())).append_column("set", column)
 
-    return blocks.map_with(wanted, load, "name bigint, i int, j int, own int, id bigint, set binary")
+    return blocks.map_with(wanted, load, "name bigint, i int, j int, side int, id bigint, set binary")
 
 
-def linked(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) of alike sets, enough to connect what is connected inside each task's sets."""
+def linked(sets: DataFrame, buckets: int, num: int, den: int, across: bool = False) -> DataFrame:
+    """Rows (a, b, name): links of alike sets, enough to connect what is connected inside each task's sets (with
+    across: between its sides); and, b NULL, sets of side 0 in groups of several parts which the links of their
+    task do not connect with the group's smallest id."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("name", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
-        name, i, j, own, ids = (np.asarray(table.column(c)) for c in ("name", "i", "j", "own", "id"))
+        name, i, j, side, ids = (np.asarray(table.column(c)) for c in ("name", "i", "j", "side", "id"))
         data, off = flat(table.column("set"))
-        wide = np.zeros((len(data) // 6, 8), np.uint8)
-        wide[:, :6] = data.reshape(-1, 6)
-        codes, off = wide.reshape(-1).view(U64), off // 6
+        off = off // 6
         new = (np.diff(name) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
         cut = np.flatnonzero(new) + 1
-        found = []
+        found, rest = [], []
         for a, b in zip([0, *cut], [*cut, len(name)], strict=True):
-            # a task of two parts has nothing to do inside one of them
-            side = own[a:b] if i[a] != j[a] else None
-            for x, y in alike(codes[off[a] : off[b]], off[a : b + 1] - off[a], num, den, side):
-                found.append((ids[a + x], ids[a + y]))
-        columns = list(zip(*found, strict=True)) or [[], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+            wide = np.zeros((off[b] - off[a], 8), np.uint8)
+            wide[:, :6] = data[6 * off[a] : 6 * off[b]].reshape(-1, 6)
+            sides = side[a:b] if across else None
+            pairs = alike(wide.reshape(-1).view(U64), off[a : b + 1] - off[a], num, den, sides)
+            found += [(int(ids[a + x]), int(ids[a + y]), int(name[a])) for x, y in pairs]
+            if j[a] >= 0 and not across:
+                lone = apart(ids[a:b], pairs, name[a])
+                rest += [(int(x), None, int(name[a])) for x in ids[a:b][lone & (side[a:b] == 0)]]
+        release()
+        columns = list(zip(*found, *rest, strict=True)) or [[], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b", "name"])
 
     keyed = sets.withColumn("bucket", F.pmod(F.xxhash64("name", "i", "j"), F.lit(buckets)))
-    return keyed.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
+    return keyed.groupBy("bucket").applyInArrow(run, "a bigint, b bigint, name bigint")
 
 
-def alike(codes: np.ndarray, off: np.ndarray, num: int, den: int, side: np.ndarray | None = None, step: int = 256) -> list:
-    """Pairs of sets as alike as asked, sorted sets given one after the other; pairs that earlier ones
-    connect are left out, and so are pairs on one side."""
-    n, size = len(off) - 1, np.diff(off)
-    order = np.argsort(size, kind="stable")
-    parent = np.arange(n)
+def apart(ids: np.ndarray, pairs: list, name: int) -> np.ndarray:
+    """Sets that the pairs do not connect with the set of id `name`."""
+    parent = list(range(len(ids)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -253,6 +287,17 @@ def alike(codes: np.ndarray, off: np.ndarray, num: int, den: int, side: np.ndarr
             x = parent[x]
         return x
 
+    for x, y in pairs:
+        parent[root(x)] = root(y)
+    main = {root(int(k)) for k in np.flatnonzero(ids == name)}
+    return np.array([root(k) not in main for k in range(len(ids))])
+
+
+def alike(codes: np.ndarray, off: np.ndarray, num: int, den: int, side: np.ndarray | None = None, step: int = 256) -> list:
+    """Pairs of sets as alike as asked, sorted sets given one after the other; pairs that earlier ones
+    connect are left out, and so are pairs on one side."""
+    n, size = len(off) - 1, np.diff(off)
+    order = np.argsort(size, kind="stable")
     kept = np.minimum(size, SKETCH)
     owner = np.repeat(np.arange(n), kept)
     head = codes[np.arange(len(owner)) + np.repeat(off[:-1] - (np.cumsum(kept) - kept), kept)]
@@ -267,7 +312,7 @@ def alike(codes: np.ndarray, off: np.ndarray, num: int, den: int, side: np.ndarr
     first = np.searchsorted(owner_at, np.arange(n + 1))
     size_at, kept_at = size[order], kept[order]
     floor = least_shared(num, den) / SKETCH
-    label = np.arange(n)  # component of each set in size order, refreshed row by row where it matters
+    label = np.arange(n)  # component of each set in size order
     out = []
     for a in range(0, n, step):
         b = min(a + step, n)
@@ -288,25 +333,27 @@ def alike(codes: np.ndarray, off: np.ndarray, num: int, den: int, side: np.ndarr
             js = js[size_at[js] * num <= size_at[i] * den]
             if side is not None:
                 js = js[side[order[js]] != side[order[i]]]
-            mine = root(order[i])
             js = js[label[js] != label[i]]
-            if not len(js):
-                continue
-            at = order[js]
-            total = size[at]
-            begin = np.cumsum(total) - total
-            pool = codes[np.arange(total.sum()) + np.repeat(off[at] - begin, total)]
             own = codes[off[order[i]] : off[order[i] + 1]]
-            hit = own[np.minimum(np.searchsorted(own, pool), len(own) - 1)] == pool
-            shared = np.add.reduceat(hit.astype(np.int64), begin)
-            link = den * shared >= num * (len(own) + total - shared)
-            for x in at[link]:
-                r = root(x)
-                if r != mine:
-                    out.append((int(order[i]), int(x)))
-                    parent[r] = mine
-                    gone, kept_label = label[place[x]], label[i]
-                    label[label == gone] = kept_label
+            reach = np.cumsum(size[order[js]])
+            while len(js):
+                take = max(1, int(np.searchsorted(reach, POOL, "right")))
+                near, js = js[:take], js[take:]
+                reach = reach[take:] - reach[take - 1]
+                near = near[label[near] != label[i]]
+                if not len(near):
+                    continue
+                at = order[near]
+                total = size[at]
+                begin = np.cumsum(total) - total
+                pool = codes[np.arange(total.sum()) + np.repeat(off[at] - begin, total)]
+                hit = own[np.minimum(np.searchsorted(own, pool), len(own) - 1)] == pool
+                shared = np.add.reduceat(hit.astype(np.int64), begin)
+                link = den * shared >= num * (len(own) + total - shared)
+                for x in near[link]:
+                    if label[x] != label[i]:
+                        out.append((int(order[i]), int(order[x])))
+                        label[label == label[x]] = label[i]
     return out
 
 
@@ -327,10 +374,20 @@ def group_near_copies(docs: DataFrame, num: int = 85, den: int = 100, width: int
     buckets = max(LEAST_BUCKETS, total * SKETCH // 500_000)
     lists = _save(prefixes(classes, count, buckets, num, den), folder, "lists")
     names = lists.groupBy("value").agg(F.min("id").alias("name"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    asked = _save(lists.join(names.drop("m"), "value").select("name", "id").distinct(), folder, "asked")
-    sets = gathered(Blocks(docs.where("doc_id IS NOT NULL")), asked, width)
-    links = _save(linked(sets, buckets, num, den), folder, "links")
-    for done in ("lists", "asked"):  # what the links were made from is not read again
+    asked = _save(lists.join(names.drop("m"), "value").select("name", "id", "n").distinct(), folder, "asked")
+    blocks = Blocks(docs.where("doc_id IS NOT NULL"), by_text=False)
+
+    def links_of(tasks: DataFrame, name: str, across: bool) -> DataFrame:
+        tasks = _save(tasks, folder, f"{name}-tasks")
+        many = max(LEAST_BUCKETS, (tasks.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES)
+        return _save(linked(gathered(blocks, tasks.drop("n"), width), many, num, den, across), folder, name)
+
+    found = links_of(first_tasks(asked), "links", False)
+    rest = found.where("b IS NULL").select("name", F.col("a").alias("id"))
+    links = found.where("b IS NOT NULL").select("a", "b")
+    if not rest.isEmpty():
+        links = links.union(links_of(second_tasks(asked, rest), "across", True).select("a", "b"))
+    for done in ("lists", "asked", "links-tasks", "across-tasks"):  # what the links were made from is not read again
         remove(spark, f"{folder}/{done}")
     # rows that repeat a doc_id with other texts tie their classes together
     again = real.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")

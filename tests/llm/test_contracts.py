@@ -238,9 +238,43 @@ def test_near_copies_in_parts(documents, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         many.append((i, " ".join(w), "en", "src1"))
+    # and sets that share most of their values with these but are not alike
+    for i in range(70, 110):
+        many.append((i, " ".join(base[:70] + [f"y{rng.randrange(10**6)}" for _ in range(30)]), "en", "src1"))
     whole = collect(bottomk.group_near_copies(documents(many)), "doc_id", "component_id")
-    monkeypatch.setattr(bottomk, "GROUP", 16)
-    assert collect(bottomk.group_near_copies(documents(many)), "doc_id", "component_id") == whole
+    for group, pool in ((16, 1 << 20), (8, 200)):
+        monkeypatch.setattr(bottomk, "GROUP", group)
+        monkeypatch.setattr(bottomk, "LEADERS", 3)
+        monkeypatch.setattr(bottomk, "POOL", pool)
+        assert collect(bottomk.group_near_copies(documents(many)), "doc_id", "component_id") == whole
+
+
+def test_a_family_of_ten_thousand(documents):
+    """Near copies of one text, a chain of drifting ones and unrelated texts, against links by brute force."""
+    from corvine.llm.bottomk import group_near_copies
+
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    many = []
+    for i in range(10_000):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{i}"
+        many.append((i, " ".join(w), "en", "src1"))
+    drift = list(base)
+    for i in range(10_000, 10_030):
+        for _ in range(2):
+            drift[rng.randrange(200)] = f"z{rng.randrange(10**9)}"
+        many.append((i, " ".join(drift), "en", "src1"))
+    lone = [(20_000 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(50)), "en", "src1") for i in range(300)]
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)}
+    chain = [shingles(t) for i, t, *_ in many[10_000:]]
+    alike = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    # a drifting text is in the family if a chain of links leads to a copy; copies are linked with each other
+    near = [any(alike(s, shingles(many[k][1])) for k in range(0, 10_000, 10)) for s in chain]
+    component = components_of(range(31), [(0, k + 1) for k, n in enumerate(near) if n] + [(a + 1, b + 1) for a in range(30) for b in range(a) if alike(chain[a], chain[b])])
+    want = {i: 0 for i in range(10_000)} | {10_000 + k: 0 if c == 0 else 9_999 + c for k, c in ((k - 1, c) for k, c in component.items() if k)} | {i: i for i, *_ in lone}
+    got = {r["doc_id"]: r["component_id"] for r in group_near_copies(documents(many + lone)).collect()}
+    assert got == want
 
 
 def earlier_words(rows, length=13):
