@@ -44,6 +44,8 @@ WORDS = 5
 SKETCH = 64
 #: Probability with which a pair exactly at the threshold may share fewer values than least_shared.
 LOSS = 1e-10
+#: Tasks over which the keys of one group are spread.
+SALTS = 64
 #: Classes in a block of sketches.
 BLOCK_CLASSES = 4096
 #: Sets and shingles of one part; a larger group is dealt as several. Leaders of a group, about.
@@ -180,6 +182,16 @@ def prefixes(classes: DataFrame, count: int, buckets: int, num: int, den: int) -
     )
 
 
+def with_group(rows: DataFrame, by: str) -> DataFrame:
+    """rows: (by, id, n, ...). Adds of each group its smallest id (least), its number of rows (m) and their shingles
+    (t). Rows meet by group and a salt of the id, so that a group that holds a third of all is spread; only
+    the salts of a group, SALTS at most, meet in one task."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)))
+    part = salted.groupBy(by, "salt").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+    whole = part.groupBy(by).agg(F.min("least").alias("least"), F.sum("m").alias("m"), F.sum("t").alias("t"))
+    return salted.join(part.select(by, "salt").join(whole, by), [by, "salt"]).drop("salt")
+
+
 def _parts(sets, shingles):
     return F.greatest(F.ceil(sets / GROUP), F.ceil(shingles / PART_SHINGLES), F.lit(1)).cast("int")
 
@@ -191,8 +203,7 @@ def _part(parts, salt: str):
 def first_tasks(asked: DataFrame) -> DataFrame:
     """asked: (name, id, n). Rows (name, i, j, side, id, n): each set in its part of its group (side 0), leaders in all
     others, too (side 1). j is -1 in a group of one part."""
-    sizes = asked.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")).where("m > 1")
-    known = asked.join(sizes.select("name", "m", _parts(F.col("m"), F.col("t")).alias("parts")), "name")
+    known = with_group(asked, "name").where("m > 1").withColumn("parts", _parts(F.col("m"), F.col("t")))
     known = known.withColumn("own", _part(F.col("parts"), "part"))
     every = F.ceil(F.col("m") / LEADERS)
     leads = (F.col("id") == F.col("name")) | (F.pmod(F.xxhash64("id", F.lit("leader")), every) == 0)
@@ -373,8 +384,8 @@ def group_near_copies(docs: DataFrame, num: int = 85, den: int = 100, width: int
     count = max(1, total // BLOCK_CLASSES)
     buckets = max(LEAST_BUCKETS, total * SKETCH // 500_000)
     lists = _save(prefixes(classes, count, buckets, num, den), folder, "lists")
-    names = lists.groupBy("value").agg(F.min("id").alias("name"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    asked = _save(lists.join(names.drop("m"), "value").select("name", "id", "n").distinct(), folder, "asked")
+    named = with_group(lists, "value").where("m > 1")
+    asked = _save(named.select(F.col("least").alias("name"), "id", "n").distinct(), folder, "asked")
     blocks = Blocks(docs.where("doc_id IS NOT NULL"), by_text=False)
 
     def links_of(tasks: DataFrame, name: str, across: bool) -> DataFrame:
