@@ -131,6 +131,37 @@ def test_xml():
     assert rows[1]["dependencies"] == ["t", "param:id"] and rows[1]["signature"] == '<select id="q" x="1">'
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('<a>&nbsp;<b id="1"/></a>', [("a", "<a>"), ("1", '<b id="1"/>')]),
+        ("<a/><b/>", [("a", "<a/>"), ("b", "<b/>")]),
+        ("", []),
+        ("plain text, no markup & none", []),
+        ('<?xml version="1.0" encoding="GBK"?><r>\u4e2d</r>', [("r", "<r>")]),
+        ('<r id="a&amp;b" q=\'x>y\'/>', [("a&amp;b", '<r id="a&amp;b" q="x>y"/>')]),
+        ("<a><b>", [("a", "<a>"), ("b", "<b>")]),
+        ('<a id="1" id="2" bare x=3 y="4">t</a >', [("1", '<a id="1" y="4">')]),
+        ('<!DOCTYPE r [<!ENTITY e "x">]><!-- <no> --><r><![CDATA[<no>]]><s/></r>', [("r", "<r>"), ("s", "<s/>")]),
+        ("\ufeff<r/>", [("r", "<r/>")]),
+    ],
+)
+def test_xml_is_read_leniently(text, want):
+    rows, error = parse_file("/a.xml", text.encode())
+    assert error is None and [(r["name"], r["signature"]) for r in rows] == want
+
+
+def test_mapper_text_with_unknown_entities():
+    text = '<mapper namespace="n"><select id="a">FROM t &lt; &#65;<b/>JOIN &what; u<i/> JOIN v</select></mapper>'
+    rows, _ = parse_file("/m.xml", text.encode())
+    assert rows[1]["dependencies"] == ["t", "v"]
+
+
+@pytest.mark.parametrize("text", ["</a>", "<a></b>", "<a", "<!-- x", "<![CDATA[ x", "<? x", '<a b="', "<!what>"])
+def test_xml_errors(text):
+    assert parse_file("/a.xml", text.encode())[1]
+
+
 @pytest.mark.parametrize("path, content", [("/a.xml", b"<a><b></a>"), ("/a.java", b"\xff"), ("/a.txt", b"x"), ("/a.java", None)])
 def test_errors_belong_to_the_file(path, content):
     rows, error = parse_file(path, content)
