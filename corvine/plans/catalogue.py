@@ -386,7 +386,11 @@ def hybrid_fuse(spark, sf_dir):
     SELECT doc_id, {ROUND} FROM c2 WHERE k2 <= 3 ORDER BY c2.score DESC, file_path, line LIMIT 10""",
 )
 def hybrid_topk(spark, sf_dir):
-    return ranked(R.diversify(_fused(spark, sf_dir), 10), "doc_id", "score")
+    from corvine.plans.engine import Engine
+    from corvine.schema import Request
+
+    engine = Engine(document_blocks(spark, sf_dir), _vectors(spark, sf_dir), lambda _: _wanted(spark, sf_dir))
+    return ranked(engine.search(Request("the of", limit=10)), "doc_id", "score")
 
 
 @query("hybrid_degraded", _doc_top("the of", "true", 30) .replace("LIMIT 30", "LIMIT 10"))
@@ -460,29 +464,60 @@ def result_ordinal(spark, sf_dir):
     return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("bigint").alias("ordinal"), "doc_id")
 
 
+@query(
+    "search_results",
+    f"""WITH {DOCS}, {bm25_sql('docs', ['the', 'thing'], 'true', _doc_boost('the thing'))},
+    cap AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, line) AS k FROM sc),
+    best AS (SELECT * FROM cap WHERE k <= 3 ORDER BY score DESC, file_path, line LIMIT 10)
+    SELECT row_number() OVER (ORDER BY score DESC, file_path, line) AS ordinal, doc_id, md5(content) AS digest FROM best""",
+)
+def search_results(spark, sf_dir):
+    from corvine.plans.engine import Engine
+    from corvine.schema import Request
+
+    found = Engine(document_blocks(spark, sf_dir)).results(Request("the thing", limit=10))
+    return found.select("ordinal", "doc_id", F.md5("snippet").alias("digest"))
+
+
 _LATEST = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1)"
 
 
 def changes(spark, sf_dir) -> DataFrame:
-    """events as a change log."""
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("path"),
+    return as_changes(table(spark, sf_dir, "events"))
+
+
+def as_changes(events: DataFrame) -> DataFrame:
+    """events as changes of files: the file of a user holds the last event as an XML element."""
+    element = F.concat(
+        F.lit('<e id="'), F.col("event_id").cast("string"), F.lit('" value="'), F.coalesce(F.col("value").cast("string"), F.lit("")), F.lit('"/>')
+    )
+    return events.select(
+        F.struct("ts", "event_id").alias("seq"),
+        F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit(".xml")).alias("path"),
         F.when(F.col("event_type") == "error", "remove").otherwise("upsert").alias("op"),
+        element.cast("binary").alias("content"),
         "ts",
-        "event_id",
-        "value",
     )
 
 
-def latest(log: DataFrame) -> DataFrame:
-    """The newest change of each path: an aggregate, so that it combines before the shuffle."""
-    newest = F.max_by(F.struct("op", "value", "event_id"), F.struct("ts", "event_id"))
-    return log.groupBy("path").agg(newest.alias("x")).select("path", "x.op", "x.value", "x.event_id")
+def user_of(path: str) -> Column:
+    return F.regexp_extract(path, r"^/u/(.*)\.xml$", 1)
+
+
+def scratch(spark, name: str) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvine-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 @query("latest_per_key", f"WITH {_LATEST} SELECT CAST(user_id AS VARCHAR) AS path, CASE event_type WHEN 'error' THEN 'remove' ELSE 'upsert' END AS op, event_id FROM l")
 def latest_per_key(spark, sf_dir):
-    return latest(changes(spark, sf_dir)).select("path", "op", "event_id")
+    from corvine.streaming.updater import newest
+
+    event = F.regexp_extract(F.col("content").cast("string"), 'id="([0-9]+)"', 1).cast("bigint")
+    return newest(changes(spark, sf_dir)).select(user_of("path").alias("path"), "op", event.alias("event_id"))
 
 
 def before_and_after(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -494,24 +529,40 @@ def before_and_after(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dated.where(~later).drop("at"), dated.where(later).drop("at")
 
 
-def apply_changes(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of the old state that no change touches, and the rows that the changes put."""
-    touched = new.select(F.col("path").alias("touched"))
-    return old.join(touched, F.col("path").eqNullSafe(F.col("touched")), "left_anti"), new.where("op = 'upsert'")
+def updated_index(spark, log: DataFrame):
+    """An index of the files as they are before a time, with the changes after it applied."""
+    from corvine.plans.index import Index
+    from corvine.streaming.updater import newest
+
+    before, after = before_and_after(log)
+    index = Index(spark, scratch(spark, "index"), buckets=4)
+    index.build(newest(before).where("op = 'upsert'").select("path", "content"))
+    index.apply(newest(after))
+    return index
+
+
+def users(index) -> DataFrame:
+    """path, event_id and value of the indexed elements."""
+    value = F.nullif(F.regexp_extract("signature", 'value="([^"]*)"', 1), F.lit("")).cast("double")
+    return index.blocks().select(user_of("file_path").alias("path"), F.col("name").cast("bigint").alias("event_id"), value.alias("value"))
 
 
 @query("upsert_apply", f"WITH {_LATEST} SELECT CAST(user_id AS VARCHAR) AS path, event_id, value FROM l WHERE event_type <> 'error'")
 def upsert_apply(spark, sf_dir):
-    before, after = before_and_after(changes(spark, sf_dir))
-    kept, put = apply_changes(latest(before).where("op = 'upsert'"), latest(after))
-    return kept.unionByName(put).select("path", "event_id", "value")
+    return users(updated_index(spark, changes(spark, sf_dir)))
 
 
 @query("remove_apply", f"WITH {_LATEST} SELECT DISTINCT CAST(user_id AS VARCHAR) AS path FROM events WHERE user_id NOT IN (SELECT user_id FROM l WHERE event_type = 'error')")
 def remove_apply(spark, sf_dir):
+    """All files are indexed once; then those go whose newest change is a removal."""
+    from corvine.plans.index import Index
+    from corvine.streaming.updater import newest
+
     log = changes(spark, sf_dir)
-    gone = latest(log).where("op = 'remove'").select("path")
-    return log.select("path").distinct().join(gone, "path", "left_anti")
+    index = Index(spark, scratch(spark, "index"), buckets=4)
+    index.build(newest(log.withColumn("op", F.lit("upsert"))).select("path", "content"))
+    index.apply(newest(log).where("op = 'remove'"))
+    return index.files().select(user_of("path").alias("path"))
 
 
 @query("ignore_ext", r"SELECT page_id, url, coalesce(regexp_extract(split_part(url, '/', -1), '^.+\.([^.]*)$', 1), '') NOT IN ('html', 'png', 'pdf') AS kept FROM pages")
@@ -595,10 +646,17 @@ def param_refs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.parameters(text), ",").alias("params"))
 
 
-@query("block_key_dups", f"WITH {CONV} SELECT file_path, start_line, end_line, count(*) AS n FROM conv GROUP BY ALL HAVING count(*) > 1")
-def block_key_dups(spark, sf_dir):
-    rows = conversation_blocks(spark, sf_dir).groupBy("file_path", "start_line", "end_line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return ranked(rows, "file_path", "start_line", "end_line", "n")
+@query(
+    "block_last_of_key",
+    f"""WITH {CONV} SELECT file_path, start_line, end_line, name FROM (SELECT *, row_number() OVER (PARTITION BY file_path, start_line, end_line
+      ORDER BY score DESC, kind, name) AS k FROM (SELECT file_path, start_line // 3 AS start_line, 0 AS end_line, kind, name, len(content) AS score FROM conv)) WHERE k = 1""",
+)
+def block_last_of_key(spark, sf_dir):
+    """Of blocks that share a key (here: three lines each), the best."""
+    rows = conversation_blocks(spark, sf_dir).withColumns(
+        {"start_line": F.floor(F.col("start_line") / 3).cast("int"), "end_line": F.lit(0), "score": F.length("content").cast("double")}
+    )
+    return ranked(R.best_per_key(rows), "file_path", "start_line", "end_line", "name")
 
 
 @query("file_counts", f"WITH {CONV} SELECT count(DISTINCT file_path) AS files, count(*) AS blocks, count(DISTINCT (file_path, start_line, end_line)) AS keys FROM conv")
@@ -612,57 +670,92 @@ _CHANGE_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type stri
 
 @query("stream_upsert_final", f"WITH {_LATEST} SELECT CAST(user_id AS VARCHAR) AS path, event_id, value FROM l WHERE event_type <> 'error'")
 def stream_upsert_final(spark, sf_dir):
-    """The change log as a stream in micro-batches; the result is the final state."""
-    import tempfile
-    import uuid
+    """The change log as a stream into an index; the result is what the index holds in the end. Without a bound on
+    files a trigger takes all that is there, in which the newest change of a path is found by time."""
+    from corvine.plans.index import Index
+    from corvine.streaming.updater import apply_batch
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvine-stream-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
+    index = Index(spark, f"{folder}/index", buckets=4)
     log = spark.readStream.schema(_CHANGE_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-
-    def apply(batch, _):
-        # each batch leaves its newest change of every path; the newest of these is the state
-        newest = F.max_by(F.struct("event_type", "value", "event_id"), F.struct("ts", "event_id"))
-        rows = batch.groupBy("user_id").agg(newest.alias("x"), F.max("ts").alias("ts"))
-        rows.select("user_id", "ts", "x.*").write.mode("append").parquet(f"{folder}/state")
-
-    q = log.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    state = spark.read.parquet(f"{folder}/state").groupBy("user_id").agg(
-        F.max_by(F.struct("event_type", "value", "event_id"), F.struct("ts", "event_id")).alias("x")
+    body = apply_batch(index)
+    q = (
+        log.writeStream.foreachBatch(lambda batch, n: body(as_changes(batch), n))
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
     )
-    return state.where("x.event_type <> 'error'").select(F.col("user_id").cast("string").alias("path"), "x.event_id", "x.value")
+    q.awaitTermination()
+    return users(index)
 
 
-#: Small sources for the parsers' queries.
+#: Sources for the parsers' queries, one of each for every document; # stands for its doc_id. With each, the rows
+#: that it has to give: lines, kind, name, parent, signature, annotations, dependencies, and the length of
+#: the content without the doc_ids in it and how many these are.
 SOURCES = {
-    "/s/A.java": b"import a.b.C;\n@Svc\npublic class A extends B implements D {\n  private int x = 1;\n  A() { }\n  int f(int y) { return y; }\n}\n",
-    "/s/a.ts": b"import { q } from './q';\nexport interface S { a: string }\nexport class T extends U {\n  v: number = 1;\n  m(a: string): void { }\n}\nconst g = (x) => x, h = 2;\n",
-    "/s/a.vue": b"<template>\n<p/>\n</template>\n<script setup>\nconst e = defineEmits(['x'])\nfunction go() { }\n</script>\n",
-    "/s/m.xml": b'<mapper namespace="n.M">\n<select id="q">\nSELECT * FROM t JOIN u WHERE a = #{a}\n</select>\n</mapper>',
+    "java": (
+        "import a.b.D#;\n@Svc\npublic class C# extends Base implements Run {\n  private int n# = 1;\n  C#() { }\n  int f#(int x) { return g(x); }\n}\n",
+        """(1, 1, 'Import', 'a.b.D#', NULL, NULL, '', '', 13, 1),
+        (2, 7, 'Class', 'C#', NULL, '@Svc' || chr(10) || 'public class C# extends Base implements Run', '@Svc', 'extends Base,implements Run', 114, 4),
+        (4, 4, 'Field', 'n#', 'C#', 'private int n# = 1', '', '', 18, 1),
+        (5, 5, 'Constructor', 'C#', 'C#', 'C# () { }', '', '', 7, 1),
+        (6, 6, 'Method', 'f#', 'C#', 'int f# (int x)', '', '', 29, 1)""",
+    ),
+    "ts": (
+        "import { q } from './m#';\nexport interface S# { a: string }\nexport class T# extends U {\n  v: number = 1;\n  m#(a: string): void { }\n}\n"
+        "export function f#(x) { return x; }\nconst g# = (x) => x;\n",
+        """(1, 1, 'Import', './m#', NULL, NULL, '', '', 24, 1),
+        (2, 2, 'Interface', 'S#', NULL, 'interface S#', '', '', 32, 1),
+        (3, 6, 'Class', 'T#', NULL, 'class T# extends U', '', 'extends U', 70, 2),
+        (4, 4, 'Field', 'v', 'T#', 'v: number = 1', '', '', 13, 0),
+        (5, 5, 'Method', 'm#', 'T#', 'm# (a: string) : void', '', '', 22, 1),
+        (7, 7, 'Method', 'f#', NULL, 'function f# (x)', '', '', 34, 1),
+        (8, 8, 'Method', 'g#', NULL, 'g# = (x) => ...', '', '', 19, 1)""",
+    ),
+    "vue": (
+        "<template>\n<p/>\n</template>\n<script setup>\nconst e# = defineEmits(['x'])\nfunction go#() { }\n</script>\n",
+        """(1, 3, 'Other', 'template', NULL, NULL, '', '', 6, 0),
+        (5, 5, 'Other', 'defineEmits', NULL, 'const e# = defineEmits([''x''])', '', '', 28, 1),
+        (6, 6, 'Method', 'go#', NULL, 'function go# ()', '', '', 17, 1)""",
+    ),
+    "xml": (
+        '<r id="r#">&nbsp;\n<s name="a&amp;#"/>\n<t>\n<u/></t></r><z/>',
+        """(1, 1, 'XmlNode', 'r#', NULL, '<r id="r#">', '', '', 16, 1),
+        (2, 2, 'XmlNode', 'a&amp;#', NULL, '<s name="a&amp;#"/>', '', '', 18, 1),
+        (3, 3, 'XmlNode', 't', NULL, '<t>', '', '', 3, 0),
+        (4, 4, 'XmlNode', 'z', NULL, '<z/>', '', '', 16, 0)""",
+    ),
+    "mapper.xml": (
+        '<mapper namespace="n#">\n<select id="q#">\nSELECT * FROM t# JOIN u<b/>\nWHERE a = %{p}\n</select>\n<sql id="s#">x</sql>\n</mapper>',
+        """(1, 1, 'XmlNamespace', 'n#', NULL, 'namespace: n#', '', '', 22, 1),
+        (2, 5, 'XmlNode', 'q#', 'n#', '<select id="q#">', '', 't#,u,param:p', 67, 2),
+        (6, 6, 'XmlNode', 's#', 'n#', '<sql id="s#">', '', '', 19, 1)""",
+    ),
 }
 
 
-def _parsed(spark, extension: str) -> DataFrame:
+def _parsed(spark, sf_dir, ending: str) -> DataFrame:
     from corvine.plans.index import blocks_of, parse_files
 
-    rows = [(p, c) for p, c in SOURCES.items() if p.endswith(extension)]
-    return blocks_of(parse_files(spark.createDataFrame(rows, "path string, content binary")))
-
+    number = F.col("doc_id").cast("string")
+    content = F.replace(F.replace(F.lit(SOURCES[ending][0]), F.lit("#"), number), F.lit("%{"), F.lit("#{"))
+    path = F.concat(F.lit("/s/"), number, F.lit("." + ending))
+    blocks = blocks_of(parse_files(table(spark, sf_dir, "documents").select(path.alias("path"), content.cast("binary").alias("content"))))
+    listed = blocks.withColumns(
+        {"annotations": F.array_join("annotations", ","), "dependencies": F.array_join("dependencies", ","), "n_chars": F.length("content")}
+    )
+    return ranked(listed, "file_path", "start_line", "end_line", "kind", "name", "parent", "signature", "annotations", "dependencies", "n_chars")
 
-for _ext, _name in ((".java", "parse_java"), (".ts", "parse_js"), (".vue", "parse_vue"), (".xml", "parse_xml")):
-    QUERIES[_name] = lambda spark, sf_dir, e=_ext: _parsed(spark, e)
 
+def _parsed_sql(ending: str) -> str:
+    put = lambda c: f"replace({c}, '#', CAST(doc_id AS VARCHAR)) AS {c}"
+    return f"""SELECT '/s/' || doc_id || '.{ending}' AS file_path, start_line, end_line, kind, {put('name')}, {put('parent')}, {put('signature')},
+      annotations, {put('dependencies')}, n + times * len(CAST(doc_id AS VARCHAR)) AS n_chars
+    FROM documents, (VALUES {SOURCES[ending][1]}) v(start_line, end_line, kind, name, parent, signature, annotations, dependencies, n, times)"""
 
-@query("parse_pages")
-def parse_pages(spark, sf_dir):
-    """The XML parser over all pages: how many parse and how many blocks they give."""
-    from corvine.plans.index import counts, parse_files
 
-    files = table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("/p/"), F.col("page_id").cast("string"), F.lit(".xml")).alias("path"), F.col("html").cast("binary").alias("content")
-    )
-    return counts(parse_files(files))
+for _ending, _name in (("java", "parse_java"), ("ts", "parse_js"), ("vue", "parse_vue"), ("xml", "parse_xml"), ("mapper.xml", "parse_mapper")):
+    query(_name, _parsed_sql(_ending))(lambda spark, sf_dir, e=_ending: _parsed(spark, sf_dir, e))
 
 
 @query("embed_documents")

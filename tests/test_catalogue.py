@@ -24,7 +24,7 @@ def test_entry(spark):
 
 
 def test_plan_reads_only_what_it_needs(spark, data):
-    plan = catalogue.latest(catalogue.changes(spark, data))._jdf.queryExecution().executedPlan().toString()
+    plan = catalogue.latest_per_key(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan.split("ReadSchema")[1]
     path = catalogue.bm25_path(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(source,src1)" in path
@@ -32,11 +32,15 @@ def test_plan_reads_only_what_it_needs(spark, data):
 
 
 def test_upsert_keeps_and_puts(spark, data):
+    from corvine.streaming.updater import newest
+
     before, after = catalogue.before_and_after(catalogue.changes(spark, data))
     assert before.agg({"ts": "max"}).first()[0] < after.agg({"ts": "min"}).first()[0]
-    kept, put = catalogue.apply_changes(catalogue.latest(before).where("op = 'upsert'"), catalogue.latest(after))
-    kept, put = ({r["path"] for r in x.collect()} for x in (kept, put))
-    assert kept and put and not kept & put
+    held = {r["path"] for r in catalogue.updated_index(spark, catalogue.changes(spark, data)).files().collect()}
+    old, new = ({r["path"]: r["op"] for r in newest(x).collect()} for x in (before, after))
+    kept = {p for p, op in old.items() if op == "upsert" and p not in new}
+    put = {p for p, op in new.items() if op == "upsert"}
+    assert kept and put and held == kept | put
 
 
 def test_antijoin_drops_what_spanning_blocks_contain(spark, data):
