@@ -42,22 +42,50 @@ def corpus_stats(blocks: DataFrame, terms: list[str]) -> DataFrame:
     return blocks.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *dfs)
 
 
+def _facts(blocks: DataFrame, terms: list[str], keep: list) -> DataFrame:
+    """keep columns, and all that statistics and scores ask of a row: length, tf and df of the terms, in order."""
+    return with_tokens(blocks).select(
+        *keep,
+        "length",
+        F.array(*[S.term_frequency(F.col("tokens"), F.lit(t)).cast("int") for t in terms]).alias("__tf"),
+        F.array(*[S.holds(F.col("content"), F.col("name"), F.lit(t)) for t in terms]).alias("__df"),
+    )
+
+
+def _sum_of_terms(terms: list[str], own: list[str], n: Column, average: Column, df) -> Column:
+    """BM25 of a row of _facts; a term that the query repeats counts again."""
+    total = F.lit(0.0)
+    for t in terms:
+        k = own.index(t)
+        tf = F.get("__tf", F.lit(k)).cast("double")
+        total = total + S.bm25_term(tf, S.idf(n, df(k)), F.col("length"), average)
+    return total
+
+
+def _scored(facts: DataFrame, query: str, terms: list[str], own: list[str], keep: list[str]) -> DataFrame:
+    """keep columns and score of the rows that score above zero; statistics are over all rows of facts. They are
+    one row, which is broadcast whatever the size of the corpus. Both sides use every column of facts, so that a
+    shuffle below them is made once for both."""
+    stats = facts.agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.avg("length").alias("__average"),
+        F.max(F.xxhash64(*facts.columns)).alias("__any"),
+        *[F.count_if(F.get("__df", F.lit(k))).alias(f"__df{k}") for k in range(len(own))],
+    ).where(F.col("__any").isNotNull())
+    met = facts.where(F.exists("__df", lambda x: x)).crossJoin(F.broadcast(stats))
+    score = _sum_of_terms(terms, own, F.col("__n"), F.col("__average"), lambda k: F.col(f"__df{k}"))
+    score = score * S.name_boost(F.col("name"), F.col("kind"), F.lit(query)) * S.kind_boost(F.col("kind"))
+    return met.select(*keep, score.alias("score")).where((F.col("score") > 0) & ~F.isnan("score"))
+
+
 def bm25_scores(blocks: DataFrame, query: str) -> DataFrame:
-    """Adds score and keeps what scores above zero. Statistics are of the rows given, so filters come first.
-    The statistics are one row, which is broadcast whatever the size of the corpus."""
+    """Adds score and keeps what scores above zero. Statistics are of the rows given, so filters come first."""
     terms = X.query_terms(query)
     if not terms:
         return blocks.withColumn("score", F.lit(0.0)).where(F.lit(False))
     own = list(dict.fromkeys(terms))
-    blocks = with_tokens(blocks)
     keep = [c for c in blocks.columns if c not in ("tokens", "length")]
-    scored = blocks.crossJoin(F.broadcast(corpus_stats(blocks, own)))
-    total = F.lit(0.0)
-    for t in terms:  # a term that the query repeats counts again
-        tf = S.term_frequency(F.col("tokens"), F.lit(t)).cast("double")
-        total = total + S.bm25_term(tf, S.idf(F.col("n"), F.col(f"df{own.index(t)}")), F.col("length"), F.col("average"))
-    score = total * S.name_boost(F.col("name"), F.col("kind"), F.lit(query)) * S.kind_boost(F.col("kind"))
-    return scored.select(*keep, score.alias("score")).where((F.col("score") > 0) & ~F.isnan("score"))
+    return _scored(_facts(blocks, own, keep), query, terms, own, keep)
 
 
 def outermost(ranked: DataFrame, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
@@ -110,53 +138,85 @@ def _mark() -> Column:
 
 
 def bm25_search(blocks: DataFrame, query: str, languages: list[str] | None, limit: int, overlap: str = "outer") -> DataFrame:
-    """Ranking moves keys and scores alone through its shuffles; the whole rows are read again for those that
-    remain, at most `limit`, which are what is broadcast."""
+    """The texts are read and cut into tokens once: keys and the few numbers that a score needs cross one shuffle,
+    from which both the statistics and the scores are made. The whole rows are read again for the blocks that
+    remain, `limit` at most."""
     blocks = keep_languages(blocks, languages)
-    own = [*KEY, "kind", "name"]
-    narrow = bm25_scores(blocks, query).select(*own, _mark(), "score")
-    best = diversify(narrow, limit, overlap)
-    whole = blocks.drop("tokens").withColumn("__mark", _mark()).join(F.broadcast(best), [*own, "__mark"])
+    terms = X.query_terms(query)
+    if not terms:
+        return blocks.drop("tokens").withColumn("score", F.lit(0.0)).where(F.lit(False))
+    own, keys = list(dict.fromkeys(terms)), [*KEY, "kind", "name"]
+    facts = _facts(blocks, own, [*keys, _mark()]).repartition(*KEY)
+    narrow = _scored(facts, query, terms, own, [*keys, "__mark"])
+    return top(whole_rows(blocks, diversify(narrow, limit, overlap), limit), limit)
+
+
+#: Rows up to which a list of results is broadcast to the blocks; a longer one is joined by shuffle.
+BROADCAST_ROWS = 10_000
+
+
+def whole_rows(blocks: DataFrame, best: DataFrame, limit: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The blocks that best names by key, kind, name and mark, with its other columns."""
+    keys = [*KEY, "kind", "name"]
+    listed = F.broadcast(best) if limit <= BROADCAST_ROWS else best
+    whole = blocks.drop("tokens").withColumn("__mark", _mark()).join(listed, [*keys, "__mark"])
     # overlap removal leaves one block a key; what is still alike here is equal, too
-    first = Window.partitionBy(*KEY).orderBy("kind", "name")
+    first = Window.partitionBy(*by, *KEY).orderBy("kind", "name")
     found = whole.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return top(found.select(*[c for c in blocks.columns if c != "tokens"], "score"), limit)
+    own = [c for c in blocks.columns if c != "tokens"]
+    return found.select(*by, *own, *[c for c in best.columns if c not in (*by, *keys, "__mark", *own)])
+
+
+#: Requests that one pass over the blocks answers.
+REQUESTS = 32
 
 
 def bm25_many(blocks: DataFrame, requests: list[Request]) -> DataFrame:
-    """bm25_search for many requests in one plan: their rows, with the number of the request as `request`.
-
-    The requests are a given set, which is broadcast; every block meets every request whose filters it passes,
-    statistics are one row a request, and the ranking of each is cut by a window whose limit Spark applies
-    before the shuffle."""
-    spark = blocks.sparkSession
-    terms = [X.query_terms(r.query) for r in requests]
-    most = max(map(len, terms), default=0)
-    rows = [(i, r.query, t, r.languages, r.path, r.limit) for i, (r, t) in enumerate(zip(requests, terms, strict=True)) if t]
-    schema = "request int, q string, terms array<string>, langs array<string>, part string, most int"
-    asked = F.broadcast(spark.createDataFrame(rows, schema))
-    blocks = with_tokens(blocks)
-    keep = [c for c in blocks.columns if c not in ("tokens", "length")]
-    fits = (F.col("langs").isNull() | F.array_contains("langs", F.col("language"))) & (
-        F.col("part").isNull() | F.contains("file_path", F.col("part"))
-    )
-    met = blocks.crossJoin(asked).where(fits)
-    term = lambda i: F.get("terms", F.lit(i))
-    dfs = [F.count_if(S.holds(F.col("content"), F.col("name"), term(i))).alias(f"df{i}") for i in range(most)]
-    stats = met.groupBy("request").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *dfs)
-    total = F.lit(0.0)
-    for i in range(most):
-        tf = S.term_frequency(F.col("tokens"), term(i)).cast("double")
-        part = S.bm25_term(tf, S.idf(F.col("n"), F.col(f"df{i}")), F.col("length"), F.col("average"))
-        total = total + F.when(term(i).isNotNull(), part).otherwise(0.0)
-    score = total * S.name_boost(F.col("name"), F.col("kind"), F.col("q")) * S.kind_boost(F.col("kind"))
-    scored = met.join(F.broadcast(stats), "request").select("request", "most", *keep, score.alias("score"))
-    scored = scored.where((F.col("score") > 0) & ~F.isnan("score"))
+    """bm25_search for many requests: their rows, with the number of the request as `request`.
+
+    REQUESTS at a time share a pass: a block's terms are counted once for all, the statistics of all are one row,
+    and a block gives a row only for requests whose filters it passes and one of whose terms it holds. Keys and
+    scores alone reach the rankings, whose windows Spark limits before their shuffle."""
+    asked = [(i, r, X.query_terms(r.query)) for i, r in enumerate(requests)]
+    asked = [x for x in asked if x[2]]
+    parts = [_many(blocks, asked[a : a + REQUESTS]) for a in range(0, max(len(asked), 1), REQUESTS)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _many(blocks: DataFrame, asked: list[tuple[int, Request, list[str]]]) -> DataFrame:
+    keys = [*KEY, "kind", "name"]
+    own = list(dict.fromkeys(t for *_, terms in asked for t in terms))
+    facts = _facts(blocks, own, [*keys, "language", _mark()]).repartition(*KEY)
+
+    def fits(r: Request) -> Column:
+        by_language = F.lit(True) if r.languages is None else F.coalesce(F.col("language").isin(r.languages), F.lit(False))
+        return by_language if r.path is None else by_language & F.coalesce(F.contains("file_path", F.lit(r.path)), F.lit(False))
+
+    holds = lambda t: F.coalesce(F.get("__df", F.lit(own.index(t))), F.lit(False))
+    sums = [F.max(F.xxhash64(*facts.columns)).alias("__any")]
+    for i, r, terms in asked:
+        sums += [F.count_if(fits(r)).alias(f"__n{i}"), F.avg(F.when(fits(r), F.col("length"))).alias(f"__average{i}")]
+        sums += [F.count_if(fits(r) & holds(t)).alias(f"__df{i}_{own.index(t)}") for t in dict.fromkeys(terms)]
+    met = facts.crossJoin(F.broadcast(facts.agg(*sums).where(F.col("__any").isNotNull())))
+    found = [F.lit(None).cast("struct<request:int,limit:int,score:double>")]
+    for i, r, terms in asked:
+        total = _sum_of_terms(terms, own, F.col(f"__n{i}"), F.col(f"__average{i}"), lambda k, i=i: F.col(f"__df{i}_{k}"))
+        score = total * S.name_boost(F.col("name"), F.col("kind"), F.lit(r.query)) * S.kind_boost(F.col("kind"))
+        row = F.struct(F.lit(i).alias("request"), F.lit(r.limit).alias("limit"), score.alias("score"))
+        matches = fits(r)
+        matches = matches & F.exists(F.array(*[holds(t) for t in dict.fromkeys(terms)]), lambda x: x)
+        found.append(F.when(matches, row))
+    rows = met.select(*keys, "__mark", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
+    scored = rows.select(*keys, "__mark", "x.request", F.col("x.limit").alias("__limit"), "x.score").where((F.col("score") > 0) & ~F.isnan("score"))
     best = cap_per_file(outermost(scored, by=("request",)), by=("request",))
     order = Window.partitionBy("request").orderBy(*total_order())
     best = best.withColumn("ordinal", F.row_number().over(order).cast("bigint"))
-    limit = max((r.limit for r in requests), default=0)
-    return best.where(F.col("ordinal") <= limit).where("ordinal <= most").drop("most")
+    limit = max((r.limit for _, r, _ in asked), default=0)
+    best = best.where(F.col("ordinal") <= limit).where("ordinal <= __limit").drop("__limit")
+    return whole_rows(blocks, best, limit * len(asked), ("request",))
 
 
 def vector_scores(blocks: DataFrame, vectors: DataFrame, wanted: list[float]) -> DataFrame:
@@ -175,16 +235,18 @@ def best_per_key(rows: DataFrame, score: str = "score") -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 
 
-def fuse(bm25: DataFrame, vectors: DataFrame, blocks: DataFrame, alpha: float = S.ALPHA) -> DataFrame:
+def fuse(bm25: DataFrame, vectors: DataFrame, blocks: DataFrame, alpha: float = S.ALPHA, limit: int = 0) -> DataFrame:
     """Full outer fusion of two candidate lists on the block key. BM25 scores are scaled to [0, 1] over their
-    list; a side that misses a block counts as 0."""
-    span = bm25.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    left = best_per_key(bm25).crossJoin(F.broadcast(span)).select(*KEY, S.min_max(F.col("score"), F.col("lo"), F.col("hi")).alias("b"))
+    list, by a window over it, so it is made once; a side that misses a block counts as 0. limit: rows of both
+    lists at most, which decides how they meet the blocks."""
+    all_rows = Window.partitionBy()  # a list of candidates, not the corpus
+    spanned = bm25.select(*KEY, "kind", "name", "score", F.min("score").over(all_rows).alias("lo"), F.max("score").over(all_rows).alias("hi"))
+    left = best_per_key(spanned).select(*KEY, S.min_max(F.col("score"), F.col("lo"), F.col("hi")).alias("b"))
     right = vectors.select(*KEY, S.rescale(F.col("cosine")).alias("v"))
     both = left.join(right, KEY, "full_outer").select(
         *KEY, (alpha * F.coalesce("b", F.lit(0.0)) + (1 - alpha) * F.coalesce("v", F.lit(0.0))).alias("score")
     )
     first = Window.partitionBy(*KEY).orderBy("kind", "name")
-    # candidates are few (a multiple of the limit), so they are what is broadcast
-    found = blocks.drop("tokens").join(F.broadcast(both), KEY).withColumn("__n", F.row_number().over(first))
+    listed = F.broadcast(both) if limit <= BROADCAST_ROWS else both
+    found = blocks.drop("tokens").join(listed, KEY).withColumn("__n", F.row_number().over(first))
     return found.where("__n = 1").drop("__n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import zlib
@@ -88,12 +89,27 @@ class OnnxEmbedder:
 
 
 def embed_texts(rows: DataFrame, embedder: Embedder) -> DataFrame:
-    """rows: key columns and text. The text is replaced by its vector."""
+    """rows: key columns and text. The text is replaced by its vector; a text on which the embedder fails gives
+    no row, so that it is found by its words only, and the others of its batch keep theirs."""
     keep = [c for c in rows.columns if c != "text"]
     kinds = dict(rows.dtypes)
 
     def run(batches):
         for pdf in batches:
-            yield pdf[keep].assign(embedding=embedder.embed(pdf["text"].tolist()))
+            texts = pdf["text"].tolist()
+            try:
+                vectors = embedder.embed(texts)
+            except Exception:  # one text at a time, to lose only those that fail
+                vectors = [_one(embedder, t) for t in texts]
+            good = [v is not None for v in vectors]
+            yield pdf.loc[good, keep].assign(embedding=[v for v in vectors if v is not None])
 
     return rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", embedding array<float>")
+
+
+def _one(embedder: Embedder, text: str) -> list[float] | None:
+    try:
+        return embedder.embed([text])[0]
+    except Exception as e:
+        logging.warning("no vector: %s: %s", type(e).__name__, e)
+        return None

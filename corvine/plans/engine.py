@@ -38,7 +38,8 @@ class Engine:
         except Exception:  # a model that fails degrades the search, it does not end it
             return R.top(best, request.limit)
         near = R.vector_top(R.vector_scores(blocks, self.vectors, wanted), request.limit * VECTOR_FETCH)
-        return R.diversify(R.fuse(best, near, blocks), request.limit, overlap)
+        both = R.fuse(best, near, blocks, limit=request.limit * (BM25_FETCH + VECTOR_FETCH))
+        return R.diversify(both, request.limit, overlap)
 
     def search_many(self, requests: list[Request]) -> DataFrame:
         """Keyword searches for a set of requests in one plan, with their number and ordinals."""

@@ -1,8 +1,13 @@
 """Index tables: building from files, and updates by path.
 
-blocks, files and vectors are kept in buckets by a hash of the path. An update writes new versions of the
+blocks, files and vectors are kept in buckets by a hash of the path; a new index gets a bucket for every
+BUCKET_BYTES of its files, and a bucket is written by several tasks. An update writes new versions of the
 buckets it touches and then one commit row for each; readers use the newest committed version of every
 bucket, so a search never waits for an update and an update never rewrites the whole index.
+
+Every writer claims a version of its own, by a file that only one can create, so writers never overwrite each
+other's data; one that finds its buckets changed since it read them raises ConcurrentUpdate and commits
+nothing. (Two commits within the same moment can still miss each other: use one writer for each bucket.)
 """
 
 from __future__ import annotations
@@ -14,7 +19,15 @@ from corvine.functions.text import document_text, embedding_text, tokens
 from corvine.plans.embedders import Embedder, embed_texts
 from corvine.schema import BLOCK, INDEXED, VECTOR
 
+#: Buckets at least, and bytes of files for each in a new index.
 BUCKETS = 32
+BUCKET_BYTES = 256 << 20
+
+
+class ConcurrentUpdate(RuntimeError):
+    """Another writer has committed to a bucket in the meantime."""
+
+
 _FILE_STATE = "path string, error string, n_blocks int"
 
 
@@ -73,8 +86,31 @@ def embed_blocks(blocks: DataFrame, embedder: Embedder) -> DataFrame:
 class Index:
     """A versioned index in a folder of any store that Spark reads."""
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, buckets: int = BUCKETS) -> None:
-        self.spark, self.root, self.embedder, self.buckets = spark, root.rstrip("/"), embedder, buckets
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, buckets: int | None = None) -> None:
+        """buckets: their number in a new index, by its size if not given; an index that is there has its own."""
+        self.spark, self.root, self.embedder, self._wanted = spark, root.rstrip("/"), embedder, buckets
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    @property
+    def buckets(self) -> int:
+        """The number that the index was built with."""
+        path, store = self._path("buckets")
+        if not store.exists(path):
+            return self._wanted or BUCKETS
+        return int(self.spark.read.text(f"{self.root}/buckets").first()["value"])
+
+    def _claim(self) -> int:
+        """A version that no other writer has."""
+        version = max(self._commits().values(), default=0) + 1
+        while True:
+            path, store = self._path(f"claims/{version}")
+            store.mkdirs(path.getParent())
+            if store.createNewFile(path):
+                return version
+            version += 1
 
     def _commits(self) -> dict[tuple[str, int], int]:
         """Newest version of each table's bucket; at most three rows a bucket reach the driver."""
@@ -107,7 +143,18 @@ class Index:
 
     def build(self, files: DataFrame) -> None:
         """A new index of these files alone; files that fail are recorded with their error."""
-        self._write(parse_files(files), None, list(range(self.buckets)))
+        number = self._wanted
+        if number is None:
+            size = files.agg(F.sum(F.octet_length("content")).alias("b")).first()["b"] or 0
+            number = max(BUCKETS, -(-size // BUCKET_BYTES))
+        self._start(number)
+        self._write(parse_files(files), None, list(range(number)))
+
+    def _start(self, buckets: int) -> None:
+        """Forget what is committed, and set the number of buckets."""
+        path, store = self._path("commits")
+        store.delete(path, True)
+        self.spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/buckets")
 
     def apply(self, changes: DataFrame) -> None:
         """changes: path, op ('upsert' or 'remove'), content; one row a path. A file that does not parse keeps
@@ -121,13 +168,23 @@ class Index:
         self._write(parsed, removed, touched)
 
     def clear(self) -> None:
-        self._write(parse_files(self.spark.createDataFrame([], "path string, content binary")), None, list(range(self.buckets)))
+        number = self.buckets
+        self._start(number)
+        self._write(parse_files(self.spark.createDataFrame([], "path string, content binary")), None, list(range(number)))
 
     def _bucket(self, path: str):
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
 
+    def _dealt(self, rows: DataFrame, key: str, touched: int) -> DataFrame:
+        """Rows by bucket, each bucket over as many tasks as the shuffle partitions allow."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = max(1, tasks // max(touched, 1))
+        part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(spread))
+        return rows.withColumn("bucket", self._bucket(key)).repartition(max(tasks, touched), F.col("bucket"), part)
+
     def _write(self, parsed: DataFrame, removed: DataFrame | None, touched: list[int]) -> None:
-        version = max(self._commits().values(), default=0) + 1
+        seen = self._commits()
+        version = self._claim()
         stage = f"{self.root}/parsed/v={version}"
         parsed.write.mode("overwrite").parquet(stage)  # parsed once, read for every table
         parsed = self.spark.read.parquet(stage)
@@ -143,8 +200,12 @@ class Index:
                 gone = (good if name != "files" else parsed).select("path").unionByName(removed).withColumnRenamed("path", "__gone")
                 old = self._read(name, schema, touched)
                 new = old.join(gone, old[key] == gone["__gone"], "left_anti").unionByName(new)
-            out = new.withColumn("bucket", self._bucket(key)).repartition(F.col("bucket"))
-            out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
+            self._dealt(new, key, len(touched)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
+        path, store = self._path(f"parsed/v={version}")
+        store.delete(path, True)  # not read again
+        now = self._commits()
+        if any(now.get((t, b)) != seen.get((t, b)) for t in tables for b in touched):
+            raise ConcurrentUpdate(f"buckets of {self.root} have changed since version {version} began")
         rows = [(t, b, version) for t in tables for b in touched]
         self.spark.createDataFrame(rows, "table string, bucket int, version long").coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
 

@@ -81,19 +81,27 @@ def read_tree(spark: SparkSession, root: str, rules: list[Rule] | None = None) -
     return files.where(~is_excluded(rules, rel)).select(plain.alias("path"), extension("path").alias("ext"), "content")
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, ext and content of given files; unreadable ones have NULL content."""
-    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 256)))
+def read_files(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
+    """path, ext and content of given files (a list, or a table with the column path), read by the tasks;
+    unreadable ones have NULL content."""
+    if isinstance(paths, list):
+        rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 256)))
+    else:
+        rows = paths.select("path").repartition("path")
 
     def run(batches):
+        import pandas as pd
+
         for pdf in batches:
-            content = []
-            for p in pdf["path"]:
-                try:
-                    with open(p, "rb") as f:
-                        content.append(f.read())
-                except OSError:
-                    content.append(None)
-            yield pdf.assign(ext=[extension_of(p) for p in pdf["path"]], content=content)
+            for a in range(0, len(pdf), 64):  # few contents at a time
+                part = pdf["path"].iloc[a : a + 64].tolist()
+                content = []
+                for p in part:
+                    try:
+                        with open(p, "rb") as f:
+                            content.append(f.read())
+                    except OSError:
+                        content.append(None)
+                yield pd.DataFrame({"path": part, "ext": [extension_of(p) for p in part], "content": content})
 
     return rows.mapInPandas(run, "path string, ext string, content binary")

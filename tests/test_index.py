@@ -1,3 +1,5 @@
+import io
+import json
 import os
 import time
 
@@ -5,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvine.plans.engine import Engine
-from corvine.plans.embedders import HashingEmbedder, OnnxEmbedder, mean_pool, unit
-from corvine.plans.index import Index, counts, parse_files
+from corvine.__main__ import line_request
+from corvine.plans.embedders import HashingEmbedder, OnnxEmbedder, embed_texts, mean_pool, unit
+from corvine.plans.index import ConcurrentUpdate, Index, counts, parse_files
 from corvine.schema import Request
 from corvine.sources.scan import read_files, read_tree, walk
-from corvine.streaming.changes import difference, snapshot
-from corvine.streaming.updater import follow
+from corvine.server import serve
+from corvine.streaming.changes import advance, difference, snapshot
+from corvine.streaming.updater import follow, with_content
 
 FILES = {
     "src/A.java": "class A { int find() { return 1; } }",
@@ -19,7 +23,7 @@ FILES = {
     "lib/x.jar": "x",
     "skip/D.java": "class D { }",
     "keep.xml": "<a><b id='q'/></a>",
-    "bad.xml": "<a>",
+    "bad.xml": "<a></b>",
     "notes.txt": "x",
 }
 
@@ -70,7 +74,7 @@ def test_updates_equal_a_fresh_build(spark, tree, tmp_path):
     plain = Engine(index.blocks().drop("tokens")).search(Request("find")).collect()
     assert Engine(index.blocks()).search(Request("find")).collect() == plain
     a, b, xml = (f"{os.path.realpath(tree)}/{n}" for n in ("src/A.java", "src/b.js", "keep.xml"))
-    changes = [(a, "upsert", b"class A { void other() { } void more() { } }"), (b, "remove", None), (xml, "upsert", b"<broken>")]
+    changes = [(a, "upsert", b"class A { void other() { } void more() { } }"), (b, "remove", None), (xml, "upsert", b"</broken>")]
     index.apply(spark.createDataFrame(changes, "path string, op string, content binary"))
     index.apply(spark.createDataFrame(changes, "path string, op string, content binary"))  # again: the same
     with open(a, "wb") as f:
@@ -87,8 +91,86 @@ def test_updates_equal_a_fresh_build(spark, tree, tmp_path):
 
 
 def test_difference():
-    assert difference({"/gone.java": 1}, {}) == [(0, "/gone.java", "remove", None)]
-    assert difference({}, {"/none.java": 1}) == [(0, "/none.java", "remove", None)]
+    old, new = {"/gone.java": 1, "/same.java": 1, "/other.java": 1}, {"/same.java": 1, "/other.java": 2, "/new.java": 1}
+    rows = difference(old, new)
+    assert rows == [(0, "/gone.java", "remove"), (1, "/new.java", "upsert"), (2, "/other.java", "upsert")]
+    assert advance(old, new, rows) == new
+    first = difference(old, new, 2)
+    assert first == rows[:2] and difference(advance(old, new, first), new) == [(0, "/other.java", "upsert")]
+
+
+def test_contents_are_read_by_tasks(spark, tree):
+    changes = spark.createDataFrame([(f"{tree}/src/A.java", "upsert"), (f"{tree}/gone.java", "upsert"), (f"{tree}/x.java", "remove")], "path string, op string")
+    got = sorted((os.path.basename(r["path"]), r["op"], r["content"] is None) for r in with_content(changes).collect())
+    assert got == [("A.java", "upsert", False), ("gone.java", "remove", True), ("x.java", "remove", True)]
+
+
+def test_writers_do_not_overwrite_each_other(spark, tree, tmp_path):
+    index = Index(spark, str(tmp_path / "i"), buckets=2)
+    index.build(read_files(spark, walk(tree)))
+    before = state(index)
+    a, b = index._claim(), index._claim()
+    assert a != b
+    one = spark.createDataFrame([("/z/A.java", "upsert", b"class Z { }")], "path string, op string, content binary")
+    held = index._commits
+    calls = []
+
+    def late():  # another writer commits between this one's first and last look
+        calls.append(1)
+        found = held()
+        return found if len(calls) < 4 else {k: v + 1 for k, v in found.items()}
+
+    index._commits = late
+    with pytest.raises(ConcurrentUpdate):
+        index.apply(one)
+    del index._commits
+    assert state(index) == before
+    index.apply(one)
+    assert len(state(index)) == len(before) + 1
+
+
+def test_buckets_are_written_by_several_tasks(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"), buckets=1)
+    index.build(spark.createDataFrame([(f"/{i}.xml", b"<a/>") for i in range(50)], "path string, content binary"))
+    assert Index(spark, str(tmp_path / "i")).buckets == 1
+    files = list((tmp_path / "i" / "blocks").glob("v=*/bucket=0/*.parquet"))
+    assert len(files) > 1 and index.blocks().count() == 50
+
+
+def test_a_failing_model_loses_only_its_texts(spark):
+    class Failing:
+        def embed(self, texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return [[1.0]] * len(texts)
+
+    rows = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "good")], "id int, text string").coalesce(1)
+    assert sorted(r["id"] for r in embed_texts(rows, Failing()).collect()) == [1, 3]
+
+
+def test_search_tool():
+    asked = []
+    search = lambda r: asked.append(r) or "found"
+    call = lambda **fields: {"id": 1, "method": "tools/call", "params": {"name": "search", "arguments": fields}}
+    lines = [
+        {"id": 0, "method": "initialize", "params": {"protocolVersion": "2024-11-05"}},
+        {"method": "notifications/initialized"},
+        {"id": 2, "method": "tools/list"},
+        call(query="find user", lang="java", limit=3, context="2", path="src"),
+        call(limit=3),
+        call(query="x", limit="3"),
+        {"id": 4, "method": "nothing"},
+    ]
+    sink = io.StringIO()
+    serve(search, io.StringIO("\n".join(map(json.dumps, lines)) + "\n{\n"), sink)
+    got = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert got[0]["result"]["protocolVersion"] == "2024-11-05" and got[0]["result"]["instructions"]
+    assert [t["name"] for t in got[1]["result"]["tools"]] == ["search"]
+    assert got[2]["result"] == {"content": [{"type": "text", "text": "found"}], "isError": False}
+    assert asked == [Request("find user", lang="java", limit=3, context="2", path="src")]
+    assert [g["error"]["code"] for g in got[3:]] == [-32602, -32602, -32601, -32700]
+    assert line_request("plain words\n") == Request("plain words")
+    assert line_request('{"query": "q", "limit": 2}') == Request("q", limit=2)
 
 
 def test_stream_follows_the_tree(spark, tree, tmp_path):
@@ -130,7 +212,7 @@ def test_table_function(spark):
     from corvine.plans.index import register_blocks_function
 
     register_blocks_function(spark)
-    rows = spark.createDataFrame([("/a.java", b"class A { int f() { return 1; } }"), ("/b.xml", b"<a>"), ("/c.txt", None)], "path string, content binary")
+    rows = spark.createDataFrame([("/a.java", b"class A { int f() { return 1; } }"), ("/b.xml", b"</a>"), ("/c.txt", None)], "path string, content binary")
     rows.createOrReplaceTempView("some_files")
     got = spark.sql("SELECT f.path, b.kind, b.name FROM some_files f, LATERAL code_blocks(f.path, f.content) b").collect()
     assert sorted(tuple(r) for r in got) == [("/a.java", "Class", "A"), ("/a.java", "Method", "f")]
