@@ -43,13 +43,22 @@ def corpus_stats(blocks: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def _facts(blocks: DataFrame, terms: list[str], keep: list) -> DataFrame:
-    """keep columns, and all that statistics and scores ask of a row: length, tf and df of the terms, in order."""
-    return with_tokens(blocks).select(
-        *keep,
-        "length",
-        F.array(*[S.term_frequency(F.col("tokens"), F.lit(t)).cast("int") for t in terms]).alias("__tf"),
-        F.array(*[S.holds(F.col("content"), F.col("name"), F.lit(t)) for t in terms]).alias("__df"),
-    )
+    """keep columns, and all that statistics and scores ask of a row: its length, and for each term twice its
+    frequency, plus one if the row holds the term at all. One column, so that both need the same columns."""
+
+    def fact(t: str) -> Column:
+        held = F.coalesce(S.holds(F.col("content"), F.col("name"), F.lit(t)), F.lit(False))
+        return 2 * S.term_frequency(F.col("tokens"), F.lit(t)).cast("bigint") + held.cast("bigint")
+
+    return with_tokens(blocks).select(*keep, "length", F.array(*map(fact, terms)).alias("__facts"))
+
+
+def _frequency(k: int) -> Column:
+    return F.shiftright(F.get("__facts", F.lit(k)), 1).cast("double")
+
+
+def _holds(k: int) -> Column:
+    return F.get("__facts", F.lit(k)).bitwiseAND(F.lit(1)) == 1
 
 
 def _sum_of_terms(terms: list[str], own: list[str], n: Column, average: Column, df) -> Column:
@@ -57,8 +66,7 @@ def _sum_of_terms(terms: list[str], own: list[str], n: Column, average: Column,
     total = F.lit(0.0)
     for t in terms:
         k = own.index(t)
-        tf = F.get("__tf", F.lit(k)).cast("double")
-        total = total + S.bm25_term(tf, S.idf(n, df(k)), F.col("length"), average)
+        total = total + S.bm25_term(_frequency(k), S.idf(n, df(k)), F.col("length"), average)
     return total
 
 
@@ -70,9 +78,9 @@ def _scored(facts: DataFrame, query: str, terms: list[str], own: list[str], keep
         F.count(F.lit(1)).alias("__n"),
         F.avg("length").alias("__average"),
         F.max(F.xxhash64(*facts.columns)).alias("__any"),
-        *[F.count_if(F.get("__df", F.lit(k))).alias(f"__df{k}") for k in range(len(own))],
+        *[F.count_if(_holds(k)).alias(f"__df{k}") for k in range(len(own))],
     ).where(F.col("__any").isNotNull())
-    met = facts.where(F.exists("__df", lambda x: x)).crossJoin(F.broadcast(stats))
+    met = facts.crossJoin(F.broadcast(stats))  # a filter here would go below the shuffle, and part the two sides
     score = _sum_of_terms(terms, own, F.col("__n"), F.col("__average"), lambda k: F.col(f"__df{k}"))
     score = score * S.name_boost(F.col("name"), F.col("kind"), F.lit(query)) * S.kind_boost(F.col("kind"))
     return met.select(*keep, score.alias("score")).where((F.col("score") > 0) & ~F.isnan("score"))
@@ -195,7 +203,7 @@ def _many(blocks: DataFrame, asked: list[tuple[int, Request, list[str]]]) -> Dat
         by_language = F.lit(True) if r.languages is None else F.coalesce(F.col("language").isin(r.languages), F.lit(False))
         return by_language if r.path is None else by_language & F.coalesce(F.contains("file_path", F.lit(r.path)), F.lit(False))
 
-    holds = lambda t: F.coalesce(F.get("__df", F.lit(own.index(t))), F.lit(False))
+    holds = lambda t: _holds(own.index(t))
     sums = [F.max(F.xxhash64(*facts.columns)).alias("__any")]
     for i, r, terms in asked:
         sums += [F.count_if(fits(r)).alias(f"__n{i}"), F.avg(F.when(fits(r), F.col("length"))).alias(f"__average{i}")]
