@@ -200,7 +200,7 @@ def followed(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.crc32("text"))
     rows = rows.mapInArrow(squeeze, "doc_id bigint, packed binary, piece int, ahead int, tie bigint")
-    dealt = rows.repartition(ranges, "piece").sortWithinPartitions("piece", "ahead", "doc_id", "tie", "packed").drop("tie")
+    dealt = rows.repartitionById(ranges, "piece").sortWithinPartitions("piece", "ahead", "doc_id", "tie", "packed").drop("tie")
 
     def run(batches):
         import zstandard

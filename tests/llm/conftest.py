@@ -27,6 +27,7 @@ ODD = [
     (8, "a" * 5000, "en", "src1"),
     (9, "word " * 3000, "en", "src1"),
     (10, "12345 67890 !!!", None, "src4"),
+    (12, " ".join(f"w{k * 7919 % 10007}" for k in range(30_000)), "en", "src5"),
     (11, "nul\0inside and <|endoftext|> marks", "en", "src1"),
 ]
 

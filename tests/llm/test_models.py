@@ -1,5 +1,6 @@
 """Learned operators: held-out quality, odd rows, and that labels of held-out rows are not used."""
 
+import math
 import zlib
 
 import numpy as np
@@ -83,6 +84,35 @@ def test_network_gradient():
         assert abs((up - down) / 2e-3 - g[k]) < 1e-2
 
 
+def slow_language(net, text: bytes):
+    """Probabilities of one text: every window, position and filter in turn, in double precision."""
+    found = []
+    for a in range(0, len(text), langid.WINDOW):
+        window = text[a : a + langid.WINDOW].ljust(langid.WINDOW, b"\0") + b"\0" * 3
+        hidden = []
+        for width, table in zip(langid.WIDTHS, net.tables, strict=True):
+            sums = [sum(table[o][window[i + o]].astype(float) for o in range(width)) for i in range(langid.WINDOW)]
+            hidden += [max(0.0, max(s[f] for s in sums)) for f in range(langid.FILTERS)]
+        z = [sum(h * net.out[k][c] for k, h in enumerate(hidden)) + net.bias[c] for c in range(len(net.labels))]
+        e = [math.exp(v - max(z)) for v in z]
+        found.append([v / sum(e) for v in e])
+    return [sum(p[c] for p in found) / len(found) for c in range(len(net.labels))]
+
+
+def test_language_scores_by_brute_force():
+    import pyarrow as pa
+
+    net = langid.ByteNet(["a", "b", "c"], seed=5)
+    rng = np.random.default_rng(8)
+    net.out = rng.normal(0, 1, net.out.shape).astype(np.float32)
+    texts = ["été", "x" * 300, "".join(rng.choice(list("abc é日"), 700)), "12 34", "", None]
+    pred, score = net.frozen().texts(*flat(pa.array(texts)))
+    for i, t in enumerate(texts[:3]):
+        p = slow_language(net, t.encode())
+        assert pred[i] == int(np.argmax(p)) and abs(score[i] - max(p)) < 1e-4
+    assert pred[3:].tolist() == [-1] * 3 and score[3:].tolist() == [0] * 3
+
+
 def test_windows_cover_the_whole_text():
     """A long text whose last part is in another language is not judged by its beginning."""
     rng = np.random.default_rng(5)
@@ -249,6 +279,32 @@ def test_co_training_uses_the_other_view():
     assert auc(both, hidden) > 0.97 and both.shape == text.shape == meta.shape
 
 
+def slow_quality(model, text: bytes, meta: list[int]):
+    """Both views and their combination for one document, trigram by trigram."""
+    counts = {}
+    for k in range(len(text) - 2):
+        code = (((text[k] << 16 | text[k + 1] << 8 | text[k + 2]) * 2654435761) % 2**32) >> (32 - cotrain.TEXT_DIMS.bit_length() + 1)
+        counts[code] = counts.get(code, 0) + 1
+    pieces = max(len(text) - 2, 0)
+    scale = pieces / (pieces + cotrain.SHORT)
+    norm = math.sqrt(sum(counts.values())) or 1.0  # entries are roots of counts
+    x = {c: math.sqrt(n) * scale / norm for c, n in counts.items()} | {0: scale}
+    logistic = lambda z: 1 / (1 + math.exp(-z))
+    zt = (sum(v * float(model.text[0][c]) for c, v in x.items()) + model.text[1]) * model.text_curve[0][0] + model.text_curve[1]
+    zm = (sum(float(model.meta[0][m]) for m in meta) + model.meta[1]) * model.meta_curve[0][0] + model.meta_curve[1]
+    return logistic(zt * model.both[0][0] + zm * model.both[0][1] + model.both[1]), logistic(zt), logistic(zm)
+
+
+def test_quality_scores_by_brute_force(spark, documents, odd):
+    model = cotrain.train(*[spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")])
+    docs = documents([(k, *row[1:]) for k, row in enumerate(odd)])
+    got = {r["doc_id"]: r for r in cotrain.score(docs, model).collect()}
+    meta = {r["doc_id"]: list(r[1:]) for r in docs.select("doc_id", *cotrain.meta_columns()).collect()}
+    for k, (_, text, *_) in enumerate(odd):
+        want = slow_quality(model, (text or "").encode(), meta[k])
+        assert np.allclose([got[k][c] for c in ("score", "text_score", "page_score")], want, atol=1e-4)
+
+
 def test_quality_odd_rows(spark, documents, odd):
     model = cotrain.train(*[spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")])
     rows = cotrain.score(documents(odd), model)
