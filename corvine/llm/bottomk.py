@@ -182,11 +182,15 @@ def prefixes(classes: DataFrame, count: int, buckets: int, num: int, den: int) -
     )
 
 
+def _salt():
+    return F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int")
+
+
 def with_group(rows: DataFrame, by: str) -> DataFrame:
     """rows: (by, id, n, ...). Adds of each group its smallest id (least), its number of rows (m) and their shingles
     (t). Rows meet by group and a salt of the id, so that a group that holds a third of all is spread; only
     the salts of a group, SALTS at most, meet in one task."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)))
+    salted = rows.withColumn("salt", _salt())
     part = salted.groupBy(by, "salt").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
     whole = part.groupBy(by).agg(F.min("least").alias("least"), F.sum("m").alias("m"), F.sum("t").alias("t"))
     return salted.join(part.select(by, "salt").join(whole, by), [by, "salt"]).drop("salt")
@@ -221,13 +225,16 @@ def first_tasks(asked: DataFrame) -> DataFrame:
 def second_tasks(asked: DataFrame, rest: DataFrame) -> DataFrame:
     """rest: (name, id) of sets that their part did not connect. Rows as by first_tasks: side 0 a part of the rest,
     side 1 a part of all sets of the group."""
-    left = asked.join(rest, ["name", "id"], "left_semi")
-    few = left.groupBy("name").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("few"))
-    sizes = asked.groupBy("name").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts")).join(few, "name")
+    left = with_group(asked.join(rest, ["name", "id"], "left_semi"), "name")
+    few = left.groupBy("name").agg(_parts(F.max("m"), F.max("t")).alias("few"))
+    every = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot group meets it by salts
+    known = asked.withColumn("salt", _salt()).join(every, ["name", "salt"]).drop("salt")
+    known = with_group(known, "name").withColumn("parts", _parts(F.col("m"), F.col("t")))
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    mine = left.join(sizes, "name").withColumn("i", _part(F.col("few"), "rest")).select("name", "i", span("parts").alias("j"), F.lit(0).alias("side"), "id", "n")
-    theirs = asked.join(sizes, "name").withColumn("j", _part(F.col("parts"), "part")).select("name", span("few").alias("i"), "j", F.lit(1).alias("side"), "id", "n")
-    return mine.unionByName(theirs)
+    mine = known.join(rest, ["name", "id"], "left_semi").withColumn("i", _part(F.col("few"), "rest"))
+    mine = mine.select("name", "i", span("parts").alias("j"), F.lit(0).alias("side"), "id", "n")
+    theirs = known.withColumn("j", _part(F.col("parts"), "part"))
+    return mine.unionByName(theirs.select("name", span("few").alias("i"), "j", F.lit(1).alias("side"), "id", "n"))
 
 
 def gathered(blocks: Blocks, tasks: DataFrame, width: int) -> DataFrame:
