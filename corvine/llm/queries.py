@@ -203,3 +203,35 @@ def op2_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvine.llm.cotrain import score_held_out
 
     return score_held_out(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op11_runs")
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.runs import run_digests
+
+    return run_digests(read_table(spark, sf_dir, "documents"))
+
+
+_ENDS = "CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 15 WHEN 'assistant' THEN 5 ELSE 20 + len(role) + {role} END"
+_MARKS = r"<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>|\[\\*/?ROLE\]|\[\\*/TURN\]"
+
+
+@query(
+    "op12_chat",
+    rf"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+      UNION ALL SELECT -7, k, role, '</s>[INST] ok [/INST]', role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, role)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS k FROM c),
+    m AS (SELECT *, lag(role, 1, 'assistant') OVER (PARTITION BY conv_id ORDER BY k) AS before FROM o)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+           CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(CASE WHEN before = 'assistant' THEN 3 ELSE 0 END + {_ENDS.format(role="len(regexp_extract_all(role, '" + _MARKS + "'))")}
+             + len(text) + len(regexp_extract_all(text, '{_MARKS}'))) AS BIGINT) AS formatted_chars
+    FROM m GROUP BY conv_id
+    """,
+)
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvine.llm.chat import read_back, with_trap
+
+    return read_back(with_trap(spark, read_table(spark, sf_dir, "conversations")))
