@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from corvine.llm.blocks import LEAST_BUCKETS, Block, Blocks, answer, deal, gather, told
 from corvine.llm.components import components
-from corvine.llm.textkit import BYTE_VALUE, FOLD, batches_of, chunks, flat, mix, range_hashes, release, remove, scratch_dir, words
+from corvine.llm.textkit import FOLD, batches_of, chunks, flat, mix, range_hashes, release, remove, scratch_dir, word_hashes, words
 
 WORDS = 5
 SKETCH = 64
@@ -62,7 +62,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = WORDS) -> tuple
     """Sorted distinct shingle hashes of each document, one after the other, and their bounds."""
     folded = FOLD[data]
     starts, ends, first = words(folded, off)
-    h = range_hashes(BYTE_VALUE[0][folded], starts, ends)
+    h = word_hashes(folded, starts, ends)
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
     left = first[1:][doc] - np.arange(len(h))

@@ -43,7 +43,7 @@ from corvine.llm.blocks import (
     told,
     whole_copies,
 )
-from corvine.llm.textkit import BYTE_VALUE, range_hashes, sha256_hex, words
+from corvine.llm.textkit import range_hashes, sha256_hex, word_hashes, words
 
 LENGTH = 13
 PERIOD = 7
@@ -57,7 +57,7 @@ class Passages:
     def __init__(self, block: Block, length: int) -> None:
         self.block, self.length = block, length
         starts, ends, self.first = words(block.data, block.off)
-        self.words = [range_hashes(BYTE_VALUE[k][block.data], starts, ends, k) for k in (0, 1)]
+        self.words = [word_hashes(block.data, starts, ends, k) for k in (0, 1)]
         n = len(starts)
         self.doc = np.repeat(np.arange(len(block.ids)), np.diff(self.first))
         self.place = np.arange(n) - self.first[:-1][self.doc] if n else np.zeros(0, np.int64)

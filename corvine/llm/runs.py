@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.textkit import BYTE_VALUE, batches_of, chunks, flat, mix, range_hashes, release, spans, words
+from corvine.llm.textkit import batches_of, chunks, flat, mix, release, spans, word_hashes, words
 
 LEAST = 24
 EXPONENT = 3
@@ -238,7 +238,7 @@ def find_runs(
             if own is not None:
                 source[bounds[k] : bounds[k + 1]] = bounds[k] + own
                 moved[k] = True
-        codes = range_hashes(BYTE_VALUE[0][data], starts, ends)[source]
+        codes = word_hashes(data, starts, ends)[source]
         ranges = repeating(codes, first, least, exponent)
         raw, s, e, src = data.tobytes(), starts.tolist(), ends.tolist(), source.tolist()
         runs = [[] for _ in ids]

@@ -167,6 +167,20 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane:
     return mix((total[ends] - total[starts]) * POWERS.down[lane][starts])
 
 
+#: Bytes of a word that a polynomial may hash; longer ones can differ in patterns that cancel out modulo 2**64.
+SHORT_WORD = 32
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of the words data[s:e]: range_hashes of their bytes, and BLAKE2b for long words."""
+    out = range_hashes(BYTE_VALUE[lane][data], starts, ends, lane)
+    long = np.flatnonzero(ends - starts > SHORT_WORD)
+    raw = data.tobytes() if len(long) else b""
+    for k, s, e in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        out[k] = int.from_bytes(hashlib.blake2b(raw[s:e], digest_size=8, person=b"lane%d" % lane).digest(), "little")
+    return out
+
+
 def rolling_hashes(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
     """range_hashes of every range of one width."""
     n = len(values) - width + 1

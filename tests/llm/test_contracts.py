@@ -46,11 +46,28 @@ def corpus(seed=1, n=60):
     return out
 
 
-@pytest.fixture(params=["corpus", "odd", "empty", "repeated ids"])
+def pattern(n, letters="ab"):
+    """A Thue-Morse word of n bytes and its complement: their differences cancel in polynomials modulo 2**64."""
+    a, b = letters
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def long_words():
+    """Different words of one pattern, where a window, a shingle or a whole short text hangs on them."""
+    out, front = [], " ".join(f"w{k}" for k in range(12))
+    for k, n in enumerate((16, 64, 128, 256, 512, 1024, 2048, 4096)):
+        a, b = pattern(n, ("ab", "xY")[k % 2])
+        out += [(10 * k + 1, f"{front} {a}"), (10 * k + 2, f"{front} {b}"), (10 * k + 3, a), (10 * k + 4, b), (10 * k + 5, f"u{k} v {a} {b} {a} w " * 6)]
+    return [(i, t, "en", "src1") for i, t in out]
+
+
+@pytest.fixture(params=["corpus", "odd", "empty", "repeated ids", "long words"])
 def rows(request, odd):
     """The last has ids that repeat with the same and with other texts."""
     twice = [(i // 3, *rest) for i, *rest in corpus(5, 40)] + [(i // 6, *rest) for i, *rest in corpus(5, 12)]
-    return {"corpus": corpus(), "odd": odd, "empty": [], "repeated ids": twice}[request.param]
+    return {"corpus": corpus(), "odd": odd, "empty": [], "repeated ids": twice, "long words": long_words()}[request.param]
 
 
 def texts(rows):
