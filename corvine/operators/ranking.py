@@ -140,7 +140,7 @@ def diversify(ranked: DataFrame, limit: int, overlap: str = "outer") -> DataFram
     return top(cap_per_file(ranked), limit)
 
 
-def _mark() -> Column:
+def block_mark() -> Column:
     """Tells blocks apart that share key, kind and name."""
     return F.xxhash64("content", "signature", "parent").alias("__mark")
 
@@ -154,7 +154,7 @@ def bm25_search(blocks: DataFrame, query: str, languages: list[str] | None, limi
     if not terms:
         return blocks.drop("tokens").withColumn("score", F.lit(0.0)).where(F.lit(False))
     own, keys = list(dict.fromkeys(terms)), [*KEY, "kind", "name"]
-    facts = _facts(blocks, own, [*keys, _mark()]).repartition(*KEY)
+    facts = _facts(blocks, own, [*keys, block_mark()]).repartition(*KEY)
     narrow = _scored(facts, query, terms, own, [*keys, "__mark"])
     return top(whole_rows(blocks, diversify(narrow, limit, overlap), limit), limit)
 
@@ -167,7 +167,7 @@ def whole_rows(blocks: DataFrame, best: DataFrame, limit: int, by: tuple[str, ..
     """The blocks that best names by key, kind, name and mark, with its other columns."""
     keys = [*KEY, "kind", "name"]
     listed = F.broadcast(best) if limit <= BROADCAST_ROWS else best
-    whole = blocks.drop("tokens").withColumn("__mark", _mark()).join(listed, [*keys, "__mark"])
+    whole = blocks.drop("tokens").withColumn("__mark", block_mark()).join(listed, [*keys, "__mark"])
     # overlap removal leaves one block a key; what is still alike here is equal, too
     first = Window.partitionBy(*by, *KEY).orderBy("kind", "name")
     found = whole.withColumn("__n", F.row_number().over(first)).where("__n = 1")
@@ -197,7 +197,7 @@ def bm25_many(blocks: DataFrame, requests: list[Request]) -> DataFrame:
 def _many(blocks: DataFrame, asked: list[tuple[int, Request, list[str]]]) -> DataFrame:
     keys = [*KEY, "kind", "name"]
     own = list(dict.fromkeys(t for *_, terms in asked for t in terms))
-    facts = _facts(blocks, own, [*keys, "language", _mark()]).repartition(*KEY)
+    facts = _facts(blocks, own, [*keys, "language", block_mark()]).repartition(*KEY)
 
     def fits(r: Request) -> Column:
         by_language = F.lit(True) if r.languages is None else F.coalesce(F.col("language").isin(r.languages), F.lit(False))
@@ -243,10 +243,10 @@ def best_per_key(rows: DataFrame, score: str = "score") -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 
 
-def fuse(bm25: DataFrame, vectors: DataFrame, blocks: DataFrame, alpha: float = S.ALPHA, limit: int = 0) -> DataFrame:
+def fuse(bm25: DataFrame, vectors: DataFrame, blocks: DataFrame, alpha: float = S.ALPHA, limit: int | None = None) -> DataFrame:
     """Full outer fusion of two candidate lists on the block key. BM25 scores are scaled to [0, 1] over their
     list, by a window over it, so it is made once; a side that misses a block counts as 0. limit: rows of both
-    lists at most, which decides how they meet the blocks."""
+    lists at most, if known; only a short list is broadcast to the blocks."""
     all_rows = Window.partitionBy()  # a list of candidates, not the corpus
     spanned = bm25.select(*KEY, "kind", "name", "score", F.min("score").over(all_rows).alias("lo"), F.max("score").over(all_rows).alias("hi"))
     left = best_per_key(spanned).select(*KEY, S.min_max(F.col("score"), F.col("lo"), F.col("hi")).alias("b"))
@@ -255,6 +255,6 @@ def fuse(bm25: DataFrame, vectors: DataFrame, blocks: DataFrame, alpha: float =
         *KEY, (alpha * F.coalesce("b", F.lit(0.0)) + (1 - alpha) * F.coalesce("v", F.lit(0.0))).alias("score")
     )
     first = Window.partitionBy(*KEY).orderBy("kind", "name")
-    listed = F.broadcast(both) if limit <= BROADCAST_ROWS else both
+    listed = F.broadcast(both) if limit is not None and limit <= BROADCAST_ROWS else both
     found = blocks.drop("tokens").join(listed, KEY).withColumn("__n", F.row_number().over(first))
     return found.where("__n = 1").drop("__n")

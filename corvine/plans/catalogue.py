@@ -233,6 +233,36 @@ def bm25_many(spark, sf_dir):
     return ranked(Engine(document_blocks(spark, sf_dir)).search_many(asked), "request", "doc_id", "score")
 
 
+@query("bm25_postings", ORACLE["bm25_many"])
+def bm25_postings(spark, sf_dir):
+    """The requests of bm25_many as a table, answered from posting lists."""
+    from corvine.operators.postings import Postings, request_table
+    from corvine.schema import Request
+
+    lists = Postings(spark, scratch(spark, "postings"))
+    lists.write(document_blocks(spark, sf_dir))
+    asked = request_table(spark, [Request("the thing"), Request("que la", lang="es, fr", limit=5), Request("the", path="src1", limit=20)])
+    doc_id = F.regexp_extract("name", r"^doc_(\d+)$", 1).cast("bigint")
+    return ranked(lists.search(asked).withColumn("doc_id", doc_id), "request", "doc_id", "score")
+
+
+_WORDS_OF = ["th", "ing", "e", "tion", "none of these"]
+
+
+@query(
+    "postings_words",
+    f"""WITH {DOCS}, w AS (SELECT DISTINCT unnest(list_concat({tokens_sql("lower(content)")}, {tokens_sql("lower(name)")})) AS word FROM docs),
+    t AS (SELECT unnest({_WORDS_OF}) AS term) SELECT term, word FROM t JOIN w ON contains(word, term)""",
+)
+def postings_words(spark, sf_dir):
+    """The indexed words that hold a term, by their grams."""
+    from corvine.operators.postings import Postings
+
+    lists = Postings(spark, scratch(spark, "postings"))
+    lists.write(document_blocks(spark, sf_dir))
+    return lists.words_of(spark.createDataFrame([(t,) for t in _WORDS_OF], "term string"))
+
+
 @query("name_boost", f"WITH {CONV} SELECT file_path, start_line, end_line, name, CAST({_name_boost_sql('user_1')} AS DOUBLE) AS a, CAST({_name_boost_sql('assistant')} AS DOUBLE) AS b FROM conv")
 def name_boost(spark, sf_dir):
     rows = conversation_blocks(spark, sf_dir)
