@@ -34,7 +34,7 @@ LISTED = 5_000
 BUCKET_BYTES = 64 << 20
 LEAST_BUCKETS = 16
 
-_POSTING = """__row bigint, file_path string, start_line int, end_line int, kind string, name string, __mark bigint, language string, length int,
+_POSTING = """__row bigint, file_path string, start_line bigint, end_line bigint, kind string, name string, __mark bigint, language string, length int,
     term string, tf int, held boolean, bucket int"""
 _SCHEMAS = {"postings": _POSTING, "grams": "gram string, word string, bucket int", "sizes": "language string, file_path string, n bigint, total bigint"}
 REQUEST = "request int, query string, lang string, limit int, path string"
@@ -67,8 +67,13 @@ def postings(blocks: DataFrame) -> DataFrame:
     """A row for each block and term: the columns of BLOCK, term, tf, held."""
     words = lambda c: F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), X.SEPARATORS), "")
     held = F.array_distinct(F.concat(words(F.col("content")), words(F.col("name"))))
+    wide = [F.col(c).cast("bigint").alias(c) for c in KEY[1:]]  # lines
     rows = R.with_tokens(blocks).select(
-        F.monotonically_increasing_id().alias("__row"), *KEY, "kind", "name", R.block_mark(), "language", "length", term_counts(F.col("tokens"), held).alias("__terms")
+        F.monotonically_increasing_id().alias("__row"),
+        KEY[0],
+        *wide,
+        *["kind", "name", R.block_mark(), "language", "length"],
+        term_counts(F.col("tokens"), held).alias("__terms"),
     )
     return rows.select(*BLOCK, F.inline("__terms"))
 
