@@ -43,9 +43,10 @@ def main(argv: list[str] | None = None) -> int:
     watcher = None
     if args.no_follow:
         index.build(read_files(spark, walk(args.path)))
-    else:  # the first batch is the whole tree
-        index.clear()
-        watcher = follow(spark, args.path, index, f"{root}/stream")
+    else:
+        if not index.followed():  # the first batch is the whole tree
+            index.clear()
+        watcher = follow(spark, args.path, index, index.stream)
         watcher.processAllAvailable()
     logging.info("files %d, blocks %d", index.files().count(), index.blocks().count())
     search = lambda request: index.engine().render(request)  # noqa: E731  the newest committed state

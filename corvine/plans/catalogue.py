@@ -516,13 +516,19 @@ def changes(spark, sf_dir) -> DataFrame:
     return as_changes(table(spark, sf_dir, "events"))
 
 
+def wall_micros(ts: str) -> Column:
+    """Microseconds since 1970 by the clock, of a timestamp with or without a zone."""
+    minutes = F.unix_date(F.to_date(ts)).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+
+
 def as_changes(events: DataFrame) -> DataFrame:
     """events as changes of files: the file of a user holds the last event as an XML element."""
     element = F.concat(
         F.lit('<e id="'), F.col("event_id").cast("string"), F.lit('" value="'), F.coalesce(F.col("value").cast("string"), F.lit("")), F.lit('"/>')
     )
     return events.select(
-        F.struct("ts", "event_id").alias("seq"),
+        (wall_micros("ts").cast("decimal(20,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("event_id")).cast("decimal(38,0)").alias("seq"),
         F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit(".xml")).alias("path"),
         F.when(F.col("event_type") == "error", "remove").otherwise("upsert").alias("op"),
         element.cast("binary").alias("content"),

@@ -8,12 +8,18 @@ bucket, so a search never waits for an update and an update never rewrites the w
 Every writer claims a version of its own, by a file that only one can create, so writers never overwrite each
 other's data; one that finds its buckets changed since it read them raises ConcurrentUpdate and commits
 nothing. (Two commits within the same moment can still miss each other: use one writer for each bucket.)
+
+Changes may carry their place in a log, seq. The index then keeps the seq of every path, also of removed ones, and
+takes only changes that come after it, so batches of a log may arrive in any order and more than once.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvine.functions.text import document_text, embedding_text, tokens
 from corvine.plans.embedders import Embedder, embed_texts
@@ -28,14 +34,17 @@ class ConcurrentUpdate(RuntimeError):
     """Another writer has committed to a bucket in the meantime."""
 
 
-_FILE_STATE = "path string, error string, n_blocks int"
+#: Wide enough for a 64-bit number, or for a time in microseconds before another number.
+SEQ = "decimal(38,0)"
+_FILE_STATE = f"path string, error string, n_blocks int, seq {SEQ}, removed boolean"
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """files: path, content. One row a file: path, error, blocks (array)."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("error", T.StringType()), T.StructField("blocks", T.ArrayType(BLOCK))])
+    """files: path, content. One row a file: path, error, blocks (array). A row that is `removed`, where files say so,
+    is not parsed, and a column seq stays."""
+    extra = [c for c in ("seq", "removed") if c in files.columns]
+    own = [T.StructField("path", T.StringType()), T.StructField("error", T.StringType()), T.StructField("blocks", T.ArrayType(BLOCK))]
+    schema = T.StructType([*own, *[files.schema[c] for c in extra]])
 
     def run(batches):
         import pandas as pd
@@ -43,10 +52,13 @@ def parse_files(files: DataFrame) -> DataFrame:
         from corvine.sources.parsers import parse_file
 
         for pdf in batches:
-            found = [parse_file(p, None if c is None else bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
-            yield pd.DataFrame({"path": pdf["path"], "error": [e for _, e in found], "blocks": [b for b, _ in found]})
+            gone = pdf["removed"] if "removed" in extra else [False] * len(pdf)
+            rows = zip(pdf["path"], pdf["content"], gone, strict=True)
+            found = [([], None) if g else parse_file(p, None if c is None else bytes(c)) for p, c, g in rows]
+            out = {"path": pdf["path"], "error": [e for _, e in found], "blocks": [b for b, _ in found]}
+            yield pd.DataFrame(out | {c: pdf[c] for c in extra})
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content", *extra).mapInPandas(run, schema)
 
 
 def register_blocks_function(spark: SparkSession, name: str = "code_blocks") -> None:
@@ -83,6 +95,10 @@ def embed_blocks(blocks: DataFrame, embedder: Embedder) -> DataFrame:
     return embed_texts(last, embedder)
 
 
+def _plain(files: DataFrame) -> DataFrame:
+    return files.select("path", "content", F.lit(None).cast(SEQ).alias("seq"), F.lit(False).alias("removed"))
+
+
 class Index:
     """A versioned index in a folder of any store that Spark reads."""
 
@@ -102,9 +118,9 @@ class Index:
             return self._wanted or BUCKETS
         return int(self.spark.read.text(f"{self.root}/buckets").first()["value"])
 
-    def _claim(self) -> int:
+    def _claim(self, seen: dict | None = None) -> int:
         """A version that no other writer has."""
-        version = max(self._commits().values(), default=0) + 1
+        version = max((self._commits() if seen is None else seen).values(), default=0) + 1
         while True:
             path, store = self._path(f"claims/{version}")
             store.mkdirs(path.getParent())
@@ -120,26 +136,31 @@ class Index:
         rows = self.spark.read.parquet(f"{self.root}/commits").groupBy("table", "bucket").agg(F.max("version").alias("v"))
         return {(r["table"], r["bucket"]): r["v"] for r in rows.collect()}
 
-    def _read(self, table: str, schema, buckets: list[int] | None = None) -> DataFrame:
-        now = self._commits()
-        paths = [f"{self.root}/{t}/v={v}/bucket={b}" for (t, b), v in sorted(now.items()) if t == table and (buckets is None or b in buckets)]
-        exists = [p for p in paths if self._exists(p)]
-        if not exists:
+    def _read(self, table: str, schema, buckets: list[int] | None = None, now: dict | None = None) -> DataFrame:
+        """A table as committed now, or at another time. The versions in use are listed, and the buckets that each
+        one holds the newest data of are chosen by partition filters."""
+        now = self._commits() if now is None else now
+        by: dict[int, list[int]] = {}
+        for (t, b), v in now.items():
+            if t == table and (buckets is None or b in buckets):
+                by.setdefault(v, []).append(b)
+        if not by:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*exists)
-
-    def _exists(self, p: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        columns = [f.name for f in T.StructType.fromDDL(schema)] if isinstance(schema, str) else schema.names
+        full = (T.StructType.fromDDL(schema) if isinstance(schema, str) else T.StructType(list(schema))).add("v", T.LongType()).add("bucket", T.IntegerType())
+        rows = self.spark.read.schema(full).option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{table}/v={v}" for v in sorted(by)])
+        parts = [(F.col("v") == v) & F.col("bucket").isin(own) for v, own in sorted(by.items())]
+        return rows.where(functools.reduce(lambda x, y: x | y, parts)).select(*columns)
 
-    def blocks(self) -> DataFrame:
-        return self._read("blocks", INDEXED)
+    def blocks(self, now: dict | None = None) -> DataFrame:
+        return self._read("blocks", INDEXED, now=now)
 
-    def vectors(self) -> DataFrame:
-        return self._read("vectors", VECTOR)
+    def vectors(self, now: dict | None = None) -> DataFrame:
+        return self._read("vectors", VECTOR, now=now)
 
     def files(self) -> DataFrame:
-        return self._read("files", _FILE_STATE)
+        """path, error, n_blocks, seq of the files that are there."""
+        return self._read("files", _FILE_STATE).where("NOT coalesce(removed, false)").drop("removed")
 
     def build(self, files: DataFrame) -> None:
         """A new index of these files alone; files that fail are recorded with their error."""
@@ -148,7 +169,7 @@ class Index:
             size = files.agg(F.sum(F.octet_length("content")).alias("b")).first()["b"] or 0
             number = max(BUCKETS, -(-size // BUCKET_BYTES))
         self._start(number)
-        self._write(parse_files(files), None, list(range(number)))
+        self._write(parse_files(_plain(files)), list(range(number)))
 
     def _start(self, buckets: int) -> None:
         """Forget what is committed, and set the number of buckets."""
@@ -158,19 +179,38 @@ class Index:
 
     def apply(self, changes: DataFrame) -> None:
         """changes: path, op ('upsert' or 'remove'), content; one row a path. A file that does not parse keeps
-        its old rows; one that parses to nothing loses them."""
-        changes = changes.withColumn("bucket", self._bucket("path"))
-        touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]
+        its old rows; one that parses to nothing loses them. With a column seq, a number, only changes above the
+        one that the index holds of their path are taken, and a removal keeps its own; without, all are, and the
+        index's seq stays."""
+        ordered = "seq" in changes.columns
+        seq = F.col("seq") if ordered else F.lit(None)
+        changes = changes.select("path", "content", seq.cast(SEQ).alias("seq"), (F.col("op") == "remove").alias("removed"))
+        touched = [r["bucket"] for r in changes.select(self._bucket("path").alias("bucket")).distinct().collect()]
         if not touched:
             return
-        parsed = parse_files(changes.where("op = 'upsert'"))
-        removed = changes.where("op = 'remove'").select("path")
-        self._write(parsed, removed, touched)
+        seen = self._commits()
+        held = self._read("files", _FILE_STATE, touched, seen).select(F.col("path").alias("__path"), F.col("seq").alias("__seq"))
+        met = changes.join(held, changes["path"] == held["__path"], "left")
+        if ordered:
+            met = met.where(F.col("__seq").isNull() | (F.col("seq") > F.col("__seq")))
+        self._write(parse_files(met.select("path", "content", F.coalesce("seq", "__seq").alias("seq"), "removed")), touched, seen)
+
+    @property
+    def stream(self) -> str:
+        """The checkpoint of the stream that keeps this index."""
+        return f"{self.root}/stream"
+
+    def followed(self) -> bool:
+        """Whether the index is one that its stream can go on with."""
+        return bool(self._commits()) and self._path("stream/offsets")[1].exists(self._path("stream/offsets")[0])
 
     def clear(self) -> None:
+        """An empty index, whose stream begins anew."""
+        path, store = self._path("stream")
+        store.delete(path, True)
         number = self.buckets
         self._start(number)
-        self._write(parse_files(self.spark.createDataFrame([], "path string, content binary")), None, list(range(number)))
+        self._write(parse_files(_plain(self.spark.createDataFrame([], "path string, content binary"))), list(range(number)))
 
     def _bucket(self, path: str):
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
@@ -182,23 +222,26 @@ class Index:
         part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(spread))
         return rows.withColumn("bucket", self._bucket(key)).repartition(max(tasks, touched), F.col("bucket"), part)
 
-    def _write(self, parsed: DataFrame, removed: DataFrame | None, touched: list[int]) -> None:
-        seen = self._commits()
-        version = self._claim()
+    def _write(self, parsed: DataFrame, touched: list[int], seen: dict | None = None) -> None:
+        """parsed: what parse_files gives, with seq and removed. seen: the commits that it was made after."""
+        seen = self._commits() if seen is None else seen
+        version = self._claim(seen)
         stage = f"{self.root}/parsed/v={version}"
         parsed.write.mode("overwrite").parquet(stage)  # parsed once, read for every table
-        parsed = self.spark.read.parquet(stage)
-        good = parsed.where("error IS NULL")
+        parsed = self.spark.read.schema(parsed.schema).parquet(stage)
+        good = parsed.where("error IS NULL")  # removed files among them, which have no blocks
         blocks = blocks_of(good)
-        state = parsed.select("path", "error", F.when(F.col("error").isNull(), F.size("blocks")).cast("int").alias("n_blocks"))
+        number = F.when(F.col("error").isNull(), F.size("blocks")).cast("int").alias("n_blocks")
+        # a removal without a place in a log leaves nothing
+        state = parsed.where("NOT (removed AND seq IS NULL)").select("path", "error", number, "seq", "removed")
         stored = blocks.withColumn("tokens", tokens(document_text()))
         tables = {"blocks": (stored, INDEXED, "file_path"), "files": (state, _FILE_STATE, "path")}
         if self.embedder is not None:
             tables["vectors"] = (embed_blocks(blocks, self.embedder), VECTOR, "file_path")
         for name, (new, schema, key) in tables.items():
-            if removed is not None:
-                gone = (good if name != "files" else parsed).select("path").unionByName(removed).withColumnRenamed("path", "__gone")
-                old = self._read(name, schema, touched)
+            if any(b in touched for t, b in seen if t == name):
+                gone = (parsed if name == "files" else good).select(F.col("path").alias("__gone"))
+                old = self._read(name, schema, touched, seen)
                 new = old.join(gone, old[key] == gone["__gone"], "left_anti").unionByName(new)
             self._dealt(new, key, len(touched)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
         path, store = self._path(f"parsed/v={version}")
@@ -213,4 +256,5 @@ class Index:
         from corvine.plans.engine import Engine
 
         embed = None if self.embedder is None else (lambda text: self.embedder.embed([text])[0])
-        return Engine(self.blocks(), None if self.embedder is None else self.vectors(), embed)
+        now = self._commits()
+        return Engine(self.blocks(now), None if self.embedder is None else self.vectors(now), embed)

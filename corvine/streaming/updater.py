@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from corvine.plans.index import Index
 from corvine.sources.scan import read_files
@@ -14,14 +15,18 @@ FILES_PER_BATCH = 10_000
 
 
 def newest(changes: DataFrame, order: str = "seq") -> DataFrame:
-    """The last change of each path: path, op and, where changes have it, content."""
+    """The last change of each path: path, op and, where changes have it, content; also its order, as seq, where
+    that is a number."""
     held = [c for c in ("op", "content") if c in changes.columns]
+    if isinstance(changes.schema[order].dataType, NumericType):
+        held.append(order)
     last = F.max_by(F.struct(*held), order).alias("x")
-    return changes.where(F.col("op").isin("upsert", "remove")).groupBy("path").agg(last).select("path", *[f"x.{c}" for c in held])
+    return changes.where(F.col("op").isin("upsert", "remove")).groupBy("path").agg(last).select("path", *[F.col(f"x.{c}").alias("seq" if c == order else c) for c in held])
 
 
 def with_content(changes: DataFrame) -> DataFrame:
-    """Contents of the changed files as they are now, read by the tasks; a file that is gone is a removal."""
+    """Changes that carry contents as they are, with their seq: a log, whose order the index keeps. Else the
+    contents of the changed files as they are now, read by the tasks; a file that is gone is a removal."""
     if "content" in changes.columns:
         return changes
     found = read_files(changes.sparkSession, changes.where("op = 'upsert'").select("path"))
@@ -31,7 +36,8 @@ def with_content(changes: DataFrame) -> DataFrame:
 
 
 def apply_batch(index: Index):
-    """Body for foreachBatch. Applying a batch twice gives the same index, so a restart is safe."""
+    """Body for foreachBatch. Applying a batch twice gives the same index, so a restart is safe; changes of a log may
+    be spread over batches in any order."""
 
     def run(batch: DataFrame, _: int) -> None:
         index.apply(with_content(newest(batch)))

@@ -14,7 +14,7 @@ from corvine.schema import Request
 from corvine.sources.scan import read_files, read_tree, walk
 from corvine.server import serve
 from corvine.streaming.changes import advance, difference, snapshot
-from corvine.streaming.updater import follow, with_content
+from corvine.streaming.updater import apply_batch, follow, with_content
 
 FILES = {
     "src/A.java": "class A { int find() { return 1; } }",
@@ -108,25 +108,88 @@ def test_contents_are_read_by_tasks(spark, tree):
 def test_writers_do_not_overwrite_each_other(spark, tree, tmp_path):
     index = Index(spark, str(tmp_path / "i"), buckets=2)
     index.build(read_files(spark, walk(tree)))
-    before = state(index)
     a, b = index._claim(), index._claim()
     assert a != b
-    one = spark.createDataFrame([("/z/A.java", "upsert", b"class Z { }")], "path string, op string, content binary")
-    held = index._commits
-    calls = []
+    one, two = (spark.createDataFrame([("/z/A.java", "upsert", f"class {n} {{ }}".encode())], "path string, op string, content binary") for n in "ZY")
+    dealt, other = index._dealt, Index(spark, str(tmp_path / "i"))
 
-    def late():  # another writer commits between this one's first and last look
-        calls.append(1)
-        found = held()
-        return found if len(calls) < 4 else {k: v + 1 for k, v in found.items()}
+    def late(*rows):  # another writer commits between this one's first and last look
+        index._dealt = dealt
+        other.apply(two)
+        return dealt(*rows)
 
-    index._commits = late
+    index._dealt = late
+    before = state(index)
     with pytest.raises(ConcurrentUpdate):
         index.apply(one)
-    del index._commits
-    assert state(index) == before
+    assert [r[3] for r in sorted(set(state(index)) - set(before))] == ["Y"]
     index.apply(one)
-    assert len(state(index)) == len(before) + 1
+    assert [r[3] for r in sorted(set(state(index)) - set(before))] == ["Z"]
+
+
+LOG = "seq bigint, path string, op string, content binary"
+
+
+def test_changes_keep_their_order_over_batches(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"), HashingEmbedder(8), buckets=2)
+    index.build(spark.createDataFrame([("/old.xml", b"<o/>")], "path string, content binary"))
+    run = apply_batch(index)
+    batch = lambda *rows: run(spark.createDataFrame(list(rows), LOG), 0)
+    shown = lambda: sorted((r["file_path"], r["name"]) for r in index.blocks().collect())
+    batch((10, "/a.xml", "upsert", b"<new/>"), (4, "/old.xml", "remove", None))
+    batch((5, "/a.xml", "upsert", b"<older/>"), (3, "/old.xml", "upsert", b"<revived/>"), (1, "/b.xml", "upsert", b"<b/>"))
+    assert shown() == [("/a.xml", "new"), ("/b.xml", "b")]
+    batch((12, "/a.xml", "upsert", b"</broken>"), (2, "/b.xml", "remove", None))
+    batch((11, "/a.xml", "upsert", b"<late/>"), (2, "/b.xml", "remove", None))  # broken at 12: what was there stays
+    assert shown() == [("/a.xml", "new")]
+    assert {(r["path"], r["error"] is None, int(r["seq"])) for r in index.files().collect()} == {("/a.xml", False, 12)}
+    batch((13, "/a.xml", "remove", None), (5, "/old.xml", "upsert", b"<back/>"))
+    batch((12, "/a.xml", "upsert", b"<again/>"))
+    assert shown() == [("/old.xml", "back")] and index.vectors().count() == 1
+    # changes without a place are taken as they come, and the place of the path stays
+    index.apply(spark.createDataFrame([("/old.xml", "upsert", b"<free/>"), ("/x.xml", "upsert", b"<x/>")], "path string, op string, content binary"))
+    batch((5, "/old.xml", "upsert", b"<no/>"), (1, "/x.xml", "upsert", b"<y/>"))
+    assert shown() == [("/old.xml", "free"), ("/x.xml", "y")]
+
+
+def test_a_log_in_many_batches_in_any_order(spark, data, tmp_path):
+    from corvine.plans import catalogue
+
+    events = spark.read.parquet(f"{data}/events.parquet")
+    whole = sorted(map(tuple, catalogue.upsert_apply(spark, data).collect()))
+    events.repartition(8, "event_id").write.parquet(str(tmp_path / "log"))
+    index = Index(spark, str(tmp_path / "i"), buckets=2)
+    body = apply_batch(index)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    batches = []
+
+    def run(batch, n):
+        batches.append(n)
+        body(catalogue.as_changes(batch), n)
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 8 and sorted(map(tuple, catalogue.users(index).collect())) == whole
+
+
+def test_a_restart_keeps_the_index(spark, tree, tmp_path, monkeypatch, capsys):
+    from corvine import __main__ as cli
+
+    def session(*lines):
+        monkeypatch.setattr("sys.stdin", io.StringIO("".join(f"{x}\n" for x in lines)))
+        assert cli.main(["--path", tree, "--index", str(tmp_path / "i"), "--no-embedding"]) == 0
+        return capsys.readouterr().out
+
+    assert "Name: find" in session("find")
+    assert "Name: find" in session("find")
+    os.remove(f"{tree}/src/b.js")
+    with open(f"{tree}/src/New.java", "w") as f:
+        f.write("class Fresh { }")
+    out = session("Fresh", "find")
+    assert "Name: Fresh" in out and "b.js" not in out and "A.java" in out
+    index = Index(spark, str(tmp_path / "i"))
+    assert index.followed()
+    index.clear()
+    assert not index.followed() and "Name: Fresh" in session("Fresh")
 
 
 def test_buckets_are_written_by_several_tasks(spark, tmp_path):
