@@ -2,12 +2,10 @@
 
 blocks, files and vectors are kept in buckets by a hash of the path; a new index gets a bucket for every
 BUCKET_BYTES of its files, and a bucket is written by several tasks. An update writes new versions of the
-buckets it touches and then one commit row for each; readers use the newest committed version of every
-bucket, so a search never waits for an update and an update never rewrites the whole index.
-
-Every writer claims a version of its own, by a file that only one can create, so writers never overwrite each
-other's data; one that finds its buckets changed since it read them raises ConcurrentUpdate and commits
-nothing. (Two commits within the same moment can still miss each other: use one writer for each bucket.)
+buckets it touches and then one commit (see snapshots); readers use the newest commit, one small file, so a search
+never waits for an update and an update never rewrites the whole index. Writers write versions of their own; one
+that finds its buckets changed since it read them raises ConcurrentUpdate and commits nothing. vacuum() removes
+versions that are no longer in use.
 
 Changes may carry their place in a log, seq. The index then keeps the seq of every path, also of removed ones, and
 takes only changes that come after it, so batches of a log may arrive in any order and more than once.
@@ -16,6 +14,7 @@ takes only changes that come after it, so batches of a log may arrive in any ord
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ from pyspark.sql import types as T
 
 from corvine.functions.text import document_text, embedding_text, tokens
 from corvine.plans.embedders import Embedder, embed_texts
+from corvine.plans.snapshots import ConcurrentUpdate, Log, Snapshot  # noqa: F401  raised by writes
 from corvine.schema import BLOCK, INDEXED, VECTOR
 
 #: Buckets at least, and bytes of files for each in a new index.
@@ -30,10 +30,6 @@ BUCKETS = 32
 BUCKET_BYTES = 256 << 20
 
 
-class ConcurrentUpdate(RuntimeError):
-    """Another writer has committed to a bucket in the meantime."""
-
-
 #: Wide enough for a 64-bit number, or for a time in microseconds before another number.
 SEQ = "decimal(38,0)"
 _FILE_STATE = f"path string, error string, n_blocks int, seq {SEQ}, removed boolean"
@@ -95,6 +91,10 @@ def embed_blocks(blocks: DataFrame, embedder: Embedder) -> DataFrame:
     return embed_texts(last, embedder)
 
 
+def _bucket(path: str, number: int):
+    return F.pmod(F.xxhash64(path), F.lit(number)).cast("int")
+
+
 def _plain(files: DataFrame) -> DataFrame:
     return files.select("path", "content", F.lit(None).cast(SEQ).alias("seq"), F.lit(False).alias("removed"))
 
@@ -105,6 +105,7 @@ class Index:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, buckets: int | None = None) -> None:
         """buckets: their number in a new index, by its size if not given; an index that is there has its own."""
         self.spark, self.root, self.embedder, self._wanted = spark, root.rstrip("/"), embedder, buckets
+        self._log = Log(spark, self.root)
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -113,35 +114,22 @@ class Index:
     @property
     def buckets(self) -> int:
         """The number that the index was built with."""
-        path, store = self._path("buckets")
-        if not store.exists(path):
-            return self._wanted or BUCKETS
-        return int(self.spark.read.text(f"{self.root}/buckets").first()["value"])
-
-    def _claim(self, seen: dict | None = None) -> int:
-        """A version that no other writer has."""
-        version = max((self._commits() if seen is None else seen).values(), default=0) + 1
-        while True:
-            path, store = self._path(f"claims/{version}")
-            store.mkdirs(path.getParent())
-            if store.createNewFile(path):
-                return version
-            version += 1
-
-    def _commits(self) -> dict[tuple[str, int], int]:
-        """Newest version of each table's bucket; at most three rows a bucket reach the driver."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return {}
-        rows = self.spark.read.parquet(f"{self.root}/commits").groupBy("table", "bucket").agg(F.max("version").alias("v"))
-        return {(r["table"], r["bucket"]): r["v"] for r in rows.collect()}
-
-    def _read(self, table: str, schema, buckets: list[int] | None = None, now: dict | None = None) -> DataFrame:
+        return self._log.newest().buckets or self._wanted or BUCKETS
+
+    def snapshot(self) -> Snapshot:
+        """The newest commit; reads that share one see one state."""
+        return self._log.newest()
+
+    def vacuum(self, seconds: float = 7 * 86_400) -> list[str]:
+        """Removes versions that no commit of the last `seconds` uses: their folders."""
+        return self._log.vacuum(["blocks", "files", "vectors"], seconds)
+
+    def _read(self, table: str, schema, buckets: list[int] | None = None, now: Snapshot | None = None) -> DataFrame:
         """A table as committed now, or at another time. The versions in use are listed, and the buckets that each
         one holds the newest data of are chosen by partition filters."""
-        now = self._commits() if now is None else now
+        now = self.snapshot() if now is None else now
         by: dict[int, list[int]] = {}
-        for (t, b), v in now.items():
+        for (t, b), v in now.versions.items():
             if t == table and (buckets is None or b in buckets):
                 by.setdefault(v, []).append(b)
         if not by:
@@ -152,10 +140,10 @@ class Index:
         parts = [(F.col("v") == v) & F.col("bucket").isin(own) for v, own in sorted(by.items())]
         return rows.where(functools.reduce(lambda x, y: x | y, parts)).select(*columns)
 
-    def blocks(self, now: dict | None = None) -> DataFrame:
+    def blocks(self, now: Snapshot | None = None) -> DataFrame:
         return self._read("blocks", INDEXED, now=now)
 
-    def vectors(self, now: dict | None = None) -> DataFrame:
+    def vectors(self, now: Snapshot | None = None) -> DataFrame:
         return self._read("vectors", VECTOR, now=now)
 
     def files(self) -> DataFrame:
@@ -168,14 +156,7 @@ class Index:
         if number is None:
             size = files.agg(F.sum(F.octet_length("content")).alias("b")).first()["b"] or 0
             number = max(BUCKETS, -(-size // BUCKET_BYTES))
-        self._start(number)
-        self._write(parse_files(_plain(files)), list(range(number)))
-
-    def _start(self, buckets: int) -> None:
-        """Forget what is committed, and set the number of buckets."""
-        path, store = self._path("commits")
-        store.delete(path, True)
-        self.spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/buckets")
+        self._write(parse_files(_plain(files)), list(range(number)), Snapshot(buckets=number), whole=True)
 
     def apply(self, changes: DataFrame) -> None:
         """changes: path, op ('upsert' or 'remove'), content; one row a path. A file that does not parse keeps
@@ -185,10 +166,11 @@ class Index:
         ordered = "seq" in changes.columns
         seq = F.col("seq") if ordered else F.lit(None)
         changes = changes.select("path", "content", seq.cast(SEQ).alias("seq"), (F.col("op") == "remove").alias("removed"))
-        touched = [r["bucket"] for r in changes.select(self._bucket("path").alias("bucket")).distinct().collect()]
+        seen = self.snapshot()
+        number = seen.buckets or self.buckets
+        touched = [r["bucket"] for r in changes.select(_bucket("path", number).alias("bucket")).distinct().collect()]
         if not touched:
             return
-        seen = self._commits()
         held = self._read("files", _FILE_STATE, touched, seen).select(F.col("path").alias("__path"), F.col("seq").alias("__seq"))
         met = changes.join(held, changes["path"] == held["__path"], "left")
         if ordered:
@@ -202,59 +184,52 @@ class Index:
 
     def followed(self) -> bool:
         """Whether the index is one that its stream can go on with."""
-        return bool(self._commits()) and self._path("stream/offsets")[1].exists(self._path("stream/offsets")[0])
+        path, store = self._path("stream/offsets")
+        return self.snapshot().number > 0 and store.exists(path)
 
     def clear(self) -> None:
         """An empty index, whose stream begins anew."""
         path, store = self._path("stream")
         store.delete(path, True)
-        number = self.buckets
-        self._start(number)
-        self._write(parse_files(_plain(self.spark.createDataFrame([], "path string, content binary"))), list(range(number)))
-
-    def _bucket(self, path: str):
-        return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
+        self._log.commit(self.snapshot(), {}, self.buckets, whole=True)
 
-    def _dealt(self, rows: DataFrame, key: str, touched: int) -> DataFrame:
+    def _dealt(self, rows: DataFrame, key: str, touched: int, number: int) -> DataFrame:
         """Rows by bucket, each bucket over as many tasks as the shuffle partitions allow."""
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         spread = max(1, tasks // max(touched, 1))
         part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(spread))
-        return rows.withColumn("bucket", self._bucket(key)).repartition(max(tasks, touched), F.col("bucket"), part)
+        return rows.withColumn("bucket", _bucket(key, number)).repartition(max(tasks, touched), F.col("bucket"), part)
 
-    def _write(self, parsed: DataFrame, touched: list[int], seen: dict | None = None) -> None:
-        """parsed: what parse_files gives, with seq and removed. seen: the commits that it was made after."""
-        seen = self._commits() if seen is None else seen
-        version = self._claim(seen)
+    def _write(self, parsed: DataFrame, touched: list[int], seen: Snapshot, whole: bool = False) -> None:
+        """parsed: what parse_files gives, with seq and removed. seen: the commit that it was made after. whole: the
+        index is then this alone."""
+        version, number = uuid.uuid4().int >> 66, seen.buckets or self.buckets
         stage = f"{self.root}/parsed/v={version}"
         parsed.write.mode("overwrite").parquet(stage)  # parsed once, read for every table
         parsed = self.spark.read.schema(parsed.schema).parquet(stage)
         good = parsed.where("error IS NULL")  # removed files among them, which have no blocks
         blocks = blocks_of(good)
-        number = F.when(F.col("error").isNull(), F.size("blocks")).cast("int").alias("n_blocks")
+        n_blocks = F.when(F.col("error").isNull(), F.size("blocks")).cast("int").alias("n_blocks")
         # a removal without a place in a log leaves nothing
-        state = parsed.where("NOT (removed AND seq IS NULL)").select("path", "error", number, "seq", "removed")
+        state = parsed.where("NOT (removed AND seq IS NULL)").select("path", "error", n_blocks, "seq", "removed")
         stored = blocks.withColumn("tokens", tokens(document_text()))
         tables = {"blocks": (stored, INDEXED, "file_path"), "files": (state, _FILE_STATE, "path")}
         if self.embedder is not None:
             tables["vectors"] = (embed_blocks(blocks, self.embedder), VECTOR, "file_path")
+        of = set(touched)
         for name, (new, schema, key) in tables.items():
-            if any(b in touched for t, b in seen if t == name):
+            if any(t == name and b in of for t, b in seen.versions):
                 gone = (parsed if name == "files" else good).select(F.col("path").alias("__gone"))
                 old = self._read(name, schema, touched, seen)
                 new = old.join(gone, old[key] == gone["__gone"], "left_anti").unionByName(new)
-            self._dealt(new, key, len(touched)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
+            self._dealt(new, key, len(touched), number).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
         path, store = self._path(f"parsed/v={version}")
         store.delete(path, True)  # not read again
-        now = self._commits()
-        if any(now.get((t, b)) != seen.get((t, b)) for t in tables for b in touched):
-            raise ConcurrentUpdate(f"buckets of {self.root} have changed since version {version} began")
-        rows = [(t, b, version) for t in tables for b in touched]
-        self.spark.createDataFrame(rows, "table string, bucket int, version long").coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        self._log.commit(seen, {(t, b): version for t in tables for b in touched}, number, whole)
 
     def engine(self):
         from corvine.plans.engine import Engine
 
         embed = None if self.embedder is None else (lambda text: self.embedder.embed([text])[0])
-        now = self._commits()
+        now = self.snapshot()
         return Engine(self.blocks(now), None if self.embedder is None else self.vectors(now), embed)

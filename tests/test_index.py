@@ -108,8 +108,6 @@ def test_contents_are_read_by_tasks(spark, tree):
 def test_writers_do_not_overwrite_each_other(spark, tree, tmp_path):
     index = Index(spark, str(tmp_path / "i"), buckets=2)
     index.build(read_files(spark, walk(tree)))
-    a, b = index._claim(), index._claim()
-    assert a != b
     one, two = (spark.createDataFrame([("/z/A.java", "upsert", f"class {n} {{ }}".encode())], "path string, op string, content binary") for n in "ZY")
     dealt, other = index._dealt, Index(spark, str(tmp_path / "i"))
 
@@ -127,6 +125,48 @@ def test_writers_do_not_overwrite_each_other(spark, tree, tmp_path):
     assert [r[3] for r in sorted(set(state(index)) - set(before))] == ["Z"]
 
 
+def test_commits_of_one_moment(spark, tmp_path):
+    """Many writers at once: each number has one winner, who saw all before it; other buckets' commits are kept."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from corvine.plans.snapshots import Log
+
+    root = str(tmp_path)
+    first = Log(spark, root).commit(Log(spark, root).newest(), {("t", 99): 1}, 200)
+
+    def write(k):
+        try:
+            return Log(spark, root).commit(first, {("t", k): k, ("t", 100 + k % 2): k}, 200).number
+        except ConcurrentUpdate:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [n for n in pool.map(write, range(12)) if n]
+    assert sorted(won) == [2, 3]  # buckets 100 and 101 have one winner each
+    end = Log(spark, root).newest()
+    assert end.number == 3 and end.versions[("t", 99)] == 1 and {end.versions[("t", b)] % 2 for b in (100, 101)} == {0, 1}
+    with ThreadPoolExecutor(8) as pool:
+        pool.map(lambda k: Log(spark, root).commit(end, {("u", k): k}, 200), range(12))
+    assert {k: v for k, v in Log(spark, root).newest().versions.items() if k[0] == "u"} == {("u", k): k for k in range(12)}
+    assert not [p for p in (tmp_path / "log").iterdir() if "draft" in p.name]
+
+
+def test_vacuum(spark, tmp_path):
+    index = Index(spark, str(tmp_path), buckets=1)
+    change = lambda n: spark.createDataFrame([("/a.xml", "upsert", f"<n{n}/>".encode())], "path string, op string, content binary")
+    index.build(spark.createDataFrame([("/b.xml", b"<b/>")], "path string, content binary"))
+    for n in range(3):
+        index.apply(change(n))
+    held = index.blocks(index.snapshot())
+    assert index.vacuum() == [] and index.vacuum(3600) == []
+    time.sleep(0.05)
+    index.apply(change(3))
+    gone = index.vacuum(0.01)
+    assert len(gone) == 6 and {g.split("/")[0] for g in gone} == {"blocks", "files"}  # the one before the newest may have readers
+    assert sorted(r["name"] for r in held.collect()) == ["b", "n2"]
+    assert sorted(r["name"] for r in index.blocks().collect()) == ["b", "n3"] and index.vacuum(0.01) == []
+
+
 LOG = "seq bigint, path string, op string, content binary"
 
 
