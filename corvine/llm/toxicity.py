@@ -1,22 +1,22 @@
 """Operator 10: toxicity from class-conditional Kneser-Ney models.
 
-Two bigram models over words, one of toxic and one of ordinary texts, give every text two log-likelihoods.
-Counts n are texts that hold a word or a pair, so that a text which repeats itself counts once:
+Two bigram models over words, one of toxic and one of ordinary texts, give every text two log-likelihoods. Counts n
+are texts that hold a word or a pair, so that a text which repeats itself counts once:
 
-    P_c(w | v) = max(n_c(vw) - D_c, 0) / n_c(v.)  +  L_c(v) S(w | v) R_c(w)
-    R_c(w) = P_c(w) / S(w),   P_c(w) = max(n_c(w) - D_c, 0) / N_c  +  L_c S(w)
+    P_c(w | v) = X_c(vw) / n_c(v.)  +  L_c(v) Q_c(w | v),        Q_c(w | v) = S(w | v) R_c(w) / Z_c(v)
+    R_c(w) = P_c(w) / S(w),      P_c(w) = X_c(w) / N_c  +  L_c S(w)
 
-S is the Kneser-Ney model of both classes together: pair counts less SHARED_DISCOUNT back off to
-continuation counts (different words before w), and these to a uniform share that unknown words get, too. L
-is the mass which the discount takes away, 1 where a class has not seen v. So an expression that a class
-holds in D_c texts or fewer has the shared probability, moved by the class's own use of the word; a pair
-that no text held backs off to L_c(v) and the word. D_c is D times the class's share of the counts, as
-equal shares, not equal counts, must cancel.
+S is the Kneser-Ney model of both classes together: pair counts less SHARED_DISCOUNT back off to continuation counts
+(different words before w), and these to a uniform share that unknown words get, too. X_c is a class's count less a
+discount, L_c the mass which that takes away, 1 where a class has not seen v, and Z_c(v) what makes Q_c a distribution;
+so each P_c(. | v) sums to one over the known words and the unknown one. The discount is what the shared counts let
+one expect of the class, E, and D_c + DEVIATIONS sqrt(E) more; for a pair E comes from Q_c, so that it counts beyond its
+words only. An expression which a class holds about as often as the shared counts say, or in few texts, thus has the
+shared probability, and ordinary words cancel in a comparison. D_c is D times the class's share of the counts.
 
-A text's evidence is the difference of the log-likelihoods for each word, over the whole text (their
-length-normalised comparison) and at the word where it is greatest: a few insults in a long text leave the
-mean where it is. A logistic curve of both, learned on labelled rows that gave no counts, is the score; D
-is the one of DISCOUNTS with the least logistic loss on these rows.
+A text's evidence is the difference of its log-likelihoods for each word (their length-normalised comparison). A
+logistic curve of it, learned on labelled rows that gave no counts, is the score; D is the one of DISCOUNTS with the
+least logistic loss on these rows.
 
 Words are runs of letters (ASCII letters and multi-byte characters), with A-Z lower-cased. Learning uses a
 bounded sample, by a hash of the doc_id: of each label value about DOCS_PER_CLASS rows and BYTES_PER_CLASS
@@ -42,8 +42,9 @@ from corvine.llm.textkit import BYTE_VALUE, FOLD, IS_LETTER, batches_of, chunks,
 DOCS_PER_CLASS = 3000
 BYTES_PER_CLASS = 16 << 20
 SHARED_DISCOUNT = 0.75
-#: Discounts of the class counts to choose from, in texts of the smaller class.
-DISCOUNTS = (2.0, 3.0, 4.0, 6.0, 9.0, 13.0, 20.0, 30.0)
+#: Discounts of the class counts to choose from, in texts of the smaller class, and standard deviations on top.
+DISCOUNTS = (0.5, 1.0, 2.0, 3.0, 5.0, 8.0)
+DEVIATIONS = 2.0
 U64 = np.uint64
 
 
@@ -121,17 +122,21 @@ def _discounted(n: np.ndarray, cut: float, group: np.ndarray | None = None, grou
     return (n - taken) / np.maximum(total, 1)[group], left
 
 
+def _excess(n: np.ndarray, expected: np.ndarray, discount: float) -> np.ndarray:
+    return np.maximum(n - expected - discount - DEVIATIONS * np.sqrt(expected), 0)
+
+
 @dataclass
 class KneserNey:
     """Log-probabilities of both classes, ready for lookup: row 0 ordinary, row 1 toxic."""
 
     words: np.ndarray
     pairs: np.ndarray
-    word: np.ndarray  # log S(w) R_c(w), with the shared continuation share as S
-    room: np.ndarray  # log L_c(v) L(v): what a pair that is not known backs off with
+    word: np.ndarray  # log P_c(w) with nothing before it: Q_c of the continuation shares
+    room: np.ndarray  # what a pair that is not known adds to that
     pair: np.ndarray  # log P_c(w | v)
-    unknown: np.ndarray  # log of S R_c for a word that is not known
-    curve: np.ndarray | None = None  # weights of both kinds of evidence, and offset
+    unknown: np.ndarray  # as word, for a word that is not known
+    curve: np.ndarray | None = None  # weight of the evidence, and offset
 
     @classmethod
     def learn(cls, counts: Counts, discount: float) -> "KneserNey":
@@ -142,20 +147,24 @@ class KneserNey:
         floor = max(SHARED_DISCOUNT * (before > 0).sum(), SHARED_DISCOUNT) / types / (size + 1)
         shared = np.maximum(before - SHARED_DISCOUNT, 0) / types + floor
         both, spare = _discounted(sum(c.of_pairs), SHARED_DISCOUNT, c.left, size)
-        both = both + spare[c.left] * shared[c.right]
         base, back = _discounted(sum(c.of_words), SHARED_DISCOUNT)
         base = base + back * shared  # S(w) of single words
         totals = [max(n.sum(), 1) for n in c.of_words], [max(m.sum(), 1) for m in c.of_pairs]
         word, room, pair, unknown = [], [], [], []
         for n, m, of_words, of_pairs in zip(c.of_words, c.of_pairs, *totals, strict=True):
-            own, back = _discounted(n, discount * of_words / min(totals[0]))
-            own = (own + back * base) / base  # R_c
-            share, left = _discounted(m, discount * of_pairs / min(totals[1]), c.left, size)
-            share += left[c.left] * both * own[c.right]
-            word.append(np.log(shared * own).astype(np.float32))
-            room.append(np.log(left * spare).astype(np.float32))
-            pair.append(np.log(share).astype(np.float32))
-            unknown.append(np.log(back[0] * floor))
+            own = _excess(n, of_words * base, discount * of_words / min(totals[0])) / of_words
+            left = 1 - own.sum()
+            own = own / base + left  # R_c
+            one = (shared * own).sum() + floor * left
+            norm = np.bincount(c.left, both * own[c.right], size) + spare * one  # Z_c
+            q = (both + spare[c.left] * shared[c.right]) * own[c.right] / norm[c.left]
+            seen = np.maximum(np.bincount(c.left, m, size), 1)
+            more = _excess(m, np.bincount(c.left, m, size)[c.left] * q, discount * of_pairs / min(totals[1])) / seen[c.left]
+            rest = 1 - np.bincount(c.left, more, size)
+            word.append(np.log(shared * own / one).astype(np.float32))
+            room.append(np.log(rest * spare * one / norm).astype(np.float32))
+            pair.append(np.log(more + rest[c.left] * q).astype(np.float32))
+            unknown.append(np.log(floor * left / one))
         return cls(c.words, c.pairs, *map(np.stack, (word, room, pair)), np.array(unknown, np.float32))
 
     def places(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -172,30 +181,25 @@ class KneserNey:
         out[:, k[hit]] = self.pair[:, spot[hit]]
         return out
 
-    def evidence(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each document both log-likelihoods a word, and its greatest difference at one word."""
+    def likelihoods(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Both log-likelihoods of each document, a word."""
         lens = np.diff(first)
         if not len(tokens):
-            return np.zeros((2, len(lens))), np.zeros(len(lens))
-        logs = self.places(tokens, first)
-        total = np.concatenate((np.zeros((2, 1)), np.cumsum(logs, axis=1, dtype=np.float64)), axis=1)
-        mean = (total[:, first[1:]] - total[:, first[:-1]]) / np.maximum(lens, 1)
-        peak = np.zeros(len(lens))
-        full = np.flatnonzero(lens > 0)
-        peak[full] = np.maximum.reduceat(logs[1] - logs[0], first[full])
-        return mean, peak
-
-    def score(self, mean: np.ndarray, peak: np.ndarray) -> np.ndarray:
-        a, b, offset = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * peak + b * (mean[1] - mean[0]) + offset, -40, 40)))
-
-    def calibrate(self, mean: np.ndarray, peak: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
+            return np.zeros((2, len(lens)))
+        total = np.concatenate((np.zeros((2, 1)), np.cumsum(self.places(tokens, first), axis=1, dtype=np.float64)), axis=1)
+        return (total[:, first[1:]] - total[:, first[:-1]]) / np.maximum(lens, 1)
+
+    def score(self, mean: np.ndarray) -> np.ndarray:
+        weight, offset = self.curve
+        return 1 / (1 + np.exp(-np.clip(weight * (mean[1] - mean[0]) + offset, -40, 40)))
+
+    def calibrate(self, mean: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
         """Weighted logistic curve by Newton's method, with a small ridge; returns its loss."""
-        x = np.stack([peak, mean[1] - mean[0]], 1)
-        scale = np.maximum(x.std(0), 1e-6)
-        x = np.concatenate([x / scale, np.ones((len(x), 1))], 1)
-        beta, ridge = np.zeros(3), np.array([1e-2, 1e-2, 1e-9])
-        for _ in range(60):
+        x = mean[1] - mean[0]
+        scale = max(x.std(), 1e-6)
+        x = np.stack([x / scale, np.ones(len(x))], 1)
+        beta, ridge = np.zeros(2), np.array([1e-3, 1e-9])
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
             g = x.T @ (weight * (toxic - p)) - ridge * beta
             h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
@@ -204,7 +208,7 @@ class KneserNey:
             if np.abs(step).max() < 1e-9:
                 break
         p = np.clip(1 / (1 + np.exp(-np.clip(x @ beta, -40, 40))), 1e-9, 1 - 1e-9)
-        self.curve = np.array([*(beta[:2] / scale), beta[2]])
+        self.curve = beta / np.array([scale, 1])
         return float(-(weight * np.where(toxic == 1, np.log(p), np.log(1 - p))).sum())
 
 
@@ -278,18 +282,18 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", held_out: i
     found, best, least = Counts.of(fit), None, np.inf
     for d in DISCOUNTS:
         model = KneserNey.learn(found, d)
-        loss = model.calibrate(*_evidence_of(model, [r[2] for r in check]), toxic, weight / weight.mean())
+        loss = model.calibrate(_likelihoods_of(model, [r[2] for r in check]), toxic, weight / weight.mean())
         if loss < least:
             best, least = model, loss
     return best
 
 
-def _evidence_of(model: KneserNey, texts: list[np.ndarray], step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def _likelihoods_of(model: KneserNey, texts: list[np.ndarray], step: int = 64) -> np.ndarray:
     found = []
     for a in range(0, len(texts), step):
         part = texts[a : a + step]
-        found.append(model.evidence(np.concatenate(part), np.concatenate(([0], np.cumsum([len(x) for x in part])))))
-    return np.concatenate([m for m, _ in found], axis=1), np.concatenate([p for _, p in found])
+        found.append(model.likelihoods(np.concatenate(part), np.concatenate(([0], np.cumsum([len(x) for x in part])))))
+    return np.concatenate(found, axis=1)
 
 
 def score(docs: DataFrame, model: KneserNey | float) -> DataFrame:
@@ -314,8 +318,8 @@ def score(docs: DataFrame, model: KneserNey | float) -> DataFrame:
             out, logs = np.zeros(len(off) - 1), np.zeros((2, len(off) - 1))
             for a, b in chunks(off):
                 o = off[a : b + 1]
-                logs[:, a:b], peak = m.evidence(*letter_words(data[o[0] : o[-1]], o - o[0]))
-                out[a:b] = m.score(logs[:, a:b], peak)
+                logs[:, a:b] = m.likelihoods(*letter_words(data[o[0] : o[-1]], o - o[0]))
+                out[a:b] = m.score(logs[:, a:b])
             yield pa.record_batch(
                 [batch.column(0), pa.array(out), pa.array((out >= 0.5).astype(np.int32)), pa.array(logs[1]), pa.array(logs[0])],
                 ["doc_id", "score", "predicted", "toxic_log", "plain_log"],
