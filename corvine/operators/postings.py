@@ -26,7 +26,7 @@ from corvine.functions import text as X
 from corvine.operators import ranking as R
 from corvine.schema import KEY, Request
 
-#: What a posting says of its block; __row tells blocks apart that are otherwise alike.
+#: What a posting says of its block; __row tells blocks of a file apart that are otherwise alike.
 BLOCK = ["__row", *KEY, "kind", "name", "__mark", "language", "length"]
 #: Terms or words up to which a search names them in its filters; more are joined by shuffle.
 LISTED = 5_000
@@ -34,9 +34,10 @@ LISTED = 5_000
 BUCKET_BYTES = 64 << 20
 LEAST_BUCKETS = 16
 
-_POSTING = """__row bigint, file_path string, start_line bigint, end_line bigint, kind string, name string, __mark bigint, language string, length int,
-    term string, tf int, held boolean, bucket int"""
-_SCHEMAS = {"postings": _POSTING, "grams": "gram string, word string, bucket int", "sizes": "language string, file_path string, n bigint, total bigint"}
+POSTING = """__row bigint, file_path string, start_line bigint, end_line bigint, kind string, name string, __mark bigint, language string, length int,
+    term string, tf int, held boolean"""
+GRAM, SIZE = "gram string, word string", "language string, file_path string, n bigint, total bigint"
+_SCHEMAS = {"postings": f"{POSTING}, bucket int", "grams": f"{GRAM}, bucket int", "sizes": SIZE}
 REQUEST = "request int, query string, lang string, limit int, path string"
 
 
@@ -78,6 +79,17 @@ def postings(blocks: DataFrame) -> DataFrame:
     return rows.select(*BLOCK, F.inline("__terms"))
 
 
+def sizes_of(blocks: DataFrame) -> DataFrame:
+    """language, file_path, n blocks and their total tokens."""
+    return R.with_tokens(blocks).groupBy("language", "file_path").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
+
+
+def gram_rows(rows: DataFrame, *by: str) -> DataFrame:
+    """gram, word of the words that posting rows hold, within the columns `by`."""
+    words = rows.where("held").select(*by, "term").distinct()
+    return words.select(*by, F.explode(grams_of(F.col("term"))).alias("gram"), F.col("term").alias("word"))
+
+
 def grams_of(word: Column, least: int = 1) -> Column:
     """Distinct grams of a word: of each length from `least` to 3 that it has."""
     n = F.length(word)
@@ -96,70 +108,50 @@ def request_table(spark: SparkSession, requests: list[Request]) -> DataFrame:
     return spark.createDataFrame([(i, r.query, r.lang, r.limit, r.path) for i, r in enumerate(requests)], REQUEST)
 
 
-class Postings:
-    """Posting lists in a folder of any store that Spark reads."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def write(self, blocks: DataFrame, buckets: int | None = None) -> None:
-        """Lists of these blocks alone, in the place of any that are there."""
-        if buckets is None:
-            size = blocks.agg(F.sum(F.octet_length("content")).alias("b")).first()["b"] or 0
-            buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-        self.spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/buckets")
-        self._put("postings", postings(blocks), "term", "__row", buckets)
-        sizes = R.with_tokens(blocks).groupBy("language", "file_path").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
-        sizes.write.mode("overwrite").parquet(f"{self.root}/sizes")
-        words = self._table("postings").where("held").select("term").distinct()
-        self._put("grams", words.select(F.explode(grams_of(F.col("term"))).alias("gram"), F.col("term").alias("word")), "gram", "word", buckets)
-
-    def _put(self, name: str, rows: DataFrame, key: str, other: str, buckets: int) -> None:
-        """By bucket of the key; a bucket is dealt over several tasks, so that a key which most blocks hold is, too."""
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        part = F.pmod(F.xxhash64(other), F.lit(max(1, tasks // buckets, min(tasks, 8))))
-        dealt = rows.withColumn("bucket", _bucket(F.col(key), buckets)).repartition(max(tasks, buckets), "bucket", part)
-        dealt.sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(
-            f"{self.root}/{name}"
-        )
+class Lists:
+    """Searches over the three tables. rows: posting rows; by_file: sizes; grams: gram and word; buckets: the number of
+    hash buckets of their keys, where rows and grams have a column bucket."""
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.root}/{name}")
+    def __init__(self, rows: DataFrame, by_file: DataFrame, grams: DataFrame, buckets: int | None = None) -> None:
+        self.rows, self.by_file, self.grams, self.buckets = rows, by_file, grams, buckets
 
-    def _lists(self, name: str, key: str, keys: DataFrame, value: str) -> tuple[DataFrame, bool]:
+    def _lists(self, rows: DataFrame, key: str, keys: DataFrame, value: str) -> tuple[DataFrame, bool]:
         """The lists of the values in keys, and whether these were few enough to be named: then only their buckets
         and row groups are read, and what is joined to the lists may be broadcast."""
-        rows = self._table(name)
+        spark = rows.sparkSession
         few = [r[0] for r in keys.select(value).distinct().limit(LISTED + 1).collect()]
         if len(few) > LISTED:
             return rows, False
-        buckets = self.spark.read.parquet(f"{self.root}/buckets").first()["buckets"]
-        parts = self.spark.createDataFrame([(w,) for w in few], "w string").select(_bucket(F.col("w"), buckets)).distinct().collect() if few else []
-        return rows.where(F.col("bucket").isin([r[0] for r in parts]) & F.col(key).isin(few)), True
+        named = rows.where(F.col(key).isin(few))
+        if self.buckets is None:
+            return named, True
+        parts = spark.createDataFrame([(w,) for w in few], "w string").select(_bucket(F.col("w"), self.buckets)).distinct().collect() if few else []
+        return named.where(F.col("bucket").isin([r[0] for r in parts])).drop("bucket"), True
 
     def words_of(self, terms: DataFrame) -> DataFrame:
         """term, word: the indexed words that hold each term. terms: term, distinct."""
         asked = terms.select("term", F.explode(asked_grams(F.col("term"))).alias("gram"))
         counted = asked.withColumn("grams", F.count(F.lit(1)).over(Window.partitionBy("term")))
-        lists, few = self._lists("grams", "gram", asked, "gram")
+        lists, few = self._lists(self.grams, "gram", asked, "gram")
         met = lists.join(F.broadcast(counted) if few else counted, "gram")
-        found = met.groupBy("term", "word", "grams").count().where("count = grams")
+        # the lists may hold a word more than once, in parts of a corpus
+        found = met.select("term", "word", "grams", "gram").distinct().groupBy("term", "word", "grams").count().where("count = grams")
         return found.where(F.contains("word", "term")).select("term", "word")
 
     def document_frequencies(self, wanted: DataFrame) -> DataFrame:
         """wanted: filter, term, languages, path. filter, term, df: the blocks that pass the filter and hold the term."""
         words = self.words_of(wanted.select("term").distinct())
-        lists, few = self._lists("postings", "term", words, "word")
+        lists, few = self._lists(self.rows, "term", words, "word")
         words = words.withColumnRenamed("term", "asked")
         met = lists.where("held").join(F.broadcast(words) if few else words, F.col("term") == F.col("word"))
-        once = met.groupBy(F.col("asked").alias("term"), "__row").agg(F.first("language").alias("language"), F.first("file_path").alias("file_path"))
+        once = met.groupBy(F.col("asked").alias("term"), "file_path", "__row").agg(F.first("language").alias("language"))
         passed = once.join(wanted, "term").where(_passes())
         return passed.groupBy("filter", "term").agg(F.count(F.lit(1)).alias("df"))
 
     def sizes(self, filters: DataFrame) -> DataFrame:
         """filters: filter, languages, path. filter, n, average: of the blocks that pass."""
         every = F.lit("*")  # stands for any language where a filter names none
-        by = self._table("sizes").select(F.explode(F.array_compact(F.array(F.concat(F.lit("l"), "language"), every))).alias("l"), "file_path", "n", "total")
+        by = self.by_file.select(F.explode(F.array_compact(F.array(F.concat(F.lit("l"), "language"), every))).alias("l"), "file_path", "n", "total")
         named = F.transform("languages", lambda x: F.concat(F.lit("l"), x))
         asked = filters.select("filter", "path", F.explode(F.coalesce(named, F.array(every))).alias("l"))
         passed = by.join(asked, "l").where(_path_passes())
@@ -185,8 +177,8 @@ class Postings:
             .withColumn("idf", S.idf(F.col("n"), F.coalesce("df", F.lit(0))))
             .select("request", "query", "limit", "languages", "path", "at", "term", "idf", "average")
         )
-        lists, few = self._lists("postings", "term", terms, "term")
-        rows = lists.where("tf > 0").drop("bucket", "held")
+        lists, few = self._lists(self.rows, "term", terms, "term")
+        rows = lists.where("tf > 0").drop("held")
         # few terms of few requests: a row for each term of a request
         small = few and terms.limit(LISTED + 1).count() <= LISTED
         met = rows.join(F.broadcast(weighed) if small else weighed, "term").where(_passes())
@@ -197,16 +189,61 @@ class Postings:
         score = F.col("total") * S.name_boost(F.col("name"), F.col("kind"), F.col("query")) * S.kind_boost(F.col("kind"))
         return block.select("request", "limit", *BLOCK, score.alias("score")).where((F.col("score") > 0) & ~F.isnan("score"))
 
-    def search(self, requests: DataFrame) -> DataFrame:
+    def search(self, requests: DataFrame, overlap: str = "outer") -> DataFrame:
         """requests: the columns of REQUEST. Their results after overlap removal and the cap of a file, best first:
         request, ordinal (from 1), the block's key, kind and name, __mark, score. ranking.whole_rows adds the rest."""
         scored = self.scores(requests).drop("__row", "language", "length")
-        best = R.cap_per_file(R.outermost(scored, by=("request",)), by=("request",))
+        best = R.cap_per_file(R.without_overlap(scored, overlap, ("request",)), by=("request",))
         order = Window.partitionBy("request").orderBy(*R.total_order())
         listed = best.withColumn("ordinal", F.row_number().over(order).cast("bigint")).where("ordinal <= limit")
         return listed.select("request", "ordinal", *KEY, "kind", "name", "__mark", "score")
 
 
+class Postings(Lists):
+    """Posting lists in a folder of any store that Spark reads, partitioned by a hash of their terms."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._table("postings")
+
+    @property
+    def grams(self) -> DataFrame:
+        return self._table("grams")
+
+    @property
+    def by_file(self) -> DataFrame:
+        return self._table("sizes")
+
+    @property
+    def buckets(self) -> int:
+        return self.spark.read.parquet(f"{self.root}/buckets").first()["buckets"]
+
+    def write(self, blocks: DataFrame, buckets: int | None = None) -> None:
+        """Lists of these blocks alone, in the place of any that are there."""
+        if buckets is None:
+            size = blocks.agg(F.sum(F.octet_length("content")).alias("b")).first()["b"] or 0
+            buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+        self.spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/buckets")
+        self._put("postings", postings(blocks), "term", "__row", buckets)
+        sizes_of(blocks).write.mode("overwrite").parquet(f"{self.root}/sizes")
+        self._put("grams", gram_rows(self.rows), "gram", "word", buckets)
+
+    def _put(self, name: str, rows: DataFrame, key: str, other: str, buckets: int) -> None:
+        """By bucket of the key; a bucket is dealt over several tasks, so that a key which most blocks hold is, too."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        part = F.pmod(F.xxhash64(other), F.lit(max(1, tasks // buckets, min(tasks, 8))))
+        dealt = rows.withColumn("bucket", _bucket(F.col(key), buckets)).repartition(max(tasks, buckets), "bucket", part)
+        dealt.sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(
+            f"{self.root}/{name}"
+        )
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.root}/{name}")
+
+
 def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
 

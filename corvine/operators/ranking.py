@@ -112,10 +112,10 @@ def outermost(ranked: DataFrame, score: str = "score", by: tuple[str, ...] = ())
     )
 
 
-def innermost(ranked: DataFrame, score: str = "score") -> DataFrame:
+def innermost(ranked: DataFrame, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """The reverse choice: blocks that contain no other kept one; of equal ranges, the best."""
     order = [F.desc("start_line"), F.asc("end_line"), F.desc(score), F.asc("kind"), F.asc("name")]
-    earlier = Window.partitionBy("file_path").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by, "file_path").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranked.withColumn("__reach", F.min("end_line").over(earlier))
         .where(F.col("__reach").isNull() | (F.col("__reach") > F.col("end_line")))
@@ -132,12 +132,16 @@ def top(ranked: DataFrame, limit: int, score: str = "score") -> DataFrame:
     return ranked.orderBy(*total_order(score)).limit(limit)
 
 
-def diversify(ranked: DataFrame, limit: int, overlap: str = "outer") -> DataFrame:
-    """Overlap removal, then the cap, then the limit; the order is part of the meaning."""
+def without_overlap(ranked: DataFrame, overlap: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of blocks that contain each other the outer or the inner ones."""
     if overlap not in ("outer", "inner"):
         raise ValueError(f"overlap: {overlap}")
-    ranked = outermost(ranked) if overlap == "outer" else innermost(ranked)
-    return top(cap_per_file(ranked), limit)
+    return outermost(ranked, by=by) if overlap == "outer" else innermost(ranked, by=by)
+
+
+def diversify(ranked: DataFrame, limit: int, overlap: str = "outer") -> DataFrame:
+    """Overlap removal, then the cap, then the limit; the order is part of the meaning."""
+    return top(cap_per_file(without_overlap(ranked, overlap)), limit)
 
 
 def block_mark() -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import text as X
 from corvine.operators import ranking as R
+from corvine.operators.postings import Lists, request_table
 from corvine.schema import Request
 
 #: How many times the limit each side of a hybrid search fetches.
@@ -19,18 +21,23 @@ NO_HIT = "No matching block."
 
 class Engine:
     """blocks: the block columns (more are kept). vectors: key and embedding, or None. embed: text to vector,
-    or None; both are needed for the hybrid mode."""
+    or None; both are needed for the hybrid mode. lists: posting lists of the blocks, which keyword searches then
+    read in place of the texts."""
 
     def __init__(
-        self, blocks: DataFrame, vectors: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None
+        self,
+        blocks: DataFrame,
+        vectors: DataFrame | None = None,
+        embed: Callable[[str], list[float]] | None = None,
+        lists: Lists | None = None,
     ) -> None:
-        self.blocks, self.vectors, self.embed = blocks, vectors, embed
+        self.blocks, self.vectors, self.embed, self.lists = blocks, vectors, embed, lists
 
     def search(self, request: Request, overlap: str = "outer") -> DataFrame:
         """Ranked blocks with their score. Keyword statistics are of the rows that pass path and language; the
         vector side heeds the path only. Without vectors, or if embedding fails, scores are plain BM25."""
         blocks = R.keep_path(self.blocks, request.path)
-        best = R.bm25_search(blocks, request.query, request.languages, request.limit * BM25_FETCH, overlap)
+        best = self._keyword(blocks, request, request.limit * BM25_FETCH, overlap)
         if self.vectors is None or self.embed is None:
             return R.top(best, request.limit)
         try:
@@ -41,9 +48,19 @@ class Engine:
         both = R.fuse(best, near, blocks, limit=request.limit * (BM25_FETCH + VECTOR_FETCH))
         return R.diversify(both, request.limit, overlap)
 
+    def _keyword(self, blocks: DataFrame, request: Request, limit: int, overlap: str) -> DataFrame:
+        if self.lists is None:
+            return R.bm25_search(blocks, request.query, request.languages, limit, overlap)
+        asked = request_table(blocks.sparkSession, [replace(request, limit=limit)])
+        found = self.lists.search(asked, overlap).drop("request", "ordinal")
+        return R.top(R.whole_rows(blocks, found, limit), limit)
+
     def search_many(self, requests: list[Request]) -> DataFrame:
         """Keyword searches for a set of requests in one plan, with their number and ordinals."""
-        return R.bm25_many(self.blocks, requests)
+        if self.lists is None:
+            return R.bm25_many(self.blocks, requests)
+        found = self.lists.search(request_table(self.blocks.sparkSession, requests))
+        return R.whole_rows(self.blocks, found, sum(r.limit for r in requests), ("request",))
 
     def results(self, request: Request) -> DataFrame:
         """search() with ordinal and snippet; the number of rows is at most the limit."""

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvine.functions.text import document_text, embedding_text, tokens
+from corvine.operators import postings as P
 from corvine.plans.embedders import Embedder, embed_texts
 from corvine.plans.snapshots import ConcurrentUpdate, Log, Snapshot  # noqa: F401  raised by writes
 from corvine.schema import BLOCK, INDEXED, VECTOR
@@ -32,6 +33,8 @@ BUCKET_BYTES = 256 << 20
 
 #: Wide enough for a 64-bit number, or for a time in microseconds before another number.
 SEQ = "decimal(38,0)"
+#: Tables of an index that keeps posting lists.
+_LISTS = {"postings": P.POSTING, "sizes": P.SIZE, "grams": P.GRAM}
 _FILE_STATE = f"path string, error string, n_blocks int, seq {SEQ}, removed boolean"
 
 
@@ -102,10 +105,12 @@ def _plain(files: DataFrame) -> DataFrame:
 class Index:
     """A versioned index in a folder of any store that Spark reads."""
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, buckets: int | None = None) -> None:
-        """buckets: their number in a new index, by its size if not given; an index that is there has its own."""
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, buckets: int | None = None, postings: bool = False) -> None:
+        """buckets: their number in a new index, by its size if not given; an index that is there has its own.
+        postings: also keep posting lists and the sums that statistics are made of, by file and brought up to date
+        with every commit; keyword searches then read the lists of their terms and no texts."""
         self.spark, self.root, self.embedder, self._wanted = spark, root.rstrip("/"), embedder, buckets
-        self._log = Log(spark, self.root)
+        self._log, self.postings = Log(spark, self.root), postings
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -122,7 +127,7 @@ class Index:
 
     def vacuum(self, seconds: float = 7 * 86_400) -> list[str]:
         """Removes versions that no commit of the last `seconds` uses: their folders."""
-        return self._log.vacuum(["blocks", "files", "vectors"], seconds)
+        return self._log.vacuum(["blocks", "files", "vectors", *_LISTS], seconds)
 
     def _read(self, table: str, schema, buckets: list[int] | None = None, now: Snapshot | None = None) -> DataFrame:
         """A table as committed now, or at another time. The versions in use are listed, and the buckets that each
@@ -146,6 +151,11 @@ class Index:
     def vectors(self, now: Snapshot | None = None) -> DataFrame:
         return self._read("vectors", VECTOR, now=now)
 
+    def lists(self, now: Snapshot | None = None) -> P.Lists:
+        """The posting lists, of an index that keeps them."""
+        now = self.snapshot() if now is None else now
+        return P.Lists(*[self._read(name, schema, now=now) for name, schema in _LISTS.items()])
+
     def files(self) -> DataFrame:
         """path, error, n_blocks, seq of the files that are there."""
         return self._read("files", _FILE_STATE).where("NOT coalesce(removed, false)").drop("removed")
@@ -216,13 +226,23 @@ class Index:
         tables = {"blocks": (stored, INDEXED, "file_path"), "files": (state, _FILE_STATE, "path")}
         if self.embedder is not None:
             tables["vectors"] = (embed_blocks(blocks, self.embedder), VECTOR, "file_path")
+        if self.postings:
+            tables |= {"postings": (P.postings(stored), P.POSTING, "file_path"), "sizes": (P.sizes_of(stored), P.SIZE, "file_path")}
         of = set(touched)
         for name, (new, schema, key) in tables.items():
             if any(t == name and b in of for t, b in seen.versions):
                 gone = (parsed if name == "files" else good).select(F.col("path").alias("__gone"))
                 old = self._read(name, schema, touched, seen)
                 new = old.join(gone, old[key] == gone["__gone"], "left_anti").unionByName(new)
-            self._dealt(new, key, len(touched), number).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
+            dealt = self._dealt(new, key, len(touched), number)
+            if name == "postings":
+                dealt = dealt.sortWithinPartitions("bucket", "term")
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
+        if self.postings:  # what the buckets hold now, so that a word goes with its last file
+            rows = self.spark.read.schema(f"{P.POSTING}, bucket int").parquet(f"{self.root}/postings/v={version}")
+            grams = P.gram_rows(rows, "bucket").sortWithinPartitions("bucket", "gram")
+            grams.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/grams/v={version}")
+            tables |= {"grams": (grams, P.GRAM, "word")}
         path, store = self._path(f"parsed/v={version}")
         store.delete(path, True)  # not read again
         self._log.commit(seen, {(t, b): version for t in tables for b in touched}, number, whole)
@@ -232,4 +252,5 @@ class Index:
 
         embed = None if self.embedder is None else (lambda text: self.embedder.embed([text])[0])
         now = self.snapshot()
-        return Engine(self.blocks(now), None if self.embedder is None else self.vectors(now), embed)
+        lists = self.lists(now) if self.postings else None
+        return Engine(self.blocks(now), None if self.embedder is None else self.vectors(now), embed, lists)

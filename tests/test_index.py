@@ -1,11 +1,13 @@
 import io
 import json
 import os
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from corvine.operators.postings import request_table
 from corvine.plans.engine import Engine
 from corvine.__main__ import line_request
 from corvine.plans.embedders import HashingEmbedder, OnnxEmbedder, embed_texts, mean_pool, unit
@@ -167,6 +169,40 @@ def test_vacuum(spark, tmp_path):
     assert sorted(r["name"] for r in index.blocks().collect()) == ["b", "n3"] and index.vacuum(0.01) == []
 
 
+def test_kept_lists_follow_updates(spark, tmp_path):
+    """After random updates, searches by the kept lists and sums equal those over the texts and over a new index."""
+    rng = random.Random(4)
+    names = ["find", "User", "findUser", "load", "x"]
+    java = lambda: "class %s { int %s() { return %s; } }" % tuple(rng.choice(names) for _ in range(3))
+    now = {f"/p/{i}.java": java() for i in range(12)}
+    index = Index(spark, str(tmp_path / "i"), HashingEmbedder(8), buckets=3, postings=True)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    index.build(frame([(p, t.encode()) for p, t in now.items()], "path string, content binary"))
+    for _ in range(3):
+        changes = []
+        for p in rng.sample([f"/p/{i}.java" for i in range(15)], 4):
+            gone = rng.random() < 0.4
+            text = None if gone else java()
+            changes.append((p, "remove" if gone else "upsert", None if gone else text.encode()))
+            now.pop(p, None) if gone else now.update({p: text})
+        index.apply(frame(changes, "path string, op string, content binary"))
+    fresh = Index(spark, str(tmp_path / "j"), buckets=2, postings=True)
+    fresh.build(frame([(p, t.encode()) for p, t in now.items()], "path string, content binary"))
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    for table in ("by_file", "grams"):
+        assert rows(getattr(index.lists(), table).distinct(), "*") == rows(getattr(fresh.lists(), table).distinct(), "*")
+    engine, plain = index.engine(), Engine(index.blocks(), index.vectors(), index.engine().embed)
+    asked = [Request("find user"), Request("x", path="/p/1", limit=4), Request("User", lang="java,xml"), Request("find", lang="xml"), Request("ser")]
+    for r in asked[:3]:
+        assert engine.search(r).collect() == plain.search(r).collect()
+        assert Engine(index.blocks(), lists=index.lists()).search(r, "inner").collect() == Engine(index.blocks()).search(r, "inner").collect()
+    own = ("request", "ordinal", "file_path", "name", "score")
+    many = rows(engine.search_many(asked), *own)
+    assert many == rows(plain.search_many(asked), *own) and {r[0] for r in many} == {0, 1, 2}
+    plan = index.lists().scores(request_table(spark, [Request("find")]))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "In(term" in plan or "EqualTo(term" in plan
+
+
 LOG = "seq bigint, path string, op string, content binary"
 
 
