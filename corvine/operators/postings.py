@@ -194,9 +194,7 @@ class Lists:
         request, ordinal (from 1), the block's key, kind and name, __mark, score. ranking.whole_rows adds the rest."""
         scored = self.scores(requests).drop("__row", "language", "length")
         best = R.cap_per_file(R.without_overlap(scored, overlap, ("request",)), by=("request",))
-        order = Window.partitionBy("request").orderBy(*R.total_order())
-        listed = best.withColumn("ordinal", F.row_number().over(order).cast("bigint")).where("ordinal <= limit")
-        return listed.select("request", "ordinal", *KEY, "kind", "name", "__mark", "score")
+        return R.listed(best, "request", F.col("limit")).select("request", "ordinal", *KEY, "kind", "name", "__mark", "score")
 
 
 class Postings(Lists):

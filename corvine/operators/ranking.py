@@ -139,6 +139,12 @@ def without_overlap(ranked: DataFrame, overlap: str, by: tuple[str, ...] = ()) -
     return outermost(ranked, by=by) if overlap == "outer" else innermost(ranked, by=by)
 
 
+def listed(ranked: DataFrame, by: str, limit: Column) -> DataFrame:
+    """The first rows of each list, up to its limit, with their ordinal from 1."""
+    order = Window.partitionBy(by).orderBy(*total_order())
+    return ranked.withColumn("ordinal", F.row_number().over(order).cast("bigint")).where(F.col("ordinal") <= limit)
+
+
 def diversify(ranked: DataFrame, limit: int, overlap: str = "outer") -> DataFrame:
     """Overlap removal, then the cap, then the limit; the order is part of the meaning."""
     return top(cap_per_file(without_overlap(ranked, overlap)), limit)
@@ -242,23 +248,25 @@ def vector_top(scores: DataFrame, limit: int) -> DataFrame:
     return scores.orderBy(F.desc("cosine"), "file_path", "start_line", F.desc("end_line")).limit(limit)
 
 
-def best_per_key(rows: DataFrame, score: str = "score") -> DataFrame:
-    by = Window.partitionBy(*KEY).orderBy(*total_order(score))
-    return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
+def best_per_key(rows: DataFrame, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    order = Window.partitionBy(*by, *KEY).orderBy(*total_order(score))
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
-def fuse(bm25: DataFrame, vectors: DataFrame, blocks: DataFrame, alpha: float = S.ALPHA, limit: int | None = None) -> DataFrame:
-    """Full outer fusion of two candidate lists on the block key. BM25 scores are scaled to [0, 1] over their
-    list, by a window over it, so it is made once; a side that misses a block counts as 0. limit: rows of both
-    lists at most, if known; only a short list is broadcast to the blocks."""
-    all_rows = Window.partitionBy()  # a list of candidates, not the corpus
-    spanned = bm25.select(*KEY, "kind", "name", "score", F.min("score").over(all_rows).alias("lo"), F.max("score").over(all_rows).alias("hi"))
-    left = best_per_key(spanned).select(*KEY, S.min_max(F.col("score"), F.col("lo"), F.col("hi")).alias("b"))
-    right = vectors.select(*KEY, S.rescale(F.col("cosine")).alias("v"))
-    both = left.join(right, KEY, "full_outer").select(
-        *KEY, (alpha * F.coalesce("b", F.lit(0.0)) + (1 - alpha) * F.coalesce("v", F.lit(0.0))).alias("score")
+def fuse(
+    bm25: DataFrame, vectors: DataFrame, blocks: DataFrame, alpha: float = S.ALPHA, limit: int | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Full outer fusion of two candidate lists on the block key, within the columns by. BM25 scores are scaled to
+    [0, 1] over their list, by a window over it, so it is made once; a side that misses a block counts as 0. limit:
+    rows of both lists at most, if known; only a short list is broadcast to the blocks."""
+    all_rows = Window.partitionBy(*by)  # a list of candidates, not the corpus
+    spanned = bm25.select(*by, *KEY, "kind", "name", "score", F.min("score").over(all_rows).alias("lo"), F.max("score").over(all_rows).alias("hi"))
+    left = best_per_key(spanned, by=by).select(*by, *KEY, S.min_max(F.col("score"), F.col("lo"), F.col("hi")).alias("b"))
+    right = vectors.select(*by, *KEY, S.rescale(F.col("cosine")).alias("v"))
+    both = left.join(right, [*by, *KEY], "full_outer").select(
+        *by, *KEY, (alpha * F.coalesce("b", F.lit(0.0)) + (1 - alpha) * F.coalesce("v", F.lit(0.0))).alias("score")
     )
-    first = Window.partitionBy(*KEY).orderBy("kind", "name")
+    first = Window.partitionBy(*by, *KEY).orderBy("kind", "name")
     listed = F.broadcast(both) if limit is not None and limit <= BROADCAST_ROWS else both
     found = blocks.drop("tokens").join(listed, KEY).withColumn("__n", F.row_number().over(first))
     return found.where("__n = 1").drop("__n")

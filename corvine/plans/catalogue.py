@@ -389,7 +389,11 @@ def minmax_scores(spark, sf_dir):
     return best.crossJoin(F.broadcast(span)).select("doc_id", F.round(S.min_max(F.col("score"), F.col("lo"), F.col("hi")), 6).alias("b"))
 
 
-_FUSED = f"""{DOCS}, {bm25_sql('docs', ['the', 'of'], 'true', _doc_boost('the of'))}, {_COS},
+def _fused_sql(part: str = "") -> str:
+    """For files whose path holds a part."""
+    inside = f"contains(file_path, '{part}')"
+    near = _COS.replace("doc_id, q)", f"doc_id, q WHERE {inside.replace('file_path', 'source')})")
+    return f"""{DOCS}, {bm25_sql('docs', ['the', 'of'], inside, _doc_boost('the of'))}, {near},
     cap AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, line) AS k FROM sc),
     bl AS (SELECT * FROM cap WHERE k <= 3 ORDER BY score DESC, file_path, line LIMIT 30),
     vl AS (SELECT * FROM cs ORDER BY cosine DESC, file_path, line LIMIT 90), r AS (SELECT min(score) AS lo, max(score) AS hi FROM bl),
@@ -398,6 +402,14 @@ _FUSED = f"""{DOCS}, {bm25_sql('docs', ['the', 'of'], 'true', _doc_boost('the of
       FROM bl FULL JOIN vl ON bl.doc_id = vl.doc_id, r)"""
 
 
+_FUSED = _fused_sql()
+
+
+def _hybrid_sql(part: str = "") -> str:
+    return f"""WITH {_fused_sql(part)}, c2 AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, line) AS k2 FROM fu)
+    SELECT doc_id, {ROUND} FROM c2 WHERE k2 <= 3 ORDER BY c2.score DESC, file_path, line LIMIT 10"""
+
+
 def _fused(spark, sf_dir):
     blocks = document_blocks(spark, sf_dir)
     best = R.bm25_search(blocks, "the of", None, 30)
@@ -410,11 +422,7 @@ def hybrid_fuse(spark, sf_dir):
     return ranked(_fused(spark, sf_dir), "doc_id", "score")
 
 
-@query(
-    "hybrid_topk",
-    f"""WITH {_FUSED}, c2 AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, line) AS k2 FROM fu)
-    SELECT doc_id, {ROUND} FROM c2 WHERE k2 <= 3 ORDER BY c2.score DESC, file_path, line LIMIT 10""",
-)
+@query("hybrid_topk", _hybrid_sql())
 def hybrid_topk(spark, sf_dir):
     from corvine.plans.engine import Engine
     from corvine.schema import Request
@@ -423,6 +431,18 @@ def hybrid_topk(spark, sf_dir):
     return ranked(engine.search(Request("the of", limit=10)), "doc_id", "score")
 
 
+@query(
+    "hybrid_many",
+    f"SELECT CAST(0 AS BIGINT) AS request, doc_id, score FROM ({_hybrid_sql()}) UNION ALL SELECT 1, doc_id, score FROM ({_hybrid_sql('src1')})",
+)
+def hybrid_many(spark, sf_dir):
+    from corvine.plans.engine import Engine
+    from corvine.schema import Request
+
+    engine = Engine(document_blocks(spark, sf_dir), _vectors(spark, sf_dir), lambda _: _wanted(spark, sf_dir))
+    return ranked(engine.search_many([Request("the of"), Request("the of", path="src1")]), "request", "doc_id", "score")
+
+
 @query("hybrid_degraded", _doc_top("the of", "true", 30) .replace("LIMIT 30", "LIMIT 10"))
 def hybrid_degraded(spark, sf_dir):
     from corvine.plans.engine import Engine

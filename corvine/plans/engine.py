@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import text as X
 from corvine.operators import ranking as R
+from corvine.operators.nearest import Asked, nearest
 from corvine.operators.postings import Lists, request_table
 from corvine.schema import Request
 
@@ -56,7 +57,29 @@ class Engine:
         return R.top(R.whole_rows(blocks, found, limit), limit)
 
     def search_many(self, requests: list[Request]) -> DataFrame:
-        """Keyword searches for a set of requests in one plan, with their number and ordinals."""
+        """search() for a set of requests in one plan: their rows with the number of the request and ordinals. A
+        request whose text cannot be embedded gets plain BM25."""
+        asked, failed = [], set()
+        for i, r in enumerate(requests if self.vectors is not None and self.embed is not None else []):
+            try:
+                asked.append(Asked(i, list(self.embed(r.query)), r.path, r.limit * VECTOR_FETCH))
+            except Exception:  # as in search
+                failed.add(i)
+        if not asked:
+            return self._keyword_many(requests)
+        hybrid = {a.request for a in asked}
+        both = [replace(r, limit=r.limit * BM25_FETCH) if i in hybrid else r for i, r in enumerate(requests)]
+        words = self._keyword_many(both)
+        near = nearest(self.blocks, self.vectors, asked)
+        most = sum(r.limit for r in requests) * (BM25_FETCH + VECTOR_FETCH)
+        fused = R.fuse(words.where(~F.col("request").isin(failed)) if failed else words, near, self.blocks, limit=most, by=("request",))
+        limits = request_table(self.blocks.sparkSession, requests).select("request", F.col("limit").alias("__limit"))
+        best = R.cap_per_file(R.without_overlap(fused, "outer", ("request",)), by=("request",)).join(F.broadcast(limits), "request")
+        best = R.listed(best, "request", F.col("__limit"))
+        columns = words.columns
+        return best.select(*columns).unionByName(words.where(F.col("request").isin(failed))) if failed else best.select(*columns)
+
+    def _keyword_many(self, requests: list[Request]) -> DataFrame:
         if self.lists is None:
             return R.bm25_many(self.blocks, requests)
         found = self.lists.search(request_table(self.blocks.sparkSession, requests))
