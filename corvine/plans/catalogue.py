@@ -585,13 +585,13 @@ def before_and_after(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dated.where(~later).drop("at"), dated.where(later).drop("at")
 
 
-def updated_index(spark, log: DataFrame):
+def updated_index(spark, log: DataFrame, embedder=None):
     """An index of the files as they are before a time, with the changes after it applied."""
     from corvine.plans.index import Index
     from corvine.streaming.updater import newest
 
     before, after = before_and_after(log)
-    index = Index(spark, scratch(spark, "index"), buckets=4)
+    index = Index(spark, scratch(spark, "index"), embedder, buckets=4)
     index.build(newest(before).where("op = 'upsert'").select("path", "content"))
     index.apply(newest(after))
     return index
@@ -745,6 +745,137 @@ def stream_upsert_final(spark, sf_dir):
     return users(index)
 
 
+@query("stream_upsert_batches", ORACLE["stream_upsert_final"])
+def stream_upsert_batches(spark, sf_dir):
+    """The same log dealt over files without regard to time, and taken a file at a time: late changes of a path come
+    after newer ones."""
+    from corvine.plans.index import Index
+    from corvine.streaming.updater import apply_batch
+
+    folder = scratch(spark, "stream")
+    events = table(spark, sf_dir, "events")
+    events.repartition(4, "event_id").write.parquet(f"{folder}/log")
+    index = Index(spark, f"{folder}/index", buckets=4)
+    log = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    body = apply_batch(index)
+    q = (
+        log.writeStream.foreachBatch(lambda batch, n: body(as_changes(batch), n))
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return users(index)
+
+
+_STATE = "SELECT user_id, max(event_id) AS modified, count(*) AS size FROM events WHERE event_type <> '{}' GROUP BY user_id HAVING max(value) {}"
+
+
+@query(
+    "snapshot_difference",
+    f"""WITH a AS ({_STATE.format('view', '< 250')}), b AS ({_STATE.format('error', '> 120')})
+    SELECT CAST(coalesce(a.user_id, b.user_id) AS VARCHAR) AS path, CASE WHEN b.user_id IS NULL THEN 'remove' ELSE 'upsert' END AS op
+    FROM a FULL JOIN b ON a.user_id = b.user_id WHERE a.size IS DISTINCT FROM b.size OR a.modified IS DISTINCT FROM b.modified""",
+)
+def snapshot_difference(spark, sf_dir):
+    """What differs between two states of the users' files, made of different events; some users are in one only."""
+    from corvine.streaming.tree import difference
+
+    def state(without: str, having: str) -> DataFrame:
+        rows = table(spark, sf_dir, "events").where(F.col("event_type") != without).groupBy(F.col("user_id").cast("string").alias("path"))
+        return rows.agg(F.count(F.lit(1)).alias("size"), F.max("event_id").alias("modified"), F.max("value").alias("most")).where(having)
+
+    return difference(state("view", "most < 250"), state("error", "most > 120"))
+
+
+@query(
+    "blocks_function",
+    """WITH e AS (SELECT *, '<e id="' || event_id || '" type="' || event_type || '"/>' AS content FROM events WHERE event_type <> 'error')
+    SELECT event_id, kind, name, start_line, end_line, signature, content FROM (
+      SELECT event_id, 'XmlNode' AS kind, CAST(event_id AS VARCHAR) AS name, CAST(2 AS BIGINT) AS start_line, CAST(2 AS BIGINT) AS end_line, content AS signature, content FROM e
+      UNION ALL SELECT event_id, 'XmlNode', 'r' || event_id, 1, 1, '<r id="r' || event_id || '">', '<r id="r' || event_id || '">' FROM e)""",
+)
+def blocks_function(spark, sf_dir):
+    """Every event as a file, parsed by the table function in SQL; those of errors do not parse and give no row."""
+    from corvine.plans.index import register_blocks_function
+
+    name = "code_blocks_" + scratch(spark, "f").rsplit("-", 1)[1]
+    register_blocks_function(spark, name)
+    number, end = F.col("event_id").cast("string"), F.when(F.col("event_type") == "error", "</x>").otherwise("</r>")
+    inner = F.concat(F.lit('<e id="'), number, F.lit('" type="'), F.col("event_type"), F.lit('"/>'))
+    content = F.concat(F.lit('<r id="r'), number, F.lit('">\n'), inner, F.lit("\n"), end).cast("binary")
+    files = table(spark, sf_dir, "events").select("event_id", F.lit("/e.xml").alias("path"), content.alias("content"))
+    rows = spark.sql(f"SELECT f.event_id, b.* FROM {{files}} f, LATERAL {name}(f.path, f.content) b", files=files)
+    return ranked(rows, "event_id", "kind", "name", "start_line", "end_line", "signature", "content")
+
+
+@query(
+    "index_state",
+    f"""WITH {_LATEST} SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'parsed' END AS status, count(*) AS files,
+      CAST(sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS BIGINT) AS blocks FROM l GROUP BY 1""",
+)
+def index_state(spark, sf_dir):
+    """What an index says of its files, when those whose newest event is an error do not parse."""
+    from corvine.plans.index import Index
+    from corvine.streaming.updater import newest
+
+    index = Index(spark, scratch(spark, "index"), buckets=4)
+    broken = F.when(F.col("op") == "remove", F.lit("</broken>").cast("binary")).otherwise(F.col("content"))
+    index.build(newest(changes(spark, sf_dir)).select("path", broken.alias("content")))
+    status = F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("status")
+    said = index.files().groupBy(status).agg(F.count(F.lit(1)).alias("files"))
+    # counted on the blocks themselves, not on what the files say of them
+    own = index.files().join(index.blocks().groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("n")), "path", "left")
+    return said.join(own.groupBy(status).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("blocks")), "status")
+
+
+@query("vectors_follow", f"WITH {_LATEST} SELECT CAST(user_id AS VARCHAR) AS path, CAST(1 AS BIGINT) AS start_line, CAST(1 AS BIGINT) AS end_line, CAST(1 AS DOUBLE) AS norm FROM l WHERE event_type <> 'error'")
+def vectors_follow(spark, sf_dir):
+    """The vectors of an index after an update: one of unit length for each block that is there."""
+    from corvine.plans.embedders import HashingEmbedder
+
+    vectors = updated_index(spark, changes(spark, sf_dir), HashingEmbedder(16)).vectors()
+    norm = F.round(F.sqrt(S.dot(F.col("embedding"), F.col("embedding"))), 4)
+    return ranked(vectors.withColumns({"path": user_of("file_path"), "norm": norm}), "path", "start_line", "end_line", "norm")
+
+
+@query(
+    "rendered_results",
+    f"""WITH {DOCS}, {bm25_sql('docs', ['the', 'thing'], 'true', _doc_boost('the thing'))},
+    cap AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, line) AS k FROM sc),
+    best AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_path, line) AS ordinal FROM cap WHERE k <= 3)
+    SELECT ordinal, '--- Result ' || ordinal || ' (score: ' || printf('%.2f', score) || ') ---' || chr(10) || 'File: ' || file_path || '  Lines: ' || line || '-' || line
+      || chr(10) || 'Kind: Other  Name: ' || name || chr(10) || '```' || chr(10) || content || chr(10) || '```' || chr(10) || chr(10) AS shown FROM best WHERE ordinal <= 10""",
+)
+def rendered_results(spark, sf_dir):
+    """The results of a search as the text that a caller gets, ten rows."""
+    from corvine.plans.engine import Engine, render_row
+    from corvine.schema import Request
+
+    rows = Engine(document_blocks(spark, sf_dir)).results(Request("the thing")).collect()
+    return spark.createDataFrame([(r["ordinal"], render_row(r)) for r in rows], "ordinal bigint, shown string")
+
+
+_PLACES = ["src", "node_modules", "a/build/b", "target", "src/out.d", ".git/x", "lib"]
+_ENDS = ["java", "jar", "png", "xml", "lock", "PNG", "tar.gz"]
+
+
+@query(
+    "excluded_paths",
+    rf"""WITH p AS (SELECT page_id, list_extract({_PLACES}, 1 + CAST(len(url) % 7 AS INT)) || '/' || {_REL} || '.' || list_extract({_ENDS}, 1 + CAST(len(html) % 7 AS INT)) AS rel FROM pages),
+    n AS (SELECT page_id, rel, string_split(rel, '/') AS parts FROM p)
+    SELECT page_id, list_has_any(parts[1:len(parts) - 1], ['node_modules', 'build', 'target', '.git'])
+      OR list_contains(['jar', 'png', 'lock', 'gz'], regexp_extract(parts[len(parts)], '^.+\.([^.]*)$', 1)) AS excluded FROM n""",
+)
+def excluded_paths(spark, sf_dir):
+    """The built-in names and extensions, on the pages' addresses in some folders and with some extensions."""
+    from corvine.sources.scan import is_excluded
+
+    some = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.length(n) % 7 + 1).cast("int"))
+    rel = F.concat(some(_PLACES, "url"), F.lit("/"), F.regexp_replace("url", "^[a-z]+://", ""), F.lit("."), some(_ENDS, "html"))
+    return table(spark, sf_dir, "pages").select("page_id", is_excluded([], rel).alias("excluded"))
+
+
 #: Sources for the parsers' queries, one of each for every document; # stands for its doc_id. With each, the rows
 #: that it has to give: lines, kind, name, parent, signature, annotations, dependencies, and the length of
 #: the content without the doc_ids in it and how many these are.
