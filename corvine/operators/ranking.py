@@ -112,6 +112,25 @@ def outermost(ranked: DataFrame, score: str = "score", by: tuple[str, ...] = ())
     )
 
 
+def outermost_in_parts(ranked: DataFrame, lines: int, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    """outermost() for files with more hits than a task should order: the hits of `lines` lines are one part, and a
+    part is ordered by itself. How far the parts before reach is a running maximum over one row for each part."""
+    part = F.floor(F.col("start_line") / lines).alias("__part")
+    rows = ranked.withColumn("__part", part)
+    ends = rows.groupBy(*by, "file_path", "__part").agg(F.max("end_line").alias("__end"))
+    ahead = Window.partitionBy(*by, "file_path").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*by, "file_path", "__part", F.max("__end").over(ahead).alias("__before"))
+    met = rows.join(before, [*by, "file_path", "__part"])
+    earlier = (
+        Window.partitionBy(*by, "file_path", "__part")
+        .orderBy(F.asc("start_line"), F.desc("end_line"), F.desc(score), F.asc("kind"), F.asc("name"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    reach = F.greatest(F.max("end_line").over(earlier), F.col("__before"))  # the greatest passes over NULLs
+    kept = met.withColumn("__reach", reach).where(F.col("__reach").isNull() | (F.col("__reach") < F.col("end_line")))
+    return kept.select(*ranked.columns)
+
+
 def innermost(ranked: DataFrame, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """The reverse choice: blocks that contain no other kept one; of equal ranges, the best."""
     order = [F.desc("start_line"), F.asc("end_line"), F.desc(score), F.asc("kind"), F.asc("name")]

@@ -291,6 +291,12 @@ def overlap_outermost(spark, sf_dir):
     return ranked(R.outermost(_conv_scored(spark, sf_dir)), "file_path", "start_line", "end_line", "kind", "name")
 
 
+@query("overlap_in_parts", ORACLE["overlap_outermost"])
+def overlap_in_parts(spark, sf_dir):
+    """The same for files of any number of hits, three lines a part."""
+    return ranked(R.outermost_in_parts(_conv_scored(spark, sf_dir), 3), "file_path", "start_line", "end_line", "kind", "name")
+
+
 def not_contained(rows: DataFrame) -> DataFrame:
     """Blocks that no other block of their file contains, by an anti join; of equal ranges under different names
     none stays. The work grows with the square of a file's blocks, which R.outermost avoids."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ BUCKETS = 32
 BUCKET_BYTES = 256 << 20
 
 
+#: What a write reports.
+DONE = ("parsed", "failed", "removed", "blocks")
 #: Wide enough for a 64-bit number, or for a time in microseconds before another number.
 SEQ = "decimal(38,0)"
 #: Tables of an index that keeps posting lists.
@@ -160,19 +162,20 @@ class Index:
         """path, error, n_blocks, seq of the files that are there."""
         return self._read("files", _FILE_STATE).where("NOT coalesce(removed, false)").drop("removed")
 
-    def build(self, files: DataFrame) -> None:
-        """A new index of these files alone; files that fail are recorded with their error."""
+    def build(self, files: DataFrame) -> dict[str, int]:
+        """A new index of these files alone; files that fail are recorded with their error. What was done: parsed,
+        failed, removed files and blocks."""
         number = self._wanted
         if number is None:
             size = files.agg(F.sum(F.octet_length("content")).alias("b")).first()["b"] or 0
             number = max(BUCKETS, -(-size // BUCKET_BYTES))
-        self._write(parse_files(_plain(files)), list(range(number)), Snapshot(buckets=number), whole=True)
+        return self._write(parse_files(_plain(files)), list(range(number)), Snapshot(buckets=number), whole=True)
 
-    def apply(self, changes: DataFrame) -> None:
+    def apply(self, changes: DataFrame) -> dict[str, int]:
         """changes: path, op ('upsert' or 'remove'), content; one row a path. A file that does not parse keeps
         its old rows; one that parses to nothing loses them. With a column seq, a number, only changes above the
         one that the index holds of their path are taken, and a removal keeps its own; without, all are, and the
-        index's seq stays."""
+        index's seq stays. What was done, as from build."""
         ordered = "seq" in changes.columns
         seq = F.col("seq") if ordered else F.lit(None)
         changes = changes.select("path", "content", seq.cast(SEQ).alias("seq"), (F.col("op") == "remove").alias("removed"))
@@ -180,12 +183,12 @@ class Index:
         number = seen.buckets or self.buckets
         touched = [r["bucket"] for r in changes.select(_bucket("path", number).alias("bucket")).distinct().collect()]
         if not touched:
-            return
+            return dict.fromkeys(DONE, 0)
         held = self._read("files", _FILE_STATE, touched, seen).select(F.col("path").alias("__path"), F.col("seq").alias("__seq"))
         met = changes.join(held, changes["path"] == held["__path"], "left")
         if ordered:
             met = met.where(F.col("__seq").isNull() | (F.col("seq") > F.col("__seq")))
-        self._write(parse_files(met.select("path", "content", F.coalesce("seq", "__seq").alias("seq"), "removed")), touched, seen)
+        return self._write(parse_files(met.select("path", "content", F.coalesce("seq", "__seq").alias("seq"), "removed")), touched, seen)
 
     @property
     def stream(self) -> str:
@@ -210,12 +213,16 @@ class Index:
         part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(spread))
         return rows.withColumn("bucket", _bucket(key, number)).repartition(max(tasks, touched), F.col("bucket"), part)
 
-    def _write(self, parsed: DataFrame, touched: list[int], seen: Snapshot, whole: bool = False) -> None:
+    def _write(self, parsed: DataFrame, touched: list[int], seen: Snapshot, whole: bool = False) -> dict[str, int]:
         """parsed: what parse_files gives, with seq and removed. seen: the commit that it was made after. whole: the
         index is then this alone."""
         version, number = uuid.uuid4().int >> 66, seen.buckets or self.buckets
         stage = f"{self.root}/parsed/v={version}"
-        parsed.write.mode("overwrite").parquet(stage)  # parsed once, read for every table
+        done = Observation()  # counted by the tasks that parse, in the one pass over the files
+        good, gone = F.col("error").isNull(), F.col("removed")
+        said = [F.count_if(good & ~gone), F.count_if(~good), F.count_if(gone), F.coalesce(F.sum(F.when(good, F.size("blocks"))), F.lit(0))]
+        counted = parsed.observe(done, *[c.cast("bigint").alias(n) for n, c in zip(DONE, said, strict=True)])
+        counted.write.mode("overwrite").parquet(stage)  # parsed once, read for every table
         parsed = self.spark.read.schema(parsed.schema).parquet(stage)
         good = parsed.where("error IS NULL")  # removed files among them, which have no blocks
         blocks = blocks_of(good)
@@ -246,6 +253,7 @@ class Index:
         path, store = self._path(f"parsed/v={version}")
         store.delete(path, True)  # not read again
         self._log.commit(seen, {(t, b): version for t in tables for b in touched}, number, whole)
+        return {n: done.get[n] for n in DONE}
 
     def engine(self):
         from corvine.plans.engine import Engine

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -10,6 +12,7 @@ from corvine.plans.index import Index
 from corvine.sources.scan import read_files
 from corvine.streaming.changes import TreeChanges
 
+LOG = logging.getLogger(__name__)
 #: Changed files of one batch at most.
 FILES_PER_BATCH = 10_000
 
@@ -37,10 +40,10 @@ def with_content(changes: DataFrame) -> DataFrame:
 
 def apply_batch(index: Index):
     """Body for foreachBatch. Applying a batch twice gives the same index, so a restart is safe; changes of a log may
-    be spread over batches in any order."""
+    be spread over batches in any order. Each batch logs what the index did with it."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        index.apply(with_content(newest(batch)))
+    def run(batch: DataFrame, number: int) -> None:
+        LOG.info("batch %d into %s: %s", number, index.root, index.apply(with_content(newest(batch))))
 
     return run
 

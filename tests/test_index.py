@@ -153,6 +153,17 @@ def test_commits_of_one_moment(spark, tmp_path):
     assert not [p for p in (tmp_path / "log").iterdir() if "draft" in p.name]
 
 
+def test_writes_report_what_they_did(spark, tree, tmp_path, caplog):
+    index = Index(spark, str(tmp_path / "i"), buckets=2)
+    assert index.build(read_files(spark, walk(tree))) == {"parsed": 3, "failed": 3, "removed": 0, "blocks": 5}
+    rows = [(1, "/a.xml", "upsert", b"<a><b/></a>"), (2, "/b.xml", "upsert", b"</b>"), (3, "/c.xml", "remove", None), (0, "/a.xml", "upsert", b"<old/>")]
+    with caplog.at_level("INFO", "corvine.streaming.updater"):
+        apply_batch(index)(spark.createDataFrame(rows, LOG), 7)
+    assert "batch 7" in caplog.text and "'parsed': 1, 'failed': 1, 'removed': 1, 'blocks': 2" in caplog.text
+    assert index.apply(spark.createDataFrame(rows[:1], LOG)) == {"parsed": 0, "failed": 0, "removed": 0, "blocks": 0}  # not newer
+    assert index.apply(spark.createDataFrame([], LOG)) == dict.fromkeys(("parsed", "failed", "removed", "blocks"), 0)
+
+
 def test_vacuum(spark, tmp_path):
     index = Index(spark, str(tmp_path), buckets=1)
     change = lambda n: spark.createDataFrame([("/a.xml", "upsert", f"<n{n}/>".encode())], "path string, op string, content binary")

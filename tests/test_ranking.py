@@ -50,6 +50,21 @@ def test_path_is_a_part_of_the_file_path(blocks):
     assert {r["file_path"] for r in rows} == {"/p/b/user.xml", "/p/b/app.js"}
 
 
+@pytest.mark.parametrize("lines", [1, 7, 50, 10_000])
+def test_outermost_in_parts(spark, lines):
+    rng = random.Random(lines)
+    rows = []
+    for i in range(1500):
+        start = rng.randint(0, 300)
+        rows.append((rng.randint(0, 1), rng.choice(["/a", "/b", None]), start, start + rng.choice([0, 1, 3, 40, 250]), rng.choice(["K", "L"]), f"n{i}", rng.random()))
+    df = spark.createDataFrame(rows, "request int, file_path string, start_line int, end_line int, kind string, name string, score double").where("file_path IS NOT NULL")
+    for by in ((), ("request",)):
+        whole = sorted(map(tuple, R.outermost(df, by=by).collect()))
+        assert sorted(map(tuple, R.outermost_in_parts(df, lines, by=by).collect())) == whole
+    plan = R.outermost_in_parts(df, lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[file_path#" in plan and "__part" in plan.split("Window")[1]
+
+
 def greedy(rows):
     kept = []
     for r in rows:
