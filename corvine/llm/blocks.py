@@ -4,8 +4,10 @@ Operators that look for repeated content cut the corpus into blocks of about BLO
 doc_id and text, so that rows which share an id (or have none) are spread, and handle a block as flat numpy
 arrays. A block sends each different 64-bit key once to the bucket of that key, packed with the others for
 that bucket; the bucket compares the keys of all blocks and answers every block. A key that a third of all
-documents hold thus reaches its bucket once for each block, not for each document. The text crosses one
-shuffle, which every pass over the blocks reuses.
+documents hold thus reaches its bucket once for each block, not for each document. What the blocks of one
+task send to one bucket is one row before the shuffle (`pooled`), and so are a task's answers to one block, so
+the rows of an exchange are tasks times buckets, not blocks times buckets. The text crosses one shuffle, which
+every pass over the blocks reuses.
 """
 
 from __future__ import annotations
@@ -57,9 +59,29 @@ class Blocks:
         """f over every block and the rows of answers (a column block) meant for it."""
 
         def run(table: pa.Table, more: pa.Table) -> pa.Table:
-            return f(Block(table), more)
+            return f(Block(table), spread(more, "block"))
 
-        return self.rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+        return self.rows.groupBy("block").cogroup(pooled(answers, "block").groupBy("block")).applyInArrow(run, schema)
+
+
+def pooled(rows: DataFrame, key: str) -> DataFrame:
+    """key and rows: one row for each key with all of its rows in a list. A partial aggregate before the shuffle makes
+    one of those that a task has."""
+    return rows.groupBy(key).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != key])).alias("rows"))
+
+
+def spread(table: pa.Table, key: str) -> pa.Table:
+    """The rows that pooled() put together."""
+    lists = table.column("rows").combine_chunks()
+    inner = lists.flatten()
+    keys = np.repeat(np.asarray(table.column(key)), np.asarray(lists.value_lengths())) if table.num_rows else np.zeros(0, np.int64)
+    columns = [pa.array(keys, pa.int64()), *inner.flatten()]
+    return pa.table(columns, [key, *[inner.type.field(i).name for i in range(inner.type.num_fields)]])
+
+
+def by_bucket(sent: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run over the rows of every bucket."""
+    return pooled(sent, "bucket").groupBy("bucket").applyInArrow(lambda table: run(spread(table, "bucket")), schema)
 
 
 class Block:
@@ -212,7 +234,7 @@ def repeated_keys(sent: DataFrame, heavy: int | None = None) -> DataFrame:
             columns["heavy"] = pa.array([pack_keys(keys[p[often[p]]]) for p in pieces], pa.binary())
         return pa.table(columns)
 
-    return sent.groupBy("bucket").applyInArrow(run, "block bigint, keys binary" + ", heavy binary" * (heavy is not None))
+    return by_bucket(sent, run, "block bigint, keys binary" + ", heavy binary" * (heavy is not None))
 
 
 def keys_told(more: pa.Table, column: str = "keys") -> np.ndarray:
@@ -263,7 +285,7 @@ def smaller_elsewhere(sent: DataFrame) -> DataFrame:
         later = ids > least[group]
         return answer(block[later], a[later], b[later])
 
-    return sent.groupBy("bucket").applyInArrow(run, "block bigint, a0 binary, a1 binary")
+    return by_bucket(sent, run, "block bigint, a0 binary, a1 binary")
 
 
 def digests(block: Block, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

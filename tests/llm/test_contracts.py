@@ -318,6 +318,24 @@ def test_passages(documents, rows):
     assert collect(remove_passages(documents(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+def test_exchange_rows_grow_with_tasks_not_with_blocks(spark, documents):
+    """Rows that cross the shuffle: one for each task and bucket, and none is lost or changed by it."""
+    from corvine.llm import blocks as B
+
+    sent = spark.range(0, 4000, 1, 4).selectExpr("id % 7 AS bucket", "id AS block", "cast(cast(id AS string) AS binary) AS keys", "cast(NULL AS binary) AS more0")
+    plan = B.pooled(sent, "bucket")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.index("collect_list") < text.index("Exchange hashpartitioning(bucket") < text.index("partial_collect_list")
+    assert plan.count() == 7
+    back = B.by_bucket(sent, lambda t: t.select(["bucket", "block", "keys", "more0"]), "bucket bigint, block bigint, keys binary, more0 binary")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, sent.collect()))
+    docs = documents(corpus(2, 40))
+    for size in (400, 100):  # more blocks, the same rows
+        found = B.Blocks(docs, block_bytes=size)
+        keys = found.map(lambda b: B.deal_keys(b.number, np.arange(48, dtype=np.uint64) << np.uint64(16), 48), "bucket bigint, block bigint, keys binary")
+        assert keys.count() >= 48 * 10 and B.pooled(keys, "bucket").count() == 48
+
+
 def test_the_cover_covers():
     from corvine.llm.coveranchors import COVER, PERIOD
 
