@@ -2,12 +2,13 @@
 
 The text view is logistic regression on hashed byte trigrams (square roots of counts, unit length), the
 metadata view on hashed source, language and length class. Both start from the labelled sample. In each
-round either view scores the unlabelled sample and, where its calibrated probability is beyond CONFIDENT,
-hands its most certain documents to the other view as pseudo-labels. At the end both views are calibrated
-on held labels and a logistic curve over their log-odds combines them to score all documents.
+round either view scores every document without a label and, where its calibrated probability is beyond
+CONFIDENT, hands the HANDED most certain ones of all (of each class, more with every round) to the other view as
+pseudo-labels. At the end both views are calibrated on held labels and a logistic curve over their log-odds
+combines them to score all documents.
 
-Learning uses bounded, hashed samples: about LABELLED rows with a quality label and UNLABELLED without.
-Scoring reads every whole text.
+Labels are a bounded, hashed sample of about LABELLED rows. Rounds and scoring read every whole text: a task
+keeps its most certain documents of each view and class, and a window over these finds the corpus's.
 
 Cases: NULL and empty texts have no trigram and are scored by their metadata and the model's constant;
 NULL metadata is a value of its own. Labels that repeat a doc_id count by their mean. Without both label
@@ -17,20 +18,20 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.llm.textkit import batches_of, chunks, crc_mod, flat
 
 LABELLED = 3000
-UNLABELLED = 3000
 ROUNDS = 3
-#: Calibrated probability, of either class, from which a pseudo-label is handed over; and how many a
-#: round and class at most.
+#: Calibrated probability, of either class, from which a pseudo-label is handed over; and how many of each class
+#: the first round hands over, the most certain ones (the second twice as many, and so on).
 CONFIDENT = 0.97
 HANDED = 300
 TEXT_DIMS = 2048
@@ -129,30 +130,102 @@ class CoTrained:
         return _sigmoid(np.column_stack([zt, zm]) @ self.both[0] + self.both[1]), _sigmoid(zt), _sigmoid(zm)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool: list[np.ndarray]) -> CoTrained:
-    """views, pool: features of the labelled and of the unlabelled rows, for text and for metadata; held:
-    labelled rows kept for calibration."""
-    extra = [(np.zeros(0, np.int64), np.zeros(0)) for _ in views]  # pseudo-labelled rows of each view's training
+#: For the view that gives: features, for the other view, of the documents it is sure of, and their labels.
+Handed = list[tuple[np.ndarray, np.ndarray]]
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, hand: Callable[[list, list, int], Handed]) -> CoTrained:
+    """views: features of the labelled rows, for text and for metadata; held: labelled rows kept for calibration;
+    hand: for both views' models and curves, the documents that either is surest of, a number of each class."""
+    extra: Handed = [(np.zeros((0, x.shape[1]), np.float32), np.zeros(0)) for x in views]
     l2 = (1e-4, 1e-2)
     models: list = [None, None]
     curves: list = [None, None]
     for turn in range(ROUNDS + 1):
         for v in (0, 1):
-            x = np.concatenate([views[v][~held], pool[v][extra[v][0]]])
+            x = np.concatenate([views[v][~held], extra[v][0]])
             models[v] = fit_logistic(x, np.concatenate([y[~held], extra[v][1]]), l2[v], 60 if turn else 150, models[v], v == 1)
             raw = views[v][held] @ models[v][0] + models[v][1]
             curves[v] = fit_curve(raw[:, None], y[held])
-        if turn == ROUNDS:
-            break
-        for v in (0, 1):
-            p = _sigmoid((pool[v] @ models[v][0] + models[v][1]) * curves[v][0][0] + curves[v][1])
-            sure = [np.argsort(-p)[:HANDED * (turn + 1)], np.argsort(p)[: HANDED * (turn + 1)]]
-            sure = [sure[0][p[sure[0]] >= CONFIDENT], sure[1][p[sure[1]] <= 1 - CONFIDENT]]
-            extra[1 - v] = (np.concatenate(sure), np.concatenate([np.ones(len(sure[0])), np.zeros(len(sure[1]))]))
+        if turn < ROUNDS:
+            extra = hand(models, curves, HANDED * (turn + 1))[::-1]  # each view learns from the other
     z = np.column_stack([(views[v][held] @ models[v][0] + models[v][1]) * curves[v][0][0] + curves[v][1] for v in (0, 1)])
     return CoTrained(models[0], models[1], curves[0], curves[1], fit_curve(z, y[held]))
 
 
+def confident() -> float:
+    """CONFIDENT as log-odds."""
+    return float(np.log(CONFIDENT / (1 - CONFIDENT)))
+
+
+def surest(z: np.ndarray, most: int, limit: float) -> list[np.ndarray]:
+    """Of log-odds, the places beyond the limit: at most so many good ones and bad ones, the surest first."""
+    picked = [np.argsort(-z, kind="stable")[:most], np.argsort(z, kind="stable")[:most]]
+    return [picked[0][z[picked[0]] >= limit], picked[1][z[picked[1]] <= -limit]]
+
+
+def from_arrays(pool: list[np.ndarray]) -> Callable[[list, list, int], Handed]:
+    """hand() over features in memory."""
+
+    def hand(models: list, curves: list, most: int) -> Handed:
+        out = []
+        for v in (0, 1):
+            good, bad = surest((pool[v] @ models[v][0] + models[v][1]) * curves[v][0][0] + curves[v][1], most, confident())
+            out.append((pool[1 - v][np.concatenate([good, bad])], np.repeat([1.0, 0.0], [len(good), len(bad)])))
+        return out
+
+    return hand
+
+
+def from_table(rows: DataFrame) -> Callable[[list, list, int], Handed]:
+    """hand() over a table of any size: doc_id, ms, ml, mn, text. At most four times `most` rows reach the driver."""
+    spark = rows.sparkSession
+    names = ["view", "label", "sure", "doc_id", "ms", "ml", "mn", "index", "value"]
+    shape = "view int, label int, sure double, doc_id bigint, ms int, ml int, mn int, index binary, value binary"
+
+    def hand(models: list, curves: list, most: int) -> Handed:
+        shared, limit = spark.sparkContext.broadcast((models, curves)), confident()  # a few thousand weights
+
+        def run(batches):
+            models, curves = shared.value
+            kept: dict[tuple[int, int], list[tuple]] = {(v, c): [] for v in (0, 1) for c in (0, 1)}
+            for batch in batches_of(batches, 4):
+                data, off = flat(batch.column(4))
+                ids = batch.column(0).to_pylist()
+                numbers = np.stack([np.asarray(batch.column(k)) for k in (1, 2, 3)], 1)
+                for s in range(0, len(off) - 1, 128):
+                    e = min(s + 128, len(off) - 1)
+                    x = [trigram_vectors(data[off[s] : off[e]], off[s : e + 1] - off[s]), meta_vectors(numbers[s:e])]
+                    for v in (0, 1):
+                        z = (x[v] @ models[v][0] + models[v][1]) * curves[v][0][0] + curves[v][1]
+                        for c, places in zip((1, 0), surest(z, most, limit), strict=True):
+                            for k in places.tolist():
+                                held = np.flatnonzero(x[0][k])
+                                packed = held.astype(np.uint16).tobytes(), x[0][k][held].astype(np.float16).tobytes()
+                                kept[v, c].append((v, c, float(abs(z[k])), ids[s + k], *numbers[s + k].tolist(), *packed))
+                for key, own in kept.items():
+                    if len(own) > most:
+                        kept[key] = sorted(own, key=_surest_first)[:most]
+            out = [r for own in kept.values() for r in own]
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), *[pa.int32()] * 3, *[pa.binary()] * 2]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names)
+
+        order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id", "index")
+        found = rows.mapInArrow(run, shape).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).collect()
+        out = []
+        for v in (0, 1):
+            own = sorted((r for r in found if r["view"] == v), key=lambda r: (-r["label"], r["n"]))
+            x = _dense(own) if v == 1 else meta_vectors(np.array([[r["ms"], r["ml"], r["mn"]] for r in own], np.int64).reshape(-1, 3))
+            out.append((x, np.array([float(r["label"]) for r in own])))
+        return out
+
+    return hand
+
+
+def _surest_first(row: tuple) -> tuple:
+    return -row[2], row[3] is not None, row[3] or 0, row[7]
+
+
 def _features(rows: DataFrame) -> DataFrame:
     """Sparse trigram vectors of a bounded sample, as packed indexes and values."""
 
@@ -183,13 +256,12 @@ def _dense(rows: list) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", held_out: int | None = 0) -> CoTrained | float:
-    """The model, or a constant where a label value is missing. Broadcast: the two samples' ids."""
+    """The model, or a constant where a label value is missing. Broadcast: the sample's ids."""
     marks = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
     if held_out is not None:
         marks = marks.where(crc_mod("doc_id", 5) != held_out)
     marks = marks.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
-    total = docs.count()
     if set(counts) != {0, 1}:
         return sum(k * n for k, n in counts.items()) / sum(counts.values()) if counts else 0.5
     place = F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1_000_000)) / 1_000_000
@@ -198,17 +270,16 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", held_out:
     base = docs.select("doc_id", *meta_columns(), F.coalesce("text", F.lit("")).alias("text"))
     known = base.join(chosen, "doc_id").select("doc_id", "label", crc_mod("doc_id", 5).cast("int").alias("fold"), "ms", "ml", "mn", "text")
     known = sorted(_features(known).collect(), key=lambda r: (r["doc_id"], bytes(r["index"])))
-    free = base.where((place < UNLABELLED / max(total, 1)) & (crc_mod("doc_id", 5) != (held_out if held_out is not None else -1)))
-    free = free.join(chosen.select("doc_id"), "doc_id", "left_anti")
-    free = sorted(_features(free).collect(), key=lambda r: (r["doc_id"] or 0, bytes(r["index"])))
+    free = base if held_out is None else base.where(crc_mod("doc_id", 5) != held_out)
+    free = free.join(chosen.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").cast("bigint"), "ms", "ml", "mn", "text")
     y = np.array([r["label"] for r in known], float)
     held = np.array([r["fold"] == 4 for r in known], bool)
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.arange(len(y)) % 4 == 0
         if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
             return counts[1] / marked
-    meta = [meta_vectors(np.array([[r["ms"], r["ml"], r["mn"]] for r in rows], np.int64).reshape(-1, 3)) for rows in (known, free)]
-    return co_train([_dense(known), meta[0]], y, held, [_dense(free), meta[1]])
+    meta = meta_vectors(np.array([[r["ms"], r["ml"], r["mn"]] for r in known], np.int64).reshape(-1, 3))
+    return co_train([_dense(known), meta], y, held, from_table(free))
 
 
 def score(docs: DataFrame, model: CoTrained | float) -> DataFrame:

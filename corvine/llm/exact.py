@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Salts at least, whatever the number of shuffle partitions.
 LEAST_SALTS = 64
@@ -56,15 +57,25 @@ def mark_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     )
 
 
+def _ordered(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind)
+    return not isinstance(kind, T.MapType | T.VariantType)
+
+
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each different text, with all columns of docs: that of the largest doc_id, and where rows
-    repeat both, the one with the greatest other columns. Only such rows meet again in an aggregate."""
+    repeat both, the one with the greatest other columns (those that have no order, as maps, count by their JSON).
+    Only such rows meet again in an aggregate."""
     kept = mark_copies(docs, text, key).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__n"))
     kept = kept.withColumnsRenamed({"doc_id": "__kept_id", "text_sha256": "__kept_digest"})
     content = F.coalesce(F.col(text), F.lit(""))
     same = F.col(key).eqNullSafe(F.col("__kept_id")) & (F.sha2(content, 256) == F.col("__kept_digest"))
     single = docs.join(kept.where("__n = 1"), same, "left_semi")
     repeated = docs.join(kept.where("__n > 1"), same, "left_semi")
-    best = F.max(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__best")
+    rank = [F.col(f"`{c}`") if _ordered(f.dataType) else F.to_json(F.struct(F.col(f"`{c}`"))) for c, f in zip(docs.columns, docs.schema, strict=True)]
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*rank)).alias("__best")
     one = repeated.groupBy(F.col(key).alias("__key"), content.alias("__content")).agg(best).select("__best.*")
     return single.unionByName(one)

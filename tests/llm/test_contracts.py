@@ -104,6 +104,15 @@ def test_exact_keeps_one_row_of_each_text(documents):
     assert kept == sorted([(None, "a", "fr", "x"), (None, "b", None, None), (2, "c", None, "z")], key=repr)
 
 
+def test_exact_with_columns_that_have_no_order(spark):
+    from corvine.llm.exact import drop_copies
+
+    shape = "doc_id bigint, text string, tags map<string,int>, more array<struct<m:map<string,int>>>, n int"
+    rows = [(1, "a", {"x": 1}, [], 5), (1, "a", {"x": 2}, [], 5), (2, "a", {"x": 0}, [({"k": 1},)], 1), (2, "a", {"x": 0}, [({"k": 2},)], 1), (3, "b", None, None, None)]
+    kept = sorted((r["doc_id"], r["text"], r["tags"], r["n"]) for r in drop_copies(spark.createDataFrame(rows, shape)).collect())
+    assert kept == [(2, "a", {"x": 0}, 1), (3, "b", None, None)]
+
+
 def test_bpe(documents, rows):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -283,7 +283,7 @@ def test_co_training_uses_the_other_view():
     view = lambda label, gain, dims: (rng.normal(size=(len(label), dims)) + gain * (2 * label[:, None] - 1) * (np.arange(dims) < 8)).astype(np.float32)
     views, free = zip(*[(view(y, g, d), view(hidden, g, d)) for g, d in ((0.5, 200), (2.0, 10))], strict=True)
     held_rows = np.arange(n) % 4 == 0
-    model = cotrain.co_train(list(views), y, held_rows, list(free))
+    model = cotrain.co_train(list(views), y, held_rows, cotrain.from_arrays(list(free)))
     alone = cotrain.fit_logistic(views[0][~held_rows], y[~held_rows], 1e-4)
     taught = auc(free[0] @ model.text[0], hidden)
     assert taught > auc(free[0] @ alone[0], hidden)
@@ -291,6 +291,26 @@ def test_co_training_uses_the_other_view():
     assert auc(both, hidden) > 0.97 and both.shape == text.shape == meta.shape
 
 
+def test_pseudo_labels_are_of_the_whole_table(spark, documents, odd, monkeypatch):
+    """Tasks and a window hand over what one pass over all features in memory does."""
+    monkeypatch.setattr(cotrain, "CONFIDENT", 0.6)
+    rng = np.random.default_rng(6)
+    rows = [*odd, *[(100 + i, " ".join(rng.choice(["good", "bad", "word", "x1"], 30)), "en", f"s{i % 3}") for i in range(300)]]
+    docs = documents(rows).repartition(5)
+    table = docs.select(F.col("doc_id").cast("bigint"), *cotrain.meta_columns(), F.coalesce("text", F.lit("")).alias("text"))
+    models = [(rng.normal(size=d).astype(np.float32) * 3, 0.1) for d in (cotrain.TEXT_DIMS, cotrain.META_DIMS)]
+    curves = [(np.array([1.5]), -0.2), (np.array([0.3]), 0.1)]
+    held = sorted(table.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    data = [r["text"].encode() for r in held]
+    text = cotrain.trigram_vectors(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    meta = cotrain.meta_vectors(np.array([[r["ms"], r["ml"], r["mn"]] for r in held]))
+    for most in (3, 40):
+        got, want = cotrain.from_table(table)(models, curves, most), cotrain.from_arrays([text, meta])(models, curves, most)
+        for v in (0, 1):
+            assert got[v][1].tolist() == want[v][1].tolist() and 0 < len(got[v][1]) <= 2 * most
+            assert v == 0 or np.allclose(got[v][0], want[v][0], atol=1e-3)
+
+
 def slow_quality(model, text: bytes, meta: list[int]):
     """Both views and their combination for one document, trigram by trigram."""
     counts = {}
