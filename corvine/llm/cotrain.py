@@ -189,6 +189,7 @@ def from_table(rows: DataFrame) -> Callable[[list, list, int], Handed]:
         def run(batches):
             models, curves = shared.value
             kept: dict[tuple[int, int], list[tuple]] = {(v, c): [] for v in (0, 1) for c in (0, 1)}
+            floor = dict.fromkeys(kept, limit)  # below it a document is not among the task's surest
             for batch in batches_of(batches, 4):
                 data, off = flat(batch.column(4))
                 ids = batch.column(0).to_pylist()
@@ -198,19 +199,23 @@ def from_table(rows: DataFrame) -> Callable[[list, list, int], Handed]:
                     x = [trigram_vectors(data[off[s] : off[e]], off[s : e + 1] - off[s]), meta_vectors(numbers[s:e])]
                     for v in (0, 1):
                         z = (x[v] @ models[v][0] + models[v][1]) * curves[v][0][0] + curves[v][1]
-                        for c, places in zip((1, 0), surest(z, most, limit), strict=True):
-                            for k in places.tolist():
-                                held = np.flatnonzero(x[0][k])
-                                packed = held.astype(np.uint16).tobytes(), x[0][k][held].astype(np.float16).tobytes()
-                                kept[v, c].append((v, c, float(abs(z[k])), ids[s + k], *numbers[s + k].tolist(), *packed))
-                for key, own in kept.items():
-                    if len(own) > most:
-                        kept[key] = sorted(own, key=_surest_first)[:most]
-            out = [r for own in kept.values() for r in own]
+                        for c in (0, 1):
+                            sure, own = z if c else -z, kept[v, c]
+                            for k in np.flatnonzero(sure >= floor[v, c]).tolist():
+                                own.append((float(sure[k]), ids[s + k], numbers[s + k].tolist(), x[0][k].copy()))
+                            if len(own) > 2 * most:
+                                own.sort(key=_surest_first)
+                                del own[most:]
+                                floor[v, c] = own[-1][0]
+            out = []
+            for (v, c), own in kept.items():
+                for sure, doc_id, meta, row in sorted(own, key=_surest_first)[:most]:
+                    held = np.flatnonzero(row)
+                    out.append((v, c, sure, doc_id, *meta, held.astype(np.uint16).tobytes(), row[held].astype(np.float16).tobytes()))
             kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), *[pa.int32()] * 3, *[pa.binary()] * 2]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names)
 
-        order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id", "index")
+        order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id", "index", "value")
         found = rows.mapInArrow(run, shape).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).collect()
         out = []
         for v in (0, 1):
@@ -223,7 +228,7 @@ def from_table(rows: DataFrame) -> Callable[[list, list, int], Handed]:
 
 
 def _surest_first(row: tuple) -> tuple:
-    return -row[2], row[3] is not None, row[3] or 0, row[7]
+    return -row[0], row[1] is not None, row[1] or 0
 
 
 def _features(rows: DataFrame) -> DataFrame:
