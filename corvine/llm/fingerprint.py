@@ -28,6 +28,8 @@ from corvine.llm.textkit import POWERS, batches_of, mix, sha256_hex, text_partit
 #: Parts of a signature; a power of two.
 BINS = 128
 EMPTY = 0xFFFF
+#: Bytes of text of a range of ids, about; there are at least two ranges for each shuffle partition.
+RANGE_BYTES = 512 << 20
 U64 = np.uint64
 
 
@@ -170,8 +172,9 @@ def id_ranges(docs: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray, np.
 def followed(docs: DataFrame) -> DataFrame:
     """The contract's row for every document: its fingerprint, its edited text's and likenesses."""
     spark = docs.sparkSession
-    ranges = max(1, text_partitions(spark) * 2)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    ranges = max(1, text_partitions(spark) * 2, -(-size // RANGE_BYTES))
     bounds, firsts, before = id_ranges(docs, ranges)
 
     def squeeze(batches):

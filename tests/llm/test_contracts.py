@@ -179,6 +179,18 @@ def test_fingerprint(documents, rows):
     assert collect(f.followed(documents(rows)), *columns) == sorted(want, key=repr)
 
 
+def test_fingerprint_ranges_grow_with_the_text(documents, monkeypatch):
+    from corvine.llm import fingerprint as f
+
+    docs = documents(corpus(3, 50))
+    whole, ranges, found = sorted(map(tuple, f.followed(docs).collect())), [], f.id_ranges
+    monkeypatch.setattr(f, "id_ranges", lambda docs, n: ranges.append(n) or found(docs, n))
+    for size in (f.RANGE_BYTES, 500):
+        monkeypatch.setattr(f, "RANGE_BYTES", size)
+        assert sorted(map(tuple, f.followed(docs).collect())) == whole
+    assert ranges[0] == 8 and ranges[1] > 20
+
+
 def test_fingerprint_estimates_jaccard():
     from corvine.llm import fingerprint as f
 
