@@ -95,7 +95,7 @@ def test_term_counts(spark):
 
 
 def test_many_requests_in_one_pass(spark, lists):
-    asked = [Request(f"{WORDS[i % 15]} {WORDS[i * 7 % 13]}", lang=[None, "java"][i % 2]) for i in range(2000)]
+    asked = [Request(f"{WORDS[i % 15]} {WORDS[i * 7 % 13]}", lang=[None, "java"][i % 2]) for i in range(10_000)]
     found = lists.search(P.request_table(spark, asked))
     got = {}
     for r in found.select("request", "ordinal", "name", "score").collect():
