@@ -178,10 +178,11 @@ def from_arrays(pool: list[np.ndarray]) -> Callable[[list, list, int], Handed]:
 
 
 def from_table(rows: DataFrame) -> Callable[[list, list, int], Handed]:
-    """hand() over a table of any size: doc_id, ms, ml, mn, text. At most four times `most` rows reach the driver."""
+    """hand() over a table of any size: doc_id, ms, ml, mn, text. A first pass finds who is surest, by small rows; a
+    second one makes the features of those, at most four times `most` rows, for the driver."""
     spark = rows.sparkSession
-    names = ["view", "label", "sure", "doc_id", "ms", "ml", "mn", "index", "value"]
-    shape = "view int, label int, sure double, doc_id bigint, ms int, ml int, mn int, index binary, value binary"
+    rows = rows.withColumn("mark", F.xxhash64("ms", "ml", "mn", "text"))  # with the doc_id it names a document
+    names = ["view", "label", "sure", "doc_id", "mark"]
 
     def hand(models: list, curves: list, most: int) -> Handed:
         shared, limit = spark.sparkContext.broadcast((models, curves)), confident()  # a few thousand weights
@@ -190,10 +191,10 @@ def from_table(rows: DataFrame) -> Callable[[list, list, int], Handed]:
             models, curves = shared.value
             kept: dict[tuple[int, int], list[tuple]] = {(v, c): [] for v in (0, 1) for c in (0, 1)}
             floor = dict.fromkeys(kept, limit)  # below it a document is not among the task's surest
-            for batch in batches_of(batches, 4):
-                data, off = flat(batch.column(4))
-                ids = batch.column(0).to_pylist()
-                numbers = np.stack([np.asarray(batch.column(k)) for k in (1, 2, 3)], 1)
+            for batch in batches_of(batches, 5):
+                data, off = flat(batch.column(5))
+                ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                numbers = np.stack([np.asarray(batch.column(k)) for k in (2, 3, 4)], 1)
                 for s in range(0, len(off) - 1, 128):
                     e = min(s + 128, len(off) - 1)
                     x = [trigram_vectors(data[off[s] : off[e]], off[s : e + 1] - off[s]), meta_vectors(numbers[s:e])]
@@ -201,26 +202,26 @@ def from_table(rows: DataFrame) -> Callable[[list, list, int], Handed]:
                         z = (x[v] @ models[v][0] + models[v][1]) * curves[v][0][0] + curves[v][1]
                         for c in (0, 1):
                             sure, own = z if c else -z, kept[v, c]
-                            for k in np.flatnonzero(sure >= floor[v, c]).tolist():
-                                own.append((float(sure[k]), ids[s + k], numbers[s + k].tolist(), x[0][k].copy()))
+                            own += [(float(sure[k]), ids[s + k], marks[s + k]) for k in np.flatnonzero(sure >= floor[v, c]).tolist()]
                             if len(own) > 2 * most:
                                 own.sort(key=_surest_first)
                                 del own[most:]
                                 floor[v, c] = own[-1][0]
-            out = []
-            for (v, c), own in kept.items():
-                for sure, doc_id, meta, row in sorted(own, key=_surest_first)[:most]:
-                    held = np.flatnonzero(row)
-                    out.append((v, c, sure, doc_id, *meta, held.astype(np.uint16).tobytes(), row[held].astype(np.float16).tobytes()))
-            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), *[pa.int32()] * 3, *[pa.binary()] * 2]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names)
-
-        order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id", "index", "value")
-        found = rows.mapInArrow(run, shape).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).collect()
+            out = [(v, c, *row) for (v, c), own in kept.items() for row in sorted(own, key=_surest_first)[:most]]
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names)
+
+        scored = rows.select("doc_id", "mark", "ms", "ml", "mn", "text").mapInArrow(run, "view int, label int, sure double, doc_id bigint, mark bigint")
+        order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id", "mark")
+        found = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).collect()
+        chosen = spark.createDataFrame([tuple(r) for r in {(r["doc_id"], r["mark"]) for r in found}], "id bigint, m bigint")
+        met = rows.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left_semi")
+        features = {(r["doc_id"], r["mark"]): r for r in _features(met.select("doc_id", "mark", "ms", "ml", "mn", "text")).collect()}
         out = []
         for v in (0, 1):
             own = sorted((r for r in found if r["view"] == v), key=lambda r: (-r["label"], r["n"]))
-            x = _dense(own) if v == 1 else meta_vectors(np.array([[r["ms"], r["ml"], r["mn"]] for r in own], np.int64).reshape(-1, 3))
+            docs = [features[r["doc_id"], r["mark"]] for r in own]
+            x = _dense(docs) if v == 1 else meta_vectors(np.array([[r["ms"], r["ml"], r["mn"]] for r in docs], np.int64).reshape(-1, 3))
             out.append((x, np.array([float(r["label"]) for r in own])))
         return out
 
@@ -228,7 +229,7 @@ def from_table(rows: DataFrame) -> Callable[[list, list, int], Handed]:
 
 
 def _surest_first(row: tuple) -> tuple:
-    return -row[0], row[1] is not None, row[1] or 0
+    return -row[0], row[1] is not None, row[1] or 0, row[2]
 
 
 def _features(rows: DataFrame) -> DataFrame:
