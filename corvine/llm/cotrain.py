@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.llm.textkit import batches_of, chunks, crc_mod, flat
+from corvine.llm.textkit import batches_of, chunks, crc_mod, flat, release
 
 LABELLED = 3000
 ROUNDS = 3
@@ -209,6 +209,7 @@ def from_table(rows: DataFrame) -> Callable[[list, list, int], Handed]:
                                 floor[v, c] = own[-1][0]
             out = [(v, c, *row) for (v, c), own in kept.items() for row in sorted(own, key=_surest_first)[:most]]
             kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+            release()
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names)
 
         scored = rows.select("doc_id", "mark", "ms", "ml", "mn", "text").mapInArrow(run, "view int, label int, sure double, doc_id bigint, mark bigint")
@@ -216,6 +217,7 @@ def from_table(rows: DataFrame) -> Callable[[list, list, int], Handed]:
         found = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).collect()
         chosen = spark.createDataFrame([tuple(r) for r in {(r["doc_id"], r["mark"]) for r in found}], "id bigint, m bigint")
         met = rows.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left_semi")
+        shared.unpersist()
         features = {(r["doc_id"], r["mark"]): r for r in _features(met.select("doc_id", "mark", "ms", "ml", "mn", "text")).collect()}
         out = []
         for v in (0, 1):
@@ -248,6 +250,7 @@ def _features(rows: DataFrame) -> DataFrame:
                         index.append(k.astype(np.uint16).tobytes())
                         value.append(row[k].astype(np.float16).tobytes())
             yield pa.record_batch([*batch.columns[:-1], pa.array(index, pa.binary()), pa.array(value, pa.binary())], names)
+        release()
 
     names = [*rows.columns[:-1], "index", "value"]
     kinds = dict(rows.dtypes)
@@ -311,6 +314,7 @@ def score(docs: DataFrame, model: CoTrained | float) -> DataFrame:
                 [batch.column(0), *(pa.array(v, pa.float64()) for v in (both, text, page)), pa.array(both >= 0.5)],
                 ["doc_id", "score", "text_score", "page_score", "kept"],
             )
+        release()
 
     return rows.mapInArrow(run, "doc_id bigint, score double, text_score double, page_score double, kept boolean")
 

@@ -63,11 +63,27 @@ def long_words():
     return [(i, t, "en", "src1") for i, t in out]
 
 
-@pytest.fixture(params=["corpus", "odd", "empty", "repeated ids", "long words"])
+def above_a_chunk():
+    """Texts longer than one numpy pass handles, which share passages with each other and with short ones."""
+    w = [f"w{k * 7919 % 100_003}" for k in range(190_000)]
+    long = " ".join(w)
+    assert len(long) > 1 << 20
+    near = list(w)
+    near[1000] = near[100_000] = "other"
+    return [
+        (4, " ".join(w[150_000:150_060]), "en", "src1"),
+        (5, long, "en", "src1"),
+        (6, "before " + " ".join(w[99_950:100_050]) + " after", "en", "src2"),
+        (7, " ".join(near), None, "src1"),
+        (8, "short and alone", "fr", None),
+    ]
+
+
+@pytest.fixture(params=["corpus", "odd", "empty", "repeated ids", "long words", "above a chunk"])
 def rows(request, odd):
     """The last has ids that repeat with the same and with other texts."""
     twice = [(i // 3, *rest) for i, *rest in corpus(5, 40)] + [(i // 6, *rest) for i, *rest in corpus(5, 12)]
-    return {"corpus": corpus(), "odd": odd, "empty": [], "repeated ids": twice, "long words": long_words()}[request.param]
+    return {"corpus": corpus(), "odd": odd, "empty": [], "repeated ids": twice, "long words": long_words(), "above a chunk": above_a_chunk()}[request.param]
 
 
 def texts(rows):
