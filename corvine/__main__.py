@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     if not args.no_embedding:
         embedder = OnnxEmbedder(args.model_dir) if args.model_dir else HashingEmbedder()
     root = args.index or "file://" + tempfile.mkdtemp(prefix="corvine-")
-    index = Index(spark, root, embedder)
+    index = Index(spark, root, embedder, postings=True)
     watcher = None
     if args.no_follow:
         index.build(read_files(spark, walk(args.path)))

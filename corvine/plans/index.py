@@ -96,6 +96,10 @@ def embed_blocks(blocks: DataFrame, embedder: Embedder) -> DataFrame:
     return embed_texts(last, embedder)
 
 
+def _has_lists(now: Snapshot) -> bool:
+    return any(t == "postings" for t, _ in now.versions)
+
+
 def _bucket(path: str, number: int):
     return F.pmod(F.xxhash64(path), F.lit(number)).cast("int")
 
@@ -110,7 +114,8 @@ class Index:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, buckets: int | None = None, postings: bool = False) -> None:
         """buckets: their number in a new index, by its size if not given; an index that is there has its own.
         postings: also keep posting lists and the sums that statistics are made of, by file and brought up to date
-        with every commit; keyword searches then read the lists of their terms and no texts."""
+        with every commit; keyword searches then read the lists of their terms and no texts. An index that was built
+        with them keeps them, whoever writes to it."""
         self.spark, self.root, self.embedder, self._wanted = spark, root.rstrip("/"), embedder, buckets
         self._log, self.postings = Log(spark, self.root), postings
 
@@ -154,7 +159,7 @@ class Index:
         return self._read("vectors", VECTOR, now=now)
 
     def lists(self, now: Snapshot | None = None) -> P.Lists:
-        """The posting lists, of an index that keeps them."""
+        """The posting lists, of an index that was built with them."""
         now = self.snapshot() if now is None else now
         return P.Lists(*[self._read(name, schema, now=now) for name, schema in _LISTS.items()])
 
@@ -233,7 +238,8 @@ class Index:
         tables = {"blocks": (stored, INDEXED, "file_path"), "files": (state, _FILE_STATE, "path")}
         if self.embedder is not None:
             tables["vectors"] = (embed_blocks(blocks, self.embedder), VECTOR, "file_path")
-        if self.postings:
+        lists = self.postings if whole or not seen.versions else _has_lists(seen)
+        if lists:
             tables |= {"postings": (P.postings(stored), P.POSTING, "file_path"), "sizes": (P.sizes_of(stored), P.SIZE, "file_path")}
         of = set(touched)
         for name, (new, schema, key) in tables.items():
@@ -245,7 +251,7 @@ class Index:
             if name == "postings":
                 dealt = dealt.sortWithinPartitions("bucket", "term")
             dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
-        if self.postings:  # what the buckets hold now, so that a word goes with its last file
+        if lists:  # what the buckets hold now, so that a word goes with its last file
             rows = self.spark.read.schema(f"{P.POSTING}, bucket int").parquet(f"{self.root}/postings/v={version}")
             grams = P.gram_rows(rows, "bucket").sortWithinPartitions("bucket", "gram")
             grams.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/grams/v={version}")
@@ -260,5 +266,5 @@ class Index:
 
         embed = None if self.embedder is None else (lambda text: self.embedder.embed([text])[0])
         now = self.snapshot()
-        lists = self.lists(now) if self.postings else None
+        lists = self.lists(now) if _has_lists(now) else None
         return Engine(self.blocks(now), None if self.embedder is None else self.vectors(now), embed, lists)

@@ -208,12 +208,25 @@ def test_kept_lists_follow_updates(spark, tmp_path):
         assert engine.search(r).collect() == plain.search(r).collect()
         assert Engine(index.blocks(), lists=index.lists()).search(r, "inner").collect() == Engine(index.blocks()).search(r, "inner").collect()
     own = ("request", "ordinal", "file_path", "name", "score")
-    many = rows(engine.search_many(asked), *own)
-    assert many == rows(plain.search_many(asked), *own) and {r[0] for r in many} == {0, 1, 2}
+    assert rows(engine.search_many(asked), *own) == rows(plain.search_many(asked), *own)
+    words = rows(Engine(index.blocks(), lists=index.lists()).search_many(asked), *own)
+    assert words == rows(Engine(index.blocks()).search_many(asked), *own) and {r[0] for r in words} == {0, 1, 2}
     plan = index.lists().scores(request_table(spark, [Request("find")]))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan and "In(term" in plan or "EqualTo(term" in plan
 
 
+def test_lists_belong_to_the_index(spark, tmp_path):
+    """Whoever writes: an index that was built with lists keeps them, one that was not does without."""
+    rows = lambda *names: spark.createDataFrame([(f"/{n}.xml", "upsert", f"<{n}/>".encode()) for n in names], "path string, op string, content binary")
+    for built, others in ((True, False), (False, True)):
+        root = f"{tmp_path}/{built}"
+        Index(spark, root, buckets=2, postings=built).build(rows("a", "b").drop("op"))
+        index = Index(spark, root, postings=others)
+        index.apply(rows("c", "d"))
+        assert (index.engine().lists is not None) == built
+        assert [r["name"] for r in index.engine().search(Request("c")).collect()] == ["c"]
+
+
 LOG = "seq bigint, path string, op string, content binary"
 
 
