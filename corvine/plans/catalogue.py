@@ -583,12 +583,13 @@ def latest_per_key(spark, sf_dir):
 
 
 def before_and_after(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The log up to the time at which about half of the paths have their newest change, and what follows. The
-    time is one row, which is broadcast."""
-    newest = log.groupBy("path").agg(F.max("ts").alias("ts"))
-    dated = log.crossJoin(F.broadcast(newest.agg(F.percentile_approx("ts", 0.5).alias("at"))))
-    later = F.coalesce(F.col("ts") > F.col("at"), F.lit(False))
-    return dated.where(~later).drop("at"), dated.where(later).drop("at")
+    """The log up to the time at which about half of the paths have their newest change, and what follows. The time
+    is one number, found once: an approximate percentile may differ from run to run, and halves cut at different
+    times lose the changes between them."""
+    newest = log.groupBy("path").agg(F.max(wall_micros("ts")).alias("at"))
+    at = newest.agg(F.percentile_approx("at", 0.5)).first()[0]
+    later = F.coalesce(wall_micros("ts") > F.lit(at), F.lit(False))
+    return log.where(~later), log.where(later)
 
 
 def updated_index(spark, log: DataFrame, embedder=None):

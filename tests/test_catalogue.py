@@ -43,6 +43,19 @@ def test_upsert_keeps_and_puts(spark, data):
     assert kept and put and held == kept | put
 
 
+def test_halves_of_a_log_are_cut_once(spark, data, monkeypatch):
+    """However approximate the time is, every change is in one half: here any of the paths' times is found."""
+    from pyspark.sql import functions as F
+
+    now = F.reflect(F.lit("java.lang.System"), F.lit("nanoTime"))
+    any_of = lambda c, _: F.get(F.sort_array(F.collect_list(c)), F.pmod(F.hash(now), F.count(c)).cast("int"))
+    monkeypatch.setattr(F, "percentile_approx", any_of)
+    log = catalogue.changes(spark, data)
+    before, after = catalogue.before_and_after(log)
+    ids = [r["seq"] for half in (before, after) for _ in range(2) for r in half.select("seq").collect()]
+    assert sorted(ids) == sorted([r["seq"] for r in log.select("seq").collect()] * 2)
+
+
 def test_antijoin_drops_what_spanning_blocks_contain(spark, data):
     own = ["file_path", "start_line", "end_line", "name"]
     blocks = catalogue.conversation_blocks(spark, data)
