@@ -41,27 +41,31 @@ _SCHEMAS = {"postings": f"{POSTING}, bucket int", "grams": f"{GRAM}, bucket int"
 REQUEST = "request int, query string, lang string, limit int, path string"
 
 
-def term_counts(tokens: Column, held: Column) -> Column:
-    """Array of (term, tf, held): how often each is among the tokens, and whether it is among the words of `held`,
-    which are distinct. One sort, no shuffle."""
-    marked = F.concat(
-        F.transform(held, lambda w: F.struct(w.alias("term"), F.lit(0).alias("token"))),
-        F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(1).alias("token"))),
-    )
+#: A term's marked words in a row, in a text of marked words.
+_RUN = r"([^ \t]++)\t++(?: \1\t++)*+"
+
 
-    def runs(rows: Column) -> Column:
-        n = F.size(rows)
-        first = lambda i: (i == 0) | (F.get(rows, i).term != F.get(rows, i - 1).term)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), first)
-        ends = lambda s: F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(n))
+def term_runs(tokens: Column, held: Column) -> Column:
+    """Array of one string for each term, from which run_counts reads its frequency. Words hold no white space: those of
+    `tokens` end in a tab, those of `held`, which are distinct, in two, so that a sort puts a term's words together, the
+    held one last. Sort and search are Spark's own functions on strings; expressions of lambdas take several times as long."""
+    marked = F.concat(F.transform(tokens, lambda t: F.concat(t, F.lit("\t"))), F.transform(held, lambda w: F.concat(w, F.lit("\t\t"))))
+    return F.regexp_extract_all(F.array_join(F.sort_array(marked), " "), F.lit(_RUN), F.lit(0))
 
-        def row(a: Column, b: Column) -> Column:
-            one = F.get(rows, a)
-            return F.struct(one.term.alias("term"), (b - a - 1 + one.token).cast("int").alias("tf"), (one.token == 0).alias("held"))
 
-        return F.when(n > 0, X.let(starts, lambda s: F.zip_with(s, ends(s), row))).otherwise(F.array())
+def run_counts(run: Column) -> tuple[Column, Column, Column]:
+    """term, tf, held of a string of term_runs."""
+    term, held = F.substring_index(run, "\t", 1), F.endswith(run, F.lit("\t\t"))
+    extra = held.cast("int")
+    # a word takes its bytes, a tab and a space; the held one has another tab, the last no space
+    words = F.floor((F.octet_length(run) + 1 - extra) / (F.octet_length(term) + 2)).cast("int")
+    return term.alias("term"), (words - extra).alias("tf"), held.alias("held")
 
-    return X.let(F.array_sort(marked), runs)
+
+def term_counts(tokens: Column, held: Column) -> Column:
+    """Array of (term, tf, held): how often each is among the tokens, and whether it is among the words of `held`,
+    which are distinct."""
+    return F.transform(term_runs(tokens, held), lambda r: F.struct(*run_counts(r)))
 
 
 def postings(blocks: DataFrame) -> DataFrame:
@@ -74,9 +78,10 @@ def postings(blocks: DataFrame) -> DataFrame:
         KEY[0],
         *wide,
         *["kind", "name", R.block_mark(), "language", "length"],
-        term_counts(F.col("tokens"), held).alias("__terms"),
+        term_runs(F.col("tokens"), held).alias("__runs"),
     )
-    return rows.select(*BLOCK, F.inline("__terms"))
+    # exploded by a select of its own: in the one above every run would get a number of its own
+    return rows.select(*BLOCK, F.explode("__runs").alias("__run")).select(*BLOCK, *run_counts(F.col("__run")))
 
 
 def sizes_of(blocks: DataFrame) -> DataFrame:

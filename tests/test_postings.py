@@ -94,6 +94,23 @@ def test_term_counts(spark):
     assert got == [[("a", 1, False), ("b", 2, True), ("c", 0, True)], []]
 
 
+def test_term_counts_of_odd_words(spark):
+    """Words that start with or follow others in any order, marks of all kinds, and long runs of one word."""
+    words = ["the", "the\x01", "the\x00", "thé", "th", "t", "\\1", "$", "\U0001f600", "\U0001f600a", "\x1c"]
+    rng = random.Random(3)
+    rows = [([rng.choice(words) for _ in range(k)], rng.sample(words, k % 11)) for k in range(40)]
+    rows += [(["same"] * 100_000, ["same"]), (["same"] * 100_000, []), ([], ["same"])]
+    df = spark.createDataFrame(rows, "t array<string>, h array<string>").coalesce(1)
+    got = [sorted(map(tuple, r[0])) for r in df.select(P.term_counts(F.col("t"), F.col("h"))).collect()]
+    assert got == [sorted((w, t.count(w), w in h) for w in {*t, *h}) for t, h in rows]
+
+
+def test_postings_are_made_without_lambdas_over_sorted_words(spark):
+    """They took most of the time of an index: comparisons and runs of every word by expressions of lambdas."""
+    plan = P.postings(blocks_of(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan and "zip_with" not in plan and "filter(" not in plan
+
+
 def test_many_requests_in_one_pass(spark, lists):
     asked = [Request(f"{WORDS[i % 15]} {WORDS[i * 7 % 13]}", lang=[None, "java"][i % 2]) for i in range(10_000)]
     found = lists.search(P.request_table(spark, asked))
