@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.functions import text as X
-from corvine.operators.postings import term_counts
+from corvine.operators.postings import run_counts, term_runs
 from jobs.common import LOG, command
 
 ABOUT = "Keeps a keyword index of documents as files arrive."
@@ -85,7 +85,8 @@ def _changed(batch: DataFrame, earlier: DataFrame) -> DataFrame:
 def _postings(texts: DataFrame, buckets: int) -> DataFrame:
     """Postings of texts by bucket of their term; a bucket is dealt over several tasks, as one term may be in most texts."""
     words = F.array_distinct(F.array_remove(F.split(F.lower("text"), X.SEPARATORS), ""))
-    rows = texts.select("doc_id", F.inline(term_counts(X.tokens("text"), words)))
+    runs = texts.select("doc_id", F.explode(term_runs(X.tokens("text"), words)).alias("run"))
+    rows = runs.select("doc_id", *run_counts(F.col("run")))
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, tasks // buckets)))
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition(max(tasks, buckets), "bucket", part)
