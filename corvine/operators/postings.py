@@ -30,6 +30,8 @@ from corvine.schema import KEY, Request
 BLOCK = ["__row", *KEY, "kind", "name", "__mark", "language", "length"]
 #: Terms or words up to which a search names them in its filters; more are joined by shuffle.
 LISTED = 5_000
+#: Terms of all requests up to which their weights are sent to every task.
+WEIGHED = 50_000
 #: Bytes of text for each bucket of a new index, and buckets at least.
 BUCKET_BYTES = 64 << 20
 LEAST_BUCKETS = 16
@@ -115,7 +117,10 @@ def request_table(spark: SparkSession, requests: list[Request]) -> DataFrame:
 
 class Lists:
     """Searches over the three tables. rows: posting rows; by_file: sizes; grams: gram and word; buckets: the number of
-    hash buckets of their keys, where rows and grams have a column bucket."""
+    hash buckets of their keys, where rows and grams have a column bucket. once: whether grams hold a word once for
+    each of its grams; in parts of a corpus, each part has it."""
+
+    once = False
 
     def __init__(self, rows: DataFrame, by_file: DataFrame, grams: DataFrame, buckets: int | None = None) -> None:
         self.rows, self.by_file, self.grams, self.buckets = rows, by_file, grams, buckets
@@ -136,12 +141,14 @@ class Lists:
     def words_of(self, terms: DataFrame) -> DataFrame:
         """term, word: the indexed words that hold each term. terms: term, distinct."""
         asked = terms.select("term", F.explode(asked_grams(F.col("term"))).alias("gram"))
-        counted = asked.withColumn("grams", F.count(F.lit(1)).over(Window.partitionBy("term")))
         lists, few = self._lists(self.grams, "gram", asked, "gram")
-        met = lists.join(F.broadcast(counted) if few else counted, "gram")
-        # the lists may hold a word more than once, in parts of a corpus
-        found = met.select("term", "word", "grams", "gram").distinct().groupBy("term", "word", "grams").count().where("count = grams")
-        return found.where(F.contains("word", "term")).select("term", "word")
+        # candidates by the rarest gram of a term alone; whether a word holds the term is then seen on the word itself
+        sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("size"))
+        known = asked.join(F.broadcast(sizes) if few else sizes, "gram", "left")
+        rarest = known.groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("size", F.lit(0)), "gram")).alias("gram"))
+        met = lists.join(F.broadcast(rarest) if few else rarest, "gram")
+        found = met.where(F.contains("word", "term")).select("term", "word")
+        return found if self.once else found.distinct()
 
     def document_frequencies(self, wanted: DataFrame) -> DataFrame:
         """wanted: filter, term, languages, path. filter, term, df: the blocks that pass the filter and hold the term."""
@@ -183,16 +190,25 @@ class Lists:
             .select("request", "query", "limit", "languages", "path", "at", "term", "idf", "average")
         )
         lists, few = self._lists(self.rows, "term", terms, "term")
-        rows = lists.where("tf > 0").drop("held")
+        # one key, whose NULL files are equal, so that sums and blocks are dealt alike
+        rows = lists.where("tf > 0").withColumn("__block", F.struct("file_path", "__row"))
         # few terms of few requests: a row for each term of a request
-        small = few and terms.limit(LISTED + 1).count() <= LISTED
-        met = rows.join(F.broadcast(weighed) if small else weighed, "term").where(_passes())
+        small = few and terms.limit(WEIGHED + 1).count() <= WEIGHED
+        own = rows.select("__block", "file_path", "language", "length", "term", "tf")
+        if small:  # what is asked of a block meets before it is dealt to the requests, whose sums need no shuffle then
+            own = own.repartition("__block")
+        weights = weighed.drop("query", "limit")
+        met = own.join(F.broadcast(weights) if small else weights, "term").where(_passes())
         part = S.bm25_term(F.col("tf").cast("double"), F.col("idf"), F.col("length"), F.col("average"))
         parts = F.array_sort(F.collect_list(F.struct("at", part.alias("part"))))  # as many as the query has terms
         total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x.part)
-        block = met.groupBy("request", *BLOCK).agg(total.alias("total"), F.first("query").alias("query"), F.first("limit").alias("limit"))
+        # sums are made of numbers alone; the rest of a block and of a request is added to them
+        sums = met.groupBy("request", "__block").agg(total.alias("total"))
+        block = rows.groupBy("__block").agg(F.first(F.struct(*BLOCK)).alias("b")).select("__block", "b.*")
+        given = requests.select("request", "query", "limit")
+        full = sums.join(block, "__block").join(F.broadcast(given) if small else given, "request")
         score = F.col("total") * S.name_boost(F.col("name"), F.col("kind"), F.col("query")) * S.kind_boost(F.col("kind"))
-        return block.select("request", "limit", *BLOCK, score.alias("score")).where((F.col("score") > 0) & ~F.isnan("score"))
+        return full.select("request", "limit", *BLOCK, score.alias("score")).where((F.col("score") > 0) & ~F.isnan("score"))
 
     def search(self, requests: DataFrame, overlap: str = "outer") -> DataFrame:
         """requests: the columns of REQUEST. Their results after overlap removal and the cap of a file, best first:
@@ -205,6 +221,8 @@ class Lists:
 class Postings(Lists):
     """Posting lists in a folder of any store that Spark reads, partitioned by a hash of their terms."""
 
+    once = True
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 

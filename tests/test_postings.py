@@ -71,6 +71,12 @@ def test_only_the_lists_of_the_terms_are_read(spark, lists):
     assert "In(term, [find,user])" in plan and "PartitionFilters: [bucket" in plan and "Python" not in plan
 
 
+def test_sums_of_requests_are_made_where_the_block_is(spark, lists):
+    """Postings are dealt by their block; a row for each request and term crosses no shuffle."""
+    plan = lists.scores(P.request_table(spark, [Request("find user")]))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__block" in plan and "hashpartitioning(request" not in plan
+
+
 def test_a_new_write_replaces_the_lists(spark, tmp_path):
     lists = P.Postings(spark, str(tmp_path))
     lists.write(blocks_of(spark, 1), buckets=7)
