@@ -1,13 +1,19 @@
 """Posting lists: keyword search for a table of requests that reads the lists of its terms, not the texts.
 
-Three tables are written once and read by every search:
-
-* postings: a row for each block and term, with what a score asks of the block. Partitioned by a hash of the term and
-  sorted by term in the files, so a search opens the buckets of its terms and skips row groups within them;
-* grams: the 1-, 2- and 3-grams of each word of the contents and names. Document frequencies are by substring, and a
-  term holds no separator, so the blocks that hold it are those of the words that do, which grams find;
+Postings writes four tables once, and every search reads them:
+
+* blocks: a row for each block, with what a score asks of it, its number, and its terms with their frequencies;
+* postings: a row for each block and term: the block's number and the term's frequency. Partitioned by a hash of the
+  term and sorted by term in the files, so a search opens the buckets of its terms and skips row groups within them.
+  A task sorts the blocks it reads, so nothing is shuffled and a file holds the lists of some blocks;
+* words: the different words of the contents and names. Document frequencies are by substring, and a term holds no
+  separator, so the blocks that hold it are those of the words that do. Of frequent terms these are most lists; the
+  words of the blocks, read in one pass without a shuffle, then say the same;
 * sizes: blocks and their tokens by file and language, the sums from which the statistics of any filter follow.
 
+An index that is brought up to date by file keeps Lists of other tables: postings with the block's columns, and grams,
+the 1-, 2- and 3-grams of each word, by which the words that hold a term are found.
+
 Requests are rows. Each distinct filter has statistics of its own; scores are sums over (request, block), whose
 parts are added in the order of the query's terms, so equal blocks have equal scores on any cluster. Results are
 those of ranking.bm25_search for every request.
@@ -32,14 +38,21 @@ BLOCK = ["__row", *KEY, "kind", "name", "__mark", "language", "length"]
 LISTED = 5_000
 #: Terms of all requests up to which their weights are sent to every task.
 WEIGHED = 50_000
-#: Bytes of text for each bucket of a new index, and buckets at least.
-BUCKET_BYTES = 64 << 20
+#: Terms that are tried on every word; more are looked up among its pieces.
+TRIED = 64
+#: Bytes of text for each bucket of new lists, and buckets at least. Every task that writes has a file in each.
+BUCKET_BYTES = 1 << 30
 LEAST_BUCKETS = 16
 
-POSTING = """__row bigint, file_path string, start_line bigint, end_line bigint, kind string, name string, __mark bigint, language string, length int,
-    term string, tf int, held boolean"""
+_BLOCK = "__row bigint, file_path string, start_line bigint, end_line bigint, kind string, name string, __mark bigint, language string, length int"
+POSTING = f"{_BLOCK}, term string, tf int, held boolean"
 GRAM, SIZE = "gram string, word string", "language string, file_path string, n bigint, total bigint"
-_SCHEMAS = {"postings": f"{POSTING}, bucket int", "grams": f"{GRAM}, bucket int", "sizes": SIZE}
+_SCHEMAS = {
+    "blocks": f"{_BLOCK}, words string, others string, tfs array<int>",
+    "postings": "term string, __row bigint, tf int, held boolean, bucket int",
+    "words": "word string",
+    "sizes": SIZE,
+}
 REQUEST = "request int, query string, lang string, limit int, path string"
 
 
@@ -70,20 +83,42 @@ def term_counts(tokens: Column, held: Column) -> Column:
     return F.transform(term_runs(tokens, held), lambda r: F.struct(*run_counts(r)))
 
 
-def postings(blocks: DataFrame) -> DataFrame:
-    """A row for each block and term: the columns of BLOCK, term, tf, held."""
+def _with_runs(blocks: DataFrame) -> DataFrame:
+    """The columns of BLOCK and the strings of term_runs."""
     words = lambda c: F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), X.SEPARATORS), "")
     held = F.array_distinct(F.concat(words(F.col("content")), words(F.col("name"))))
     wide = [F.col(c).cast("bigint").alias(c) for c in KEY[1:]]  # lines
-    rows = R.with_tokens(blocks).select(
+    return R.with_tokens(blocks).select(
         F.monotonically_increasing_id().alias("__row"),
         KEY[0],
         *wide,
         *["kind", "name", R.block_mark(), "language", "length"],
         term_runs(F.col("tokens"), held).alias("__runs"),
     )
-    # exploded by a select of its own: in the one above every run would get a number of its own
-    return rows.select(*BLOCK, F.explode("__runs").alias("__run")).select(*BLOCK, *run_counts(F.col("__run")))
+
+
+def postings(blocks: DataFrame) -> DataFrame:
+    """A row for each block and term: the columns of BLOCK, term, tf, held."""
+    # exploded by a select of its own: in that of _with_runs every run would get a number of its own
+    return _with_runs(blocks).select(*BLOCK, F.explode("__runs").alias("__run")).select(*BLOCK, *run_counts(F.col("__run")))
+
+
+def block_rows(blocks: DataFrame) -> DataFrame:
+    """A row for each block: the columns of BLOCK; words: those of its content and name, joined by spaces; others: what
+    else is among its tokens; tfs: how often each of both is among its tokens."""
+    held = lambda r: F.endswith(r, F.lit("\t\t"))
+    rows = _with_runs(blocks).select(*BLOCK, F.filter("__runs", held).alias("__held"), F.filter("__runs", lambda r: ~held(r)).alias("__others"))
+    joined = lambda runs: F.array_join(F.transform(runs, lambda r: F.substring_index(r, "\t", 1)), " ")
+    tfs = F.transform(F.concat("__held", "__others"), lambda r: run_counts(r)[1]).alias("tfs")
+    return rows.select(*BLOCK, joined("__held").alias("words"), joined("__others").alias("others"), tfs)
+
+
+def list_rows(rows: DataFrame) -> DataFrame:
+    """Of rows of block_rows, one for each of their terms: term, __row, tf, held."""
+    parts = lambda c: F.array_remove(F.split(c, " "), "")
+    own = rows.select("__row", "tfs", parts(F.concat_ws(" ", "words", "others")).alias("__terms"), F.size(parts("words")).alias("__n"))
+    each = own.select("__row", "tfs", "__n", F.posexplode("__terms").alias("__at", "term"))
+    return each.select("term", "__row", F.get("tfs", "__at").alias("tf"), (F.col("__at") < F.col("__n")).alias("held"))
 
 
 def sizes_of(blocks: DataFrame) -> DataFrame:
@@ -99,10 +134,8 @@ def gram_rows(rows: DataFrame, *by: str) -> DataFrame:
 
 def grams_of(word: Column, least: int = 1) -> Column:
     """Distinct grams of a word: of each length from `least` to 3 that it has."""
-    n = F.length(word)
     # a term asks for its longest grams only
-    cut = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(word, i, F.lit(k)))).otherwise(F.array())
-    return F.array_distinct(F.concat(*[cut(k) for k in range(least, 4)]))
+    return F.array_distinct(F.concat(*[_pieces(word, k) for k in range(least, 4)]))
 
 
 def asked_grams(term: Column) -> Column:
@@ -116,14 +149,13 @@ def request_table(spark: SparkSession, requests: list[Request]) -> DataFrame:
 
 
 class Lists:
-    """Searches over the three tables. rows: posting rows; by_file: sizes; grams: gram and word; buckets: the number of
-    hash buckets of their keys, where rows and grams have a column bucket. once: whether grams hold a word once for
-    each of its grams; in parts of a corpus, each part has it."""
+    """Searches over tables of lists. rows: posting rows; by_file: sizes; grams: gram and word. Each part of a corpus has
+    its grams. buckets: the number of hash buckets of the terms, where rows have a column bucket."""
 
-    once = False
+    buckets: int | None = None
 
-    def __init__(self, rows: DataFrame, by_file: DataFrame, grams: DataFrame, buckets: int | None = None) -> None:
-        self.rows, self.by_file, self.grams, self.buckets = rows, by_file, grams, buckets
+    def __init__(self, rows: DataFrame, by_file: DataFrame, grams: DataFrame) -> None:
+        self.rows, self.by_file, self.grams = rows, by_file, grams
 
     def _lists(self, rows: DataFrame, key: str, keys: DataFrame, value: str) -> tuple[DataFrame, bool]:
         """The lists of the values in keys, and whether these were few enough to be named: then only their buckets
@@ -147,8 +179,7 @@ class Lists:
         known = asked.join(F.broadcast(sizes) if few else sizes, "gram", "left")
         rarest = known.groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("size", F.lit(0)), "gram")).alias("gram"))
         met = lists.join(F.broadcast(rarest) if few else rarest, "gram")
-        found = met.where(F.contains("word", "term")).select("term", "word")
-        return found if self.once else found.distinct()
+        return met.where(F.contains("word", "term")).select("term", "word").distinct()
 
     def document_frequencies(self, wanted: DataFrame) -> DataFrame:
         """wanted: filter, term, languages, path. filter, term, df: the blocks that pass the filter and hold the term."""
@@ -190,13 +221,9 @@ class Lists:
             .select("request", "query", "limit", "languages", "path", "at", "term", "idf", "average")
         )
         lists, few = self._lists(self.rows, "term", terms, "term")
-        # one key, whose NULL files are equal, so that sums and blocks are dealt alike
-        rows = lists.where("tf > 0").withColumn("__block", F.struct("file_path", "__row"))
         # few terms of few requests: a row for each term of a request
         small = few and terms.limit(WEIGHED + 1).count() <= WEIGHED
-        own = rows.select("__block", "file_path", "language", "length", "term", "tf")
-        if small:  # what is asked of a block meets before it is dealt to the requests, whose sums need no shuffle then
-            own = own.repartition("__block")
+        own, block = self._with_blocks(lists.where("tf > 0"), small)
         weights = weighed.drop("query", "limit")
         met = own.join(F.broadcast(weights) if small else weights, "term").where(_passes())
         part = S.bm25_term(F.col("tf").cast("double"), F.col("idf"), F.col("length"), F.col("average"))
@@ -204,12 +231,20 @@ class Lists:
         total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x.part)
         # sums are made of numbers alone; the rest of a block and of a request is added to them
         sums = met.groupBy("request", "__block").agg(total.alias("total"))
-        block = rows.groupBy("__block").agg(F.first(F.struct(*BLOCK)).alias("b")).select("__block", "b.*")
         given = requests.select("request", "query", "limit")
         full = sums.join(block, "__block").join(F.broadcast(given) if small else given, "request")
         score = F.col("total") * S.name_boost(F.col("name"), F.col("kind"), F.col("query")) * S.kind_boost(F.col("kind"))
         return full.select("request", "limit", *BLOCK, score.alias("score")).where((F.col("score") > 0) & ~F.isnan("score"))
 
+    def _with_blocks(self, lists: DataFrame, dealt: bool) -> tuple[DataFrame, DataFrame]:
+        """Posting rows with what filters and weights ask of their block, and the blocks: both by __block. dealt: the
+        former by block; what is asked of a block then meets before the requests, whose sums need no shuffle."""
+        # one key, whose NULL files are equal, so that sums and blocks are dealt alike
+        rows = lists.withColumn("__block", F.struct("file_path", "__row"))
+        own = rows.select("__block", "file_path", "language", "length", "term", "tf")
+        block = rows.groupBy("__block").agg(F.first(F.struct(*BLOCK)).alias("b")).select("__block", "b.*")
+        return (own.repartition("__block") if dealt else own), block
+
     def search(self, requests: DataFrame, overlap: str = "outer") -> DataFrame:
         """requests: the columns of REQUEST. Their results after overlap removal and the cap of a file, best first:
         request, ordinal (from 1), the block's key, kind and name, __mark, score. ranking.whole_rows adds the rest."""
@@ -219,20 +254,22 @@ class Lists:
 
 
 class Postings(Lists):
-    """Posting lists in a folder of any store that Spark reads, partitioned by a hash of their terms."""
-
-    once = True
+    """Lists in a folder of any store that Spark reads."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    @property
+    def blocks(self) -> DataFrame:
+        return self._table("blocks")
+
     @property
     def rows(self) -> DataFrame:
         return self._table("postings")
 
     @property
-    def grams(self) -> DataFrame:
-        return self._table("grams")
+    def words(self) -> DataFrame:
+        return self._table("words")
 
     @property
     def by_file(self) -> DataFrame:
@@ -243,27 +280,56 @@ class Postings(Lists):
         return self.spark.read.parquet(f"{self.root}/buckets").first()["buckets"]
 
     def write(self, blocks: DataFrame, buckets: int | None = None) -> None:
-        """Lists of these blocks alone, in the place of any that are there."""
+        """Lists of these blocks alone, in the place of any that are there. The texts are cut into terms once; the lists
+        are made of the rows that are written then, as only those fix the numbers of the blocks."""
         if buckets is None:
             size = blocks.agg(F.sum(F.octet_length("content")).alias("b")).first()["b"] or 0
             buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-        self.spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/buckets")
-        self._put("postings", postings(blocks), "term", "__row", buckets)
-        sizes_of(blocks).write.mode("overwrite").parquet(f"{self.root}/sizes")
-        self._put("grams", gram_rows(self.rows), "gram", "word", buckets)
-
-    def _put(self, name: str, rows: DataFrame, key: str, other: str, buckets: int) -> None:
-        """By bucket of the key; a bucket is dealt over several tasks, so that a key which most blocks hold is, too."""
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        part = F.pmod(F.xxhash64(other), F.lit(max(1, tasks // buckets, min(tasks, 8))))
-        dealt = rows.withColumn("bucket", _bucket(F.col(key), buckets)).repartition(max(tasks, buckets), "bucket", part)
-        dealt.sortWithinPartitions("bucket", key).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(
-            f"{self.root}/{name}"
-        )
+        self._put("buckets", self.spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1))
+        self._put("blocks", block_rows(blocks))
+        lists = list_rows(self.blocks).withColumn("bucket", _bucket(F.col("term"), buckets))
+        self._put("postings", lists.sortWithinPartitions("bucket", "term", "__row"), "bucket")
+        self._put("words", self.rows.where("held").select(F.col("term").alias("word")).distinct())
+        self._put("sizes", self.blocks.groupBy("language", "file_path").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")))
+
+    def _put(self, name: str, rows: DataFrame, *by: str) -> None:
+        out = rows.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd")
+        out.partitionBy(*by).parquet(f"{self.root}/{name}")
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.root}/{name}")
 
+    def words_of(self, terms: DataFrame) -> DataFrame:
+        asked = terms.select("term")
+        if asked.limit(TRIED + 1).count() <= TRIED:
+            return self.words.join(F.broadcast(asked), F.contains("word", "term")).select("term", "word")
+        lengths = [r[0] for r in asked.select(F.length("term")).distinct().collect()]
+        pieces = F.array_distinct(F.concat(*[_pieces(F.col("word"), k) for k in sorted(lengths)]))
+        return self.words.select("word", F.explode(pieces).alias("term")).join(asked, "term").select("term", "word")
+
+    def document_frequencies(self, wanted: DataFrame) -> DataFrame:
+        found = self.words_of(wanted.select("term").distinct()).limit(LISTED + 1).collect()
+        if len(found) > LISTED:
+            met = self.blocks.select("language", "file_path", "words").join(F.broadcast(wanted), F.contains("words", "term") & _passes())
+        else:
+            words = self.spark.createDataFrame(found, "asked string, word string")
+            lists, _ = self._lists(self.rows, "term", words, "word")
+            once = lists.where("held").join(F.broadcast(words), F.col("term") == F.col("word")).select("__row", F.col("asked").alias("term")).distinct()
+            met = once.join(self.blocks.select("__row", "language", "file_path"), "__row").join(F.broadcast(wanted), "term").where(_passes())
+        return met.groupBy("filter", "term").agg(F.count(F.lit(1)).alias("df"))
+
+    def _with_blocks(self, lists: DataFrame, dealt: bool) -> tuple[DataFrame, DataFrame]:
+        own = lists.select(F.col("__row").alias("__block"), "term", "tf")
+        block = self.blocks.select(F.col("__row").alias("__block"), *BLOCK)
+        of = block.select("__block", "file_path", "language", "length")
+        return (own.repartition("__block") if dealt else own).join(of, "__block"), block
+
+
+def _pieces(word: Column, k: int) -> Column:
+    """The parts of a word that have k letters."""
+    n = F.length(word)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(word, i, F.lit(k)))).otherwise(F.array())
+
 
 def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")

@@ -130,3 +130,42 @@ def test_many_requests_in_one_pass(spark, lists):
     for i, rows in got.items():  # the queries repeat
         same = next(j for j in range(i + 1) if asked[j] == asked[i])
         assert sorted(rows) == sorted(got[same])
+
+
+def test_lists_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """A posting is its term and two numbers, and stays with the task that read its block."""
+    put = {}
+    own = P.Postings._put
+    monkeypatch.setattr(P.Postings, "_put", lambda self, name, rows, *by: put.update({name: rows}) or own(self, name, rows, *by))
+    P.Postings(spark, str(tmp_path)).write(blocks_of(spark), buckets=3)
+    plans = {name: put[name]._jdf.queryExecution().executedPlan().toString() for name in ("blocks", "postings")}
+    assert all("Exchange" not in p for p in plans.values())
+    assert put["postings"].columns == ["term", "__row", "tf", "held", "bucket"]
+
+
+def test_written_lists_are_the_postings_of_the_blocks(spark, lists):
+    kept = lists.rows.drop("bucket").join(lists.blocks.select(*P.BLOCK), "__row")
+    own = [*P.BLOCK[1:], "term", "tf", "held"]
+    rows = lambda df: sorted(map(repr, df.select(*own).collect()))
+    assert rows(kept) == rows(P.postings(blocks_of(spark)))
+
+
+@pytest.mark.parametrize("tried", [P.TRIED, 0])
+def test_words_of(spark, lists, tried, monkeypatch):
+    monkeypatch.setattr(P, "TRIED", tried)  # 0: terms are looked up among the pieces of words
+    words = {r[0] for r in lists.rows.where("held").select("term").collect()}
+    terms = ["e", "a", "er", "the", "finduser", "x=y[0]", "ß", "nowhere", "themes"]
+    found = lists.words_of(spark.createDataFrame([(t,) for t in terms], "term string")).collect()
+    assert sorted(map(tuple, found)) == sorted((t, w) for t in terms for w in words if t in w)
+
+
+def test_frequencies_of_frequent_terms_move_no_postings(spark, lists, monkeypatch):
+    """Words that hold such a term are most words; a join with them by shuffle would deal all postings."""
+    monkeypatch.setattr(P, "LISTED", 3)
+    wanted = spark.createDataFrame([("f", "e", None, None), ("g", "the", ["java"], "/p/a")], "filter string, term string, languages array<string>, path string")
+    df = lists.document_frequencies(wanted)
+    got = sorted(map(tuple, df.collect()))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "postings" not in plan and "hashpartitioning(term" not in plan and "hashpartitioning(word" not in plan
+    monkeypatch.setattr(P, "LISTED", 5_000)
+    assert sorted(map(tuple, lists.document_frequencies(wanted).collect())) == got and [r[:2] for r in got] == [("f", "e"), ("g", "the")]
