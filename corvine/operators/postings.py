@@ -24,11 +24,15 @@ each, and ranked once."""
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine.functions import scoring as S
 from corvine.functions import text as X
+from corvine.operators import passes
 from corvine.operators import ranking as R
 from corvine.schema import KEY, Request
 
@@ -38,6 +42,12 @@ BLOCK = ["__row", *KEY, "kind", "name", "__mark", "language", "length"]
 LISTED = 5_000
 #: Terms of all requests up to which their weights are sent to every task.
 WEIGHED = 50_000
+#: Bytes of text for a task at least, and at most where the texts are dealt anew.
+TASK_BYTES, SPREAD_BYTES = 2 << 20, 128 << 20
+#: Terms of all requests above which a search of written lists reads the blocks whole, WEIGHED terms at a time.
+NAMED = 1_000
+#: Blocks that meet others of their file, up to which their numbers are sent to every task.
+MEETING = 1_000_000
 #: Terms that are tried on every word; more are looked up among its pieces.
 TRIED = 64
 #: Bytes of text for each bucket of new lists, and buckets at least. Every task that writes has a file in each.
@@ -202,14 +212,7 @@ class Lists:
 
     def scores(self, requests: DataFrame) -> DataFrame:
         """request, limit, the columns of BLOCK, score: of each request, the blocks that score above zero."""
-        asked = requests.select(
-            "request",
-            "query",
-            "limit",
-            "path",
-            F.array_distinct(F.transform(F.split("lang", ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))).alias("languages"),
-            F.to_json(F.struct("lang", "path")).alias("filter"),
-        )
+        asked = _with_filters(requests)
         terms = asked.select("*", F.posexplode(X.tokens(F.col("query"))).alias("at", "term"))
         wanted = terms.select("filter", "term", "languages", "path").distinct()
         df = self.document_frequencies(wanted)
@@ -245,10 +248,14 @@ class Lists:
         block = rows.groupBy("__block").agg(F.first(F.struct(*BLOCK)).alias("b")).select("__block", "b.*")
         return (own.repartition("__block") if dealt else own), block
 
+    def _candidates(self, requests: DataFrame) -> DataFrame:
+        """scores(), at least of the blocks that search() can list and of those that make them go."""
+        return self.scores(requests)
+
     def search(self, requests: DataFrame, overlap: str = "outer") -> DataFrame:
         """requests: the columns of REQUEST. Their results after overlap removal and the cap of a file, best first:
         request, ordinal (from 1), the block's key, kind and name, __mark, score. ranking.whole_rows adds the rest."""
-        scored = self.scores(requests).drop("__row", "language", "length")
+        scored = self._candidates(requests).drop("__row", "language", "length")
         best = R.cap_per_file(R.without_overlap(scored, overlap, ("request",)), by=("request",))
         return R.listed(best, "request", F.col("limit")).select("request", "ordinal", *KEY, "kind", "name", "__mark", "score")
 
@@ -282,9 +289,11 @@ class Postings(Lists):
     def write(self, blocks: DataFrame, buckets: int | None = None) -> None:
         """Lists of these blocks alone, in the place of any that are there. The texts are cut into terms once; the lists
         are made of the rows that are written then, as only those fix the numbers of the blocks."""
+        by_task = blocks.groupBy(F.spark_partition_id().alias("p")).agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("b"))
+        sizes = [r["b"] for r in by_task.collect()]
         if buckets is None:
-            size = blocks.agg(F.sum(F.octet_length("content")).alias("b")).first()["b"] or 0
-            buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+            buckets = max(LEAST_BUCKETS, -(-sum(sizes) // BUCKET_BYTES))
+        blocks = _spread(blocks, sizes)
         self._put("buckets", self.spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1))
         self._put("blocks", block_rows(blocks))
         lists = list_rows(self.blocks).withColumn("bucket", _bucket(F.col("term"), buckets))
@@ -325,6 +334,76 @@ class Postings(Lists):
         return (own.repartition("__block") if dealt else own).join(of, "__block"), block
 
 
+    def scores(self, requests: DataFrame) -> DataFrame:
+        return self._scored(requests, False)
+
+    def _candidates(self, requests: DataFrame) -> DataFrame:
+        return self._scored(requests, True)
+
+    def _scored(self, requests: DataFrame, listed: bool) -> DataFrame:
+        """Few terms by their lists; more in passes over the blocks, WEIGHED terms of requests in each or so."""
+        many = requests.agg(F.sum(F.size(X.tokens(F.col("query")))).alias("n")).first()["n"] or 0
+        if many <= NAMED:
+            return super().scores(requests)
+        parts = -(-many // WEIGHED)
+        meeting = self._meeting() if listed else None
+        own = F.pmod(F.xxhash64("request"), F.lit(parts))
+        return functools.reduce(DataFrame.unionByName, [self._pass(requests.where(own == i), meeting) for i in range(parts)])
+
+    def _meeting(self) -> np.ndarray | None:
+        """Numbers of the blocks whose lines hold those of another block of their file, or are held; None if there are many."""
+        by = Window.partitionBy("file_path")
+        down = by.orderBy("start_line", F.desc("end_line"), "__row").rowsBetween(Window.unboundedPreceding, -1)
+        up = by.orderBy(F.desc("start_line"), "end_line", F.desc("__row")).rowsBetween(Window.unboundedPreceding, -1)
+        met = (F.max("end_line").over(down) >= F.col("end_line")) | (F.min("end_line").over(up) <= F.col("end_line"))
+        rows = self.blocks.select("__row", (met | F.col("start_line").isNull() | F.col("end_line").isNull()).alias("met")).where("met")
+        found = rows.select("__row").limit(MEETING + 1).toArrow()["__row"].to_numpy()
+        return np.sort(found) if len(found) <= MEETING else None
+
+    def _pass(self, requests: DataFrame, meeting: np.ndarray | None) -> DataFrame:
+        """scores() of requests whose terms the driver and every task can hold. meeting: as passes.scores takes it."""
+        spark, asked = self.spark, _with_filters(requests)
+        stats = {r["filter"]: r for r in self.sizes(asked.select("filter", "languages", "path").distinct()).collect()}
+        rows = asked.select("*", X.tokens(F.col("query")).alias("terms"), F.lower("query").alias("lower")).collect()
+        rows = [r for r in rows if r["terms"] and r["filter"] in stats]  # without a block, no results
+        at, of = ({v: i for i, v in enumerate(dict.fromkeys(x))} for x in ((t for r in rows for t in r["terms"]), (r["filter"] for r in rows)))
+        filters, own = [None] * len(of), [{} for _ in of]
+        for r in rows:
+            filters[of[r["filter"]]] = (r["languages"], r["path"])
+            own[of[r["filter"]]] |= dict.fromkeys(at[t] for t in r["terms"])
+        number = requests.schema["request"].dataType.simpleString()
+        idfs: list[dict[int, float]] = [{} for _ in of]
+        if rows:
+            wanted = spark.createDataFrame([(i, t, stats[f]["n"]) for f, i in of.items() for t in own[i]], "filter int, term int, n bigint")
+            df = passes.frequencies(self.blocks, list(at), filters, [list(o) for o in own])
+            met = wanted.join(df, ["filter", "term"], "left").select("filter", "term", S.idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("idf"))
+            for r in met.collect():
+                idfs[r["filter"]][r["term"]] = r["idf"]
+        each = [passes.Asked(r["request"], r["limit"] or 0, r["lower"].encode(), of[r["filter"]], [at[t] for t in r["terms"]]) for r in rows]
+        return passes.scores(self.blocks, BLOCK, list(at), filters, [stats[f]["average"] for f in of], idfs, each, meeting, number)
+
+
+def _with_filters(requests: DataFrame) -> DataFrame:
+    """request, query, limit, path, languages, filter: requests of one filter have the same."""
+    return requests.select(
+        "request",
+        "query",
+        "limit",
+        "path",
+        F.array_distinct(F.transform(F.split("lang", ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))).alias("languages"),
+        F.to_json(F.struct("lang", "path")).alias("filter"),
+    )
+
+
+def _spread(blocks: DataFrame, sizes: list[int]) -> DataFrame:
+    """The blocks, dealt anew only where few tasks would read most of the texts, as of a file that Spark cannot split. sizes:
+    bytes of text by task."""
+    total, cores = sum(sizes), blocks.sparkSession.sparkContext.defaultParallelism
+    if max(sizes, default=0) <= 2 * max(total // cores, TASK_BYTES):
+        return blocks
+    return blocks.repartition(min(-(-total // TASK_BYTES), max(cores, -(-total // SPREAD_BYTES))))
+
+
 def _pieces(word: Column, k: int) -> Column:
     """The parts of a word that have k letters."""
     n = F.length(word)

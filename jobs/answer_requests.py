@@ -4,8 +4,8 @@
 
 IN is Parquet with doc_id, text, lang, source; REQ is Parquet with item_id and text, the words to look for, and perhaps
 lang (a list with commas), path (a part of a source) and limit, which otherwise is the config's. Posting lists of
-the documents go to OUT/lists, and the results of all requests, made in one pass over the lists of their terms, to
-OUT/results: item_id, ordinal (from 1), doc_id, source, score, partitioned by a hash of item_id. At most three
+the documents go to OUT/lists, and the results of all requests, made of the lists of their terms or, where these are
+many, in two passes over the documents' rows there, to OUT/results: item_id, ordinal (from 1), doc_id, source, score, partitioned by a hash of item_id. At most three
 results of a request are from one source. Both folders are replaced as a whole, so another run over the same
 input gives the same.
 
